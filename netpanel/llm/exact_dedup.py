@@ -158,7 +158,8 @@ def _bytes_differ(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (top, snap_top) whose normalised bytes differ although their digests agree."""
     texts = docs.select(F.col("doc_id").alias("_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
     named = pairs.select("digest", F.explode(F.array("top", "snap_top")).alias("_id"))
-    found = named.join(texts, "_id").select("digest", "_raw")
+    # a merge join at every size: neither side has a bound that would let it be broadcast
+    found = named.join(texts.hint("merge"), "_id").select("digest", "_raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +191,8 @@ def dedup(docs: DataFrame, snapshot_where: str = "crc32(cast(doc_id as string))
     )
     solo = screened.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size")).unionByName(snap.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size")))
     alone = solo.join(both.select("digest"), "digest", "left_anti")
-    groups = alone.unionByName(merged).where("group_size > 1")
+    # written, so that the join below reads two plain exchanges and a hot digest can be split
+    groups = materialize(alone.unionByName(merged).where("group_size > 1"), "groups")
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
