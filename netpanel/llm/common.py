@@ -129,7 +129,15 @@ class Words:
     buf; first: index of each text's first word, with the number of words at the end."""
 
     def __init__(self, texts: list[str | None], lower: bool = False) -> None:
-        raw = [b"" if t is None else t.encode() for t in texts]
+        self._cut([b"" if t is None else t.encode() for t in texts], lower)
+
+    @classmethod
+    def of_bytes(cls, raw: list[bytes]) -> Words:
+        out = cls.__new__(cls)
+        out._cut(raw, False)
+        return out
+
+    def _cut(self, raw: list[bytes], lower: bool) -> None:
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
@@ -140,7 +148,7 @@ class Words:
         self.starts = np.flatnonzero(before & ~space)
         self.ends = np.flatnonzero(space & ~before)
         limits = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        self.first = np.searchsorted(self.starts, limits[: len(texts) + 1])
+        self.first = np.searchsorted(self.starts, limits[: len(raw) + 1])
 
     def hashes(self) -> np.ndarray:
         """A uint64 for each word; equal words have equal hashes wherever they stand."""
