@@ -14,9 +14,10 @@ are packed one by one; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import gc
 import heapq
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +36,22 @@ BATCH_TOKENS = 1 << 21
 #: Rests that one task of the next level gathers.
 FAN_IN = 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: A longer word is not remembered.
+LONG_WORD = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a `tokenizers` file whose pre-tokenizer cuts texts into
-    words that are merged independently: each distinct word is encoded once."""
+    """Ids of whole texts by a `tokenizers` file whose pre-tokenizer cuts texts into words
+    that are merged independently and never hold white space: so a text is split at white
+    space, each distinct chunk is cut into words once, and each distinct word is encoded once."""
 
-    #: The pre-tokenizer's pattern: what is between its matches is dropped.
+    #: The pre-tokenizer's pattern (a fixed value): what is between its matches is dropped.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    #: What str.split() takes for white space but the pattern does not.
+    NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str) -> None:
         import os
@@ -59,32 +65,60 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.words = regex.compile(self.PATTERN).findall
-        self.blank = regex.compile(r"\s+")
+        self.merge = self.model.model.tokenize
+        #: The usual byte-level spelling: printable bytes stand for themselves, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelling = dict(zip(shown, shown, strict=True)) | {b: 256 + i for i, b in enumerate(hidden)}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _normal(self, text: str) -> str:
+    def _chunks(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # there NFC changes nothing and lower() is one to one
-            return text.lower()
+            text = text.lower()
         except UnicodeEncodeError:
-            return self.model.normalizer.normalize_str(text)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = self.words(self._normal(text))
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for w in words if w not in cache})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+            text = self.model.normalizer.normalize_str(text)
+        if any(c in text for c in self.NOT_SPACE):
+            return self.words(text)
+        return text.split()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a normalised word by the file's BPE model, on its bytes spelt as characters."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1")
+        return array("I", [t.id for t in self.merge(spelt.translate(self.spelling))]).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self._chunks(t) for t in texts]
+        if len(self.cache) > CACHE_WORDS:  # what was last used stays at hand for one generation
+            self.older, self.cache = self.cache, {}
+        cache, older, word = self.cache, self.older, self._word
+        new = set().union(*split).difference(cache)
+        for c in new.intersection(older):
+            cache[c] = older[c]
+        new.difference_update(older)
+        mixed = []
+        for c in new:
+            if c.isalpha():
+                cache[c] = word(c)
+            else:
+                mixed.append(c)
+        for c in mixed:
+            ids = []
+            for w in self.words(c):
+                known = cache.get(w)
+                if known is None:
+                    known = older.get(w) or word(w)
+                    if len(w) <= LONG_WORD:
+                        cache[w] = known
+                ids.append(known)
+            cache[c] = b"".join(ids)
+        out = [b"".join([cache[c] for c in s]) for s in split]
+        for c in new:
+            if len(c) > LONG_WORD:
+                del cache[c]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -209,12 +243,14 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
 
+        gc.disable()  # the caches are millions of objects without cycles
+
         def stream() -> Iterator[tuple]:
             for batch in batches:
                 for part in split_batch(batch, 1):
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        ids = t.encode(text or "") + end
-                        yield doc_id, 0, ids, len(ids) // 4
+                    found = t.encode_batch([x or "" for x in part.column(1).to_pylist()])
+                    for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
+                        yield doc_id, 0, ids + end, len(ids) // 4 + 1
 
         yield from _pack_stream(stream(), 0, length, last=False)
 
