@@ -17,7 +17,9 @@ that carries an unfinished character over to the next chunk.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: States that one worker keeps; at more, the table starts anew.
-MAX_STATES = 120_000
+#: States and pairs of tokens that one worker keeps; at more, a table starts anew.
+MAX_STATES, MAX_PAIRS = 100_000, 1_000_000
+#: A rank above all others.
+NEVER = 1 << 60
 #: Pieces whose ids one worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
+#: A longer piece makes every transition, so that what is pending stays bounded.
+PLAIN_LENGTH = 64
 #: A longer piece is not remembered.
 CACHE_LENGTH = 64
 #: Ids that one step of the decoder takes.
@@ -40,103 +46,152 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Node:
+    """A node of the trie of all tokens' bytes."""
+
+    __slots__ = ("token", "next")
+
+    def __init__(self) -> None:
+        self.token = -1
+        self.next: dict[int, Node] = {}
+
+
 class State:
-    __slots__ = ("token", "pending", "ends", "next", "flush")
+    """token: the last one emitted (-1 at the start of a piece); pending: bytes since then;
+    ends: for each prefix of pending that a live branch passes, its last token and where
+    that starts; live: the prefixes after which a token may have begun, with the trie node
+    that the bytes since then have reached."""
+
+    __slots__ = ("token", "pending", "ends", "live", "next", "flush", "seen")
 
-    def __init__(self, token: int, pending: bytes, ends: tuple) -> None:
-        self.token, self.pending = token, pending
-        #: For each prefix of pending, from the empty one: (last token, where it starts), or None if cut off.
-        self.ends = ends
+    def __init__(self, token: int, pending: bytes, ends: dict[int, tuple[int, int]], live: list[tuple[int, Node]]) -> None:
+        self.token, self.pending, self.ends, self.live = token, pending, ends, live
         self.next: dict[int, tuple[tuple[int, ...], State]] = {}
         self.flush: tuple[int, ...] | None = None
+        self.seen = False
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.root = Node()
+        for data, rank in ranks.items():
+            node = self.root
+            for b in data:
+                node = node.next.setdefault(b, Node())
+            node.token = rank
         self._fits: dict[tuple[int, int], bool] = {}
+        self._right: dict[int, tuple] = {}
+        self._left: dict[int, tuple] = {}
         self._sound: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        """Drops all states. Collection of cycles is off while texts are read (the trie, the
+        states and the caches are millions of live objects), so it is done here."""
         self.states: dict[tuple[int, bytes], State] = {}
-        self.start = self.state(-1, b"", ((-1, -1),))
-
-    def state(self, token: int, pending: bytes, ends: tuple) -> State:
-        key = (token, pending)
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = State(token, pending, ends)
-        return found
+        self.start = State(-1, b"", {}, [(0, self.root)])
+        self.states[-1, b""] = self.start
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """The definition: join the leftmost pair of lowest rank while there is one."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+        while len(parts) > stop:
+            found = [self.ranks.get(parts[i] + parts[i + 1], NEVER) for i in range(len(parts) - 1)]
+            best = min(found)
+            if best == NEVER:
                 break
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _edge(self, token: int, side: int, known: dict[int, tuple]) -> tuple:
+        """What stands at one end of the token's bytes while it is merged, from the single
+        byte to the whole: (bytes, rank at which it is used up)."""
+        found = known.get(token)
+        if found is None:
+            data = self.bytes_of[token]
+            if len(data) == 1:
+                found = ((data, NEVER),)
+            else:
+                inner = self.merge(data, 2)[side]
+                *below, (top, _) = self._edge(self.ranks[inner], side, known)
+                found = (*below, (top, token), (data, NEVER))
+            known[token] = found
+        return found
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a; a = -1 at the start of a piece."""
-        if a < 0:
-            sound = self._sound.get(b)
-            if sound is None:
-                sound = self._sound[b] = self.merge(self.bytes_of[b]) == [b]
-            return sound
+        """Whether b may follow a (a = -1 at the start of a piece): no merge across the
+        border comes before the pieces at the border are used up within a or within b."""
         found = self._fits.get((a, b))
         if found is None:
-            if len(self._fits) > 2_000_000:
+            sound = self._sound.get(b)
+            if sound is None:
+                sound = self._sound[b] = self.merge(self.bytes_of[b]) == [self.bytes_of[b]]
+            found = sound and (a < 0 or self._border(a, b))
+            if len(self._fits) > MAX_PAIRS:
                 self._fits.clear()
-            found = self._fits[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            self._fits[a, b] = found
         return found
 
+    def _border(self, a: int, b: int) -> bool:
+        left, right = self._edge(a, 1, self._right), self._edge(b, 0, self._left)
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = left[i], right[j]
+            across = self.ranks.get(x + y, NEVER)
+            if across < x_until and across <= y_until and across != NEVER:
+                return False
+            if x_until == NEVER and y_until == NEVER:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+
     def step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         """Tokens that are certain once the byte is read, and the state then."""
-        known = state.next.get(byte)
-        if known is not None:
-            return known
-        pending, ends = state.pending + bytes((byte,)), list(state.ends)
-        n = len(pending)
-        last = None
-        for i in range(max(0, n - self.longest), n):
-            if ends[i] is not None:
-                token = self.ranks.get(pending[i:])
-                if token is not None and self.fits(-1, token) and (ends[i][0] < 0 or self.fits(ends[i][0], token)):
-                    last = (token, i)
-                    break
-        ends.append(last)
-        # prefixes that a token may still start after: the whole of it, and those whose rest begins a token
-        live = [i for i in range(max(0, n - self.longest), n) if ends[i] is not None and pending[i:] in self.prefixes]
+        n = len(state.pending) + 1
+        ends, live, last = state.ends, [], None
+        for pos, node in state.live:
+            child = node.next.get(byte)
+            if child is None:
+                continue
+            if child.next:
+                live.append((pos, child))
+            if last is None and child.token >= 0 and self.fits(ends[pos][0] if pos else state.token, child.token):
+                last = (child.token, pos)
         if last is not None:
-            live.append(n)
-        paths = []
-        for i in live:
-            path = []
-            while i > 0:
-                path.append(i)
-                i = ends[i][1]
-            paths.append(path[::-1])
-        shared = 0
-        if paths:
-            shortest = min(map(len, paths))
-            while shared < shortest and all(p[shared] == paths[0][shared] for p in paths):
-                shared += 1
+            ends = ends | {n: last}
+            live.append((n, self.root))
         emitted: tuple[int, ...] = ()
-        keep = {0} | {i for p in paths for i in p}
-        ends = [e if i in keep else None for i, e in enumerate(ends)]
-        token, base = state.token, 0
-        if shared:
-            base = paths[0][shared - 1]
-            emitted = tuple(ends[i][0] for i in paths[0][:shared])
-            token = emitted[-1]
-        moved = [(token, -1)] + [None if e is None or e[1] < base else (e[0], e[1] - base) for e in ends[base + 1 :]]
-        known = state.next[byte] = emitted, self.state(token, pending[base:], tuple(moved))
+        token, pending = state.token, state.pending + bytes((byte,))
+        if live and live[0][0] > 0:  # no branch is still at the start: look for what all share
+            paths = []
+            for pos, _ in live:
+                path = []
+                while pos > 0:
+                    path.append(pos)
+                    pos = ends[pos][1]
+                paths.append(path[::-1])
+            shared = 0
+            for at in zip(*paths, strict=False):
+                if at.count(at[0]) < len(at):
+                    break
+                shared += 1
+            if shared:
+                base = paths[0][shared - 1]
+                emitted = tuple(ends[p][0] for p in paths[0][:shared])
+                token, pending = emitted[-1], pending[base:]
+                keep = {p for path in paths for p in path[shared:]}
+                ends = {p - base: (ends[p][0], ends[p][1] - base) for p in keep}
+                live = [(p - base, node) for p, node in live]
+        key = (token, pending)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(token, pending, ends, live)
+        known = state.next[byte] = emitted, found
         return known
 
     def finish(self, state: State) -> tuple[int, ...]:
@@ -149,20 +204,55 @@ class Transducer:
         return state.flush
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self.reset()
+        """Follows the states. A transition is made when its state is met for the second
+        time; the end of a piece that leaves the beaten track is read without making any."""
         state, out = self.start, []
-        for n, byte in enumerate(piece):
+        for at, byte in enumerate(piece):
             known = state.next.get(byte)
-            emitted, state = known if known is not None else self.step(state, byte)
-            out += emitted
-            if n & 0xFFFF == 0xFFFF and len(self.states) > MAX_STATES:
-                keep = state
-                self.reset()
-                self.states[keep.token, keep.pending] = keep
+            if known is None:
+                if not state.seen and len(piece) <= PLAIN_LENGTH:
+                    state.seen = True
+                    out += self._plain(state, piece, at)
+                    return out
+                if len(self.states) > MAX_STATES:
+                    self.reset()
+                    gc.collect()  # the state at hand stays whole; its successors are made anew
+                    state = State(state.token, state.pending, state.ends, state.live)
+                known = self.step(state, byte)
+            emitted, state = known
+            if emitted:
+                out += emitted
         out += self.finish(state)
         return out
 
+    def _plain(self, state: State, piece: bytes, at: int) -> list[int]:
+        """The tokens of the state's pending bytes and the rest of the piece."""
+        ends, live, n, root, fits, known = state.ends.copy(), state.live, len(state.pending), self.root, self.fits, self._fits
+        ends[0] = (state.token, 0)
+        for byte in piece[at:]:
+            n += 1
+            further, last = [], None
+            for pos, node in live:
+                child = node.next.get(byte)
+                if child is not None:
+                    if child.next:
+                        further.append((pos, child))
+                    token = child.token
+                    if token >= 0 and last is None:
+                        before = ends[pos][0]
+                        ok = known.get((before, token))
+                        if fits(before, token) if ok is None else ok:
+                            last = (token, pos)
+            if last is not None:
+                ends[n] = last
+                further.append((n, root))
+            live = further
+        out = []
+        while n > 0:
+            token, n = ends[n]
+            out.append(token)
+        return out[::-1]
+
 
 class Codec:
     """Whole texts to ids and back."""
@@ -173,30 +263,30 @@ class Codec:
         self.fst = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.vocabulary = [b""] * (max(self.fst.bytes_of) + 1)
         for i, b in self.fst.bytes_of.items():
             self.vocabulary[i] = b
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        pieces, cache = self.pieces(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        out = []
-        for p in pieces:
-            ids = cache.get(p)
+        pieces = self.pieces(text)
+        if len(self.cache) > CACHE_PIECES:  # what was last used stays at hand for one generation
+            self.older, self.cache = self.cache, {}
+        cache, older, ranks, long = self.cache, self.older, self.fst.ranks, []
+        for p in set(pieces).difference(cache):
+            ids = older.get(p)
             if ids is None:
                 raw = p.encode()
-                whole = self.fst.ranks.get(raw)
-                ids = np.array([whole] if whole is not None else self.fst.encode(raw), "<u4").tobytes()
-                if len(p) <= CACHE_LENGTH:
-                    cache[p] = ids
-            out.append(ids)
-        return b"".join(out)
+                whole = ranks.get(raw)
+                ids = array("I", (whole,) if whole is not None else self.fst.encode(raw)).tobytes()
+                if len(p) > CACHE_LENGTH:
+                    long.append(p)
+            cache[p] = ids
+        out = b"".join(map(cache.__getitem__, pieces))
+        for p in long:
+            del cache[p]
+        return out
 
     def decode(self, ids: bytes) -> Iterator[bytes]:
         """The bytes, chunk by chunk."""
@@ -249,6 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every row; a null text is empty."""
 
     def scan(parts: Iterator) -> Iterator[dict]:
+        gc.disable()
         c = codec(path, pattern)
         for doc_ids, texts in parts:
             yield {"doc_id": doc_ids, "ids": [c.encode(t or "") for t in texts]}
@@ -286,6 +377,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), sha.hexdigest(), same
 
     def scan(parts: Iterator) -> Iterator[dict]:
+        gc.disable()
         c = codec(path, pattern)
         for doc_ids, texts in parts:
             n, ids, decoded, same = zip(*digest(c, texts), strict=True)
