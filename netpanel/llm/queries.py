@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, packing, quality, secrets, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, langid, near_dedup, packing, quality, secrets, sharding, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,6 +32,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(documents(spark, sf_dir))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "langs", "shares")
@@ -54,7 +58,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_secrets, op6_langid, op7_exact_dedup, op8_bpe, op9_sharding, op10_ann)
+    f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_secrets, op5_near_dedup, op6_langid, op7_exact_dedup, op8_bpe, op9_sharding, op10_ann)
 }
 
 ORACLE_SQL = {
