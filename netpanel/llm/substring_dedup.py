@@ -33,14 +33,16 @@ from .common import Words, mix64, rolling, split_batch
 
 WINDOW = 20
 #: Words of the grams among which the minimiser is.
-GRAM = 4
+GRAM = 3
 #: Windows that a super-k-mer has at most.
 RUN = 256
 #: Bytes of packed words that a bucket should hold, and that a task gathers before it sends.
 BUCKET_BYTES, FLUSH_BYTES = 10 << 20, 16 << 20
 #: Packed words for each byte of text: (WINDOW - GRAM + 2) / 2 windows share WINDOW - 1 words.
-EXPANSION = 3.2
+EXPANSION = 3.1
 LAST = (1 << 63) - 1
+#: Level of the strings' compression.
+LEVEL = 6
 
 ENTRY = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i8"), ("n", "<i4")])
 
@@ -152,9 +154,9 @@ class Packer:
             mine = order[a:b]
             kept, marked = mine[~known[mine]], mine[known[mine]]
             words = b"\n".join([slices[i] for i in kept.tolist()])
-            data = np.array([len(kept), len(marked)], "<i8").tobytes() + entries[kept].tobytes() + entries[marked].tobytes() + words
+            data = np.array([len(kept), len(marked)], "<i8").tobytes() + by_column(entries[kept]) + by_column(entries[marked]) + words
             numbers.append(int(bucket[mine[0]]))
-            blobs.append(np.array([len(data)], "<i8").tobytes() + pa.compress(data, codec="zstd", asbytes=True))
+            blobs.append(np.array([len(data)], "<i8").tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True))
             if sum(map(len, blobs)) > FLUSH_BYTES // 4:
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
                 numbers, blobs = [], []
@@ -163,13 +165,25 @@ class Packer:
         self.clear()
 
 
+def by_column(entries: np.ndarray) -> bytes:
+    return b"".join(entries[name].tobytes() for name in ENTRY.names)
+
+
+def of_columns(data: bytes, n: int) -> np.ndarray:
+    out, at = np.empty(n, ENTRY), 0
+    for name in ENTRY.names:
+        out[name] = np.frombuffer(data, ENTRY[name], n, at)
+        at += n * ENTRY[name].itemsize
+    return out
+
+
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     size = int(np.frombuffer(blob[:8], "<i8")[0])
     data = pa.decompress(blob[8:], size, codec="zstd", asbytes=True)
     kept, marked = np.frombuffer(data[:16], "<i8").tolist()
     a = 16 + kept * ENTRY.itemsize
     b = a + marked * ENTRY.itemsize
-    return np.frombuffer(data[16:a], ENTRY), np.frombuffer(data[a:b], ENTRY), data[b:]
+    return of_columns(data[16:a], kept), of_columns(data[a:b], marked), data[b:]
 
 
 def intervals(blobs: list[bytes]) -> np.ndarray:
@@ -240,7 +254,7 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text-free: the digest stands for the kept words."""
+    """doc_id, n_words, n_removed, kept_sha256: the digest stands for the kept words, joined by one space."""
     return _applied(docs, buckets, "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
 
 
