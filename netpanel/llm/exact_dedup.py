@@ -8,8 +8,9 @@ positives join the snapshot's exact buckets, where the representatives' bytes ar
 compared; a filter's false positive finds no partner there.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null
-doc_id is kept and is never a keep_id unless its whole group has none; other columns,
-clashing names included, are ignored; an empty table gives an empty result.
+doc_id stays a row, and is kept only if no row of its group has a doc_id; rows that
+repeat one doc_id and text are kept or dropped together; other columns, clashing names
+included, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,7 +198,13 @@ def dedup(docs: DataFrame, snapshot_where: str = "crc32(cast(doc_id as string))
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.coalesce("keep_id", "doc_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "in_snapshot",
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that dedup() keeps; rows without a doc_id stay."""
+    gone = dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -20,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, split_batch
 
 CELLS = 1 << 16
 SMOOTHING = 0.25
@@ -173,3 +174,19 @@ def held_out() -> Column:
 def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """predict() by a model of the rows of docs for which ``learn`` holds (default: not held out)."""
     return predict(docs, fit(docs.where(~held_out() if learn is None else learn)))
+
+
+def known_only(docs: DataFrame, learn: Column | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language; texts that are `und` go."""
+    model = fit(docs.where(~held_out() if learn is None else learn))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture = Mixture(sent.value)
+        for batch in batches:
+            for part in split_batch(batch, text_at):
+                found = mixture.infer(part.column(text_at).to_pylist())
+                yield part.filter(pa.array([f[0] != "und" for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

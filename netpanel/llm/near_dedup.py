@@ -226,3 +226,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that near_dedup() keeps; rows without a doc_id stay."""
+    gone = near_dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(documents(spark, sf_dir))
+    return secrets.find(documents(spark, sf_dir)).drop("text_key")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, split_batch
 
 #: Fixed patterns of the base kinds, in their order, with the group that holds the value
 #: and its least length.
@@ -82,16 +83,16 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-SCANNED = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:int,end:int,value:long,live:boolean,own:boolean>>"
+SCANNED = "doc_id long, text_key long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:int,end:int,value:long,live:boolean,own:boolean>>"
 
 
 def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """One row a document: counts, digest and all base spans and candidates with hashed values."""
 
     def run(parts: Iterator) -> Iterator[dict]:
-        for ids, repos, owners, texts in parts:
-            rows: dict[str, list] = {k.split()[0]: [] for k in SCANNED.split(", ")[:8]}
-            for doc_id, r, o, text in zip(ids, repos, owners, texts, strict=True):
+        for ids, keys, repos, owners, texts in parts:
+            rows: dict[str, list] = {k.split()[0]: [] for k in SCANNED.split(", ")[:9]}
+            for doc_id, t, r, o, text in zip(ids, keys, repos, owners, texts, strict=True):
                 base = base_spans(text or "")
                 digest = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in base).encode()).hexdigest()
                 found = [
@@ -99,12 +100,12 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
                     for k, s, e, v in base + candidates(text or "", base)
                 ]
                 counts = Counter(k for k, *_ in base)
-                for key, v in zip(rows, (doc_id, r, o, counts[0], counts[1], counts[2], digest, found), strict=True):
+                for key, v in zip(rows, (doc_id, t, r, o, counts[0], counts[1], counts[2], digest, found), strict=True):
                     rows[key].append(v)
             yield rows
 
-    shaped = docs.select("doc_id", repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), "text")
-    return map_texts(shaped, run, SCANNED, ("doc_id", "repo", "owner", "text"))
+    shaped = docs.select("doc_id", F.xxhash64("text").alias("text_key"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), "text")
+    return map_texts(shaped, run, SCANNED, ("doc_id", "text_key", "repo", "owner", "text"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_owned.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_owned, and
+    text_key (a hash of the text, so that spans meet their own text if a doc_id repeats).
 
     repo, owner: columns of docs; by default `source`, which is all the table knows."""
     repo = F.col("source") if repo is None else repo
@@ -146,7 +148,54 @@ def find(docs: DataFrame, repo: Column | None = None, owner: Column | None = Non
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
     zero = F.lit(0)
     return rows.join(judged, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"),
+        "doc_id", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"),
         F.when(F.col("added").isNull(), zero).otherwise(F.size("added")).cast("long").alias("n_owned"),
     )
+
+
+#: What stands in a text for a secret.
+MASK = "<SECRET>"
+
+
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with the union of the spans masked."""
+    out, at, open_to = [], 0, -1
+    for start, end in sorted(spans):
+        if start < open_to:
+            open_to = max(open_to, end)
+        else:
+            if open_to >= 0:
+                at = open_to
+            out += [text[at:start], MASK]
+            open_to = end
+        at = open_to
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, **how: object) -> DataFrame:
+    """All rows and columns of docs, every span of find() masked in the text; n_chars, if
+    there is such a column, follows the text. Texts without a span stay as they are; rows
+    without a doc_id lose their base spans only."""
+    added = find(docs, **how).where("n_owned > 0").select("doc_id", F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_key"])
+    joined = docs.withColumn("_key", F.xxhash64("text")).join(added.hint("merge"), ["doc_id", "_key"], "left").select(*docs.columns, "_spans")
+    text_at, spans_at = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in split_batch(batch, text_at):
+                texts = []
+                for text, more in zip(part.column(text_at).to_pylist(), part.column(spans_at).to_pylist(), strict=True):
+                    found = [(s, e) for _, s, e, _ in base_spans(text or "")]
+                    if more:
+                        found += [(int(s), int(e)) for _, s, e in (x.split(":") for x in more.split(","))]
+                    texts.append(masked(text, found) if found else text)
+                columns = {f.name: part.column(i) for i, f in enumerate(part.schema) if i != spans_at}
+                if "n_chars" in columns:
+                    kind = columns["n_chars"].type
+                    same = zip(texts, part.column(text_at).to_pylist(), columns["n_chars"].to_pylist(), strict=True)
+                    columns["n_chars"] = pa.array([n if t == old else len(t) for t, old, n in same], kind)
+                columns["text"] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(run, docs.schema)
