@@ -9,9 +9,9 @@ Documents with equal sets form a class, which goes on as its smallest doc_id alo
 each bucket of several classes, a few leaders (least under a hash that depends on the
 band) are compared with the members on their full sets, and links are joined into
 components. A bucket whose members are then in one component is settled, however large
-it is. In the others, members of different components are compared: signatures, far
-outside their error, rule pairs out, and the rest is confirmed on the full sets. Buckets
-are dealt in blocks, so no task holds a large bucket.
+it is. In the others, signatures, far outside their error, rule members out, and the full
+sets of the rest are compared in the bucket's task, which returns one link for each two
+components that have one. Large buckets are dealt in pairs of blocks.
 
 At the threshold a pair shares no band with probability (1 - t ** ROWS) ** BANDS, 4e-7 at
 t = 0.85; the signature test errs at MARGIN standard deviations.
@@ -110,7 +110,7 @@ def bands(reps: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(n, -1)[:, : BANDS * ROWS].astype(np.uint64)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(ROWS):  # a band mixes minima and maxima of several permutations
-                    key = mix64(key ^ sig[:, r * BANDS : (r + 1) * BANDS]) + np.arange(BANDS, dtype=np.uint64)
+                    key = mix64(key ^ band_values(sig)[:, r]) + np.arange(BANDS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(key.astype(np.int64).ravel()),
@@ -159,38 +159,99 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= THRESHOLD * (len(s) + len(t) - both)
 
 
+def band_values(sig: np.ndarray) -> np.ndarray:
+    """(rows x ROWS x BANDS): the components of each band."""
+    return sig[:, : BANDS * ROWS].reshape(len(sig), ROWS, BANDS)
+
+
 def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that signatures do not rule out."""
+    """band, key, i, j, rep, root: the members of buckets with several components that may have
+    a link into another component, dealt by pairs of blocks (nearly all buckets are one block).
+    A pair counts in the first band that it shares, so few buckets hold a member."""
     held = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_ = held.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
-    # blocks of a bucket meet two by two; nearly all buckets are one block
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     members = (
         held.join(open_.select("band", "key", "n"), ["band", "key"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .select("band", "key", "rep", "root", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))).alias("at"))
-        .select("band", "key", "rep", "root", "block", "at.i", "at.j")
+        .select("band", "key", "rep", "root", F.explode(pair).alias("at"))
+        .select("band", "key", "rep", "root", "at.i", "at.j")
     )
     signed = members.join(reps.select("rep", "n_shingles", "signature"), "rep")
 
     def match(t: pa.Table) -> pa.Table:
-        pdf = t.to_pandas().drop_duplicates(["rep", "signature"])
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["block"] == i]
-        right = pdf[pdf["block"] == j]
-        sig = [np.frombuffer(b"".join(p["signature"]), np.uint32).reshape(len(p), -1) for p in (left, right)]
-        size = [p["n_shingles"].to_numpy() for p in (left, right)]
-        out: list[tuple[int, int]] = []
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+        size, root, band = t.column("n_shingles").to_numpy(), t.column("root").to_numpy(), t.column("band")[0].as_py()
+        values = band_values(sig)
         least = THRESHOLD / 100 - MARGIN * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / (2 * HASHES))
-        for k, (rep, root) in enumerate(zip(left["rep"].tolist(), left["root"].tolist(), strict=True)):
-            close = (sig[1] == sig[0][k]).mean(axis=1) >= least
-            close &= 100 * np.minimum(size[1], size[0][k]) >= THRESHOLD * np.maximum(size[1], size[0][k])
-            close &= right["root"].to_numpy() != root
-            if i == j:
-                close &= right["rep"].to_numpy() > rep
-            out += [(min(rep, o), max(rep, o)) for o in right["rep"].to_numpy()[close].tolist()]
+        needed = np.zeros(t.num_rows, bool)
+        for k in range(t.num_rows):
+            close = (root != root[k]) & (100 * np.minimum(size, size[k]) >= THRESHOLD * np.maximum(size, size[k]))
+            other = np.flatnonzero(close)
+            other = other[(sig[other] == sig[k]).mean(axis=1) >= least]
+            if len(other) and band:
+                other = other[~(values[other, :, :band] == values[k, :, :band]).all(axis=1).any(axis=1)]
+            needed[k] |= len(other) > 0
+            needed[other] = True
+        return t.select(["band", "key", "i", "j", "rep", "root"]).filter(pa.array(needed))
+
+    return signed.groupBy("band", "key", "i", "j").applyInArrow(match, "band int, key long, i long, j long, rep long, root long")
+
+
+def intersections(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices of bounded size."""
+    values, where, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[where]
+    owner, where = owner[keep], column[where[keep]]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, cells // len(sets))
+    for a in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(where, [a, a + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[lo:hi], where[lo:hi] - a] = 1
+        out += m @ m.T
+    return out
+
+
+def cross_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links on full sets between the components of each group, one for each two
+    components that still need it."""
+    sent = members.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("rep", "band", "key", "i", "j", "root", "text")
+
+    def link(t: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for batch in t.combine_chunks().to_batches():
+            for part in split_batch(batch, 6):
+                sets += shingle_sets(part.column(6).to_pylist())
+        rep, root = t.column("rep").to_numpy(), t.column("root").to_numpy()
+        size = np.array([len(s) for s in sets], np.float64)
+        both = intersections(sets)
+        good = (100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both)) & (root[:, None] != root[None, :])
+        x, y = np.nonzero(np.triu(good))
+        names, at = np.unique(root, return_inverse=True)
+        parent = np.arange(len(names))
+
+        def top(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out: list[tuple[int, int]] = []
+        _, first = np.unique(at[x] * len(names) + at[y], return_index=True)
+        for k in first.tolist():
+            p, q = top(int(at[x[k]])), top(int(at[y[k]]))
+            if p != q:
+                parent[p] = q
+                out.append((int(rep[x[k]]), int(rep[y[k]])))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return signed.groupBy("band", "key", "i", "j").applyInArrow(match, "a long, b long").dropDuplicates(["a", "b"])
+    return sent.groupBy("band", "key", "i", "j").applyInArrow(link, "a long, b long").dropDuplicates(["a", "b"])
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -215,11 +276,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.select("doc_id", "text").join(named.hint("merge"), "doc_id"), "texts")
     links = materialize(confirm(stars, texts), "links")
     labels = materialize(components(links), "labels")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(unsettled(buckets, labels, reps).join(tried, ["a", "b"], "left_anti"), "more")
+    more = materialize(cross_links(materialize(unsettled(buckets, labels, reps), "unsettled"), texts), "links2")
     if not more.isEmpty():
-        links = links.unionByName(materialize(confirm(more, texts), "links2"))
-        labels = materialize(components(links), "labels2")
+        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels2")
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     found = materialize(found.where("n > 1 or root <> rep").select("set_key", "root"), "found")
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
