@@ -5,8 +5,9 @@ sign bits with three numbers: the length of the centred vector, its inner produc
 its own code, and its inner product with the centre. A query is rotated too and cut into
 bit planes, so an estimate is a few population counts; an error bound that holds with
 high probability turns estimates into intervals. In a block of queries against a block of
-candidates only the candidates whose upper limit reaches the k-th best lower limit are
-reranked by the exact inner product, and the best k of each block meet in a window.
+candidates the best estimates are scored exactly first; then only the candidates whose
+upper limit reaches the k-th best of those scores are reranked by the exact inner product,
+and the best k of each block meet in a window.
 
 The query set is stated (rows whose id is divisible by 20) and goes against all rows in
 blocks of bounded size. Defined cases: vectors that are null, zero, or hold null or
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 K, QUERY_STEP = 20, 20
 #: Rows of a block of candidates, and of queries: what one task's group holds.
-CANDIDATES, QUERIES = 16_384, 1_024
+CANDIDATES, QUERIES = 65_536, 512
+#: For each neighbour asked for, so many of the best estimates are scored first.
+FIRST = 32
 #: Width of the error bound, in standard deviations of the estimate.
-EPSILON = 3.5
+EPSILON = 4.0
 #: Bits of a rotated query's components.
-PLANES = 6
+PLANES = 4
 SEED = 20
 
 
@@ -62,56 +65,63 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, bits: np.ndarray, numbers: np.ndarray, centre: np.ndarray, rotate: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.bits = ids[order], x[order], bits[order]
-        self.length, self.product, self.base = numbers[order].T
-        self.ones = np.bitwise_count(self.bits).sum(axis=1).astype(np.float64)
-        self.centre, self.rotate, self.dim = centre, rotate, x.shape[1]
-        spread = np.sqrt(np.maximum(1 - self.product**2, 0)) / self.product / math.sqrt(max(self.dim - 1, 1))
-        self.error = EPSILON * spread * self.length
-
-    def intervals(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper limit of <x, q> for each candidate."""
+        self.ids, self.columns = ids[order], np.ascontiguousarray(x[order].T)
+        self.words = [np.ascontiguousarray(w) for w in bits[order].T]
+        length, product, self.base = numbers[order].T
+        self.ones = sum(np.bitwise_count(w).astype(np.float64) for w in self.words)
+        self.rotate, self.dim = rotate, x.shape[1]
+        self.scale = length / product
+        spread = np.sqrt(np.maximum(1 - product**2, 0)) / math.sqrt(max(self.dim - 1, 1))
+        self.error = EPSILON * spread * self.scale
+
+    def estimates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimate of <x, q> for each candidate, and how far it may be off."""
         turned = self.rotate @ q
-        low, high = float(turned.min()), float(turned.max())
-        step = (high - low) / ((1 << PLANES) - 1) or 1.0
+        low = float(turned.min())
+        step = (float(turned.max()) - low) / ((1 << PLANES) - 1) or 1.0
         levels = np.round((turned - low) / step).astype(np.int64)
-        dot = np.zeros(len(self.ids))
+        dot = np.zeros(len(self.ids), np.int32)
         for p in range(PLANES):
-            plane = np.zeros(self.bits.shape[1] * 64, np.uint8)
+            plane = np.zeros(len(self.words) * 64, np.uint8)
             plane[: self.dim] = (levels >> p) & 1
-            words = np.packbits(plane, bitorder="little").view("<u8")
-            dot += (1 << p) * np.bitwise_count(self.bits & words).sum(axis=1)
-        # sum over set bits of (low + step * level), then signs from bits
-        positive = low * self.ones + step * dot
-        total = low * self.dim + step * float(levels.sum())
-        with_code = (2 * positive - total) / math.sqrt(self.dim)
-        estimate = self.base + self._query_base(q) * 0 + self.length * with_code / self.product
-        off = self.error * float(np.linalg.norm(q)) + self.length * step * math.sqrt(self.dim) / 2 / self.product
-        return estimate - off, estimate + off
-
-    def _query_base(self, q: np.ndarray) -> float:
-        return float(self.centre @ q)
+            for mask, w in zip(np.packbits(plane, bitorder="little").view("<u8"), self.words, strict=True):
+                dot += np.bitwise_count(w & mask).astype(np.int32) << p
+        # the set bits' share of the quantised query, twice, less all of it: signs from bits
+        root = math.sqrt(self.dim)
+        with_code = self.ones * (2 * low / root) + dot * (2 * step / root) - (low * self.dim + step * float(levels.sum())) / root
+        off = self.error * float(np.linalg.norm(q)) + self.scale * (step * root / 2)
+        return self.base + self.scale * with_code, off
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
-        low, high = self.intervals(q)
-        other = self.ids != query_id
-        n = int(other.sum())
-        if n > k:
-            floor = np.partition(np.where(other, low, -np.inf), len(low) - k)[len(low) - k]
-            at = np.flatnonzero(other & (high >= floor))
+        estimate, off = self.estimates(q)
+        a, b = np.searchsorted(self.ids, [query_id, query_id + 1])  # rows are in id order
+        estimate[a:b] = -np.inf
+        n = len(self.ids)
+        if n - (b - a) > k:
+            m = min(n - (b - a), FIRST * k)
+            found = self.exact(np.argpartition(estimate, n - m)[n - m :], q)
+            floor = np.partition(found, m - k)[m - k]
+            # what is lost in the last bits of the two sums stays far below this
+            at = np.flatnonzero(estimate + off >= floor - 1e-9 * (1 + abs(floor)))
         else:
-            at = np.flatnonzero(other)
-        score = inner(self.x[at], q)
-        best = np.argsort(-score, kind="stable")[:k]  # rows are in id order, so ties stay in it
+            at = np.concatenate([np.arange(a), np.arange(b, n)])
+        score = self.exact(at, q)
+        if len(at) > 4 * k:
+            top = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])  # with all ties
+            at, score = at[top], score[top]
+        best = np.argsort(-score, kind="stable")[:k]  # ties stay in id order
         return list(zip(self.ids[at[best]].tolist(), score[best].tolist(), strict=True))
 
+    def exact(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return inner(self.columns, at, q)
 
-def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed component by component in order, so that
-    equal vectors have equal products."""
-    out = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        out += x[:, j].astype(np.float64) * float(q[j])
+
+def inner(columns: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision of the chosen vectors (columns: one row a component),
+    summed component by component in order, so that equal vectors have equal products."""
+    out = np.zeros(len(at))
+    for j in range(len(q)):
+        out += columns[j].take(at) * float(q[j])
     return out
 
 
