@@ -7,6 +7,6 @@ from .registry import CATALOGUE, Query
 
 def catalogue() -> dict[str, Query]:
     """All queries by name; importing a module registers what it holds."""
-    from . import ordered, relational  # noqa: F401
+    from . import models, ordered, relational  # noqa: F401
 
     return CATALOGUE
