@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: States and pairs of tokens that one worker keeps; at more, a table starts anew.
-MAX_STATES, MAX_PAIRS = 100_000, 1_000_000
+MAX_STATES, MAX_PAIRS = 150_000, 1_000_000
+#: Visits after which a state gets transitions.
+VISITS = 6
 #: A rank above all others.
 NEVER = 1 << 60
 #: Pieces whose ids one worker remembers.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 300_000
 #: A longer piece makes every transition, so that what is pending stays bounded.
 PLAIN_LENGTH = 64
 #: A longer piece is not remembered.
@@ -68,7 +70,7 @@ class State:
         self.token, self.pending, self.ends, self.live = token, pending, ends, live
         self.next: dict[int, tuple[tuple[int, ...], State]] = {}
         self.flush: tuple[int, ...] | None = None
-        self.seen = False
+        self.seen = 0
 
 
 class Transducer:
@@ -85,12 +87,15 @@ class Transducer:
         self._right: dict[int, tuple] = {}
         self._left: dict[int, tuple] = {}
         self._sound: dict[int, bool] = {}
+        self.states: dict[tuple[int, bytes], State] = {}
         self.reset()
 
     def reset(self) -> None:
         """Drops all states. Collection of cycles is off while texts are read (the trie, the
-        states and the caches are millions of live objects), so it is done here."""
-        self.states: dict[tuple[int, bytes], State] = {}
+        states and the caches are millions of live objects), so their links are cut here."""
+        for s in self.states.values():
+            s.next.clear()
+        self.states = {}
         self.start = State(-1, b"", {}, [(0, self.root)])
         self.states[-1, b""] = self.start
 
@@ -204,19 +209,18 @@ class Transducer:
         return state.flush
 
     def encode(self, piece: bytes) -> list[int]:
-        """Follows the states. A transition is made when its state is met for the second
-        time; the end of a piece that leaves the beaten track is read without making any."""
+        """Follows the states. A state gets transitions once it has been met VISITS times; until
+        then the end of a piece that leaves the beaten track is read without making any."""
         state, out = self.start, []
         for at, byte in enumerate(piece):
             known = state.next.get(byte)
             if known is None:
-                if not state.seen and len(piece) <= PLAIN_LENGTH:
-                    state.seen = True
+                if state.seen < VISITS and len(piece) <= PLAIN_LENGTH:
+                    state.seen += 1
                     out += self._plain(state, piece, at)
                     return out
                 if len(self.states) > MAX_STATES:
-                    self.reset()
-                    gc.collect()  # the state at hand stays whole; its successors are made anew
+                    self.reset()  # the state at hand stays whole; its successors are made anew
                     state = State(state.token, state.pending, state.ends, state.live)
                 known = self.step(state, byte)
             emitted, state = known
