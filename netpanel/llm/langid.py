@@ -88,10 +88,12 @@ def fit(docs: DataFrame) -> Model:
     """The counts of all rows; what reaches the driver is languages x CELLS numbers at most."""
     c = count(docs).toPandas()
     langs = sorted(c["lang"].unique())
+    if not langs:
+        return Model([], np.zeros((CELLS, 0), np.float32))
     n = np.zeros((CELLS, len(langs)))
     n[c["cell"].to_numpy(), np.searchsorted(np.array(langs, object), c["lang"].to_numpy())] = c["n"]
     n += SMOOTHING
-    return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32) if langs else n.astype(np.float32))
+    return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
 class Mixture:

@@ -177,8 +177,8 @@ def redact(docs: DataFrame, **how: object) -> DataFrame:
     """All rows and columns of docs, every span of find() masked in the text; n_chars, if
     there is such a column, follows the text. Texts without a span stay as they are; rows
     without a doc_id lose their base spans only."""
-    added = find(docs, **how).where("n_owned > 0").select("doc_id", F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_key"])
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(added.hint("merge"), ["doc_id", "_key"], "left").select(*docs.columns, "_spans")
+    added = find(docs, **how).where("n_owned > 0").select("doc_id", F.col("text_key").alias("__masked_key"), F.col("spans").alias("__masked_spans")).dropDuplicates(["doc_id", "__masked_key"])
+    joined = docs.withColumn("__masked_key", F.xxhash64("text")).join(added.hint("merge"), ["doc_id", "__masked_key"], "left").select(*docs.columns, "__masked_spans")
     text_at, spans_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group. Groups are hashed into a fixed number of cells (a group that
-holds much of the corpus gets cells of its own and is split over them), so that what the
-driver places is bounded by parameters, not by the corpus. Cells go in descending order
-to the shard where the dot product of the cell's vector with the residual capacity is
-highest; swaps and moves then even out the bytes. Every row gets a slot: its cell's
-offset in the shard plus its place in the cell.
+Equal texts form a group, which stays together unless it is larger than half a shard.
+Groups are hashed into a fixed number of cells, and a group that holds much of the corpus
+gets cells of its own, so that no task holds it and what the driver places is bounded by
+parameters, not by the corpus. Cells (all cells of one group at once, where it stays
+together) go in descending order to the shard where the dot product of their vector with
+the residual capacity is highest; swaps and moves then even out the bytes. Every row gets
+a slot: its cell's offset in the shard plus its place in the cell.
 
 Defined cases: a null text has size 1; empty texts are one group; an empty table gives
 an empty result; other columns are ignored. Rows with a null doc_id take the first
@@ -26,7 +27,7 @@ from .common import map_texts, materialize
 
 #: Cells that hold the ordinary groups. The driver sees at most CELLS + 2 * BIG_PARTS rows.
 CELLS = 8192
-#: A group above 1/BIG_PARTS of all bytes or rows is split into parts below that size.
+#: A group above 1/BIG_PARTS of all bytes or rows gets cells of its own, each below that size.
 BIG_PARTS = 1024
 
 
@@ -101,9 +102,13 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
     dealt = rows.join(F.broadcast(big.select("digest", "parts", "from")), "digest", "left").withColumn(
         "cell", F.coalesce(part, F.pmod(F.xxhash64("digest"), F.lit(cells))).cast("int")
     )
-    stats = dealt.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")
-    where = place(stats[["b", "t", "n"]].to_numpy(np.float64), shards) if len(stats) else np.empty(0, np.int64)
-    stats["shard"] = where
+    # a cell's item is what is placed as one: the cell, or the first cell of its group
+    whole = F.col("parts") * 2 * shards <= BIG_PARTS
+    item = F.coalesce(F.when(whole, F.col("from")), F.col("cell")).cast("int").alias("item")
+    stats = dealt.groupBy("cell", item).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")
+    items = stats.groupby("item")[["b", "t", "n"]].sum()
+    where = place(items.to_numpy(np.float64), shards) if len(items) else np.empty(0, np.int64)
+    stats["shard"] = stats["item"].map(dict(zip(items.index, where.tolist(), strict=True))).astype(np.int64)
     stats["base"] = stats.groupby("shard")["n"].cumsum() - stats["n"]
     plan = spark.createDataFrame(
         [tuple(map(int, r)) for r in stats[["cell", "shard", "base"]].itertuples(index=False)], "cell int, shard int, base long"
