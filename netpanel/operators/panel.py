@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_end, ratio
 
+#: Assets of a block of pairs.
+BLOCK = 256
+
 
 def interval_join(facts: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, how: str = "left") -> DataFrame:
     """Facts with the interval rows of their key that are valid on their date: a hash join on
@@ -115,8 +120,8 @@ def entropy(df: DataFrame, x: str, by: Sequence[str], name: str = "entropy") ->
 
 
 def pairs(df: DataFrame, x: str, key: str, time: str, lag: int = 0) -> DataFrame:
-    """(i, j, x_i, x_j) of every date on which both have values. A panel's assets are few and its
-    dates many, so the join is on the date alone."""
+    """(i, j, x_i, x_j) of every date on which both have values: for small panels, where each
+    date's values of a pair are wanted; moments of many pairs come from pair_moments()."""
     a = df.select(F.col(time), F.col(key).alias("i"), F.col(x).alias("x_i"))
     shifted = F.col(time) if lag == 0 else F.col("_next")
     b = df
@@ -126,13 +131,67 @@ def pairs(df: DataFrame, x: str, key: str, time: str, lag: int = 0) -> DataFrame
     return a.join(b, time)
 
 
-def correlations(df: DataFrame, x: str, key: str = "permno", time: str = "date", lag: int = 0) -> DataFrame:
-    """(i, j, corr), pairwise complete; with a lag, of x_i today and x_j so many rows before."""
-    return pairs(df, x, key, time, lag).groupBy("i", "j").agg(F.corr("x_i", "x_j").alias("corr"))
+def pair_moments(df: DataFrame, x: str, key: str, time: str, lag: int = 0, upper: bool = False, block: int = BLOCK) -> DataFrame:
+    """(i, j, corr, cov) of all pairs, pairwise complete; with a lag, of x_i today and x_j so many
+    rows before; upper: only i < j.
+
+    Assets are dealt into blocks, and each pair of blocks is one task's matrix products: a series
+    travels once for each block of the others, instead of each pair's dates being joined."""
+    n = df.select(key).distinct().count()
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"), own.alias("own"))
+    later = rows
+    if lag:
+        w = Window.partitionBy("k").orderBy("t")
+        later = rows.withColumn("t", F.lead("t", lag).over(w)).where("t is not null")
+    left = rows.select("k", "t", "v", F.col("own").alias("bi"), every.alias("bj"))
+    right = later.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("v").alias("v2"), every.alias("bi"), F.col("own").alias("bj"))
+    if upper:
+        left, right = left.where("bi <= bj"), right.where("bi <= bj")
+
+    def matrix(t: pa.Table, dates: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, row = np.unique(t.column(0).to_numpy(), return_inverse=True)
+        m = np.full((len(keys), len(dates)), np.nan)
+        m[row, [dates[d] for d in t.column(1).to_pylist()]] = t.column(2).to_numpy()
+        here = ~np.isnan(m)
+        mean = np.where(here, m, 0).sum(axis=1) / here.sum(axis=1)
+        return keys, np.where(here, m - mean[:, None], 0), here.astype(float)
+
+    def products(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = {"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "corr": pa.array([], pa.float64()), "cov": pa.array([], pa.float64())}
+        if not a.num_rows or not b.num_rows:
+            return pa.table(empty)
+        dates = {d: k for k, d in enumerate(dict.fromkeys([*a.column(1).to_pylist(), *b.column(1).to_pylist()]))}
+        (ki, xa, ma), (kj, xb, mb) = matrix(a, dates), matrix(b, dates)
+        count, sa, sb, sab = ma @ mb.T, xa @ mb.T, ma @ xb.T, xa @ xb.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = sab - sa * sb / count
+            va, vb = (xa**2) @ mb.T - sa**2 / count, ma @ (xb**2).T - sb**2 / count
+            cov = np.where(count > 1, cross / (count - 1), np.nan)
+            tiny = 1e-24 * count
+            corr = np.where((count > 1) & (va > tiny) & (vb > tiny), np.clip(cross / np.sqrt(va * vb), -1, 1), np.nan)
+        i, j = np.repeat(ki, len(kj)), np.tile(kj, len(ki))
+        keep = (count.ravel() > 0) & ((i < j) if upper else np.ones(len(i), bool))
+        some = lambda m: pa.array(m.ravel()[keep], from_pandas=True)
+        out = {"i": pa.array(i[keep]), "j": pa.array(j[keep]), "corr": some(corr), "cov": some(cov)}
+        if upper and len(ki) and len(kj):  # pairs that this block holds the other way round
+            back = (count.ravel() > 0) & (i > j)
+            more = lambda m: pa.array(m.ravel()[back], from_pandas=True)
+            if a.column("bi")[0].as_py() != a.column("bj")[0].as_py():
+                return pa.concat_tables([pa.table(out), pa.table({"i": pa.array(j[back]), "j": pa.array(i[back]), "corr": more(corr), "cov": more(cov)})])
+        return pa.table(out)
+
+    return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(products, "i long, j long, corr double, cov double")
+
+
+def correlations(df: DataFrame, x: str, key: str = "permno", time: str = "date", lag: int = 0, upper: bool = False) -> DataFrame:
+    return pair_moments(df, x, key, time, lag, upper).select("i", "j", "corr")
 
 
 def covariances(df: DataFrame, x: str, key: str = "permno", time: str = "date") -> DataFrame:
-    return pairs(df, x, key, time).groupBy("i", "j").agg(F.covar_samp("x_i", "x_j").alias("cov"))
+    return pair_moments(df, x, key, time).select("i", "j", "cov")
 
 
 def top_sum(df: DataFrame, order: str, total: str, k: int, by: str) -> DataFrame:
