@@ -15,7 +15,6 @@ as often as they stand; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, split_batch
+from .common import map_texts, mix64, split_batch
 
 CELLS = 1 << 16
 SMOOTHING = 0.25
@@ -39,9 +38,13 @@ WORD_LENGTH = 64
 _words = re.compile(rf"[^\W\d_]{{1,{WORD_LENGTH}}}").findall
 
 
-def cells(word: str) -> list[int]:
-    w = f" {word} "
-    return [zlib.crc32(w[i : i + 3].encode()) % CELLS for i in range(len(w) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the trigrams of all words, a space before and after each, one word after the
+    other, and where each word's begin: a word of n letters has n."""
+    a = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    code = mix64(((a[:-2] << np.uint64(21)) + a[1:-1] << np.uint64(21)) + a[2:]) % np.uint64(CELLS)
+    sizes = np.array([len(w) for w in words])
+    return code[a[1:-1] != 32].astype(np.int64), np.cumsum(sizes) - sizes
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -54,12 +57,10 @@ def count(docs: DataFrame) -> DataFrame:
         def fold() -> None:
             for lang, words in seen.items():
                 total = totals.setdefault(lang, np.zeros(CELLS, np.int64))
-                at, n = [], []
-                for w, k in words.items():
-                    c = cells(w)
-                    at += c
-                    n += [k] * len(c)
-                total += np.bincount(np.array(at, np.int64), weights=np.array(n), minlength=CELLS).astype(np.int64)
+                if words:
+                    at, _ = trigrams(list(words))
+                    n = np.repeat(list(words.values()), [len(w) for w in words])
+                    total += np.bincount(at, weights=n, minlength=CELLS).astype(np.int64)
             seen.clear()
 
         for langs, texts in parts:
@@ -102,31 +103,32 @@ class Mixture:
         self.index: dict[str, int] = {}
         self.rows = np.empty((1024, len(model.langs)), np.float32)
 
-    def _row(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = self.model.logp[cells(word)].sum(axis=0)
-        self.index[word] = k
-        return k
+    def _learn(self, words: list[str]) -> None:
+        """Log-likelihoods of words that are new."""
+        at, first = trigrams(words)
+        k, need = len(self.index), len(self.index) + len(words)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows[:k], np.empty((need, self.rows.shape[1]), np.float32)])
+        self.rows[k:need] = np.add.reduceat(self.model.logp[at], first, axis=0)
+        self.index.update(zip(words, range(k, need), strict=True))
 
     def infer(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
         """(language, score, language set, its proportions) of each text."""
         if len(self.index) > CACHE_WORDS:
             self.index.clear()
             self.rows = self.rows[:1024]
-        owner, at, n = [], [], []
+        found = [Counter(_words(t.lower())) if t and self.model.langs else Counter() for t in texts]
+        new = set().union(*found).difference(self.index)
+        if new:
+            self._learn(list(new))
         index = self.index
-        for d, text in enumerate(texts):
-            if text and self.model.langs:
-                found = Counter(_words(text.lower()))
-                owner += [d] * len(found)
-                at += [index[w] if w in index else self._row(w) for w in found]
-                n += found.values()
+        at = [index[w] for f in found for w in f]
+        n = [k for f in found for k in f.values()]
+        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         out: list = [("und", 0.0, [], [])] * len(texts)
         if not at:
             return out
-        doc, first = np.unique(np.array(owner), return_index=True)
+        doc, first = np.unique(owner, return_index=True)
         times = np.array(n, np.float32)
         log = self.rows[np.array(at)]
         top = log.max(axis=1, keepdims=True)
