@@ -102,6 +102,8 @@ def hac_ols(df: DataFrame, y: str, xs: Sequence[str], time: str, by: str, lags:
 def within(df: DataFrame, columns: Sequence[str], entity: str | None, time: str | None) -> DataFrame:
     """Columns less their entity or time means; for both, the balanced two-way transform."""
     out = df
+    if entity and time:
+        out = df.join(F.broadcast(df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])))  # one row
     for c in columns:
         own: Column = F.col(c)
         if entity:
@@ -109,7 +111,7 @@ def within(df: DataFrame, columns: Sequence[str], entity: str | None, time: str
         if time:
             own = own - F.avg(c).over(Window.partitionBy(time))
         if entity and time:
-            own = own + F.avg(c).over(Window.partitionBy(F.lit(1)))
+            own = own + F.col(f"_mean_{c}")
         out = out.withColumn(f"_{c}", own)
     return out
 
