@@ -47,7 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path  # for discard()
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for frames that nothing reads any more."""
+    for df in frames:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._materialized)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def map_texts(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, mix64
+from .common import discard, map_texts, materialize, mix64
 
 #: Digests that a bucket, and so one filter and one task's group, holds on average.
 BUCKET_DIGESTS = 200_000
@@ -194,6 +194,7 @@ def dedup(docs: DataFrame, snapshot_where: str = "crc32(cast(doc_id as string))
     alone = solo.join(both.select("digest"), "digest", "left_anti")
     # written, so that the join below reads two plain exchanges and a hot digest can be split
     groups = materialize(alone.unionByName(merged).where("group_size > 1"), "groups")
+    discard(screened, both)
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -24,11 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = materialize(_distinct(large.where("a <> b")), "large")
+        last, current = current, materialize(_distinct(large.where("a <> b")), "large")
+        discard(last)
         least = current.groupBy("a").agg(F.min("b").alias("m"))
         own = current.join(least, "a")
         small = own.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        current = materialize(_distinct(small.where("a <> b")), "small")
+        last, current = current, materialize(_distinct(small.where("a <> b")), "small")
+        discard(last)
         new = _fingerprint(current)
         if new == mark:
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_texts, materialize, mix64, rolling, split_batch
+from .common import Words, discard, map_texts, materialize, mix64, rolling, split_batch
 from .graph import components
 
 SHINGLE = 5
@@ -127,12 +127,10 @@ def similar_size(a: str, b: str) -> str:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. The text of b goes to a's
-    group; a group is dealt in parts of about PARTNERS partners, each with a's text."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-    parts = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    own = parts.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part")
-    asked = parts.select(F.col("b").alias("doc_id"), "a", "part").unionByName(own)
+    """The pairs (a, b, part) whose full sets are similar enough. The text of b goes to a's
+    group of that part, each with a's text."""
+    own = pairs.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part")
+    asked = pairs.select(F.col("b").alias("doc_id"), "a", "part").unionByName(own)
     sent = asked.join(texts.hint("merge"), "doc_id").select("doc_id", "a", "part", "text")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -265,18 +263,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     cut = materialize(bands(reps), "bands")
     shared = cut.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(cut.join(shared.select("band", "key"), ["band", "key"]), "buckets")
+    discard(cut)
     order = F.xxhash64("rep", F.col("band") % LEADERS)
-    leaders = buckets.withColumn("o", order).groupBy("band", "key").agg(F.min(F.struct("o", "rep", "size")).alias("l")).select("band", "key", F.col("l.rep").alias("lead"), F.col("l.size").alias("lead_size"))
+    leaders = buckets.withColumn("o", order).groupBy("band", "key").agg(F.min(F.struct("o", "rep", "size")).alias("l"), F.count(F.lit(1)).alias("n")).select("band", "key", "n", F.col("l.rep").alias("lead"), F.col("l.size").alias("lead_size"))
     stars = (
         buckets.join(leaders, ["band", "key"]).where(f"rep <> lead and {similar_size('size', 'lead_size')}")
-        .select(F.col("lead").alias("a"), F.col("rep").alias("b")).dropDuplicates(["a", "b"])
+        # a leader's members are compared in parts that the bucket's size gives, so no leader is hot
+        .select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PARTNERS)).alias("part")).dropDuplicates(["a", "b"])
     )
     stars = materialize(stars, "stars")
     named = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.select("doc_id", "text").join(named.hint("merge"), "doc_id"), "texts")
     links = materialize(confirm(stars, texts), "links")
     labels = materialize(components(links), "labels")
-    more = materialize(cross_links(materialize(unsettled(buckets, labels, reps), "unsettled"), texts), "links2")
+    members = materialize(unsettled(buckets, labels, reps), "unsettled")
+    more = materialize(cross_links(members, texts), "links2")
+    discard(reps, buckets, stars, texts, links, members)
     if not more.isEmpty():
         labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels2")
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
