@@ -123,6 +123,11 @@ def adaptive_weights(coef: np.ndarray, n: int, gamma: float, mask: np.ndarray |
     return w if mask is None else w * (mask != 0)
 
 
+def regamma(weights: np.ndarray, old: float, new: float) -> np.ndarray:
+    """Adaptive weights of one exponent turned into those of another."""
+    return weights ** (new / old)
+
+
 def rescale_weights(weights: np.ndarray) -> np.ndarray:
     total = weights.sum()
     return weights * (weights.size / total) if total > 0 else weights

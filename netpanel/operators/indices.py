@@ -82,6 +82,20 @@ def double_sort(df: DataFrame, first: str, second: str, value: str, q1: int, q2:
     return two.groupBy(date, "bucket1", "bucket2").agg(F.avg(value).alias(value))
 
 
+def rebalanced(weights: DataFrame, returns: DataFrame, method: str = "continuous", date: str = "date") -> DataFrame:
+    """Return of each date of weights set on sampling dates: ``continuous`` keeps the weights
+    through the holding period, ``discrete`` lets them drift with the assets' own returns."""
+    if method not in ("continuous", "discrete"):
+        raise ValueError(f"method must be continuous or discrete, not {method!r}")
+    held = returns.withColumn("ret", F.coalesce("ret", F.lit(0.0))).join(weights.where(F.col("weight").isNotNull()), ["sampling_date", "permno"])
+    if method == "discrete":
+        w = Window.partitionBy("sampling_date", "permno").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+        grown = F.coalesce(F.product(1 + F.col("ret")).over(w), F.lit(1.0))
+        held = held.withColumn("weight", F.col("weight") * grown)
+    sums = held.groupBy("sampling_date", date).agg(F.sum(F.col("ret") * F.col("weight")).alias("_r"), F.sum("weight").alias("_w"))
+    return sums.select("sampling_date", date, (F.col("_r") if method == "continuous" else ratio(F.col("_r"), F.col("_w"))).alias("ret"))
+
+
 def performance(returns: DataFrame, ret: str = "ret", periods: int = 12) -> DataFrame:
     """mean, vol (both annual), sharpe, and worst drawdown of one return series, by date."""
     w = Window.orderBy("date")  # one row a date

@@ -99,6 +99,12 @@ def hac_ols(df: DataFrame, y: str, xs: Sequence[str], time: str, by: str, lags:
     return df.select(by, time, y, *xs).groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, term string, coef double, se double, tstat double")
 
 
+def stars(t: Column) -> Column:
+    """Marks of significance of a t statistic at 10, 5 and 1 percent."""
+    a = F.abs(t)
+    return F.when(a > 2.58, "***").when(a > 1.96, "**").when(a > 1.645, "*").otherwise("")
+
+
 def within(df: DataFrame, columns: Sequence[str], entity: str | None, time: str | None) -> DataFrame:
     """Columns less their entity or time means; for both, the balanced two-way transform."""
     out = df

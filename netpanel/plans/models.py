@@ -77,6 +77,12 @@ def hac_mean_tstat(spark: SparkSession, sf: str) -> DataFrame:
     return R.hac_mean(T.market(spark, sf), "mkt", "date")
 
 
+@query("significance_stars", "date:d stars:s", f"WITH {MONTHLY}, t AS (SELECT date, avg(ret) / (stddev_samp(ret) / sqrt(count(ret))) - 5 AS t FROM m GROUP BY 1) SELECT date, CASE WHEN abs(t) > 2.58 THEN '***' WHEN abs(t) > 1.96 THEN '**' WHEN abs(t) > 1.645 THEN '*' ELSE '' END AS stars FROM t")
+def significance_stars(spark: SparkSession, sf: str) -> DataFrame:
+    t = T.monthly(spark, sf).groupBy("date").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("ret"))) - 5).alias("t"))
+    return t.withColumn("stars", R.stars(F.col("t")))
+
+
 @query("hac_ols", "permno:i term:s coef:f6 se:f8 tstat:f4")
 def hac_ols(spark: SparkSession, sf: str) -> DataFrame:
     return R.hac_ols(with_market(spark, sf), "ret", ["mkt"], "date", "permno")

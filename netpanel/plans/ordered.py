@@ -552,6 +552,28 @@ def performance_summary(spark: SparkSession, sf: str) -> DataFrame:
     return I.performance(T.market(spark, sf).withColumnRenamed("mkt", "ret"))
 
 
+def quarters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Value weights at quarter ends, and the returns of the three months after each."""
+    m = T.monthly(spark, sf)
+    w = I.long_weights(m.where(F.month("date") % 3 == 0), "mcap").select(F.col("date").alias("sampling_date"), "permno", "weight")
+    ahead = m.withColumn("sampling_date", F.last_day(F.add_months(F.trunc("date", "quarter"), -1)))
+    return w, ahead.select("sampling_date", "permno", "date", "ret")
+
+
+QUARTERS = """qw AS (SELECT date AS sampling_date, permno, mcap / sum(mcap) OVER (PARTITION BY date) AS w FROM m WHERE month(date) % 3 = 0),
+  qr AS (SELECT permno, date, coalesce(ret, 0) AS ret, last_day(CAST(date_trunc('quarter', date) - INTERVAL 1 MONTH AS DATE)) AS sampling_date FROM m), qh AS (SELECT * FROM qr JOIN qw USING (sampling_date, permno))"""
+
+
+@query("rebalanced_continuous", "sampling_date:d date:d ret:f8", f"WITH {MONTHLY}, {QUARTERS} SELECT sampling_date, date, sum(ret * w) AS ret FROM qh GROUP BY 1, 2")
+def rebalanced_continuous(spark: SparkSession, sf: str) -> DataFrame:
+    return I.rebalanced(*quarters(spark, sf))
+
+
+@query("rebalanced_discrete", "sampling_date:d date:d ret:f8", f"WITH {MONTHLY}, {QUARTERS}, g AS (SELECT *, w * coalesce(product(1 + ret) OVER (PARTITION BY sampling_date, permno ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS wg FROM qh) SELECT sampling_date, date, sum(ret * wg) / sum(wg) AS ret FROM g GROUP BY 1, 2")
+def rebalanced_discrete(spark: SparkSession, sf: str) -> DataFrame:
+    return I.rebalanced(*quarters(spark, sf), "discrete")
+
+
 @query("ranked_shares", "date:d permno:i rank:i share:f8", f"WITH {MONTHLY} SELECT date, permno, row_number() OVER (PARTITION BY date ORDER BY mcap DESC, permno) AS rank, mcap / sum(mcap) OVER (PARTITION BY date) AS share FROM m")
 def ranked_shares(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("date")

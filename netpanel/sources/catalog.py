@@ -19,6 +19,11 @@ def query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+def vendor_query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
+    """A vendor database's answer to a query, read when it is used."""
+    return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+
+
 def columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(c.name, c.dataType) for c in spark.catalog.listColumns(table)]
 
