@@ -20,8 +20,7 @@ YEAR = "BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"
 
 def crsp_year(spark: SparkSession, sf: str, year: int) -> DataFrame:
     """Trades of a year with the names that are valid on their date, by exchange code."""
-    day = F.col("date")
-    facts = T.trades(spark, sf).where((day >= F.to_date(F.lit(f"{year}-01-01"))) & (day <= F.to_date(F.lit(f"{year}-12-31"))))
+    facts = T.trades(spark, sf, f"{year}-01-01", f"{year}-12-31")
     return P.interval_join(facts, T.names(spark, sf), "permno", "date", "namedt", "nameendt").where(F.col("exchcd").between(1, 3))
 
 
@@ -167,12 +166,12 @@ def factor_subset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("year_filter", "trade:i line:i date:d", f"WITH {TRADES} SELECT trade, line, date FROM tr WHERE date {YEAR}")
 def year_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return P.date_slice(T.trades(spark, sf), "1996-01-01", "1996-12-31")
+    return T.trades(spark, sf, "1996-01-01", "1996-12-31")
 
 
 @query("date_slice", "trade:i line:i date:d", f"WITH {TRADES} SELECT trade, line, date FROM tr WHERE date >= DATE '2001-06-01'")
 def date_slice(spark: SparkSession, sf: str) -> DataFrame:
-    return P.date_slice(T.trades(spark, sf), "2001-06-01")
+    return T.trades(spark, sf, "2001-06-01")
 
 
 @query("code_filters", "trade:i line:i exchcd:i", f"WITH {TRADES}, {NAMES} SELECT trade, line, exchcd FROM tr LEFT JOIN nm ON nm.permno = tr.permno AND date BETWEEN namedt AND nameendt WHERE exchcd BETWEEN 1 AND 3 AND line BETWEEN 1 AND 2")

@@ -74,12 +74,19 @@ NAMES = """nm AS (SELECT o_custkey AS permno, CAST(o_orderdate AS DATE) AS named
   o_orderpriority AS comnam, o_orderstatus AS status, o_orderkey AS order_key, o_orderkey % 5 AS exchcd FROM orders)"""
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as trades of their order's customer, on their ship date."""
+def trades(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Line items as trades of their order's customer, on their ship date; the bounds (inclusive
+    days) are put on the stored column, so that they reach the scan."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("permno"))
-    return (
-        table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select("permno", F.col("l_shipdate").cast("date").alias("date"), F.col("l_orderkey").alias("trade"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("prc"), F.col("l_quantity").alias("shrout"), (F.col("l_discount") + 0.0).alias("ret"), (F.col("l_tax") + 0.0).alias("dlret"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))
+    l = table(spark, sf_dir, "lineitem")
+    if start is not None:
+        l = l.where(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        l = l.where(F.col("l_shipdate") < F.lit(f"{end} 23:59:59.999999").cast("timestamp_ntz"))
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "permno", F.col("l_shipdate").cast("date").alias("date"), F.col("l_orderkey").alias("trade"), F.col("l_linenumber").alias("line"),
+        F.col("l_extendedprice").alias("prc"), F.col("l_quantity").alias("shrout"), (F.col("l_discount") + 0.0).alias("ret"),
+        (F.col("l_tax") + 0.0).alias("dlret"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"),
     )
 
 
