@@ -95,10 +95,10 @@ def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, ad
         weights = first_stage(x, y, gamma, free_diagonal) if adaptive else mask(x, y, free_diagonal)
         labels = K.time_folds(len(y), folds)
         alpha, lam = float(pdf["alpha"].iloc[0]), float(pdf["lambdau"].iloc[0])
-        rows = []
-        for k in range(folds):
+        rows, b = [], None
+        for k in range(folds):  # each fold starts from the solution of the one before
             tr, te = labels != k, labels == k
-            b = K.elastic_net(x[tr].T @ x[tr], x[tr].T @ y[tr], int(tr.sum()), lam, alpha, weights)
+            b = K.elastic_net(x[tr].T @ x[tr], x[tr].T @ y[tr], int(tr.sum()), lam, alpha, weights, b, tol=1e-6)
             rows.append((pdf[key].iloc[0], alpha, lam, k, float(((y[te] - x[te] @ b) ** 2).mean())))
         return pd.DataFrame(rows, columns=[key, "alpha", "lambdau", "fold", "mse"])
 

@@ -302,7 +302,7 @@ def adaptive_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adaptive_elastic_net_cv", "sampling_date:d equation:i term:s source:i coef:f4")
 def adaptive_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
-    w = rolling(spark, sf).where("sampling_date >= date'2000-01-01'")
+    w = rolling(spark, sf)
     best = E.best_point(E.penalised_path(w, R.grid(spark, GRID), "sampling_date", adaptive=True), "sampling_date")
     return E.penalised_var(w, best, "sampling_date", adaptive=True)
 
@@ -310,11 +310,6 @@ def adaptive_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
 # --- covariances ------------------------------------------------------------------------------
 
 
-def yearly(spark: SparkSession, sf: str) -> DataFrame:
-    """Regional panel by calendar year pairs: few windows for the dearer estimators."""
-    return rolling(spark, sf).where(F.month("sampling_date") == 12)
-
-
 @query("glasso", "sampling_date:d i:i j:i v:f5")
 def glasso(spark: SparkSession, sf: str) -> DataFrame:
     return E.covariance(rolling(spark, sf), "sampling_date", lambda x: K.glasso(np.cov(x, rowvar=False, ddof=0), 0.01)[0])
@@ -322,12 +317,12 @@ def glasso(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("glasso_cv", "sampling_date:d i:i j:i v:f5")
 def glasso_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(yearly(spark, sf), "sampling_date", lambda x: E.glasso_cv(x, [0.001, 0.01, 0.1])[1])
+    return E.covariance(rolling(spark, sf), "sampling_date", lambda x: E.glasso_cv(x, [0.001, 0.01, 0.1])[1])
 
 
 @query("estimate_sigma", "sampling_date:d i:i j:i v:f5")
 def estimate_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(yearly(spark, sf), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), [0.001, 0.01, 0.1])[1])
+    return E.covariance(rolling(spark, sf), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), [0.001, 0.01, 0.1])[1])
 
 
 @query("sparsity_stats", "cov_density:f6 prec_used:i df_full:i", f"WITH {REGIONS}, {CORR}, t AS (SELECT i, j, CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END AS v FROM c), n AS (SELECT count(DISTINCT i) AS n FROM t) SELECT count_if(v <> 0) / count(*) AS cov_density, CAST((count_if(v <> 0) - max(n)) / 2 + max(n) AS BIGINT) AS prec_used, max(n) * (max(n) - 1) // 2 AS df_full FROM t, n")
@@ -470,7 +465,7 @@ def diag_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("estimate_fevd", "sampling_date:d i:i j:i v:f3")
 def estimate_fevd(spark: SparkSession, sf: str) -> DataFrame:
-    return E.estimate_fevd(yearly(spark, sf), "sampling_date", (0.001, 0.01), ((0.5, 0.01), (0.5, 0.1)))
+    return E.estimate_fevd(rolling(spark, sf), "sampling_date", (0.001, 0.01), ((0.5, 0.01), (0.5, 0.1)))
 
 
 @query("describe_var_cov", "sampling_date:d statistic:s value:f4")
@@ -577,9 +572,9 @@ def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return M.page_rank(one_window(spark, sf), "w")
 
 
-@query("leontief_network", "node:i n_in:f4 n_out:f4")
+@query("leontief_network", "sampling_date:d node:i n_in:f4 n_out:f4")
 def leontief_network(spark: SparkSession, sf: str) -> DataFrame:
-    return M.connectedness(M.leontief(fevd_table(spark, sf).where("sampling_date = date'2000-12-31'"), "sampling_date"), ["sampling_date"])
+    return M.connectedness(M.leontief(fevd_table(spark, sf), "sampling_date"), ["sampling_date"])
 
 
 @query("weighted_table", "i:i j:i v:f8", f"WITH {NET} SELECT n.i, n.j, n.v / t.v * n.v / r.v AS v FROM n JOIN (SELECT i, sum(v) AS v FROM n GROUP BY 1) r USING (i), (SELECT sum(v) AS v FROM n) t")
