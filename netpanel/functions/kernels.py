@@ -100,6 +100,8 @@ def elastic_net(gram: np.ndarray, xy: np.ndarray, n: int, lam: float, alpha: flo
     weights: (k x m), 0 for coefficients that are not penalised; they are taken as given
     (rescale them to sum to k for the usual convention)."""
     g, c = gram / n, xy / n
+    if alpha == 0 and lam > 0:  # ridge has a closed form
+        return np.column_stack([np.linalg.lstsq(g + np.diag(lam * weights[:, m]), c[:, m], rcond=None)[0] for m in range(c.shape[1])])
     b = np.zeros_like(c) if start is None else start.copy()
     l1, l2 = lam * alpha * weights, lam * (1 - alpha) * weights
     scale = max(float(np.abs(c).max()), 1e-300)
