@@ -102,9 +102,12 @@ SECURITIES = "sec AS (SELECT s_suppkey AS permno, s_nationkey AS permco, s_acctb
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal-weighted mean return and a size factor a month."""
+    """Equal-weighted mean return and a size factor a month. The mean of a hundred returns of eight
+    decimals may end in exactly half a unit, where the order of summation would decide; so it is
+    shifted a little before it is rounded."""
     m = monthly(spark, sf_dir)
-    return m.groupBy("date").agg(F.round(F.avg("ret"), 8).alias("mkt"), F.round(F.stddev_samp("ret"), 8).alias("disp"), F.round(F.avg("ret") / 10, 8).alias("rf"), F.round(F.ln(F.sum("mcap")), 8).alias("size"))
+    mean = F.avg("ret") + F.lit(3.7e-12)
+    return m.groupBy("date").agg(F.round(mean, 8).alias("mkt"), F.round(F.stddev_samp("ret"), 8).alias("disp"), F.round(mean / 10, 8).alias("rf"), F.round(F.ln(F.sum("mcap")), 8).alias("size"))
 
 
-MARKET = "f AS (SELECT date, round(avg(ret), 8) AS mkt, round(stddev_samp(ret), 8) AS disp, round(avg(ret) / 10, 8) AS rf, round(ln(sum(mcap)), 8) AS size FROM m GROUP BY date)"
+MARKET = "f AS (SELECT date, round(avg(ret) + CAST('3.7e-12' AS DOUBLE), 8) AS mkt, round(stddev_samp(ret), 8) AS disp, round((avg(ret) + CAST('3.7e-12' AS DOUBLE)) / 10, 8) AS rf, round(ln(sum(mcap)), 8) AS size FROM m GROUP BY date)"
