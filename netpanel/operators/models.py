@@ -20,6 +20,12 @@ def wide(pdf: pd.DataFrame, value: str = "x") -> pd.DataFrame:
     return pdf.pivot(index="date", columns="permno", values=value).sort_index().dropna()
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df in a fixed number of partitions by window: adaptive execution would put the few rows of
+    all windows into one task, however long a window's search takes."""
+    return df.repartition(200, key)
+
+
 def windows(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, least: int = 8) -> DataFrame:
     """fn(pdf of one window) with the key put in front."""
     kind = dict(df.dtypes)[key]
@@ -77,44 +83,97 @@ def unscale(b: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarra
     return mean - mean @ own, own
 
 
-def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, adaptive: bool = False, gamma: float = 1.0, free_diagonal: bool = False) -> DataFrame:
+def net_inputs(pdf: pd.DataFrame, factors: tuple[str, ...]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(wide panel, x, y) on standardised data: x has the factors of the day, then the lagged series."""
+    w = wide(pdf)
+    z, _, _ = standardised(w.to_numpy())
+    f = [standardised(factor_of(pdf, w.index, factors))[0][1:]] if factors else []
+    return w, np.hstack([*f, z[:-1]]), z[1:]
+
+
+def net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, weights: np.ndarray) -> np.ndarray:
+    """Coefficients of the stacked problem: its loss is the mean over rows and equations, so that
+    a penalty counts once for each equation against the mean over rows alone."""
+    return K.elastic_net(x.T @ x, x.T @ y, len(y), lam * y.shape[1], alpha, weights)
+
+
+def fold_scores(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, weights: np.ndarray, folds: int) -> list[float]:
+    """Out-of-fold mean squared errors of net()."""
+    labels = K.time_folds(len(y), folds)
+    parts = [(x[labels != k], y[labels != k]) for k in range(folds)]
+    grams = np.stack([a.T @ a / len(a) for a, _ in parts])
+    xys = np.stack([a.T @ c / len(a) for a, c in parts])
+    b = K.elastic_nets(grams, xys, lam * y.shape[1], alpha, weights, tol=1e-6)
+    return [float(((y[labels == k] - x[labels == k] @ b[k]) ** 2).mean()) for k in range(folds)]
+
+
+def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
     """key, alpha, lambdau, fold, mse: out-of-fold errors of each grid point on standardised data.
 
-    Windows, grid points and folds are dealt out as tasks of their own; as the equations share
-    their regressors, a task works on one Gram matrix. The weights of the adaptive net come from
-    a first ridge-like fit on the whole window."""
-    tasks = df.crossJoin(F.broadcast(grid))
+    Windows and grid points are dealt out as tasks of their own; as the equations share
+    their regressors, a task works on one Gram matrix. With ``first`` (first_points()) the net is
+    adaptive: its weights come from that first fit on the whole window. Factors are not penalised."""
+    adaptive = first is not None
+    tasks = (df.join(F.broadcast(first), key) if adaptive else df).crossJoin(F.broadcast(grid))
     kind = dict(df.dtypes)[key]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = wide(pdf).to_numpy()
-        if len(w) < 2 * folds:
+        if len(wide(pdf)) < 2 * folds:
             return pd.DataFrame({c: [] for c in (key, "alpha", "lambdau", "fold", "mse")}, dtype=object)
-        z, _, _ = standardised(w)
-        x, y = z[:-1], z[1:]
-        weights = first_stage(x, y, gamma, free_diagonal) if adaptive else mask(x, y, free_diagonal)
-        labels = K.time_folds(len(y), folds)
+        _, x, y = net_inputs(pdf, factors)
+        weights = first_stage(x, y, gamma, free_diagonal, float(pdf["ini"].iloc[0])) if adaptive else mask(x, y, free_diagonal)
         alpha, lam = float(pdf["alpha"].iloc[0]), float(pdf["lambdau"].iloc[0])
-        rows, b = [], None
-        for k in range(folds):  # each fold starts from the solution of the one before
-            tr, te = labels != k, labels == k
-            b = K.elastic_net(x[tr].T @ x[tr], x[tr].T @ y[tr], int(tr.sum()), lam, alpha, weights, b, tol=1e-6)
-            rows.append((pdf[key].iloc[0], alpha, lam, k, float(((y[te] - x[te] @ b) ** 2).mean())))
-        return pd.DataFrame(rows, columns=[key, "alpha", "lambdau", "fold", "mse"])
+        scores = fold_scores(x, y, lam, alpha, weights, folds)
+        return pd.DataFrame([(pdf[key].iloc[0], alpha, lam, k, e) for k, e in enumerate(scores)], columns=[key, "alpha", "lambdau", "fold", "mse"])
 
     return tasks.groupBy(key, "alpha", "lambdau").applyInPandas(score, f"{key} {kind}, alpha double, lambdau double, fold int, mse double")
 
 
 def mask(x: np.ndarray, y: np.ndarray, free_diagonal: bool) -> np.ndarray:
+    """Weights 1, but 0 for factors (the columns of x before the series) and, if free, own lags."""
+    k = x.shape[1] - y.shape[1]
     w = np.ones((x.shape[1], y.shape[1]))
+    w[:k] = 0
     if free_diagonal:
-        np.fill_diagonal(w, 0)
+        np.fill_diagonal(w[k:], 0)
     return K.rescale_weights(w)
 
 
-def first_stage(x: np.ndarray, y: np.ndarray, gamma: float, free_diagonal: bool, lam: float = 0.1) -> np.ndarray:
-    ridge = K.elastic_net(x.T @ x, x.T @ y, len(y), lam, 0.0, mask(x, y, free_diagonal))
-    return K.rescale_weights(K.adaptive_weights(ridge, len(y), gamma, mask(x, y, free_diagonal)))
+#: Points of each scale of the first stage's grid.
+FIRST_POINTS = 25
+
+
+def guessed_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """First-stage penalties: a geometric and a linear scale from std(y) / k to std(y) * k, k the
+    coefficients of all equations."""
+    k, std = x.shape[1] * y.shape[1], y.std()
+    return np.unique(np.concatenate([np.geomspace(std / k, std * k, FIRST_POINTS), np.linspace(std / k, std * k, FIRST_POINTS)]))
+
+
+def first_points(df: DataFrame, key: str, folds: int = 12, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
+    """key, ini: each window's first-stage (ridge) penalty, the point of its guessed grid of least
+    out-of-fold error. Windows and points are dealt out as tasks."""
+    kind = dict(df.dtypes)[key]
+    at = df.sparkSession.range(2 * FIRST_POINTS).select(F.col("id").cast("int").alias("at"))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c: [] for c in (key, "ini", "mse")}, dtype=object)
+        if len(wide(pdf)) < 2 * folds:
+            return empty
+        _, x, y = net_inputs(pdf, factors)
+        points, at = guessed_grid(x, y), int(pdf["at"].iloc[0])
+        if at >= len(points):  # the scales share their ends
+            return empty
+        mse = float(np.mean(fold_scores(x, y, points[at], 0.0, mask(x, y, free_diagonal), folds)))
+        return pd.DataFrame([(pdf[key].iloc[0], points[at], mse)], columns=[key, "ini", "mse"])
+
+    scores = df.crossJoin(F.broadcast(at)).groupBy(key, "at").applyInPandas(score, f"{key} {kind}, ini double, mse double")
+    return scores.groupBy(key).agg(F.min(F.struct("mse", "ini")).alias("b")).select(key, F.col("b.ini").alias("ini"))
+
+
+def first_stage(x: np.ndarray, y: np.ndarray, gamma: float, free_diagonal: bool, lam: float) -> np.ndarray:
+    ridge = net(x, y, lam, 0.0, mask(x, y, free_diagonal))
+    return K.rescale_weights(K.adaptive_weights(ridge, y.size, gamma, mask(x, y, free_diagonal)))
 
 
 def best_point(scores: DataFrame, key: str) -> DataFrame:
@@ -124,21 +183,37 @@ def best_point(scores: DataFrame, key: str) -> DataFrame:
     return mean.groupBy(key).agg(best).select(key, "b.alpha", "b.lambdau", "b.mse")
 
 
-def penalised_var(df: DataFrame, points: DataFrame, key: str, adaptive: bool = False, gamma: float = 1.0, free_diagonal: bool = False) -> DataFrame:
+def penalised_fit(pdf: pd.DataFrame, gamma: float, free_diagonal: bool, factors: tuple[str, ...]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray] | None:
+    """(wide panel, x, coefficients) in the data's units, a constant and the factors first, at the
+    window's point (columns alpha, lambdau and, if the net is adaptive, ini)."""
+    w, x, y = net_inputs(pdf, factors)
+    if len(y) < 4:
+        return None
+    weights = first_stage(x, y, gamma, free_diagonal, float(pdf["ini"].iloc[0])) if "ini" in pdf else mask(x, y, free_diagonal)
+    b = net(x, y, float(pdf["lambdau"].iloc[0]), float(pdf["alpha"].iloc[0]), weights)
+    k = len(factors)
+    _, mean, std = standardised(w.to_numpy())
+    const, own = unscale(b[k:], mean, std)
+    f = factor_of(pdf, w.index, factors)
+    _, f_mean, f_std = standardised(f)
+    load = b[:k] * std[None, :] / np.where(f_std > 0, f_std, 1)[:, None]
+    own_x = np.hstack([np.ones((len(y), 1)), f[1:], w.to_numpy()[:-1]])
+    return w, own_x, np.vstack([const - f_mean @ load, load, own])
+
+
+def penalised_var(df: DataFrame, points: DataFrame, key: str, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
     """Coefficients, in the data's units, at each window's point (key, alpha, lambdau)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        w = wide(pdf)
-        z, mean, std = standardised(w.to_numpy())
-        x, y = z[:-1], z[1:]
-        if len(y) < 4:
-            return None
-        weights = first_stage(x, y, gamma, free_diagonal) if adaptive else mask(x, y, free_diagonal)
-        b = K.elastic_net(x.T @ x, x.T @ y, len(y), float(pdf["lambdau"].iloc[0]), float(pdf["alpha"].iloc[0]), weights)
-        const, own = unscale(b, mean, std)
-        return coef_rows(np.vstack([const, own]), w.columns, (), 1)
+        got = penalised_fit(pdf, gamma, free_diagonal, factors)
+        return None if got is None else coef_rows(got[2], got[0].columns, factors, 1)
+
+    return windows(at_points(df, points, key, first), key, fit, "equation long, term string, source long, coef double")
 
-    return windows(df.join(F.broadcast(points.select(key, "alpha", "lambdau")), key), key, fit, "equation long, term string, source long, coef double")
+
+def at_points(df: DataFrame, points: DataFrame, key: str, first: DataFrame | None) -> DataFrame:
+    out = df.join(F.broadcast(points.select(key, "alpha", "lambdau")), key)
+    return out if first is None else out.join(F.broadcast(first), key)
 
 
 def residual_rows(df: DataFrame, coefs: DataFrame, key: str) -> DataFrame:
@@ -206,35 +281,23 @@ def decompositions(coefs: DataFrame, covs: DataFrame, key: str, table: str, hori
     return both.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, i long, j long, v double")
 
 
-def estimate_fevd(df: DataFrame, key: str, alphas: tuple[float, ...], penalties: tuple[tuple[float, float], ...], horizon: int = 21, folds: int = 4) -> DataFrame:
-    """key, i, j, v: the whole chain of each window in one task: adaptive net by cross-validation,
-    residuals, graphical lasso by cross-validation, decomposition table."""
+def estimate_fevd(df: DataFrame, grid: DataFrame, key: str, alphas: Iterable[float], factors: tuple[str, ...] = (), horizon: int = 21, folds: int = 12) -> DataFrame:
+    """key, i, j, v: adaptive net by cross-validation with unpenalised factors, residuals, graphical
+    lasso by cross-validation, decomposition table. The net's search is dealt out by grid point,
+    the rest by window."""
+    alphas = [float(a) for a in alphas]
+    first = first_points(df, key, folds, factors=factors)
+    best = best_point(penalised_path(df, grid, key, folds, first, factors=factors), key)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        w = wide(pdf)
-        z, mean, std = standardised(w.to_numpy())
-        x, y = z[:-1], z[1:]
-        if len(y) < 2 * folds:
+        got = penalised_fit(pdf, 1.0, False, factors)
+        if got is None:
             return None
-        weights = first_stage(x, y, 1.0, False)
-        labels = K.time_folds(len(y), folds)
-
-        def loss(point: tuple[float, float]) -> float:
-            total = 0.0
-            for k in range(folds):
-                tr = labels != k
-                b = K.elastic_net(x[tr].T @ x[tr], x[tr].T @ y[tr], int(tr.sum()), point[1], point[0], weights)
-                total += float(((y[~tr] - x[~tr] @ b) ** 2).mean())
-            return total
-
-        alpha, lam = min(penalties, key=loss)
-        b = K.elastic_net(x.T @ x, x.T @ y, len(y), lam, alpha, weights)
-        const, own = unscale(b, mean, std)
-        data = w.to_numpy()
-        _, cov, _ = glasso_cv(data[1:] - const - data[:-1] @ own, alphas, folds)
-        return edge_rows(w.columns.to_numpy(), K.Decomposition([own.T], cov).fevd(horizon))
-
-    return windows(df, key, fit, "i long, j long, v double", least=2 * folds + 1)
+        w, x, b = got
+        _, cov, _ = glasso_cv(w.to_numpy()[1:] - x @ b, alphas, folds)
+        return edge_rows(w.columns.to_numpy(), K.Decomposition([b[1 + len(factors) :].T], cov).fevd(horizon))
+
+    return windows(dealt(at_points(df, best, key, first), key), key, fit, "i long, j long, v double", least=2 * folds)
 
 
 # --- spillovers -----------------------------------------------------------------------------

@@ -268,7 +268,10 @@ def coef_density(spark: SparkSession, sf: str) -> DataFrame:
     return c.agg((used / F.count(F.lit(1))).alias("density"), (1 - used / F.count(F.lit(1))).alias("sparsity"), used.alias("n_used"))
 
 
-GRID = {"alpha": [0.2, 0.6, 1.0], "lambdau": [0.003, 0.03, 0.3]}
+# the reference's grids (settings.py:45-51)
+VAR_GRID = {"alpha": np.geomspace(1e-4, 1e0, 13).tolist(), "lambdau": np.geomspace(1e-2, 1e1, 13).tolist()}
+COV_GRID = np.geomspace(1e-3, 1e0, 50).tolist()
+SIGMA_GRID = np.geomspace(1e-6, 1e-2, 50).tolist()
 
 
 @query("elastic_net", "sampling_date:d equation:i term:s source:i coef:f5")
@@ -278,33 +281,35 @@ def elastic_net(spark: SparkSession, sf: str) -> DataFrame:
     return E.penalised_var(w, points, "sampling_date")
 
 
-@query("elastic_net_cv", "sampling_date:d alpha:f2 lambdau:f4 mse:f5")
+@query("elastic_net_cv", "sampling_date:d alpha:f6 lambdau:f6 mse:f5")
 def elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return E.best_point(E.penalised_path(rolling(spark, sf), R.grid(spark, GRID), "sampling_date"), "sampling_date")
+    return E.best_point(E.penalised_path(rolling(spark, sf), R.grid(spark, VAR_GRID), "sampling_date"), "sampling_date")
 
 
-@query("cv_surface", "alpha:f2 lambdau:f4 mse:f5 n:i")
+@query("cv_surface", "alpha:f6 lambdau:f6 mse:f5 n:i")
 def cv_surface(spark: SparkSession, sf: str) -> DataFrame:
-    scores = E.penalised_path(rolling(spark, sf), R.grid(spark, GRID), "sampling_date", adaptive=True)
+    w = rolling(spark, sf)
+    scores = E.penalised_path(w, R.grid(spark, VAR_GRID), "sampling_date", first=E.first_points(w, "sampling_date"))
     return scores.groupBy("alpha", "lambdau").agg(F.avg("mse").alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 @query("adaptive_weights", "sampling_date:d equation:i source:i weight:f4")
 def adaptive_weights(spark: SparkSession, sf: str) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = E.wide(pdf)
-        z, _, _ = E.standardised(w.to_numpy())
-        rows = M.edge_rows(w.columns.to_numpy(), E.first_stage(z[:-1], z[1:], 1.0, False))
+        w, x, y = E.net_inputs(pdf, ())
+        rows = M.edge_rows(w.columns.to_numpy(), E.first_stage(x, y, 1.0, False, float(pdf["ini"].iloc[0])))
         return rows.rename(columns={"i": "source", "j": "equation", "v": "weight"})[["equation", "source", "weight"]]
 
-    return E.windows(rolling(spark, sf), "sampling_date", fit, "equation long, source long, weight double")
+    w = rolling(spark, sf)
+    return E.windows(w.join(F.broadcast(E.first_points(w, "sampling_date")), "sampling_date"), "sampling_date", fit, "equation long, source long, weight double")
 
 
 @query("adaptive_elastic_net_cv", "sampling_date:d equation:i term:s source:i coef:f4")
 def adaptive_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
     w = rolling(spark, sf)
-    best = E.best_point(E.penalised_path(w, R.grid(spark, GRID), "sampling_date", adaptive=True), "sampling_date")
-    return E.penalised_var(w, best, "sampling_date", adaptive=True)
+    first = E.first_points(w, "sampling_date")
+    best = E.best_point(E.penalised_path(w, R.grid(spark, VAR_GRID), "sampling_date", first=first), "sampling_date")
+    return E.penalised_var(w, best, "sampling_date", first)
 
 
 # --- covariances ------------------------------------------------------------------------------
@@ -317,12 +322,12 @@ def glasso(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("glasso_cv", "sampling_date:d i:i j:i v:f5")
 def glasso_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(rolling(spark, sf), "sampling_date", lambda x: E.glasso_cv(x, [0.001, 0.01, 0.1])[1])
+    return E.covariance(E.dealt(rolling(spark, sf), "sampling_date"), "sampling_date", lambda x: E.glasso_cv(x, COV_GRID)[1])
 
 
 @query("estimate_sigma", "sampling_date:d i:i j:i v:f5")
 def estimate_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(rolling(spark, sf), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), [0.001, 0.01, 0.1])[1])
+    return E.covariance(E.dealt(rolling(spark, sf), "sampling_date"), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), SIGMA_GRID)[1])
 
 
 @query("sparsity_stats", "cov_density:f6 prec_used:i df_full:i", f"WITH {REGIONS}, {CORR}, t AS (SELECT i, j, CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END AS v FROM c), n AS (SELECT count(DISTINCT i) AS n FROM t) SELECT count_if(v <> 0) / count(*) AS cov_density, CAST((count_if(v <> 0) - max(n)) / 2 + max(n) AS BIGINT) AS prec_used, max(n) * (max(n) - 1) // 2 AS df_full FROM t, n")
@@ -465,7 +470,7 @@ def diag_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("estimate_fevd", "sampling_date:d i:i j:i v:f3")
 def estimate_fevd(spark: SparkSession, sf: str) -> DataFrame:
-    return E.estimate_fevd(rolling(spark, sf), "sampling_date", (0.001, 0.01), ((0.5, 0.01), (0.5, 0.1)))
+    return E.estimate_fevd(rolling(spark, sf), R.grid(spark, VAR_GRID), "sampling_date", COV_GRID, ("mkt",))
 
 
 @query("describe_var_cov", "sampling_date:d statistic:s value:f4")

@@ -61,3 +61,36 @@ def test_penalised_path_prefers_no_penalty_where_the_signal_is_strong(spark):
     got = {(r.date, r.permno): r.fitted for r in res.collect()}
     const = {r.equation: r.coef for r in coefs.where("term = 'const'").collect()}
     assert got[100, 0] == pytest.approx(const[0] + own[0, 0] * x[99, 0] + own[0, 1] * x[99, 1])
+
+
+def test_first_stage_and_nets_search_the_whole_grid(spark):
+    from netpanel.functions import kernels as K
+    from netpanel.plans import models as Q
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((61, 3))
+    x[1:] += 0.6 * x[:-1]
+    df = spark.createDataFrame([(1, t, k, float(x[t, k]), float(x[t].mean())) for t in range(61) for k in range(3)], "w int, date int, permno long, x double, mkt double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    y, lag = z[1:], z[:-1]
+    points = np.unique(np.r_[np.geomspace(y.std() / 9, y.std() * 9, 25), np.linspace(y.std() / 9, y.std() * 9, 25)])
+    labels, scores = K.time_folds(60, 12), []
+    for lam in points:  # ridge on the stacked problem I x lag
+        total = 0.0
+        for k in range(12):
+            a, b = np.kron(np.eye(3), lag[labels != k]), y[labels != k].T.ravel()
+            beta = np.linalg.solve(a.T @ a / len(b) + lam * np.eye(9), a.T @ b / len(b))
+            total += ((np.kron(np.eye(3), lag[labels == k]) @ beta - y[labels == k].T.ravel()) ** 2).mean()
+        scores.append(total)
+    assert E.first_points(df, "w").first().ini == pytest.approx(points[int(np.argmin(scores))])
+    assert [len(v) for v in Q.VAR_GRID.values()] == [13, 13] and len(Q.COV_GRID) == len(Q.SIGMA_GRID) == 50
+    # factors are free: a penalty that takes every lag leaves the loading
+    _, d, r = E.net_inputs(df.toPandas(), ("mkt",))
+    b = E.net(d, r, 50.0, 1.0, E.mask(d, r, False))
+    assert np.abs(b[0]).min() > 0.1 and np.allclose(b[1:], 0)
+    w = rng.random((4, 3))
+    each = [K.elastic_net(d[i:].T @ d[i:], d[i:].T @ r[i:], 60 - i, 0.05, 0.5, w) for i in (0, 7)]
+    both = K.elastic_nets(np.stack([d[i:].T @ d[i:] / (60 - i) for i in (0, 7)]), np.stack([d[i:].T @ r[i:] / (60 - i) for i in (0, 7)]), 0.05, 0.5, w)
+    assert np.allclose(both, each, atol=1e-5)
+    out = E.estimate_fevd(df, R.grid(spark, {"alpha": [0.1, 1.0], "lambdau": [0.01, 0.1]}), "w", [0.01, 0.1], ("mkt",)).toPandas()
+    assert len(out) == 9 and out.groupby("i")["v"].sum().to_numpy() == pytest.approx(np.ones(3))
