@@ -181,16 +181,23 @@ def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
 
 
 def known_only(docs: DataFrame, learn: Column | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; texts that are `und` go."""
+    """The rows of docs, all columns, whose text has a letter, and so a language; the mixture's
+    choice among languages and its score reject nothing. Where no language could be learned,
+    texts that have a letter stay as well."""
     model = fit(docs.where(~held_out() if learn is None else learn))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = Mixture(sent.value)
+        model = sent.value
+        mixture = Mixture(model)
         for batch in batches:
             for part in split_batch(batch, text_at):
-                found = mixture.infer(part.column(text_at).to_pylist())
-                yield part.filter(pa.array([f[0] != "und" for f in found], pa.bool_()))
+                texts = part.column(text_at).to_pylist()
+                if model.langs:
+                    known = [f[0] != "und" for f in mixture.infer(texts)]
+                else:
+                    known = [bool(t and _words(t.lower())) for t in texts]
+                yield part.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

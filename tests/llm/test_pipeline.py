@@ -2,6 +2,7 @@
 
 import __spark_entry__
 import corpus_pipeline
+from netpanel.llm import langid
 from netpanel.llm.common import materialize
 
 
@@ -21,6 +22,12 @@ def test_empty(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_texts_stay_where_no_language_can_be_learned(spark):
+    rows = [(1, "two words", None), (2, "12 34", None), (None, "Ärger", None), (4, None, None), (5, "", None)]
+    got = langid.known_only(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.text for r in got) == ["two words", "Ärger"]
+
+
 def test_registered():
     q = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in q) for k in range(1, 11)] == [1] * 10 and "pipeline" in q
