@@ -357,6 +357,12 @@ def partial_corr(spark: SparkSession, sf: str) -> DataFrame:
     return M.scaled_by_diagonal(s).withColumnRenamed("v", "corr").join(M.scaled_by_diagonal(s, -1.0).withColumnRenamed("v", "pcorr"), ["i", "j"])
 
 
+@query("partial_corr_precision", "i:i j:i pcorr:f6")
+def partial_corr_precision(spark: SparkSession, sf: str) -> DataFrame:
+    v = regions(spark, sf).withColumn("all", F.lit(1))
+    return E.covariance(v, "all", lambda x: K.partial_correlation(np.linalg.pinv(np.cov(x, rowvar=False)))).withColumnRenamed("v", "pcorr")
+
+
 @query("shrinkage", "shrinkage:f6", f"WITH {REGIONS}, {CORR} SELECT 1 - avg(abs(CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END)) / avg(abs(v)) AS shrinkage FROM c")
 def shrinkage(spark: SparkSession, sf: str) -> DataFrame:
     c = P.correlations(regions(spark, sf), "x").withColumnRenamed("corr", "v")

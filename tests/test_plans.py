@@ -52,3 +52,20 @@ def test_windows_of_one_asset_share_a_shuffle(spark):
 def test_no_python_in_relational_queries(spark):
     for name in ("outer_upsert", "selection_summary", "log_fill", "rolling_365d", "qcut5", "index_portfolio_both", "hac_mean_tstat", "connectedness"):
         assert not re.search("Python|Pandas|Arrow", plan(catalogue()[name].run(spark, SF))), name
+
+
+def test_partial_correlation_is_that_of_residuals(spark):
+    import numpy as np
+
+    from netpanel.plans import catalogue
+    from netpanel.plans.ordered import regions
+
+    sf = "/root/testdata/sf0.01"
+    w = regions(spark, sf).toPandas().pivot(index="date", columns="permno", values="x").dropna()
+    x = w.to_numpy(float) - w.to_numpy(float).mean(axis=0)
+    for r in catalogue()["partial_corr_precision"].run(spark, sf).collect():
+        i, j = w.columns.get_loc(r.i), w.columns.get_loc(r.j)
+        rest = np.delete(x, [i, j], axis=1)
+        a, b = (x[:, k] - rest @ np.linalg.lstsq(rest, x[:, k], rcond=None)[0] for k in (i, j))
+        want = 1.0 if i == j else np.corrcoef(a, b)[0, 1]
+        assert abs(r.pcorr - want) < 1e-5
