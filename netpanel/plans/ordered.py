@@ -197,6 +197,11 @@ def transpose(spark: SparkSession, sf: str) -> DataFrame:
     return years.groupBy("permno").pivot("y", ["y1996", "y1997", "y1998"]).agg(F.sum("mcap"))
 
 
+@query("transpose_long", "permno:i year:i mcap:f2", f"WITH {MONTHLY} SELECT permno, year(date) AS year, sum(mcap) AS mcap FROM m GROUP BY 1, 2")
+def transpose_long(spark: SparkSession, sf: str) -> DataFrame:
+    return T.monthly(spark, sf).groupBy("permno", F.year("date").alias("year")).agg(F.sum("mcap").alias("mcap"))
+
+
 @query("reindex_order", "pos:i permno:i mean:f8", f"WITH {MONTHLY} SELECT pos, permno, mean FROM (VALUES (1, 7), (2, 3), (3, 100000), (4, 0)) w(pos, permno) LEFT JOIN (SELECT permno, avg(ret) AS mean FROM m GROUP BY 1) USING (permno)")
 def reindex_order(spark: SparkSession, sf: str) -> DataFrame:
     order = spark.createDataFrame([(1, 7), (2, 3), (3, 100000), (4, 0)], "pos int, permno bigint")

@@ -64,8 +64,8 @@ def q_factor_dates(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(F.to_date("raw", "yyyyMMdd").alias("date"), "mkt")
 
 
-def _by_day(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    e = T.table(spark, sf, "events").where((F.col("event_type") == kind) & (F.hour("ts") < 3))
+def _by_day(spark: SparkSession, sf: str, kind: str, hours: int = 3) -> DataFrame:
+    e = T.table(spark, sf, "events").where((F.col("event_type") == kind) & (F.hour("ts") < hours))
     return e.groupBy(F.col("ts").cast("date").alias("date")).agg(F.sum("value").alias(kind))
 
 
@@ -84,6 +84,20 @@ def outer_chain(spark: SparkSession, sf: str) -> DataFrame:
     return P.outer_chain([_by_day(spark, sf, k) for k in ("click", "view")], "date")
 
 
+DAY_SUMS = ", ".join(f"{k} AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS {k} FROM events WHERE event_type = '{k}' GROUP BY 1)" for k in ("click", "view", "error"))
+
+
+@query("macro_chain_all", "date:d click:f2 view:f2 error:f2 d_click:f4", f"WITH {DAY_SUMS} SELECT date, click, view, error, click - lag(click) OVER (ORDER BY date) AS d_click FROM click FULL JOIN view USING (date) FULL JOIN error USING (date)")
+def macro_chain_all(spark: SparkSession, sf: str) -> DataFrame:
+    joined = P.outer_chain([_by_day(spark, sf, k, 24) for k in ("click", "view", "error")], "date")
+    return joined.withColumn("d_click", F.col("click") - F.lag("click").over(Window.orderBy("date")))  # one row a date
+
+
+@query("outer_chain_all", "date:d click:f2 view:f2", f"WITH {DAY_SUMS} SELECT date, click, view FROM click FULL JOIN view USING (date)")
+def outer_chain_all(spark: SparkSession, sf: str) -> DataFrame:
+    return P.outer_chain([_by_day(spark, sf, k, 24) for k in ("click", "view")], "date")
+
+
 @query("year_range_scan", "permno:i date:d mcap:f2 year:i", f"WITH {MONTHLY} SELECT permno, date, mcap, year(date) AS year FROM m WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-06-30'")
 def year_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     return P.date_slice(T.monthly(spark, sf), "1996-03-01", "1998-06-30").withColumn("year", F.year("date"))
@@ -514,6 +528,13 @@ def top100_share(spark: SparkSession, sf: str) -> DataFrame:
     return P.top_sum(m, "mcap", "mcap", 20, "date").join(total, "date").withColumn("share", C.ratio(F.col("top"), F.col("total")))
 
 
+@query("top100_share_all", "date:d share:f8", f"WITH {MONTHLY}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mcap DESC, permno) AS k FROM m) SELECT date, sum(CASE WHEN k <= 100 THEN mcap END) / sum(mcap) AS share FROM r GROUP BY 1")
+def top100_share_all(spark: SparkSession, sf: str) -> DataFrame:
+    m = T.monthly(spark, sf)
+    total = m.groupBy("date").agg(F.sum("mcap").alias("total"))
+    return P.top_sum(m, "mcap", "mcap", 100, "date").join(total, "date").withColumn("share", C.ratio(F.col("top"), F.col("total")))
+
+
 @query("portfolio_means", "date:d bucket:i ret:f8 mcap:f2", f"""WITH {MONTHLY}, e AS (SELECT date, quantile_cont(mcap, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY 1),
   b AS (SELECT m.*, 1 + len(list_filter(q, lambda x: round(mcap, 10) > round(x, 10))) AS bucket FROM m JOIN e USING (date)) SELECT date, bucket, avg(ret) AS ret, avg(mcap) AS mcap FROM b GROUP BY 1, 2""")
 def portfolio_means(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,6 +54,24 @@ def test_no_python_in_relational_queries(spark):
         assert not re.search("Python|Pandas|Arrow", plan(catalogue()[name].run(spark, SF))), name
 
 
+def test_queries_over_whole_tables(spark):
+    from netpanel.plans import catalogue
+    from netpanel.sources import tables as T
+
+    sf = "/root/testdata/sf0.01"
+    c = catalogue()
+    e = T.table(spark, sf, "events")
+    for name in ("macro_chain_all", "outer_chain_all"):
+        want = e.where("event_type = 'click'").agg({"value": "sum"}).first()[0]
+        assert abs(c[name].run(spark, sf).agg({"click": "sum"}).first()[0] - want) < 1
+    years = {r.y for r in T.monthly(spark, sf).selectExpr("year(date) AS y").distinct().collect()}
+    assert {r.year for r in c["transpose_long"].run(spark, sf).select("year").distinct().collect()} == years
+    wide = spark.createDataFrame([(1, k, float(200 - k)) for k in range(150)], "date int, permno long, mcap double")
+    from netpanel.operators import panel as P
+
+    assert P.top_sum(wide, "mcap", "mcap", 100, "date").first().top == sum(200 - k for k in range(100))
+
+
 def test_partial_correlation_is_that_of_residuals(spark):
     import numpy as np
 
