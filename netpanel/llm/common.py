@@ -3,7 +3,11 @@ texts, and vectorised hashes of the words of many texts at once."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step looks at; bounds the memory of a task.
@@ -24,28 +29,64 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_runs: set[str] = set()
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none (local runs,
-    tests) a temporary folder is made and set as checkpoint directory."""
+    """The folder all executors see. Only a local master that names none (tests) gets a
+    temporary folder; a cluster without one is an error, as its executors share no disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             found = set_dir.get()
-        else:
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
             found = f"file://{tempfile.mkdtemp(prefix='netpanel-')}"
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables. It goes when the program ends;
+    purge() deletes it earlier."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _runs:
+        _runs.add(path)
+        atexit.register(_delete, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:  # noqa: ANN001
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        p.getFileSystem(conf).delete(p, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application: for when its results are written."""
+    _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run_dir(spark))
+
+
+@contextlib.contextmanager
+def no_collection() -> Iterator[None]:
+    """Garbage collection off while a task fills caches of millions of objects without cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage,
     survives lost executors, and keeps a costly scan from running twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized = path  # for discard()
@@ -55,8 +96,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote for frames that nothing reads any more."""
     for df in frames:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._materialized)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        spark = df.sparkSession
+        _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), df._materialized)
 
 
 def map_texts(
@@ -100,6 +141,14 @@ def split_batch(batch: pa.RecordBatch, text_at: int, limit: int = CHUNK_BYTES) -
         yield batch.slice(start)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores put in front until no column of docs is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     x = x.astype(np.uint64, copy=True)
