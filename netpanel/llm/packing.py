@@ -1,9 +1,9 @@
 """Cost-balanced packing of tokenised documents into sequences of a fixed length.
 
 A document costs ``LINEAR * n + QUADRATIC * n * n`` (attention). Within a task,
-documents in descending cost go to the sequence of lowest cost that has room for them;
-a document that fits nowhere whole is cut over the sequences of lowest cost that have
-room. As many sequences are opened as the task's tokens fill completely; what is over
+documents in descending cost go to the sequence of lowest cost, of all, that has room for
+them; a document that fits nowhere whole is cut over the sequences of lowest cost that
+have room. As many sequences are opened as the task's tokens fill completely; what is over
 (less than a sequence a batch) travels on, and is packed again with the rest of other
 tasks until few rests remain. So at most one sequence of each last-level task is padded.
 
@@ -14,8 +14,9 @@ are packed one by one; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
-import gc
 import heapq
+import json
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_batch
+from .common import materialize, no_collection, split_batch
 
 LENGTH = 4096
 END_ID = 2
@@ -44,16 +45,18 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordTokenizer:
-    """Ids of whole texts by a `tokenizers` file whose pre-tokenizer cuts texts into words
-    that are merged independently and never hold white space: so a text is split at white
-    space, each distinct chunk is cut into words once, and each distinct word is encoded once."""
+    """Ids of whole texts by a `tokenizers` file, as its plain call gives them
+    (add_special_tokens=False: nothing is put around a text, but the file's added tokens
+    are found in it). Such a file cuts texts into words that are merged independently and
+    never hold white space: so a text is split at its added tokens, then at white space,
+    each distinct chunk is cut into words once, and each distinct word is encoded once.
+
+    A file of another form is refused. ``plain``: added tokens in a text are ordinary text."""
 
-    #: The pre-tokenizer's pattern (a fixed value): what is between its matches is dropped.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     #: What str.split() takes for white space but the pattern does not.
     NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         import os
 
         import regex
@@ -62,9 +65,13 @@ class WordTokenizer:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.pattern, added = self._form(json.load(f))
+        self.added = {} if plain else added
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))).split if self.added else None
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))).findall if self.added else None
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.words = regex.compile(self.PATTERN).findall
+        self.words = regex.compile(self.pattern).findall
         self.merge = self.model.model.tokenize
         #: The usual byte-level spelling: printable bytes stand for themselves, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,6 +80,23 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @staticmethod
+    def _form(spec: dict) -> tuple[str, dict[str, bytes]]:
+        """The pre-tokenizer's pattern and the ids of the added tokens, of a file that this class can read."""
+        kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+        split, spell = spec["pre_tokenizer"].get("pretokenizers", [{}, {}])
+        fits = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and spec["normalizer"]["normalizers"][1]["content"] == " "
+            and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "")
+            and spell.get("type") == "ByteLevel" and not spell["add_prefix_space"] and not spell["use_regex"]
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+            and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        )
+        if not fits:
+            raise ValueError("not a tokenizer of words that are cut at white space and merged by byte-level BPE")
+        return split["pattern"]["Regex"], {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+
     def _chunks(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # there NFC changes nothing and lower() is one to one
@@ -90,7 +114,25 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._chunks(t) for t in texts]
+        split, parts = [], {}
+        for i, text in enumerate(texts):
+            if self.added and any(c in text for c in self.added):
+                parts[i] = (len(split), self.marks(text))
+                split += map(self._chunks, self.cut(text))
+            else:
+                parts[i] = (len(split), ())
+                split.append(self._chunks(text))
+        ids = self._join(split)
+        out = []
+        for at, marks in parts.values():
+            found = ids[at]
+            for k, mark in enumerate(marks, 1):
+                found += self.added[mark] + ids[at + k]
+            out.append(found)
+        return out
+
+    def _join(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of each list of chunks."""
         if len(self.cache) > CACHE_WORDS:  # what was last used stays at hand for one generation
             self.older, self.cache = self.cache, {}
         cache, older, word = self.cache, self.older, self._word
@@ -134,47 +176,73 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+class Room:
+    """Sequences by the tokens they have room for, to find the cheapest one with enough.
+
+    The sequences of equal room are in a heap by cost, so a search looks at the least cost of
+    each room from the one asked for on: of the rooms of one row, then of whole rows."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, sequences: int, length: int) -> None:
+        self.width = math.isqrt(length) + 1
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width**2)]
+        self.heaps[length] = [(0.0, s) for s in range(sequences)]
+        self.least = [self.NONE] * self.width**2
+        self.rows = [self.NONE] * self.width
+        self._note(length)
+
+    def _note(self, room: int) -> None:
+        heap = self.heaps[room]
+        self.least[room] = heap[0] if heap else self.NONE
+        row = room // self.width
+        self.rows[row] = min(self.least[row * self.width : (row + 1) * self.width])
+
+    def cheapest(self, room: int) -> tuple[int, int] | None:
+        """(room, sequence) of the least cost, ties to the least number, among those with ``room`` or more; it is taken out."""
+        row = room // self.width
+        ahead = (row + 1) * self.width
+        best = min(self.least[room:ahead])
+        further = min(self.rows[row + 1 :], default=self.NONE)
+        if further < best:
+            row = self.rows.index(further, row + 1)
+            best, room, ahead = further, row * self.width, (row + 1) * self.width
+        if best == self.NONE:
+            return None
+        at = self.least.index(best, room, ahead)
+        heapq.heappop(self.heaps[at])
+        self._note(at)
+        return at, best[1]
+
+    def put(self, room: int, spent: float, sequence: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (spent, sequence))
+            self._note(room)
+
+
 def assign(lengths: list[int], n_sequences: int, length: int = LENGTH) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Pieces (item, start, length) of each sequence, and the pieces left over.
 
-    Items in descending cost go whole to the cheapest sequence with room, and are cut
-    over the cheapest sequences where there is none; a heap holds those with room."""
+    Items in descending cost go whole to the cheapest of all sequences with room; only where
+    none has room for what remains (a sequence's worth at most) is it cut, and the cheapest
+    sequence is filled up."""
     filled: list[list[tuple[int, int, int]]] = [[] for _ in range(n_sequences)]
-    room = [length] * n_sequences
-    heap = [(0.0, s) for s in range(n_sequences)]
     spent = [0.0] * n_sequences
+    rooms = Room(n_sequences, length)
     left: list[tuple[int, int, int]] = []
-
-    def put(s: int, item: int, start: int, n: int) -> None:
-        filled[s].append((item, start, n))
-        room[s] -= n
-        spent[s] += cost(n)
-        if room[s]:
-            heapq.heappush(heap, (spent[s], s))
-
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, n = 0, lengths[item]
-        while n and heap:
-            aside = []
-            whole = min(n, length)
-            while heap and room[heap[0][1]] < whole and len(aside) < 64:
-                aside.append(heapq.heappop(heap))
-            if heap and room[heap[0][1]] >= whole:
-                _, s = heapq.heappop(heap)
-                put(s, item, start, whole)
-                start, n = start + whole, n - whole
-            else:
-                for entry in aside:
-                    heapq.heappush(heap, entry)
-                aside = []
-                _, s = heapq.heappop(heap)
-                part = min(n, room[s])
-                put(s, item, start, part)
-                start, n = start + part, n - part
-            for entry in aside:
-                heapq.heappush(heap, entry)
-        if n:
-            left.append((item, start, n))
+        while n:
+            found = rooms.cheapest(min(n, length)) or rooms.cheapest(1)
+            if found is None:
+                left.append((item, start, n))
+                break
+            room, s = found
+            part = min(n, room)
+            filled[s].append((item, start, part))
+            spent[s] += cost(part)
+            rooms.put(room - part, spent[s], s)
+            start, n = start + part, n - part
     return filled, left
 
 
@@ -243,8 +311,6 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
 
-        gc.disable()  # the caches are millions of objects without cycles
-
         def stream() -> Iterator[tuple]:
             for batch in batches:
                 for part in split_batch(batch, 1):
@@ -252,7 +318,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
                     for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
                         yield doc_id, 0, ids + end, len(ids) // 4 + 1
 
-        yield from _pack_stream(stream(), 0, length, last=False)
+        with no_collection():
+            yield from _pack_stream(stream(), 0, length, last=False)
 
     found = materialize(docs.select("doc_id", "text").mapInArrow(first, PIECES), "packed")
     done = found.where("sequence_id is not null")
