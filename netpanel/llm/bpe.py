@@ -17,7 +17,6 @@ that carries an unfinished character over to the next chunk.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -25,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, no_collection
 
 #: States and pairs of tokens that one worker keeps; at more, a table starts anew.
 MAX_STATES, MAX_PAIRS = 150_000, 1_000_000
@@ -35,8 +34,8 @@ VISITS = 6
 NEVER = 1 << 60
 #: Pieces whose ids one worker remembers.
 CACHE_PIECES = 300_000
-#: A longer piece makes every transition, so that what is pending stays bounded.
-PLAIN_LENGTH = 64
+#: Bytes that a walk without states reads before it looks again for what all branches share.
+HOLD = 64
 #: A longer piece is not remembered.
 CACHE_LENGTH = 64
 #: Ids that one step of the decoder takes.
@@ -172,26 +171,15 @@ class Transducer:
             live.append((n, self.root))
         emitted: tuple[int, ...] = ()
         token, pending = state.token, state.pending + bytes((byte,))
-        if live and live[0][0] > 0:  # no branch is still at the start: look for what all share
-            paths = []
-            for pos, _ in live:
-                path = []
-                while pos > 0:
-                    path.append(pos)
-                    pos = ends[pos][1]
-                paths.append(path[::-1])
-            shared = 0
-            for at in zip(*paths, strict=False):
-                if at.count(at[0]) < len(at):
-                    break
-                shared += 1
-            if shared:
-                base = paths[0][shared - 1]
-                emitted = tuple(ends[p][0] for p in paths[0][:shared])
-                token, pending = emitted[-1], pending[base:]
-                keep = {p for path in paths for p in path[shared:]}
-                ends = {p - base: (ends[p][0], ends[p][1] - base) for p in keep}
-                live = [(p - base, node) for p, node in live]
+        sure = self._shared(ends, live) if live and live[0][0] > 0 else 0
+        if sure:
+            path, pos = [], sure
+            while pos > 0:
+                at, pos = ends[pos]
+                path.append(at)
+            emitted = tuple(path[::-1])
+            token, pending = emitted[-1], pending[sure:]
+            ends, live = self._after(ends, live, sure)
         key = (token, pending)
         found = self.states.get(key)
         if found is None:
@@ -209,32 +197,38 @@ class Transducer:
         return state.flush
 
     def encode(self, piece: bytes) -> list[int]:
-        """Follows the states. A state gets transitions once it has been met VISITS times; until
-        then the end of a piece that leaves the beaten track is read without making any."""
-        state, out = self.start, []
-        for at, byte in enumerate(piece):
-            known = state.next.get(byte)
+        """Follows the states. A state gets transitions once it has been met VISITS times; what
+        leaves the beaten track before that is walked without making any states."""
+        state, out, at, end = self.start, [], 0, len(piece)
+        while at < end:
+            known = state.next.get(piece[at])
             if known is None:
-                if state.seen < VISITS and len(piece) <= PLAIN_LENGTH:
+                if state.seen < VISITS:
                     state.seen += 1
-                    out += self._plain(state, piece, at)
-                    return out
+                    at, state = self._walk(state, piece, at, out)
+                    if state is None:
+                        return out
+                    continue
                 if len(self.states) > MAX_STATES:
                     self.reset()  # the state at hand stays whole; its successors are made anew
                     state = State(state.token, state.pending, state.ends, state.live)
-                known = self.step(state, byte)
+                known = self.step(state, piece[at])
             emitted, state = known
+            at += 1
             if emitted:
                 out += emitted
         out += self.finish(state)
         return out
 
-    def _plain(self, state: State, piece: bytes, at: int) -> list[int]:
-        """The tokens of the state's pending bytes and the rest of the piece."""
-        ends, live, n, root, fits, known = state.ends.copy(), state.live, len(state.pending), self.root, self.fits, self._fits
+    def _walk(self, state: State, piece: bytes, at: int, out: list[int]) -> tuple[int, State | None]:
+        """Reads on from the state without making states. Tokens go to ``out`` as soon as one
+        branch is left, and at the latest when what all branches share must be looked for again
+        (HOLD bytes); a state that is already known takes over there. None: the piece is read."""
+        ends, live, root, fits, known = state.ends.copy(), state.live, self.root, self.fits, self._fits
         ends[0] = (state.token, 0)
-        for byte in piece[at:]:
-            n += 1
+        base, n, look = at - len(state.pending), len(state.pending), HOLD
+        for at in range(at, len(piece)):
+            byte, n = piece[at], n + 1
             further, last = [], None
             for pos, node in live:
                 child = node.next.get(byte)
@@ -251,11 +245,56 @@ class Transducer:
                 ends[n] = last
                 further.append((n, root))
             live = further
-        out = []
+            if (len(live) == 1 and live[0][0]) or n >= look:
+                sure = self._shared(ends, live)
+                look = n + HOLD
+                if sure:
+                    path = []
+                    pos = sure
+                    while pos > 0:
+                        token, pos = ends[pos]
+                        path.append(token)
+                    out += path[::-1]
+                    token = ends[sure][0]
+                    ends, live = self._after(ends, live, sure)
+                    base, n, look = base + sure, n - sure, HOLD
+                    taken = self.states.get((token, piece[base : base + n]))
+                    if taken is not None:
+                        return at + 1, taken
+                    ends[0] = (token, 0)
+        path = []
         while n > 0:
             token, n = ends[n]
-            out.append(token)
-        return out[::-1]
+            path.append(token)
+        out += path[::-1]
+        return len(piece), None
+
+    @staticmethod
+    def _after(ends: dict[int, tuple[int, int]], live: list[tuple[int, Node]], sure: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, Node]]]:
+        """ends and live of the branches, counted from the prefix that they share."""
+        keep = {}
+        for pos, _ in live:
+            while pos > sure:
+                keep[pos - sure] = (ends[pos][0], ends[pos][1] - sure)
+                pos = ends[pos][1]
+        return keep, [(pos - sure, node) for pos, node in live]
+
+    @staticmethod
+    def _shared(ends: dict[int, tuple[int, int]], live: list[tuple[int, Node]]) -> int:
+        """The last prefix (0: none) that all live branches pass."""
+        paths = []
+        for pos, _ in live:
+            path = [pos]
+            while pos > 0:
+                pos = ends[pos][1]
+                path.append(pos)
+            paths.append(path[::-1])
+        shared = 0
+        for at in zip(*paths, strict=False):
+            if at.count(at[0]) < len(at):
+                break
+            shared = at[0]
+        return shared
 
 
 class Codec:
@@ -343,10 +382,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every row; a null text is empty."""
 
     def scan(parts: Iterator) -> Iterator[dict]:
-        gc.disable()
         c = codec(path, pattern)
-        for doc_ids, texts in parts:
-            yield {"doc_id": doc_ids, "ids": [c.encode(t or "") for t in texts]}
+        with no_collection():
+            for doc_ids, texts in parts:
+                yield {"doc_id": doc_ids, "ids": [c.encode(t or "") for t in texts]}
 
     return map_texts(docs, scan, "doc_id long, ids binary")
 
@@ -381,10 +420,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), sha.hexdigest(), same
 
     def scan(parts: Iterator) -> Iterator[dict]:
-        gc.disable()
         c = codec(path, pattern)
-        for doc_ids, texts in parts:
-            n, ids, decoded, same = zip(*digest(c, texts), strict=True)
-            yield {"doc_id": doc_ids, "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "same_text": same}
+        with no_collection():
+            for doc_ids, texts in parts:
+                n, ids, decoded, same = zip(*digest(c, texts), strict=True)
+                yield {"doc_id": doc_ids, "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "same_text": same}
 
     return map_texts(docs, scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean")

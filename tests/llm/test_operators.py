@@ -83,7 +83,6 @@ def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in texts:
         want[i, tuple([*t.encode(text or "", add_special_tokens=False).ids, 2])] += 1
@@ -102,10 +101,57 @@ def test_packing(docs, texts, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
-def test_word_tokenizer_agrees():
-    t = packing.WordTokenizer(WORDS)
-    odd = ["a\x1cb c d don't İstanbul ΣΑΣ ﬁ Å é 12ab_3 <|endoftext|> 'S it's!'s  ", "", "日本語 x\u0085y", "x" * 700 + " y", "½ ² Ⅷ  z"]
-    assert t.encode_batch(odd) == [np.array(e.ids, "<u4").tobytes() for e in t.model.encode_batch(odd, add_special_tokens=False)]
+ODD = ["a\x1cb c d don't İstanbul ΣΑΣ ﬁ Å é 12ab_3 <|endoftext|> 'S it's!'s  ", "", "日本語 x\u0085y", "x" * 700 + " y", "½ ² Ⅷ  z",
+       "hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "a<|endoftext|>\u0338b <|ENDOFTEXT|> <|endoftext|", "x<|startoftext|> y<|endoftext|>"]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_word_tokenizer_agrees(plain):
+    from tokenizers import Tokenizer
+
+    own, theirs = packing.WordTokenizer(WORDS, plain), Tokenizer.from_file(WORDS)
+    theirs.encode_special_tokens = plain
+    assert own.encode_batch(ODD) == [np.array(e.ids, "<u4").tobytes() for e in theirs.encode_batch(ODD, add_special_tokens=False)]
+    assert own.encode_batch(["hello <|endoftext|> world"])[0] == np.array(theirs.encode("hello <|endoftext|> world", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_word_tokenizer_refuses_other_files(tmp_path):
+    import json
+
+    with open(WORDS) as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not a tokenizer"):
+        packing.WordTokenizer(str(tmp_path / "other.json"))
+
+
+def brute_assign(lengths, n, length):
+    """Every sequence is looked at for every piece."""
+    room, spent, pieces = [length] * n, [0.0] * n, []
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, left = 0, lengths[item]
+        while left:
+            whole = min(left, length)
+            able = [s for s in range(n) if room[s] >= whole] or [s for s in range(n) if room[s]]
+            if not able:
+                break
+            s = min(able, key=lambda s: (spent[s], s))
+            part = min(left, room[s])
+            pieces.append((s, item, start, part))
+            room[s], spent[s], start, left = room[s] - part, spent[s] + packing.cost(part), start + part, left - part
+    return sorted(pieces)
+
+
+@pytest.mark.parametrize("length", [4096, 50, 7])
+def test_packing_takes_the_cheapest_of_all_sequences(length):
+    rng = np.random.default_rng(3)
+    lengths = np.maximum(1, rng.lognormal(np.log(length / 6), 1, 1500)).astype(int).tolist()
+    n = sum(lengths) // length
+    filled, left = packing.assign(lengths, n, length)
+    assert sorted((s, i, a, k) for s, seq in enumerate(filled) for i, a, k in seq) == brute_assign(lengths, n, length)
+    costs = [sum(packing.cost(k) for *_, k in seq) for seq in filled]
+    assert np.std(costs) < 0.35 * np.mean(costs)
 
 
 def test_packing_covers_each_token_once():
@@ -137,17 +183,36 @@ def test_bpe(docs, texts, empty):
     assert bpe.round_trip(empty, BYTES, public_tokenizers.PATTERN).count() == 0
 
 
-def test_transducer_equals_merging(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 500)
-    monkeypatch.setattr(bpe, "VISITS", 1)
+@pytest.mark.parametrize(("states", "visits"), [(500, 0), (500, 1), (150_000, 2), (150_000, 10**9)])
+def test_transducer_equals_merging(monkeypatch, states, visits):
+    monkeypatch.setattr(bpe, "MAX_STATES", states)
+    monkeypatch.setattr(bpe, "VISITS", visits)
+    monkeypatch.setattr(bpe, "HOLD", 3 if visits == 2 else 64)
     fst = bpe.Transducer(bpe.read_ranks(BYTES))
     rng = np.random.default_rng(4)
     pieces = [bytes(rng.choice(list(b"abehinorst "), n).tolist()) for n in rng.integers(1, 30, 400)]
     pieces += [b"a" * 300, b" " * 99, b"=-" * 80, bytes(range(256))]
-    for p in pieces:
+    for p in pieces * 3:
         assert fst.encode(p) == [fst.ranks[x] for x in fst.merge(p)]
 
 
+def test_walks_emit_within_bounded_lookahead():
+    """Tokens leave a walk long before the piece ends, also where it never meets a known state."""
+    fst = bpe.Transducer(bpe.read_ranks(BYTES))
+    piece = bytes(np.random.default_rng(5).choice(list(b"abehinorst"), 5000).tolist())
+    out, held = [], []
+
+    class Bytes(bytes):
+        def __getitem__(self, at):
+            if isinstance(at, int):
+                held.append(at - sum(len(fst.bytes_of[t]) for t in out))
+            return super().__getitem__(at)
+
+    at, state = fst._walk(fst.start, Bytes(piece), 0, out)
+    assert (at, state) == (len(piece), None) and out == [fst.ranks[x] for x in fst.merge(piece)]
+    assert max(held) < 2 * max(map(len, fst.ranks))
+
+
 def test_utf8_stream():
     text = "aé日🙂" * 5
     raw = text.encode()
