@@ -3,31 +3,36 @@
 A snapshot keeps one row for each distinct text digest, dealt over hash buckets, and a
 static 3-wise binary-fuse filter for each bucket. The digests of a new batch are first
 grouped among themselves (new-batch duplicates, a map-side combine, so a text that holds
-a third of all rows is one row from there on), then screened by the filters. Only
-positives join the snapshot's exact buckets, where the representatives' bytes are
-compared; a filter's false positive finds no partner there.
+a third of all rows is one row from there on), then screened by the filters of every
+snapshot before it. Only positives join the snapshots' exact buckets, where the
+representatives' bytes are compared; a filter's false positive finds no partner there.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null
-doc_id stays a row, and is kept only if no row of its group has a doc_id; rows that
-repeat one doc_id and text are kept or dropped together; other columns, clashing names
-included, are ignored; an empty table gives an empty result.
+doc_id is less than all others; a doc_id may repeat with other texts, each row is judged
+by its own; of rows that repeat one doc_id and text, one at most is kept; other columns,
+clashing names included, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import string
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, materialize, mix64
+from .common import discard, fresh, map_texts, materialize, mix64, run_dir
 
 #: Digests that a bucket, and so one filter and one task's group, holds on average.
 BUCKET_DIGESTS = 200_000
+#: Batches that one table is cut into: the snapshots, and the incoming one.
+BATCHES = 3
 
 
 class BinaryFuse8:
@@ -117,13 +122,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return map_texts(docs, scan, "doc_id long, digest binary, n_bytes long")
 
 
-def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
-    key = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    return (
-        rows.groupBy("digest", "n_bytes")
-        .agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", (key % F.lit(buckets)).cast("int"))
-    )
+def _digest(text: Column) -> Column:
+    """digests()' digest, as an expression."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(F.encode(low, "UTF-8"), 256))
+
+
+def _bucket(buckets: int) -> Column:
+    return (F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % F.lit(buckets)).cast("int")
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -131,81 +137,115 @@ def _keys(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, 4)[:, 1].copy() if raw else np.empty(0, np.uint64)
 
 
-def build_filters(snapshot: DataFrame) -> DataFrame:
-    """bucket, filter: one binary-fuse filter for each bucket of the snapshot's groups."""
+def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
+    """bucket, buckets, filter: a binary-fuse filter for each of the buckets that the snapshot's
+    distinct digests are dealt over."""
 
     def build(table: pa.Table) -> pa.Table:
         keys = np.unique(_keys(table.column("digest").combine_chunks()))
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "filter": pa.array([BinaryFuse8.build(keys).to_bytes()], pa.binary())})
+        one = {"bucket": table.column("bucket")[0].as_py(), "buckets": buckets, "filter": BinaryFuse8.build(keys).to_bytes()}
+        return pa.Table.from_pylist([one], pa.schema([("bucket", pa.int32()), ("buckets", pa.int32()), ("filter", pa.binary())]))
+
+    return snapshot.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInArrow(build, "bucket int, buckets int, filter binary")
+
 
-    return snapshot.select("bucket", "digest").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
+def stored_filters(snapshot: DataFrame, n: int, path: str) -> DataFrame:
+    """The filters of a snapshot of n digests as the Parquet table at ``path``: built and written
+    the first time, read from then on, since a snapshot never changes."""
+    spark = snapshot.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build_filters(snapshot, max(1, math.ceil(n / BUCKET_DIGESTS))).write.mode("overwrite").parquet(path)
+    return spark.read.schema("bucket int, buckets int, filter binary").parquet(path)
 
 
 def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """The incoming groups with ``maybe``: false only if the snapshot lacks the digest."""
+    """incoming (digest, n_bytes, batch) with ``maybe``: false only if the snapshot lacks the digest."""
+    buckets = filters.agg(F.coalesce(F.max("buckets"), F.lit(1))).first()[0]
 
     def probe(rows: pa.Table, own: pa.Table) -> pa.Table:
         if own.num_rows and rows.num_rows:
             hit = BinaryFuse8.from_bytes(own.column("filter")[0].as_py()).might_contain(_keys(rows.column("digest").combine_chunks()))
         else:
             hit = np.zeros(rows.num_rows, bool)
-        return rows.append_column("maybe", pa.array(hit, pa.bool_()))
+        return rows.select(["digest", "n_bytes", "batch"]).append_column("maybe", pa.array(hit, pa.bool_()))
 
-    schema = "digest binary, n_bytes long, top long, n long, bucket int, maybe boolean"
-    return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, schema)
+    dealt = incoming.select("digest", "n_bytes", "batch", _bucket(buckets).alias("bucket")).groupBy("bucket")
+    return dealt.cogroup(filters.groupBy("bucket")).applyInArrow(probe, "digest binary, n_bytes long, batch int, maybe boolean")
 
 
-def _bytes_differ(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (top, snap_top) whose normalised bytes differ although their digests agree."""
-    texts = docs.select(F.col("doc_id").alias("_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
-    named = pairs.select("digest", F.explode(F.array("top", "snap_top")).alias("_id"))
+def _bytes_differ(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The digests (of reps: digest, doc_id) that stand for normalised texts of different bytes.
+    A text is found by its doc_id and its own digest, so a doc_id may repeat with other texts."""
+    own = F.encode(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), "UTF-8")
+    texts = docs.select(*_key("doc_id"), _digest(F.col("text")).alias("digest"), own.alias("_raw"))
     # a merge join at every size: neither side has a bound that would let it be broadcast
-    found = named.join(texts.hint("merge"), "_id").select("digest", "_raw")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = [x.lower() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["digest", "raw"])
-
-    low = found.mapInArrow(compare, "digest binary, raw binary")
-    return low.groupBy("digest").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("digest")
-
-
-def dedup(docs: DataFrame, snapshot_where: str = "crc32(cast(doc_id as string)) % 2 = 0") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, in_snapshot for every row of docs.
-
-    Rows for which ``snapshot_where`` holds form the immutable snapshot, all others the
-    incoming batch; which is which changes nothing in the groups. Texts whose bytes
-    differ under one SHA-256 would stop the job (`raise_error`) rather than be merged."""
-    rows = materialize(digests(docs).withColumn("in_snapshot", F.coalesce(F.expr(snapshot_where), F.lit(False))), "digests")
-    buckets = max(1, math.ceil(rows.count() / BUCKET_DIGESTS))
-    snap = _grouped(rows.where("in_snapshot"), buckets)
-    new = _grouped(rows.where("not in_snapshot"), buckets)
-    screened = materialize(screen(new, build_filters(snap)), "screened")
-    held = snap.select("digest", "n_bytes", F.col("top").alias("snap_top"), F.col("n").alias("snap_n"))
-    both = materialize(screened.where("maybe").join(held, ["digest", "n_bytes"]).select("digest", "top", "snap_top", "n", "snap_n"), "both")
-    clash = _bytes_differ(both.select("digest", "top", "snap_top"), docs).select("digest", F.lit(True).alias("clash"))
-    merged = both.join(clash, "digest", "left").select(
-        "digest",
-        F.when(F.col("clash"), F.raise_error(F.lit("two texts share one SHA-256"))).otherwise(F.greatest("top", "snap_top")).cast("long").alias("keep_id"),
-        (F.col("n") + F.col("snap_n")).alias("group_size"),
+    found = reps.select(*_key("doc_id"), "digest").join(texts.hint("merge"), ["_id", "_null", "digest"])
+    return found.groupBy("digest").agg(F.min("_raw").alias("a"), F.max("_raw").alias("b")).where("a <> b").select("digest")
+
+
+def _key(name: str) -> list[Column]:
+    """A doc_id as join columns, under which null equals null."""
+    return [F.coalesce(name, F.lit(0)).alias("_id"), F.col(name).isNull().alias("_null")]
+
+
+def by_crc(batches: int = BATCHES) -> Column:
+    """A batch for each row of one table: the last takes half of them and all without a doc_id."""
+    crc = F.crc32(F.col("doc_id").cast("string")) % (2 * (batches - 1))
+    return F.coalesce(F.least(crc, F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
+
+
+def dedup(docs: DataFrame, batch: Column | None = None, batches: int = BATCHES, store: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, batch for every row of docs.
+
+    ``batch`` (default: by_crc()) numbers each row's batch from 0. The last batch is the incoming
+    one, those before it are immutable snapshots; which row is where changes nothing in the groups.
+    With ``store``, a snapshot's filters are kept as Parquet under its number in that folder and
+    used again. Texts whose bytes differ under one SHA-256 would stop the job (`raise_error`)
+    rather than be merged."""
+    rows = digests(docs).withColumn("batch", by_crc(batches) if batch is None else batch).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "digests")
+    groups = rows.groupBy("batch", "digest", "n_bytes").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups, "grouped")
+    sizes = dict(groups.groupBy("batch").count().collect())
+    maybe = []
+    for k in range(batches - 1):
+        filters = stored_filters(groups.where(F.col("batch") == k), sizes.get(k, 0), f"{store or run_dir(docs.sparkSession) + '/filters-' + uuid.uuid4().hex}/snapshot={k}")
+        maybe.append(screen(groups.where(F.col("batch") > k), filters).where("maybe").select("digest", "n_bytes", "batch"))
+    positive = materialize(reduce(DataFrame.unionByName, maybe), "positive")
+    held = groups.where(F.col("batch") < batches - 1).select("digest", "n_bytes", F.col("batch").alias("held"))
+    hits = materialize(positive.join(held, ["digest", "n_bytes"]).where("held < batch").select("digest").distinct(), "hits")
+    met = materialize(groups.join(hits, "digest"), "met")
+    clash = _bytes_differ(met.select("digest", "top.doc_id"), docs).select("digest", F.lit(True).alias("clash"))
+    merged = met.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n")).join(clash, "digest", "left").select(
+        "digest", F.when(F.col("clash"), F.raise_error(F.lit("two texts share one SHA-256")).cast("long")).otherwise(F.col("n")).alias("n"), "top"
     )
-    solo = screened.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size")).unionByName(snap.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size")))
-    alone = solo.join(both.select("digest"), "digest", "left_anti")
+    alone = groups.where("n > 1").join(hits, "digest", "left_anti").select("digest", "n", "top")
     # written, so that the join below reads two plain exchanges and a hot digest can be split
-    groups = materialize(alone.unionByName(merged).where("group_size > 1"), "groups")
-    discard(screened, both)
-    return rows.join(groups, "digest", "left").select(
+    shared = materialize(alone.unionByName(merged).select("digest", F.col("n").alias("group_size"), F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row")), "groups")
+    discard(groups, positive, hits, met)
+    return rows.join(shared, "digest", "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "in_snapshot",
+        "batch",
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that dedup() keeps; rows without a doc_id stay."""
-    gone = dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that dedup() keeps: one of each group of equal texts."""
+    judged = dedup(docs).groupBy(*_key("doc_id"), F.unhex("text_sha256").alias("_digest"))
+    flags = judged.agg(F.bool_or("kept").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1")
+    names = {c: fresh(docs, c) for c in ("_id", "_null", "_digest", "_stays")}
+    key = [names[c] for c in ("_id", "_null", "_digest")]
+    flags = materialize(flags.select(*[F.col(c).alias(n) for c, n in names.items()]), "flags")
+    id_, null = _key("doc_id")
+    keyed = docs.withColumns({names["_id"]: id_, names["_null"]: null, names["_digest"]: _digest(F.col("text"))})
+    joined = keyed.join(flags.hint("merge"), key, "left")
+    stays = F.col(names["_stays"])
+    out = joined.where(stays.isNull())
+    if not flags.where(stays).isEmpty():  # rows that repeat a doc_id and a text that stays: one of them
+        out = out.unionByName(joined.where(stays).dropDuplicates(key))
+    return out.select(*docs.columns)

@@ -42,7 +42,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(documents(spark, sf_dir)).drop("in_snapshot")
+    return exact_dedup.dedup(documents(spark, sf_dir)).drop("batch")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

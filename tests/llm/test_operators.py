@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions
 
 from netpanel.llm import ann, bpe, exact_dedup, graph, langid, near_dedup, packing, quality, secrets, sharding, substring_dedup
 
@@ -21,23 +22,56 @@ def words(text):
     return [w for w in SPLIT.split(text or "") if w]
 
 
-def test_exact_dedup(docs, texts, empty):
-    got = exact_dedup.dedup(docs).collect()
+def judged_copies(rows):
+    """Of (doc_id, text): counts of (doc_id, keep_id, group_size, digest), and for each digest the id of the one row that is kept."""
     groups = defaultdict(list)
-    for i, t in texts:
+    for i, t in rows:
         groups[(t or "").translate(UPPER)].append(i)
-    want = Counter()
+    want, kept = Counter(), {}
     for t, ids in groups.items():
-        known = [i for i in ids if i is not None]
-        keep = max(known, default=None)
+        keep, digest = max((i for i in ids if i is not None), default=None), hashlib.sha256(t.encode()).hexdigest()
+        kept[digest] = keep
         for i in ids:
-            want[(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
-    assert exact_dedup.dedup(empty).count() == 0
-    kept = exact_dedup.without_copies(docs)
-    assert kept.columns == docs.columns
-    left = Counter(r.doc_id for r in kept.collect())
-    assert left == Counter(i for (i, k, *_), n in want.items() for _ in range(n) if i == k or i is None)
+            want[i, keep, len(ids), digest] += 1
+    return want, kept
+
+
+@pytest.mark.parametrize("batches", [2, 3, 5])
+def test_exact_dedup(docs, texts, empty, batches):
+    got = exact_dedup.dedup(docs, batches=batches).collect()
+    want, kept = judged_copies(texts)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sorted((r.text_sha256, r.doc_id or -1) for r in got if r.kept) == sorted((d, k or -1) for d, k in kept.items())
+    assert exact_dedup.dedup(empty, batches=batches).count() == 0
+
+
+def test_without_copies(docs, texts, empty):
+    left = exact_dedup.without_copies(docs)
+    assert left.columns == docs.columns
+    _, kept = judged_copies(texts)
+    assert Counter((r.doc_id, hashlib.sha256((r.text or "").translate(UPPER).encode()).hexdigest()) for r in left.collect()) == Counter((k, d) for d, k in kept.items())
+    assert exact_dedup.without_copies(empty).count() == 0
+
+
+def test_exact_dedup_of_repeated_and_null_ids(spark):
+    rows = [(i, "same text") for i in range(1, 60)] + [(59, "another text"), (59, "ANOTHER text"), (7, "once more"), (None, "same text"), (None, "once more"), (None, "nobody"), (None, "Nobody"), (7, "same text"), (59, "same text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: functions.lit(1) for n in ("_id", "_null", "_digest", "_stays", "_n", "digest", "batch", "row", "top")})
+    want, kept = judged_copies(rows)
+    got = exact_dedup.dedup(d).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(list(kept))
+    left = exact_dedup.without_copies(d)
+    assert left.columns == d.columns
+    assert sorted((r.doc_id or -1, r.text.lower()) for r in left.collect()) == [(-1, "nobody"), (7, "once more"), (59, "another text"), (59, "same text")]
+
+
+def test_stored_filters_are_used_again(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i % 70}") for i in range(200)], "doc_id long, text string")
+    first = sorted(map(tuple, exact_dedup.dedup(d, store=str(tmp_path)).collect()))
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert {p.parent.name for p in files} == {"snapshot=0", "snapshot=1"}
+    assert [r[:-2] for r in sorted(map(tuple, exact_dedup.dedup(d, store=str(tmp_path)).collect()))] == [r[:-2] for r in first]
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} == files
 
 
 def test_binary_fuse_has_no_false_negative():
