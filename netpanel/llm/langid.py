@@ -15,11 +15,13 @@ as often as they stand; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,31 @@ CACHE_WORDS = 200_000
 #: Longest word that is looked at in one piece; a longer one is cut.
 WORD_LENGTH = 64
 
-_words = re.compile(rf"[^\W\d_]{{1,{WORD_LENGTH}}}").findall
+
+
+def _ranges(major: str) -> str:
+    """The characters below U+10000 of a general category, as ranges of a character class."""
+    spans: list[list[int]] = []
+    for c in range(1 << 16):
+        if unicodedata.category(chr(c))[0] == major:
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in spans)
+
+
+_letter, _mark = _ranges("L"), _ranges("M")
+_plain_words = re.compile(f"[{_letter}][{_letter}{_mark}]{{0,{WORD_LENGTH - 1}}}").findall
+_any_words = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{WORD_LENGTH - 1}}}").findall
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters (and their marks; not digits, and not what only looks like a letter), lower-cased."""
+    text = text.lower()
+    beyond = len(text.encode("utf-16-le")) > 2 * len(text)  # characters that the quick pattern does not know
+    return (_any_words if beyond else _plain_words)(text)
+
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +91,7 @@ def count(docs: DataFrame) -> DataFrame:
 
         for langs, texts in parts:
             for lang, text in zip(langs, texts, strict=True):
-                seen.setdefault(lang, Counter()).update(_words(text.lower()))
+                seen.setdefault(lang, Counter()).update(words(text))
             if sum(map(len, seen.values())) > CACHE_WORDS:
                 fold()
         fold()
@@ -112,12 +138,13 @@ class Mixture:
         self.rows[k:need] = np.add.reduceat(self.model.logp[at], first, axis=0)
         self.index.update(zip(words, range(k, need), strict=True))
 
-    def infer(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
-        """(language, score, language set, its proportions) of each text."""
+    def infer(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float], bool]]:
+        """(language, score, language set, its proportions, noise) of each text. Noise: evenly
+        likely trigrams explain the words better than the chosen set, by a language's penalty."""
         if len(self.index) > CACHE_WORDS:
             self.index.clear()
             self.rows = self.rows[:1024]
-        found = [Counter(_words(t.lower())) if t and self.model.langs else Counter() for t in texts]
+        found = [Counter(words(t)) if t and self.model.langs else Counter() for t in texts]
         new = set().union(*found).difference(self.index)
         if new:
             self._learn(list(new))
@@ -125,7 +152,7 @@ class Mixture:
         at = [index[w] for f in found for w in f]
         n = [k for f in found for k in f.values()]
         owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        out: list = [("und", 0.0, [], [])] * len(texts)
+        out: list = [("und", 0.0, [], [], False)] * len(texts)
         if not at:
             return out
         doc, first = np.unique(owner, return_index=True)
@@ -151,10 +178,13 @@ class Mixture:
             got = np.add.reduceat(np.log(np.maximum(mixed, 1e-30)) * times, first) - PENALTY * (k - 1) * np.log(total + 1)
             better = got > best
             best_k[better], best[better] = k, got[better]
+        letters = np.array([len(w) for f in found for w in f], np.float32)
+        even = -np.log(CELLS) * np.add.reduceat(letters * times, first)
+        noise = even - best - np.add.reduceat(top[:, 0] * times, first) > PENALTY * np.log(total + 1)
         for i, d in enumerate(doc.tolist()):
             chosen = [int(alone[i].argmax())] if best_k[i] == 1 else order[i, : best_k[i]].tolist()
             share = pi[i, chosen] / max(float(pi[i, chosen].sum()), 1e-9)
-            out[d] = (self.model.langs[chosen[0]], float(min(1.0, max(0.0, pi[i, chosen[0]]))), [self.model.langs[c] for c in chosen], share.astype(float).tolist())
+            out[d] = (self.model.langs[chosen[0]], float(min(1.0, max(0.0, pi[i, chosen[0]]))), [self.model.langs[c] for c in chosen], share.astype(float).tolist(), bool(noise[i]))
         return out
 
 
@@ -181,9 +211,9 @@ def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
 
 
 def known_only(docs: DataFrame, learn: Column | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter, and so a language; the mixture's
-    choice among languages and its score reject nothing. Where no language could be learned,
-    texts that have a letter stay as well."""
+    """The rows of docs, all columns, in a known language: their text has a letter, and the set of
+    languages that the mixture chose explains it better than noise (infer()). Where no language
+    could be learned, texts that have a letter stay."""
     model = fit(docs.where(~held_out() if learn is None else learn))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
@@ -195,9 +225,9 @@ def known_only(docs: DataFrame, learn: Column | None = None) -> DataFrame:
             for part in split_batch(batch, text_at):
                 texts = part.column(text_at).to_pylist()
                 if model.langs:
-                    known = [f[0] != "und" for f in mixture.infer(texts)]
+                    known = [f[0] != "und" and not f[4] for f in mixture.infer(texts)]
                 else:
-                    known = [bool(t and _words(t.lower())) for t in texts]
+                    known = [bool(t and words(t)) for t in texts]
                 yield part.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -428,6 +428,73 @@ def test_langid(spark, docs, empty):
     assert nothing.where("lang_pred <> 'und'").count() == 0
 
 
+def plain_mixture(model, text):
+    """Expectation-maximisation and the penalised choice of languages for one text, word by word."""
+    import math
+    import unicodedata
+
+    found, word = [], ""
+    for c in text.lower() + " ":
+        kind = unicodedata.category(c)[0]
+        if (kind == "L" or (kind == "M" and word)) and len(word) < langid.WORD_LENGTH:
+            word += c
+        else:
+            found += [word] if word else []
+            word = c if kind == "L" else ""
+    if not found:
+        return "und", 0.0, {}
+    like = []
+    for w in found:
+        cells, _ = langid.trigrams([w])
+        assert len(cells) == len(w)
+        like.append([sum(float(model.logp[c, k]) for c in cells) for k in range(len(model.langs))])
+    pi = [1 / len(model.langs)] * len(model.langs)
+    for _ in range(langid.ITERATIONS):
+        share = [0.0] * len(pi)
+        for row in like:
+            top = max(row)
+            part = [p * math.exp(x - top) for p, x in zip(pi, row, strict=True)]
+            for k, v in enumerate(part):
+                share[k] += v / sum(part)
+        pi = [v / len(found) for v in share]
+    order = sorted(range(len(pi)), key=lambda k: -pi[k])
+    alone = [sum(row[k] for row in like) for k in range(len(pi))]
+    best, chosen = max(alone), [alone.index(max(alone))]
+    for k in range(2, len(pi) + 1):
+        part = [pi[c] / sum(pi[c] for c in order[:k]) for c in order[:k]]
+        got = sum(max(row) + math.log(max(sum(p * math.exp(row[c] - max(row)) for p, c in zip(part, order[:k], strict=True)), 1e-30)) for row in like)
+        got -= langid.PENALTY * (k - 1) * math.log(len(found) + 1)
+        if got > best:
+            best, chosen = got, order[:k]
+    return model.langs[chosen[0]], pi[chosen[0]], {model.langs[c]: pi[c] / sum(pi[c] for c in chosen) for c in chosen}
+
+
+def test_langid_equals_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(19)
+    parts = {"aa": ["la", "mo", "né", "ri"], "bb": ["schtz", "werk", "ung", "kei"], "cc": ["ção", "ñor", "aqu", "llo"], "hi": ["नम", "स्ते", "है"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang], rng.integers(1, 4))) for _ in range(n))
+
+    d = spark.createDataFrame([(text(lang, 40), lang) for lang in parts for _ in range(8)], "text string, lang string")
+    model = langid.fit(d)
+    mixed = [text("aa", 30) + " " + text("bb", k) for k in range(0, 40, 7)] + [text("cc", 3), text("hi", 5), "½ ²", "Ⅷ ① 12", "लि ½ la", "x" * 300]
+    for t, got in zip(mixed, langid.Mixture(model).infer(mixed), strict=True):
+        lang, score, shares = plain_mixture(model, t)
+        assert got[0] == lang and set(got[2]) == set(shares)
+        assert abs(got[1] - score) < 1e-3 and all(abs(shares[k] - v) < 1e-3 for k, v in zip(got[2], got[3], strict=True))
+    assert [g[0] for g in langid.Mixture(model).infer(["½ ²", "Ⅷ ①", None, "۱۲"])] == ["und"] * 4
+
+
+def test_noise_is_rejected_and_languages_stay(spark):
+    rng = np.random.default_rng(20)
+    vocabulary = ["".join(rng.choice(list("etaoin"), rng.integers(2, 8))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 30)), "en") for i in range(90)]
+    junk = [(1000 + i, " ".join("".join(rng.choice(list("qxzjkvwß"), 9)) for _ in range(20)), None) for i in range(10)]
+    d = spark.createDataFrame(rows + junk + [(2000, vocabulary[0], None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.known_only(d).collect()) == [*range(90), 2000]
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(10)
     rows, labels = [], []
