@@ -2,16 +2,19 @@
 
 Base spans come from three patterns. Beside them every long token that mixes letters and
 digits is a candidate. Values are hashed, and the distinct repositories and owners of
-each hash are counted over the corpus: a value that many owners hold is a copied example,
-one that few hold and that looks random is live. The method adds a span of kind `owned`
-for a candidate outside the base spans if its value is a live credential's elsewhere, or
-is itself long, random and owner-specific.
+each hash are counted over the corpus. A value that more than MAX_OWNERS owners hold, or
+that lies in more repositories than its owners would spread by forks and mirrors
+(MAX_REPOS for each owner), is a widely copied example; any other is owner-specific, and
+live if it looks random (`liveness`, a score in bits; words of placeholders lower it but
+decide nothing alone). The method adds a span of kind `owned` for a candidate outside the
+base spans if its value is owner-specific and live and either stands as a credential
+elsewhere or is itself long and random.
 
 Defined cases: a null or empty text has no spans; equal rows are scanned one by one and
 count once as owners; a null repository or owner counts as one owner; a null doc_id stays;
 an empty table gives an empty result; other columns are ignored. A value that is common
-to a third of all rows is reduced to one row an owner before it is counted, and its join
-back is an ordinary join that adaptive execution splits.
+to a third of all rows is reduced to one row an owner before it is counted; the counts are
+written, so that its join back reads two plain exchanges, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, split_batch
+from .common import fresh, map_texts, materialize, split_batch
 
 #: Fixed patterns of the base kinds, in their order, with the group that holds the value
 #: and its least length.
@@ -40,9 +43,11 @@ BASE = (
     (re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}"), 0, 16),
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}")
-#: A value of more owners than this is a copied example.
-MAX_OWNERS = 3
-#: A candidate on its own needs this length and this many bits of entropy a character.
+#: A value of more owners than this, or of more repositories for each owner, is a copied example.
+MAX_OWNERS, MAX_REPOS = 3, 8
+#: A live value's least score, and what a word or a run that placeholders have takes from it.
+LIVE_BITS, PLACEHOLDER_BITS = 2.5, 1.0
+#: A candidate on its own needs this length and this score.
 OWN_LENGTH, OWN_BITS = 24, 3.2
 PLACEHOLDER = re.compile(r"example|changeme|your|xxxx|placeholder|dummy|sample|(.)\1{5}", re.IGNORECASE)
 
@@ -52,8 +57,11 @@ def bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def random_looking(value: str) -> bool:
-    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) and bits(value) >= 2.5 and not PLACEHOLDER.search(value)
+def liveness(value: str) -> float:
+    """Bits of entropy a character, less where placeholders' words stand; 0 without both letters and digits."""
+    if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        return 0.0
+    return bits(value) - PLACEHOLDER_BITS * len(PLACEHOLDER.findall(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -73,7 +81,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
         if at < len(limits) and limits[at][0] < m.end():
             continue
         value = m.group().strip("=.-_/+")
-        if len(value) >= 12 and random_looking(value):
+        if len(value) >= 12 and liveness(value) >= LIVE_BITS:
             start = m.start() + m.group().index(value)
             out.append((3, start, start + len(value), value))
     return out
@@ -96,7 +104,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
                 base = base_spans(text or "")
                 digest = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in base).encode()).hexdigest()
                 found = [
-                    {"kind": k, "start": s, "end": e, "value": _hash(v), "live": random_looking(v), "own": k == 3 and len(v) >= OWN_LENGTH and bits(v) >= OWN_BITS}
+                    {"kind": k, "start": s, "end": e, "value": _hash(v), "live": (score := liveness(v)) >= LIVE_BITS, "own": k == 3 and len(v) >= OWN_LENGTH and score >= OWN_BITS}
                     for k, s, e, v in base + candidates(text or "", base)
                 ]
                 counts = Counter(k for k, *_ in base)
@@ -120,17 +128,18 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def find(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_owned, and
     text_key (a hash of the text, so that spans meet their own text if a doc_id repeats).
 
-    repo, owner: columns of docs; by default `source`, which is all the table knows."""
+    repo, owner: columns of docs. By default both are `source`, all that the table knows: then
+    each owner has one repository, and max_owners alone decides."""
     repo = F.col("source") if repo is None else repo
     owner = repo if owner is None else owner
     rows = materialize(scan(docs, repo, owner).withColumn("row", F.monotonically_increasing_id()), "scanned")
     found = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.inline("found"))
-    counts = ownership(found)
-    few = F.col("n_owners") <= max_owners
+    counts = materialize(ownership(found), "ownership")
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos * F.col("n_owners"))
     owned = (F.col("kind") == 3) & F.col("live") & few & (F.col("credential") | F.col("own"))
     judged = (
         found.join(counts, "value")
@@ -177,8 +186,10 @@ def redact(docs: DataFrame, **how: object) -> DataFrame:
     """All rows and columns of docs, every span of find() masked in the text; n_chars, if
     there is such a column, follows the text. Texts without a span stay as they are; rows
     without a doc_id lose their base spans only."""
-    added = find(docs, **how).where("n_owned > 0").select("doc_id", F.col("text_key").alias("__masked_key"), F.col("spans").alias("__masked_spans")).dropDuplicates(["doc_id", "__masked_key"])
-    joined = docs.withColumn("__masked_key", F.xxhash64("text")).join(added.hint("merge"), ["doc_id", "__masked_key"], "left").select(*docs.columns, "__masked_spans")
+    key, more = fresh(docs, "_text_key"), fresh(docs, "_spans")
+    found = find(docs, **how).where("n_owned > 0")
+    added = found.select("doc_id", F.col("text_key").alias(key), F.col("spans").alias(more)).dropDuplicates(["doc_id", key])
+    joined = docs.withColumn(key, F.xxhash64("text")).join(added.hint("merge"), ["doc_id", key], "left").select(*docs.columns, more)
     text_at, spans_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

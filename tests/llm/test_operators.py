@@ -289,6 +289,42 @@ def test_copied_examples_are_not_owned(spark):
     assert few[90].n_owned == 1 and few[1].n_live == 1
 
 
+def test_repositories_and_owners_both_count(spark):
+    """By brute force over the stated rule: few owners, and few repositories for each of them."""
+    rng = np.random.default_rng(21)
+    alphabet = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789")
+    values = ["".join(rng.choice(alphabet, n)) + "7z" for n in rng.integers(12, 40, 24)] + ["yourExample12z34q5678wr90tuv", "exampleExampleexample12"]
+    rows, k = [], 0
+    for v in values:
+        owners, repos = int(rng.integers(1, 7)), int(rng.integers(1, 15))
+        for o in range(owners):
+            for r in range(repos):
+                rows.append((k, f"password={v}" if (r + o) % 3 == 0 else f"mentions {v} here", f"repo{v[:4]}{o}x{r}", f"owner{o}"))
+                k += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    got = {r.doc_id: r for r in secrets.find(d, functions.col("repo"), functions.col("owner")).collect()}
+    for i, text, _, _ in rows:
+        v = re.sub("password=|mentions | here", "", text)
+        mine = [x for x in rows if v in x[1]]
+        few = len({x[3] for x in mine}) <= secrets.MAX_OWNERS and len({x[2] for x in mine}) <= secrets.MAX_REPOS * len({x[3] for x in mine})
+        live = secrets.liveness(v) >= 2.5
+        if text.startswith("mentions"):
+            assert got[i].spans == (f"owned:9:{9 + len(v)}" if few and live else "")
+        else:
+            assert (got[i].n_live, got[i].n_example) == (int(few and live), int(not few))
+    assert any(r.n_owned for r in got.values()) and any(r.n_example for r in got.values())
+
+
+def test_redact_leaves_clashing_columns(spark):
+    rows = [(1, "password=hunter2hunter2x9", "a"), (2, "see hunter2hunter2x9", "a"), (2, "see nothing", None)]
+    names = ("__masked_key", "__masked_spans", "_text_key", "_spans", "spans", "text_key", "value", "row", "found")
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: functions.lit(n) for n in names})
+    out = secrets.redact(d)
+    assert out.columns == d.columns
+    got = sorted(out.collect())
+    assert [r.text for r in got] == ["<SECRET>", "see <SECRET>", "see nothing"] and all(r[n] == n for r in got for n in names)
+
+
 def test_redact(docs, texts, empty):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
