@@ -101,16 +101,44 @@ def test_sharding(docs, texts, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_placement_is_even_and_big_groups_are_split(spark):
+@pytest.mark.parametrize("n", [3000, 40, 0])
+def test_placement_is_even_in_all_three_sums(n):
     rng = np.random.default_rng(1)
-    v = np.stack([rng.pareto(1.5, 3000) * 100 + 1, rng.integers(1, 50, 3000), rng.integers(1, 4, 3000)], axis=1).round()
-    where = sharding.place(v, 8)
-    load = np.bincount(where, weights=v[:, 0], minlength=8)
-    assert load.max() <= max(load.mean() * 1.001, v[:, 0].max())
-    docs = spark.createDataFrame([(i, "the same text" if i < 400 else f"text {i} {'x' * (i % 90)}") for i in range(1200)], "doc_id long, text string")
+    v = np.stack([rng.pareto(1.5, n) * 100 + 1, rng.integers(1, 50, n), rng.integers(1, 4, n)], axis=1).round()
+    where = sharding.place(v, np.tile(v.sum(axis=0) / 8, (8, 1)))
+    for k, slack in enumerate((0.001, 0.01, 0.01)):
+        load = np.bincount(where, weights=v[:, k], minlength=8)
+        assert load.max() <= max(load.mean() * (1 + slack), (load.mean() if n < 100 else 0) + v[:, k].max(initial=0))
+
+
+def test_greedy_placement_follows_the_dot_product(monkeypatch):
+    monkeypatch.setattr(sharding, "SWAPS", 0)
+    monkeypatch.setattr(sharding, "BYTE_SWAPS", 0)
+    rng = np.random.default_rng(14)
+    v = rng.integers(1, 100, (300, 3)).astype(float)
+    where, residual = sharding.place(v, np.tile(v.sum(axis=0) / 4, (4, 1))), np.full((4, 3), 0.25)
+    share = v / v.sum(axis=0)
+    for i in sorted(range(300), key=lambda i: (-share[i].max(), i)):
+        fits = [s for s in range(4) if (residual[s] >= share[i]).all()] or [s for s in range(4) if residual[s, 0] >= share[i, 0]]
+        best = max((float(residual[s] @ share[i]) for s in fits), default=None)
+        assert best is None or (where[i] in fits and float(residual[where[i]] @ share[i]) >= best - 1e-12)
+        residual[where[i]] -= share[i]
+
+
+@pytest.mark.parametrize("task_groups", [50_000, 90])
+def test_shards_are_even_and_big_groups_are_split(spark, monkeypatch, task_groups):
+    monkeypatch.setattr(sharding, "TASK_GROUPS", task_groups)
+    rows = [(i, "the same text" if i < 400 else "twin" if i < 430 else f"text {'word ' * (i % 7)}{i} {'x' * (i % 90)}") for i in range(1200)]
+    docs = spark.createDataFrame(rows + [(None, "the same text")] * 200, "doc_id long, text string")
     got = sharding.shard(docs).toPandas()
-    load = got.groupby("shard")["size"].sum()
-    assert len(load) == 8 and load.max() - load.min() <= 120
+    assert len(got) == 1400
+    for column, slack in (("size", 0.02), ("tokens", 0.05)):
+        load = got.groupby("shard")[column].sum()
+        assert len(load) == 8 and load.max() - load.min() <= slack * load.mean() + (60 if task_groups < 100 else 8)
+    counts = got["shard"].value_counts()
+    assert counts.max() - counts.min() <= 0.1 * counts.mean()
+    assert got[got["doc_id"].between(400, 429)]["shard"].nunique() == 1  # a group of less than half a shard
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
 def test_packing(docs, texts, empty):
