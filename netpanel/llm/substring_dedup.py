@@ -12,6 +12,12 @@ and the others' windows are marked at once: a passage that a third of all docume
 share is one string a task from there on. Strings of a bucket are packed together and
 compressed; the number of buckets follows the size of the corpus.
 
+A minimiser that very many windows share would fill its bucket. So a first pass counts the
+windows of each minimiser (by a 32-bit code of it), exactly for all that may be overfull:
+if its total reaches LIMIT, some task holds at least its share by bytes, so each task
+reports those with half of that share. Windows of an overfull minimiser are dealt by their
+own hash instead; equal windows still meet.
+
 Defined cases: a null text has no words; texts under WINDOW words lose nothing; a null
 doc_id counts as greater than all others; repeated rows of one doc_id and text neither
 give to nor take from each other but lose the same words; an empty table gives an empty
@@ -41,6 +47,10 @@ BUCKET_BYTES, FLUSH_BYTES = 10 << 20, 16 << 20
 #: Packed words for each byte of text: (WINDOW - GRAM + 2) / 2 windows share WINDOW - 1 words.
 EXPANSION = 3.1
 LAST = (1 << 63) - 1
+#: Windows of a minimiser that may meet in its bucket (in corpora of over LIMIT << 23 bytes, one for each 2 ** 23 bytes).
+LIMIT = 200_000
+#: Codes of minimisers that a task of the first pass gathers before it adds them up.
+GATHER = 1 << 22
 #: Level of the strings' compression.
 LEVEL = 6
 
@@ -85,11 +95,75 @@ def earlier(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return first, before
 
 
+def minimisers(w: Words, texts: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of WINDOW words of all texts: the text of its first word, whether it lies
+    in one text, and its minimiser."""
+    owner = np.repeat(np.arange(texts), np.diff(w.first))
+    valid = owner[: len(h) - WINDOW + 1] == owner[WINDOW - 1 :]
+    return owner, valid, sliding_min(rolling(h, GRAM), WINDOW - GRAM + 1)
+
+
+def code(least: np.ndarray) -> np.ndarray:
+    """32 bits of a minimiser; mixed, as least values have small leading bits."""
+    return (mix64(least) >> np.uint64(32)).astype(np.uint32)
+
+
+def words_of(raw: list[bytes]) -> Words:
+    return Words.of_bytes([b" ".join(r.split()) for r in raw])
+
+
+class Counts:
+    """Windows of each minimiser code that a task has met."""
+
+    def __init__(self) -> None:
+        self.codes, self.n = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.parts: list[np.ndarray] = []
+        self.held = self.bytes = 0
+
+    def add(self, raw: list[bytes]) -> None:
+        self.bytes += sum(map(len, raw))
+        w = words_of(raw)
+        if len(w.starts) >= WINDOW:
+            _, valid, least = minimisers(w, len(raw), w.hashes())
+            self.parts.append(code(least[valid]))
+            self.held += len(self.parts[-1])
+            if self.held > GATHER:
+                self.fold()
+
+    def fold(self) -> None:
+        found, n = np.unique(np.concatenate([np.empty(0, np.uint32), *self.parts]), return_counts=True)
+        codes, at = np.unique(np.concatenate([self.codes, found]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), len(codes)).astype(np.int64)
+        self.codes, self.parts, self.held = codes, [], 0
+
+    def above(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        many = self.n >= least
+        return self.codes[many], self.n[many]
+
+
+def overfull(docs: DataFrame, total: int, limit: int) -> np.ndarray:
+    """Sorted codes of all minimisers with ``limit`` windows or more (total: bytes of all texts),
+    and of some with half as many. At most one for each limit / 2 windows of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            for part in split_batch(batch, 0):
+                counts.add([b"" if t is None else t.encode() for t in part.column(0).to_pylist()])
+        codes, n = counts.above(limit * counts.bytes / (2 * max(total, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= limit / 2)
+    return np.sort(found.select("code").toPandas()["code"].to_numpy().astype(np.uint32))
+
+
 class Packer:
-    """Cuts texts into super-k-mers and packs them by bucket."""
+    """Cuts texts into super-k-mers and packs them by bucket; windows of the ``hot`` minimiser
+    codes travel one by one, to the bucket of their own hash."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
+    def __init__(self, buckets: int, hot: np.ndarray | None = None) -> None:
+        self.buckets, self.hot = buckets, np.empty(0, np.uint32) if hot is None else hot
         self.clear()
 
     def clear(self) -> None:
@@ -97,16 +171,21 @@ class Packer:
         self.bytes = 0
 
     def add(self, docs: np.ndarray, texts_key: np.ndarray, raw: list[bytes]) -> None:
-        w = Words.of_bytes([b" ".join(r.split()) for r in raw])
+        w = words_of(raw)
         n = len(w.starts)
         if n < WINDOW:
             return
         h = w.hashes()
-        owner = np.repeat(np.arange(len(raw)), np.diff(w.first))
-        valid = owner[: n - WINDOW + 1] == owner[WINDOW - 1 :]
-        least = sliding_min(rolling(h, GRAM), WINDOW - GRAM + 1)
+        owner, valid, least = minimisers(w, len(raw), h)
+        whole = rolling(h, WINDOW)
         begins = valid.copy()
         begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+        if len(self.hot):
+            own = code(least)
+            at = np.minimum(np.searchsorted(self.hot, own), len(self.hot) - 1)
+            hot = self.hot[at] == own
+            begins |= valid & hot
+            least = np.where(hot, whole, least)
         runs = np.flatnonzero(begins)
         if not len(runs):
             return
@@ -118,7 +197,6 @@ class Packer:
         inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         s = np.repeat(runs, pieces) + inner * RUN
         e = np.minimum(s + RUN, np.repeat(limit, pieces))  # windows s .. e - 1
-        whole = rolling(h, WINDOW)
         key = mix64(whole[s] ^ mix64(whole[e - 1] + (e - s).astype(np.uint64)))
         entries = np.empty(len(s), ENTRY)
         d = owner[s]
@@ -231,12 +309,14 @@ def intervals(blobs: list[bytes]) -> np.ndarray:
 def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc, text_key, start, n: runs of words that are covered by repeated windows."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if buckets is None:
-        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         buckets = max(1, math.ceil(total * EXPANSION / BUCKET_BYTES))
+    # a word and its space have two bytes at least, so no more than 2 ** 23 codes, 32 MB, reach the tasks
+    hot = docs.sparkSession.sparkContext.broadcast(overfull(docs, total, max(LIMIT, total >> 23)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer = Packer(buckets, hot.value)
         for batch in batches:
             for part in split_batch(batch, 2):
                 raw = [b"" if t is None else t.encode() for t in part.column(2).to_pylist()]

@@ -492,6 +492,41 @@ def test_langid(spark, docs, empty):
     assert nothing.where("lang_pred <> 'und'").count() == 0
 
 
+def one_frequent_gram(n, seed=15):
+    """Texts that repeat the gram of least hash, so that it is nearly every window's minimiser."""
+    rng = np.random.default_rng(seed)
+    grams = [f"g{k} h{k} i{k}" for k in range(400)]
+    least = [int(substring_dedup.rolling(substring_dedup.Words([g]).hashes(), 3)[0]) for g in grams]
+    gram = grams[int(np.argmin(least))]
+    texts = [" ".join(f"{gram} " + " ".join(f"w{x}" for x in rng.integers(0, 9, 9)) for _ in range(int(rng.integers(2, 12)))) for _ in range(n)]
+    texts += texts[:5] + [" ".join(t.split()[3:]) for t in texts[5:9]]
+    return list(enumerate(texts))
+
+
+def test_a_frequent_minimiser_is_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LIMIT", 300)
+    rows = one_frequent_gram(150)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove(d, 40).collect()}
+    assert got == brute_substring(rows)
+    raw = [t.encode() for _, t in rows]
+    counts = substring_dedup.Counts()
+    counts.add(raw)
+    codes, n = counts.above(1)
+    total, windows = sum(map(len, raw)), int(n.sum())
+    assert n.max() > windows / 2
+    hot = substring_dedup.overfull(d, total, 300)
+    assert set(codes[n >= 300]) <= set(hot) <= set(codes[n >= 150])
+
+    def largest(hot):
+        packer = substring_dedup.Packer(40, hot)
+        packer.add(np.arange(len(raw)), np.zeros(len(raw), np.int64), raw)
+        parts = packer.parts[0]
+        return np.bincount(parts[0], parts[2]["n"] - 19, 40).max() / windows
+
+    assert largest(None) > 0.5 and largest(hot) < 0.1
+
+
 def plain_mixture(model, text):
     """Expectation-maximisation and the penalised choice of languages for one text, word by word."""
     import math
