@@ -16,21 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     In a large-star step every node links its larger neighbours to its least one, in a
     small-star step its smaller neighbours; both keep components and shrink depths, so
     about log2 of the diameter rounds end in stars. Groups are only ever reduced to a
-    minimum and joined back, so no node's neighbours are gathered in one place. Each
-    round is written to the shared folder."""
+    minimum, which is written and joined back: so that join reads two plain exchanges, and
+    adaptive execution splits the edges of a node that has very many. Each round is written
+    to the shared folder."""
     current = materialize(_distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")), "edges")
     mark = _fingerprint(current)
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, current = current, materialize(_distinct(large.where("a <> b")), "large")
-        discard(last)
-        least = current.groupBy("a").agg(F.min("b").alias("m"))
+        discard(last, least)
+        least = materialize(current.groupBy("a").agg(F.min("b").alias("m")), "least")
         own = current.join(least, "a")
         small = own.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         last, current = current, materialize(_distinct(small.where("a <> b")), "small")
-        discard(last)
+        discard(last, least)
         new = _fingerprint(current)
         if new == mark:
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -9,12 +9,13 @@ Documents with equal sets form a class, which goes on as its smallest doc_id alo
 each bucket of several classes, a few leaders (least under a hash that depends on the
 band) are compared with the members on their full sets, and links are joined into
 components. A bucket whose members are then in one component is settled, however large
-it is. In the others, signatures, far outside their error, rule members out, and the full
-sets of the rest are compared in the bucket's task, which returns one link for each two
-components that have one. Large buckets are dealt in pairs of blocks.
+it is. The members of the others are compared by their prefixes: with shingles in an order
+from rare to frequent, two similar sets share one of their first few, early enough in both.
+A family of texts from one template, too different to be linked, has only own shingles
+there, so it makes no pairs at all; what remains is confirmed on full sets.
 
-At the threshold a pair shares no band with probability (1 - t ** ROWS) ** BANDS, 4e-7 at
-t = 0.85; the signature test errs at MARGIN standard deviations.
+At the threshold t a pair shares no band with probability (1 - t ** ROWS) ** BANDS: 4e-7 at
+0.85, 5e-5 at 0.8. All that follows is exact.
 
 Defined cases: a null text, and one without words, has no shingles and is linked with
 nothing; equal texts are linked; rows that repeat a doc_id count as one document; a null
@@ -39,16 +40,14 @@ from .graph import components
 SHINGLE = 5
 HASHES, ROWS = 64, 5
 BANDS = 2 * HASHES // ROWS
-#: Least intersection for each 100 of the union.
-THRESHOLD = 85
+#: Least intersection for each 100 of the union: of op5's contract, and of other uses.
+CONTRACT, THRESHOLD = 85, 80
 #: Different orders by which the leaders of a bucket are picked.
 LEADERS = 3
-#: Members of an unsettled bucket that are looked at together.
-BLOCK = 512
 #: Partners of a document that are compared with it in one task.
 PARTNERS = 64
-#: Standard deviations that a signature's estimate may be off.
-MARGIN = 7.0
+#: Cells in which the frequency of shingles is counted.
+CELLS = 1 << 18
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,39 +121,38 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n_shingles", "signature").mapInArrow(cut, "band int, key long, rep long, size long")
 
 
-def similar_size(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {THRESHOLD} * greatest({a}, {b})"
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, part) whose full sets are similar enough. The text of b goes to a's
-    group of that part, each with a's text."""
+def confirm(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. The texts of a's partners go to groups
+    of about PARTNERS, each with a's text, so no document is hot."""
+    many = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PARTNERS), "many")
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / PARTNERS))
+    pairs = pairs.join(many, "a", "left").select("a", "b", part.alias("part"))
     own = pairs.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part")
     asked = pairs.select(F.col("b").alias("doc_id"), "a", "part").unionByName(own)
     sent = asked.join(texts.hint("merge"), "doc_id").select("doc_id", "a", "part", "text")
 
-    def compare(t: pa.Table) -> pa.Table:
-        a = t.column("a")[0].as_py()
+    def compare(table: pa.Table) -> pa.Table:
+        a = table.column("a")[0].as_py()
         centre: list[np.ndarray] = []
         others: list[tuple[int, np.ndarray]] = []
-        for batch in t.combine_chunks().to_batches():
+        for batch in table.combine_chunks().to_batches():
             for part in split_batch(batch, 3):
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(3).to_pylist()), strict=True):
                     if doc == a:
                         centre.append(s)
                     else:
                         others.append((doc, s))
-        found = [doc for doc, s in others if any(linked(s, c) for c in centre)]
+        found = [doc for doc, s in others if any(linked(s, c, t) for c in centre)]
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return sent.groupBy("a", "part").applyInArrow(compare, "a long, b long").dropDuplicates(["a", "b"])
 
 
-def linked(s: np.ndarray, t: np.ndarray) -> bool:
-    if not len(s) or not len(t) or 100 * min(len(s), len(t)) < THRESHOLD * max(len(s), len(t)):
+def linked(x: np.ndarray, y: np.ndarray, t: int) -> bool:
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < t * max(len(x), len(y)):
         return False
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(s) + len(t) - both)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= t * (len(x) + len(y) - both)
 
 
 def band_values(sig: np.ndarray) -> np.ndarray:
@@ -162,134 +160,121 @@ def band_values(sig: np.ndarray) -> np.ndarray:
     return sig[:, : BANDS * ROWS].reshape(len(sig), ROWS, BANDS)
 
 
-def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """band, key, i, j, rep, root: the members of buckets with several components that may have
-    a link into another component, dealt by pairs of blocks (nearly all buckets are one block).
-    A pair counts in the first band that it shares, so few buckets hold a member."""
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, root, open: the members of buckets with several components, and these buckets."""
     held = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    open_ = held.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    members = (
-        held.join(open_.select("band", "key", "n"), ["band", "key"])
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .select("band", "key", "rep", "root", F.explode(pair).alias("at"))
-        .select("band", "key", "rep", "root", "at.i", "at.j")
+    held = materialize(held.select("rep", "root", F.xxhash64("band", "key").alias("bucket")), "held")
+    # where a bucket has two members, its leader has met the other
+    open_ = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
+    open_ = materialize(open_, "open")
+    members = materialize(held.join(open_, "bucket").groupBy("rep", "root").agg(F.collect_list("bucket").alias("open")), "members")  # BANDS at most
+    discard(held, open_)
+    return members
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """For each cell the rounded binary logarithm of its shingles' number, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in split_batch(batch, 0):
+                found = np.concatenate([np.empty(0, np.uint64), *shingle_sets(part.column(0).to_pylist())])
+                total += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    out = np.zeros(CELLS, np.uint8)
+    out[found["cell"]] = np.round(np.log2(found["n"].to_numpy() + 1))
+    return out
+
+
+def prefixes(texts: DataFrame, level: np.ndarray, t: int) -> DataFrame:
+    """g, rep, root, size, at, short: the first shingles of each text (rep, root, text), rare ones
+    first. Of sets a and b, a not larger, that are similar enough, one is among a's ``short``
+    ones and among b's."""
+    sent = texts.sparkSession.sparkContext.broadcast(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = sent.value
+        for batch in batches:
+            for part in split_batch(batch, 2):
+                sets = shingle_sets(part.column(2).to_pylist())
+                size = np.array([len(s) for s in sets], np.int64)
+                keep, short = size - -(-t * size // 100) + 1, size - -(-2 * t * size // (100 + t)) + 1
+                first = [s[np.lexsort((s, level[(s % np.uint64(CELLS)).astype(np.int64)]))[:k]] for s, k in zip(sets, keep.tolist(), strict=True)]
+                at = np.concatenate([np.arange(len(f)) for f in first])
+                n = [len(f) for f in first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(first).astype(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n)),
+                        pa.array(np.repeat(size, n)), pa.array(at), pa.array(at < np.repeat(short, n)),
+                    ],
+                    names=["g", "rep", "root", "size", "at", "short"],
+                )
+
+    return texts.select("rep", "root", "text").mapInArrow(run, "g long, rep long, root long, size long, at long, short boolean")
+
+
+def close_pairs(members: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """a, b: the members of common unsettled buckets, of different components, that may be linked."""
+    own = texts.withColumnRenamed("doc_id", "rep").join(members.select("rep", "root").hint("merge"), "rep").select("rep", "root", "text")
+    tokens = materialize(prefixes(own, frequencies(own), t), "tokens")
+    several = materialize(tokens.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g"), "several")
+    shared = materialize(tokens.join(several, "g"), "shared")
+    a, b = (shared.select("g", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "root", "size", "at", "short"))) for s in "ab")
+    least = F.ceil(F.lit(t) * (F.col("a_size") + F.col("b_size")) / (100 + t))
+    near = (
+        F.col("a_short") & (F.struct("a_size", "a_rep") < F.struct("b_size", "b_rep")) & (F.col("a_root") != F.col("b_root"))
+        & (100 * F.col("a_size") >= t * F.col("b_size")) & (F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= least)
     )
-    signed = members.join(reps.select("rep", "n_shingles", "signature"), "rep")
-
-    def match(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-        size, root, band = t.column("n_shingles").to_numpy(), t.column("root").to_numpy(), t.column("band")[0].as_py()
-        values = band_values(sig)
-        least = THRESHOLD / 100 - MARGIN * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / (2 * HASHES))
-        needed = np.zeros(t.num_rows, bool)
-        for k in range(t.num_rows):
-            close = (root != root[k]) & (100 * np.minimum(size, size[k]) >= THRESHOLD * np.maximum(size, size[k]))
-            other = np.flatnonzero(close)
-            other = other[(sig[other] == sig[k]).mean(axis=1) >= least]
-            if len(other) and band:
-                other = other[~(values[other, :, :band] == values[k, :, :band]).all(axis=1).any(axis=1)]
-            needed[k] |= len(other) > 0
-            needed[other] = True
-        return t.select(["band", "key", "i", "j", "rep", "root"]).filter(pa.array(needed))
-
-    return signed.groupBy("band", "key", "i", "j").applyInArrow(match, "band int, key long, i long, j long, rep long, root long")
-
-
-def intersections(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices of bounded size."""
-    values, where, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = n > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[where]
-    owner, where = owner[keep], column[where[keep]]
-    order = np.argsort(where, kind="stable")
-    owner, where = owner[order], where[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, cells // len(sets))
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(where, [a, a + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[owner[lo:hi], where[lo:hi] - a] = 1
-        out += m @ m.T
+    pairs = materialize(a.join(b, "g").where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "pairs")
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("rep").alias(side), F.col("open").alias(f"open_{side}")), side)
+    out = materialize(pairs.where(F.arrays_overlap("open_a", "open_b")).select("a", "b"), "close")
+    discard(tokens, several, shared)
     return out
 
 
-def cross_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links on full sets between the components of each group, one for each two
-    components that still need it."""
-    sent = members.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("rep", "band", "key", "i", "j", "root", "text")
-
-    def link(t: pa.Table) -> pa.Table:
-        sets: list[np.ndarray] = []
-        for batch in t.combine_chunks().to_batches():
-            for part in split_batch(batch, 6):
-                sets += shingle_sets(part.column(6).to_pylist())
-        rep, root = t.column("rep").to_numpy(), t.column("root").to_numpy()
-        size = np.array([len(s) for s in sets], np.float64)
-        both = intersections(sets)
-        good = (100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both)) & (root[:, None] != root[None, :])
-        x, y = np.nonzero(np.triu(good))
-        names, at = np.unique(root, return_inverse=True)
-        parent = np.arange(len(names))
-
-        def top(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        out: list[tuple[int, int]] = []
-        _, first = np.unique(at[x] * len(names) + at[y], return_index=True)
-        for k in first.tolist():
-            p, q = top(int(at[x[k]])), top(int(at[y[k]]))
-            if p != q:
-                parent[p] = q
-                out.append((int(rep[x[k]]), int(rep[y[k]])))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    return sent.groupBy("band", "key", "i", "j").applyInArrow(link, "a long, b long").dropDuplicates(["a", "b"])
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_dedup(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; t: least intersection for each 100 of the union."""
     rows = materialize(sign(docs), "signed")
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.where("rep is not null"), "classes")
     firsts = classes.select("set_key", F.col("rep").alias("doc_id"))
     reps = rows.join(firsts.hint("merge"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature")
-    reps = materialize(reps, "reps")
     cut = materialize(bands(reps), "bands")
-    shared = cut.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(cut.join(shared.select("band", "key"), ["band", "key"]), "buckets")
-    discard(cut)
+    # tables of bucket keys are written before they are joined: as plain exchanges, adaptive execution can split a hot key
+    shared = materialize(cut.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key"), "bucket_keys")
+    buckets = materialize(cut.join(shared, ["band", "key"]), "buckets")
     order = F.xxhash64("rep", F.col("band") % LEADERS)
-    leaders = buckets.withColumn("o", order).groupBy("band", "key").agg(F.min(F.struct("o", "rep", "size")).alias("l"), F.count(F.lit(1)).alias("n")).select("band", "key", "n", F.col("l.rep").alias("lead"), F.col("l.size").alias("lead_size"))
-    stars = (
-        buckets.join(leaders, ["band", "key"]).where(f"rep <> lead and {similar_size('size', 'lead_size')}")
-        # a leader's members are compared in parts that the bucket's size gives, so no leader is hot
-        .select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PARTNERS)).alias("part")).dropDuplicates(["a", "b"])
-    )
+    leaders = buckets.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep", "size")).alias("l")).select("band", "key", F.col("l.rep").alias("lead"), F.col("l.size").alias("lead_size"))
+    leaders = materialize(leaders, "leaders")
+    sizes = (F.col("rep") != F.col("lead")) & (100 * F.least("size", "lead_size") >= t * F.greatest("size", "lead_size"))
+    stars = buckets.join(leaders, ["band", "key"]).where(sizes).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(stars, "stars")
     named = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.select("doc_id", "text").join(named.hint("merge"), "doc_id"), "texts")
-    links = materialize(confirm(stars, texts), "links")
+    links = materialize(confirm(stars, texts, t), "links")
     labels = materialize(components(links), "labels")
-    members = materialize(unsettled(buckets, labels, reps), "unsettled")
-    more = materialize(cross_links(members, texts), "links2")
-    discard(reps, buckets, stars, texts, links, members)
+    members = unsettled(buckets, labels)
+    discard(cut, shared, leaders, buckets, stars)
+    close = close_pairs(members, texts, t)
+    more = materialize(confirm(close, texts, t), "links2")
     if not more.isEmpty():
         labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels2")
+    discard(links, texts, members, close, more)
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     found = materialize(found.where("n > 1 or root <> rep").select("set_key", "root"), "found")
+    discard(classes, labels)
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that near_dedup() keeps; rows without a doc_id stay."""
-    gone = near_dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = near_dedup(docs, t).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir))
+    return near_dedup.near_dedup(documents(spark, sf_dir), near_dedup.CONTRACT)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

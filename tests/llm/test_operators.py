@@ -365,7 +365,7 @@ def test_redact(docs, texts, empty):
     assert secrets.masked("abcdefgh", [(1, 3), (2, 5), (5, 6)]) == "a<SECRET><SECRET>gh"
 
 
-def brute_near(texts):
+def brute_near(texts, threshold=85):
     sets, out = [], {}
     for i, t in texts:
         w = words((t or "").translate(UPPER))
@@ -379,7 +379,7 @@ def brute_near(texts):
 
     for i, s in sets:
         for j, t in sets:
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= threshold * len(s | t):
                 a, b = top(i), top(j)
                 parent[max(a, b)] = min(a, b)
     for i, s in sets:
@@ -388,22 +388,23 @@ def brute_near(texts):
     return out
 
 
-def test_near_dedup(docs, texts, empty):
-    got = near_dedup.near_dedup(docs)
+@pytest.mark.parametrize("threshold", [85, 80])
+def test_near_dedup(docs, texts, empty, threshold):
+    got = near_dedup.near_dedup(docs, threshold)
     assert got.count() == len(texts)
-    want = brute_near(texts)
+    want = brute_near(texts, threshold)
     for r in got.collect():
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
             assert r.kept == (r.doc_id == r.component_id)
-    assert near_dedup.near_dedup(empty).count() == 0
-    kept = near_dedup.without_near_copies(docs)
+    assert near_dedup.near_dedup(empty, threshold).count() == 0
+    kept = near_dedup.without_near_copies(docs, threshold)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, (_, c) in want.items() if i == c}
 
 
 def test_near_dedup_of_a_large_family(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 16)
     rng = np.random.default_rng(6)
     base = [f"w{k}" for k in range(90)]
     rows = []
@@ -412,10 +413,59 @@ def test_near_dedup_of_a_large_family(spark, monkeypatch):
         for k in rng.integers(0, 90, rng.integers(0, 5)):
             w[k] = f"z{i}x{k}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert got == {i: c for i, (_, c) in brute_near(rows).items()}
 
 
+def test_near_dedup_of_a_template_makes_no_pairs(spark, monkeypatch):
+    """10,000 texts of one template, any two at resemblance 0.8, fill buckets that no leader settles;
+    only those that are planted as copies are linked, and few pairs are ever made."""
+    made = []
+    confirm = near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, texts, t: made.append(pairs.count()) or confirm(pairs, texts, t))
+    n = 10_000
+    template = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*template, *(f"v{i}x{k}" for k in range(9))])) for i in range(n)]
+    rows += [(n + i, rows[100 * i][1].rsplit(" ", 1)[0] + " last") for i in range(20)]
+    x, y = near_dedup.shingle_sets([rows[0][1], rows[1][1]])
+    assert 0.79 < len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.85
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: i if i < n else 100 * (i - n) for i, _ in rows}
+    assert made[1] < 1000
+
+
+def test_near_dedup_of_two_large_families_with_links_between(spark):
+    rng = np.random.default_rng(16)
+    rows = []
+    for family in range(3):
+        base = [f"w{k}" for k in range(70)] + [f"f{family}x{k}" for k in range(12)]
+        for _ in range(60):
+            w = list(base)
+            for k in rng.integers(0, 82, rng.integers(0, 4)):
+                w[k] = f"z{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join([*(f"w{k}" for k in range(70)), *(f"f{i % 3}x{k}" for k in range(12 - i)), *(f"f{(i + 1) % 3}x{k}" for k in range(i))])) for i in range(12)]
+    for t in (85, 80):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), t).collect()}
+        assert got == {i: c for i, (_, c) in brute_near(rows, t).items()}
+
+
+def test_prefixes_meet_for_all_similar_sets():
+    rng = np.random.default_rng(17)
+    for t in (80, 85, 95):
+        for _ in range(300):
+            pool = np.unique(rng.integers(0, 2**62, 80)).astype(np.uint64)
+            n = int(rng.integers(1, 60))
+            x = np.sort(rng.choice(pool[:70], n, replace=False))
+            y = np.unique(np.concatenate([x[rng.random(n) < 0.95], rng.choice(pool, 1 + n // 12)]))
+            if not near_dedup.linked(x, y, t):
+                continue
+            x, y = sorted((x, y), key=len)
+            keep = len(y) - -(-t * len(y) // 100) + 1
+            short = len(x) - -(-2 * t * len(x) // (100 + t)) + 1
+            assert set(x[:short]) & set(y[:keep])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200), (301, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
