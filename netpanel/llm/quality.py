@@ -6,8 +6,9 @@ before), the shapes also by how frequent they are. Indicators are scaled by thei
 log-count ratio, and a linear hinge-loss model is fitted by dual coordinate descent. A
 fifth of the sample stays out of that fit and turns margins into probabilities.
 
-The sample is bounded: at most SAMPLE labelled rows, those of least hash, so the sample
-is the same on every run; every row is scored. Defined cases: null and empty texts have
+The sample is bounded: at most SAMPLE labelled rows, those of least hash, and of these as
+many as have SAMPLE_INDICATORS together (a row has DIMENSIONS at most, however long its
+text), so one task can hold it and it is the same on every run; every row is scored. Defined cases: null and empty texts have
 no indicators and score as the bias says; a null label is not learned from; a doc_id
 with several labels counts with each; without two classes in the sample every score is
 the share of label 1 (0.5 without labels); an empty table gives an empty result.
@@ -19,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, map_texts, mix64, rolling
+from .common import Words, discard, map_texts, materialize, mix64, rolling
 
-#: Labelled rows that the classifier is fitted on, at most.
-SAMPLE = 12_000
+#: Labelled rows that the classifier is fitted on, and indicators of them all together, at most.
+SAMPLE, SAMPLE_INDICATORS = 12_000, 1 << 25
 DIMENSIONS = 1 << 18
 #: Smoothing of the class counts, cost of the hinge loss, passes over the sample.
 ALPHA, COST, EPOCHS = 1.0, 0.05, 12
@@ -152,7 +153,7 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.concatenate([weights, calibrate(m, y[test])])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, indicators_bound: int = SAMPLE_INDICATORS) -> np.ndarray:
     """Fits in one task on at most ``sample`` rows; what reaches the driver is the weights."""
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
@@ -164,7 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         for ids, ys, texts in parts:
             yield {"doc_id": ids, "y": ys, "x": [x.astype("<u4").tobytes() for x in indicators(texts)]}
 
-    rows = map_texts(known, scan, "doc_id long, y int, x binary", ("doc_id", "y", "text"))
+    rows = materialize(map_texts(known, scan, "doc_id long, y int, x binary", ("doc_id", "y", "text")), "sample")
+    sample_table = rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("x"))  # over the bounded sample's keys
+    keys = rows.select("doc_id", "y", F.xxhash64("x").alias("key"), F.length("x").alias("n"), F.sum(F.length("x")).over(order).alias("upto"))
+    kept = keys.where(F.col("upto") <= 4 * indicators_bound).select("doc_id", "y", "key").distinct()
+    rows = rows.withColumn("key", F.xxhash64("x")).join(F.broadcast(kept), ["doc_id", "y", "key"]).drop("key")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "y"])
@@ -172,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
 
     found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "w binary").first()
+    discard(sample_table)
     return np.frombuffer(found["w"], "<f4").astype(float) if found else train([], np.empty(0, int))
 
 
