@@ -10,11 +10,16 @@ upper limit reaches the k-th best of those scores are reranked by the exact inne
 and the best k of each block meet in a window.
 
 The query set is stated (rows whose id is divisible by 20) and goes against all rows in
-blocks of bounded size. Defined cases: vectors that are null, zero, or hold null or
+blocks of bounded size. A candidate travels once, with its code and its vector in the
+table's own precision, as long as the queries fill one block; only queries, a twentieth of
+all rows, are copied to every block of candidates. Vectors are not fetched by survivor:
+each query scores at least FIRST * K of them in each block, which is more bytes than the
+block itself has. Defined cases: vectors that are null, zero, or hold null or
 non-finite components take no part, nor do those of another dimension than the most
-frequent (the larger of two equally frequent); rows with a null id take no part;
-repeated ids stand as separate candidates, and a query never meets its own id; ties go
-to the smaller id; an empty table gives an empty result.
+frequent (the larger of two equally frequent); rows with a null id take no part; rows
+of a repeated id are separate candidates, and separate queries (each with its own ranks)
+where their vectors differ; a query never meets its own id; ties go to the smaller id;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_STEP = 20, 20
-#: Rows of a block of candidates, and of queries: what one task's group holds.
-CANDIDATES, QUERIES = 65_536, 512
+#: Rows of a block of candidates, and of queries: what one task's group holds at most.
+CANDIDATES, QUERIES = 65_536, 16_384
+#: Smaller tables are dealt over so many blocks of candidates, if each has SMALL rows at least.
+PARTS, SMALL = 64, 4096
 #: For each neighbour asked for, so many of the best estimates are scored first.
 FIRST = 32
 #: Width of the error bound, in standard deviations of the estimate.
@@ -143,45 +150,49 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame
     sums = rows.select(F.posexplode("v").alias("i", "c")).groupBy("i").agg(F.avg("c").alias("c")).orderBy("i").collect()
     centre = np.array([r["c"] for r in sums], float)  # as many numbers as a vector has
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % step == 0)).first()
-    parts, blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(n_queries / QUERIES))
+    parts = max(1, math.ceil(n / CANDIDATES), min(PARTS, n // SMALL))
+    blocks = max(1, math.ceil(n_queries / QUERIES))
+    dim = len(centre)
+    words = -(-dim // 64)
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"  # the table's own precision
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotate = rotation(len(centre))
+        rotate = rotation(dim)
         for b in batches:
             x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
             bits, numbers = code(x, centre, rotate)
-            packed = [np.concatenate([bits[i].view(np.uint8), numbers[i].view(np.uint8), x[i].view(np.uint8)]).tobytes() for i in range(len(x))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["vec_id", "packed"])
+            codes = [np.concatenate([bits[i].view(np.uint8), numbers[i].view(np.uint8)]).tobytes() for i in range(len(x))]
+            raw = [v.tobytes() for v in x.astype(kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "code", "raw"])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.array(v, kind).tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    coded = rows.mapInArrow(encode, "vec_id long, packed binary")
     part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = coded.withColumn("part", part).withColumn("block", every)
-    queries = (
-        coded.where(F.col("vec_id") % step == 0).withColumn("block", block)
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    )
-    dim = len(centre)
-    words = -(-dim // 64)
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0)
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    candidates = rows.mapInArrow(encode, "vec_id long, code binary, raw binary").withColumn("part", part).withColumn("block", every_block)
+    asked = rows.where(F.col("vec_id") % step == 0).mapInArrow(plain, "vec_id long, raw binary").distinct().withColumn("query", F.xxhash64("raw"))
+    queries = asked.withColumn("block", block).withColumn("part", every_part)
 
-    def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw = b"".join(x.as_py() for x in t.column("packed"))
-        m = np.frombuffer(raw, np.uint8).reshape(t.num_rows, 8 * (words + 3 + dim))
-        bits = np.ascontiguousarray(m[:, : 8 * words]).view("<u8")
-        numbers = np.ascontiguousarray(m[:, 8 * words : 8 * (words + 3)]).view("<f8")
-        return t.column("vec_id").to_numpy(), np.ascontiguousarray(m[:, 8 * (words + 3) :]).view("<f8"), bits, numbers
+    def unpack(t: pa.Table, name: str, dtype: str) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_py() for x in t.column(name)), dtype).reshape(t.num_rows, -1)
 
     def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "query": [], "vec_id": [], "score": []}
         if mine.num_rows and asked.num_rows:
-            s = Searcher(*unpack(mine), centre, rotation(dim))
-            for query_id, q in zip(*unpack(asked)[:2], strict=True):
-                for vec_id, score in s.search(int(query_id), q, k):
-                    for key, v in zip(out, (int(query_id), vec_id, score), strict=True):
+            codes = unpack(mine, "code", "u1")
+            bits, numbers = (np.ascontiguousarray(c).view(d) for c, d in ((codes[:, : 8 * words], "<u8"), (codes[:, 8 * words :], "<f8")))
+            s = Searcher(mine.column("vec_id").to_numpy(), unpack(mine, "raw", kind).astype(float), bits, numbers, centre, rotation(dim))
+            for query_id, query, q in zip(asked.column("vec_id").to_pylist(), asked.column("query").to_pylist(), unpack(asked, "raw", kind).astype(float), strict=True):
+                for vec_id, score in s.search(query_id, q, k):
+                    for key, v in zip(out, (query_id, query, vec_id, score), strict=True):
                         out[key].append(v)
         return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
 
-    found = candidates.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = candidates.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, query long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -682,6 +682,54 @@ def test_dual_descent_lowers_the_objective():
     assert values[2] <= values[1] * 1.01 and values[2] < objective(np.zeros(quality.DIMENSIONS + 1))
 
 
+def plain_classifier(texts, y):
+    """Log-count ratios and dual coordinate descent on dictionaries, one indicator at a time; the
+    bias is an indicator that all texts have. Weights by indicator, and the bias."""
+    docs = [set(x.tolist()) for x in quality.indicators(texts)]
+    count = [defaultdict(lambda: quality.ALPHA), defaultdict(lambda: quality.ALPHA)]
+    for x, label in zip(docs, y, strict=True):
+        for g in x:
+            count[label][g] += 1
+    total = [sum(c.values()) + quality.ALPHA * (quality.DIMENSIONS - len(c)) for c in count]
+    names = set().union(*docs)
+    ratio = {g: np.log(count[1].get(g, quality.ALPHA) / total[1]) - np.log(count[0].get(g, quality.ALPHA) / total[0]) for g in names}
+    w, bias, alpha = dict.fromkeys(names, 0.0), 0.0, [0.0] * len(docs)
+    rng = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(docs)).tolist():
+            sign, scale = (1 if y[i] else -1), 1 / np.sqrt(len(docs[i]))
+            margin = sum(w[g] * ratio[g] * scale for g in docs[i]) + bias
+            curve = sum((ratio[g] * scale) ** 2 for g in docs[i]) + 1
+            new = min(max(alpha[i] - (sign * margin - 1) / curve, 0.0), quality.COST)
+            for g in docs[i]:
+                w[g] += (new - alpha[i]) * sign * ratio[g] * scale
+            bias += (new - alpha[i]) * sign
+            alpha[i] = new
+    return {g: w[g] * ratio[g] for g in names}, bias, docs
+
+
+def test_classifier_equals_plain_naive_bayes_support_vectors():
+    rng = np.random.default_rng(18)
+    texts = [" ".join("".join(rng.choice(list("abcdef" if i % 3 else "efghij"), 3)) for _ in range(25)) for i in range(60)]
+    y = [int(i % 3 > 0) for i in range(60)]
+    weights, bias, docs = plain_classifier(texts, y)
+    rows = quality.indicators(texts)
+    ratio = quality.log_count_ratios(rows, np.array(y))
+    w = quality.descend(rows, np.array(y), ratio)
+    got = quality.margins(rows, np.append(ratio * w[:-1], w[-1]))
+    want = [sum(weights[g] for g in d) / np.sqrt(len(d)) + bias for d in docs]
+    assert np.allclose(got, want, atol=1e-8) and got[np.array(y) == 1].min() > got[np.array(y) == 0].max()
+
+
+def test_the_sample_is_bounded_by_indicators(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(20000 if i == 7 else 30))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole, few = quality.fit(d, lab), quality.fit(d, lab, indicators_bound=3000)
+    assert not np.allclose(whole, few) and np.allclose(few, quality.fit(d.repartition(5), lab, indicators_bound=3000))
+
+
 def brute_nearest(rows, k=20):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     dims = Counter(len(v) for _, v in good)
@@ -695,6 +743,18 @@ def brute_nearest(rows, k=20):
     return sorted(out)
 
 
+def test_rows_that_repeat_a_query_id(spark):
+    rng = np.random.default_rng(23)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 60)]
+    rows += [(20, rows[19][1]), (40, rng.standard_normal(8).tolist())]  # an exact repeat, and another vector
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    want = []
+    for q, x in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted((-float(np.dot(v, x)), i) for i, v in rows if i != q)[:20], 1)]
+    assert len(got) == 60
+    assert sorted((q, r, i, round(s, 9)) for q, r, i, s in got.itertuples(index=False)) == sorted((q, r, i, round(s, 9)) for q, r, i, s in want)
+
+
 @pytest.mark.parametrize("blocks", [(65_536, 512), (100, 7)])
 def test_nearest(spark, monkeypatch, blocks):
     monkeypatch.setattr(ann, "CANDIDATES", blocks[0])
@@ -702,8 +762,9 @@ def test_nearest(spark, monkeypatch, blocks):
     rng = np.random.default_rng(12)
     rows = [(i, rng.standard_normal(24).astype(np.float32).tolist()) for i in range(600)]
     rows += [(i, rows[40][1]) for i in range(600, 680)]  # a very common vector
-    rows += [(700, None), (720, [0.0] * 24), (740, [float("nan")] * 24), (760, [None] * 24), (780, [1.0] * 23), (None, [1.0] * 24), (800, [])]
+    rows += [(820, [float("inf")] * 24), (840, [1.0] * 23 + [float("-inf")]), (700, None), (720, [0.0] * 24), (740, [float("nan")] * 24), (760, [None] * 24), (780, [1.0] * 23), (None, [1.0] * 24), (800, [])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    d = d.withColumns({n: functions.lit(1) for n in ("v", "part", "block", "code", "raw", "packed", "query", "score", "rank", "query_id")})
     got = sorted(tuple(r) for r in ann.nearest(d).collect())
     want = brute_nearest(rows)
     assert [g[:3] for g in got] == [w[:3] for w in want]
