@@ -11,8 +11,11 @@ band) are compared with the members on their full sets, and links are joined int
 components. A bucket whose members are then in one component is settled, however large
 it is. The members of the others are compared by their prefixes: with shingles in an order
 from rare to frequent, two similar sets share one of their first few, early enough in both.
-A family of texts from one template, too different to be linked, has only own shingles
-there, so it makes no pairs at all; what remains is confirmed on full sets.
+For each such shingle the set that has it earliest is a leader once more (of copies of one
+text it is the original, as it has no rare shingles of its own). What is then still in
+different components makes pairs, and these are confirmed on full sets. A family of texts
+from one template, too different to be linked, has only own shingles at the front, so it
+makes no pairs at all.
 
 At the threshold t a pair shares no band with probability (1 - t ** ROWS) ** BANDS: 4e-7 at
 0.85, 5e-5 at 0.8. All that follows is exact.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, discard, map_texts, materialize, mix64, rolling, split_batch
@@ -217,26 +220,64 @@ def prefixes(texts: DataFrame, level: np.ndarray, t: int) -> DataFrame:
     return texts.select("rep", "root", "text").mapInArrow(run, "g long, rep long, root long, size long, at long, short boolean")
 
 
-def close_pairs(members: DataFrame, texts: DataFrame, t: int) -> DataFrame:
-    """a, b: the members of common unsettled buckets, of different components, that may be linked."""
+def front(members: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """prefixes() of the members."""
     own = texts.withColumnRenamed("doc_id", "rep").join(members.select("rep", "root").hint("merge"), "rep").select("rep", "root", "text")
-    tokens = materialize(prefixes(own, frequencies(own), t), "tokens")
-    several = materialize(tokens.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g"), "several")
-    shared = materialize(tokens.join(several, "g"), "shared")
-    a, b = (shared.select("g", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "root", "size", "at", "short"))) for s in "ab")
-    least = F.ceil(F.lit(t) * (F.col("a_size") + F.col("b_size")) / (100 + t))
-    near = (
-        F.col("a_short") & (F.struct("a_size", "a_rep") < F.struct("b_size", "b_rep")) & (F.col("a_root") != F.col("b_root"))
-        & (100 * F.col("a_size") >= t * F.col("b_size")) & (F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= least)
-    )
-    pairs = materialize(a.join(b, "g").where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "pairs")
+    return materialize(prefixes(own, frequencies(own), t), "front")
+
+
+def undecided(tokens: DataFrame) -> DataFrame:
+    """The tokens of shingles that sets of several components have."""
+    several = tokens.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    several = materialize(several, "several")
+    out = materialize(tokens.join(several, "g"), "undecided")
+    discard(several)
+    return out
+
+
+def early(a: str, b: str, t: int) -> Column:
+    """Whether sets of different components may be linked, as they share no shingle before these places."""
+    size_a, size_b, at_a, at_b = (F.col(f"{s}_{c}") for c in ("size", "at") for s in (a, b))
+    most = F.least(size_a - at_a, size_b - at_b)
+    close = 100 * F.least(size_a, size_b) >= t * F.greatest(size_a, size_b)
+    return (F.col(f"{a}_root") != F.col(f"{b}_root")) & close & ((100 + t) * most >= t * (size_a + size_b))
+
+
+def sided(tokens: DataFrame, side: str) -> DataFrame:
+    return tokens.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "root", "size", "at", "short")))
+
+
+def front_stars(tokens: DataFrame, t: int) -> DataFrame:
+    """a, b: for each set the earliest leader among its shingles' that it may be linked with."""
+    leaders = tokens.groupBy("g").agg(F.min(F.struct("at", "rep", "root", "size", "short")).alias("l")).select("g", "l.*")
+    leaders = materialize(leaders, "front_leaders")
+    met = sided(leaders, "a").join(sided(tokens, "b"), "g").where(early("a", "b", t))
+    best = met.groupBy("b_rep").agg(F.min(F.struct("a_at", "a_rep")).alias("l"))
+    out = materialize(best.select(F.col("l.a_rep").alias("a"), F.col("b_rep").alias("b")), "front_stars")
+    discard(leaders)
+    return out
+
+
+def close_pairs(tokens: DataFrame, members: DataFrame, t: int) -> DataFrame:
+    """a, b: the members of common unsettled buckets, of different components, that may be linked."""
+    lesser = (F.struct("a_size", "a_rep") < F.struct("b_size", "b_rep")) & F.col("a_short")
+    met = sided(tokens, "a").join(sided(tokens, "b"), "g").where(lesser & early("a", "b", t))
+    pairs = materialize(met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "pairs")
+    both = pairs
     for side in "ab":
-        pairs = pairs.join(members.select(F.col("rep").alias(side), F.col("open").alias(f"open_{side}")), side)
-    out = materialize(pairs.where(F.arrays_overlap("open_a", "open_b")).select("a", "b"), "close")
-    discard(tokens, several, shared)
+        both = both.join(members.select(F.col("rep").alias(side), F.col("open").alias(f"open_{side}")), side)
+    out = materialize(both.where(F.arrays_overlap("open_a", "open_b")).select("a", "b"), "close")
+    discard(pairs)
     return out
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of labels (node, root) and links (a, b) together."""
+    if links.isEmpty():
+        return labels
+    return materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "labels")
+
+
 def near_dedup(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; t: least intersection for each 100 of the union."""
     rows = materialize(sign(docs), "signed")
@@ -260,14 +301,19 @@ def near_dedup(docs: DataFrame, t: int = THRESHOLD) -> DataFrame:
     labels = materialize(components(links), "labels")
     members = unsettled(buckets, labels)
     discard(cut, shared, leaders, buckets, stars)
-    close = close_pairs(members, texts, t)
-    more = materialize(confirm(close, texts, t), "links2")
-    if not more.isEmpty():
-        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels2")
-    discard(links, texts, members, close, more)
+    tokens = undecided(front(members, texts, t))
+    stars2 = front_stars(tokens, t)
+    links2 = materialize(confirm(stars2, texts, t), "links2")
+    labels = joined(labels, links2)
+    now = labels.select(F.col("node").alias("rep"), F.col("root").alias("now"))
+    tokens2 = undecided(tokens.join(now, "rep", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+    close = close_pairs(tokens2, members, t)
+    links3 = materialize(confirm(close, texts, t), "links3")
+    labels = joined(labels, links3)
+    discard(links, texts, members, tokens, stars2, links2, tokens2, close, links3)
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     found = materialize(found.where("n > 1 or root <> rep").select("set_key", "root"), "found")
-    discard(classes, labels)
+    discard(classes)
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
