@@ -303,10 +303,16 @@ def estimate_fevd(df: DataFrame, grid: DataFrame, key: str, alphas: Iterable[flo
 # --- spillovers -----------------------------------------------------------------------------
 
 
+#: Series that a spillover network may have; its matrix goes to every task.
+MAX_ASSETS = 1000
+
+
 def spillover(df: DataFrame, network: DataFrame, key: str, method: str, out: Callable[[K.Spillover, np.ndarray], pd.DataFrame], schema: str, factors: tuple[str, ...] = ("mkt",)) -> DataFrame:
     """out(model, labels) of the return model of each window; the network (i, j, v) is a small
-    matrix that all windows share."""
-    edges = network.toPandas()  # assets squared
+    matrix that all windows share: of MAX_ASSETS series at most, more are an error."""
+    edges = network.limit(MAX_ASSETS**2 + 1).toPandas()
+    if len(edges) > MAX_ASSETS**2:
+        raise ValueError(f"a network of more than {MAX_ASSETS} series")
     labels = np.unique(edges["i"])
     m = np.zeros((len(labels), len(labels)))
     m[np.searchsorted(labels, edges["i"]), np.searchsorted(labels, edges["j"])] = edges["v"]

@@ -106,9 +106,13 @@ def stars(t: Column) -> Column:
 
 
 def within(df: DataFrame, columns: Sequence[str], entity: str | None, time: str | None) -> DataFrame:
-    """Columns less their entity or time means; for both, the balanced two-way transform."""
+    """Columns less their entity or time means; for both, the two-way transform, which is exact on
+    balanced panels: any other is an error."""
     out = df
     if entity and time:
+        n, entities, times = df.agg(F.count(F.lit(1)), F.count_distinct(entity), F.count_distinct(time)).first()
+        if n != entities * times:
+            raise ValueError(f"two-way effects need a balanced panel: {n} rows of {entities} x {times}")
         out = df.join(F.broadcast(df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])))  # one row
     for c in columns:
         own: Column = F.col(c)
@@ -124,7 +128,7 @@ def within(df: DataFrame, columns: Sequence[str], entity: str | None, time: str
 
 def panel_ols(df: DataFrame, y: str, x: str, effects: str = "none", lag: int = 0, entity: str = "permno", time: str = "date") -> DataFrame:
     """beta, n of one regressor with fixed effects none, entity or time; x lagged by rows if asked.
-    Two-way effects are exact on balanced panels."""
+    Two-way effects need a balanced panel."""
     if effects not in ("none", "entity", "time", "both"):
         raise ValueError(f"unknown effects {effects!r}")
     if lag:

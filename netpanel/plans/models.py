@@ -165,26 +165,50 @@ def var_ols(spark: SparkSession, sf: str) -> DataFrame:
     return E.var_ols(rolling(spark, sf), "sampling_date")
 
 
-# own-lag models by built-in aggregates: coefficient tables that SQL can follow
-OWN = f"""l AS (SELECT permno, date, x, lag(x) {BY}) AS p FROM v), o AS (SELECT permno, regr_slope(x, p) AS b, regr_intercept(x, p) AS c FROM l GROUP BY 1),
-  r AS (SELECT l.permno, date, x, c + b * p AS fitted, x - c - b * p AS resid FROM l JOIN o USING (permno) WHERE p IS NOT NULL)"""
+# the first-order model of all series in SQL: centred regressors (the lags and, with a factor, the
+# mean over series as id -1), their cross products, and Gauss-Jordan elimination on them
+GAUSS_JORDAN = """m0 AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS ids FROM aug),
+  gj AS (SELECT 0 AS k, m, ids FROM m0 UNION ALL SELECT k + 1, list_transform(range(1, len(ids) + 1), lambda o: CASE WHEN o = k + 1 THEN list_transform(m[o], lambda y: y / m[o][k + 1])
+    ELSE list_transform(range(1, len(m[1]) + 1), lambda c: m[o][c] - m[o][k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END), ids FROM gj WHERE k < len(ids)),
+  sol AS (SELECT m, ids FROM gj WHERE k = len(ids))"""
+
+
+def fit_sql(factor: bool) -> str:
+    """bb: source (-1: the factor), equation, coef; kk: permno, date, x, its mean c, and its centred lag part vp and factor part fp."""
+    mean = "UNION ALL SELECT -1, date, f - avg(f) OVER () FROM (SELECT date, avg(x) AS f FROM cu GROUP BY 1)" if factor else ""
+    return f"""lg AS (SELECT permno, date, x, lag(x) {BY}) AS p FROM v),
+  cu AS (SELECT permno, date, x, avg(x) OVER (PARTITION BY permno) AS c, p - avg(p) OVER (PARTITION BY permno) AS pc FROM lg WHERE p IS NOT NULL),
+  cz AS (SELECT permno AS id, date, pc AS z FROM cu {mean}),
+  aug AS (SELECT i, list(w ORDER BY kind, j) AS r FROM (SELECT x.id AS i, 0 AS kind, y.id AS j, sum(x.z * y.z) AS w FROM cz x JOIN cz y USING (date) GROUP BY 1, 2, 3
+    UNION ALL SELECT x.id, 1, y.permno, sum(x.z * (y.x - y.c)) FROM cz x JOIN cu y USING (date) GROUP BY 1, 2, 3) GROUP BY 1),
+  {GAUSS_JORDAN}, eqs AS (SELECT list(permno ORDER BY permno) AS e FROM (SELECT DISTINCT permno FROM cu)),
+  bb AS (SELECT ids[f] AS source, e[g] AS equation, m[f][len(ids) + g] AS coef FROM sol, eqs, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(e)),
+  kk AS (SELECT permno, cu.date, any_value(x) AS x, any_value(c) AS c, sum(CASE WHEN source >= 0 THEN coef * z ELSE 0 END) AS vp, sum(CASE WHEN source < 0 THEN coef * z ELSE 0 END) AS fp
+    FROM cu JOIN bb ON equation = permno JOIN cz ON cz.id = source AND cz.date = cu.date GROUP BY 1, 2)"""
+
+
+VAR = f"{fit_sql(False)}, r AS (SELECT permno, date, x, c + vp AS fitted, x - c - vp AS resid FROM kk)"
+FACTOR_VAR = fit_sql(True)
+
+
+def whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The regional panel as one window, with the mean over regions as factor."""
+    v = regions(spark, sf)
+    return v.join(v.groupBy("date").agg(F.avg("x").alias("mkt")), "date").withColumn("all", F.lit(1))
 
 
-def own_lag(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(panel, coefficients) of first-order models whose equations see their own lag only."""
-    v = regions(spark, sf).withColumn("all", F.lit(1))
-    lagged = v.withColumn("p", F.lag("x").over(Window.partitionBy("permno").orderBy("date")))
-    fit = lagged.groupBy("all", "permno").agg(F.regr_slope("x", "p").alias("lag1"), F.regr_intercept("x", "p").alias("const"))
-    long = fit.unpivot(["all", "permno"], ["lag1", "const"], "term", "coef")
-    return v, long.select("all", F.col("permno").alias("equation"), "term", F.when(F.col("term") == "lag1", F.col("permno")).otherwise(F.lit(-1)).alias("source"), "coef")
+def fitted_var(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(panel, coefficients) of the first-order model of all series."""
+    v = whole(spark, sf)
+    return v, E.var_ols(v, "all")
 
 
-@query("var_residuals", "permno:i date:d fitted:f6 resid:f6", f"WITH {REGIONS}, {OWN} SELECT permno, date, fitted, resid FROM r")
+@query("var_residuals", "permno:i date:d fitted:f6 resid:f6", f"WITH RECURSIVE {REGIONS}, {VAR} SELECT permno, date, fitted, resid FROM r")
 def var_residuals(spark: SparkSession, sf: str) -> DataFrame:
-    return E.residual_rows(*own_lag(spark, sf), "all")
+    return E.residual_rows(*fitted_var(spark, sf), "all")
 
 
-@query("mse_score", "neg_mse:f8", f"WITH {REGIONS}, {OWN} SELECT -avg(pow(resid, 2)) AS neg_mse FROM r")
+@query("mse_score", "neg_mse:f8", f"WITH RECURSIVE {REGIONS}, {VAR} SELECT -avg(pow(resid, 2)) AS neg_mse FROM r")
 def mse_score(spark: SparkSession, sf: str) -> DataFrame:
     return var_residuals(spark, sf).agg((-F.avg(F.pow("resid", 2))).alias("neg_mse"))
 
@@ -195,53 +219,52 @@ def _variation(res: DataFrame) -> DataFrame:
     return own.groupBy("permno").agg(F.sum("d2").alias("tss"), F.sum(F.pow("resid", 2)).alias("rss"), F.var_samp("actual").alias("var"))
 
 
-@query("var_r2", "equal:f6 variance:f6", f"WITH {REGIONS}, {OWN}, s AS (SELECT permno, sum(pow(resid, 2)) AS rss, var_samp(x) AS var, var_samp(x) * (count(*) - 1) AS tss FROM r GROUP BY 1) SELECT 1 - sum(rss) / sum(tss) AS equal, 1 - sum(rss / var) / sum(tss / var) AS variance FROM s")
+@query("var_r2", "equal:f6 variance:f6", f"WITH RECURSIVE {REGIONS}, {VAR}, s AS (SELECT permno, sum(pow(resid, 2)) AS rss, var_samp(x) AS var, var_samp(x) * (count(*) - 1) AS tss FROM r GROUP BY 1) SELECT 1 - sum(rss) / sum(tss) AS equal, 1 - sum(rss / var) / sum(tss / var) AS variance FROM s")
 def var_r2(spark: SparkSession, sf: str) -> DataFrame:
     s = _variation(var_residuals(spark, sf))
     return s.agg((1 - F.sum("rss") / F.sum("tss")).alias("equal"), (1 - F.sum(F.col("rss") / F.col("var")) / F.sum(F.col("tss") / F.col("var"))).alias("variance"))
 
 
-@query("granular_r2", "permno:i r2:f6", f"WITH {REGIONS}, {OWN} SELECT permno, 1 - sum(pow(resid, 2)) / (var_samp(x) * (count(*) - 1)) AS r2 FROM r GROUP BY 1")
+@query("granular_r2", "permno:i r2:f6", f"WITH RECURSIVE {REGIONS}, {VAR} SELECT permno, 1 - sum(pow(resid, 2)) / (var_samp(x) * (count(*) - 1)) AS r2 FROM r GROUP BY 1")
 def granular_r2(spark: SparkSession, sf: str) -> DataFrame:
     return _variation(var_residuals(spark, sf)).withColumn("r2", 1 - F.col("rss") / F.col("tss"))
 
 
-FACTOR_MODEL = f"""l AS (SELECT permno, date, x, lag(x) {BY}) AS p, avg(x) OVER (PARTITION BY date) AS f FROM v), o AS (SELECT permno, regr_slope(x, p) / 2 AS b, regr_slope(x, f) / 2 AS g, avg(x) AS c FROM l WHERE p IS NOT NULL GROUP BY 1),
-  k AS (SELECT l.permno, date, x, c, b * p AS vp, g * f AS fp FROM l JOIN o USING (permno) WHERE p IS NOT NULL)"""
+def factor_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the fitted model with one factor and all lags: permno, date, x, its mean c, vp (lag
+    part) and fp (factor part), both centred."""
+    v = whole(spark, sf)
+    coefs = E.var_ols(v, "all", factors=("mkt",))
+    lag = v.select(F.col("permno").alias("source"), F.lead("date").over(Window.partitionBy("permno").orderBy("date")).alias("date"), F.col("x").alias("p")).where("date is not null")
+    lags = lag.join(F.broadcast(coefs.where("term = 'lag1'")), "source").groupBy(F.col("equation").alias("permno"), "date").agg(F.sum(F.col("coef") * F.col("p")).alias("vp"))
+    loads = coefs.where("term = 'mkt'").select(F.col("equation").alias("permno"), F.col("coef").alias("g"))
+    both = v.join(lags, ["permno", "date"]).join(F.broadcast(loads), "permno").withColumn("fp", F.col("g") * F.col("mkt"))
+    own = Window.partitionBy("permno")
+    return both.select("permno", "date", "x", F.avg("x").over(own).alias("c"), *((F.col(c) - F.avg(c).over(own)).alias(c) for c in ("vp", "fp")))
 
 
-def factor_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of a model with one factor and own lags: permno, date, x, c, vp (lag part), fp (factor part)."""
-    v = regions(spark, sf)
-    v = v.withColumn("p", F.lag("x").over(Window.partitionBy("permno").orderBy("date"))).withColumn("f", F.avg("x").over(Window.partitionBy("date"))).where("p is not null")
-    o = v.groupBy("permno").agg((F.regr_slope("x", "p") / 2).alias("b"), (F.regr_slope("x", "f") / 2).alias("g"), F.avg("x").alias("c"))
-    return v.join(F.broadcast(o), "permno").withColumn("vp", F.col("b") * F.col("p")).withColumn("fp", F.col("g") * F.col("f"))
-
-
-def sum_of_squares(df: DataFrame, resid: F.Column) -> F.Column:
-    """Of demeaned residuals, over all series: t times the population variance, by series."""
+def sum_of_squares(resid: F.Column) -> F.Column:
+    """Of demeaned residuals, by series."""
     return F.var_pop(resid) * F.count(resid)
 
 
-@query("partial_r2", "factors:f6 var:f6", f"WITH {REGIONS}, {FACTOR_MODEL}, s AS (SELECT permno, var_pop(x - c - vp - fp) * count(*) AS f, var_pop(x - c - vp) * count(*) AS nf, var_pop(x - c - fp) * count(*) AS nv FROM k GROUP BY 1) SELECT 1 - sum(f) / sum(nf) AS factors, 1 - sum(f) / sum(nv) AS var FROM s")
+@query("partial_r2", "factors:f6 var:f6", f"WITH RECURSIVE {REGIONS}, {FACTOR_VAR}, s AS (SELECT permno, var_pop(x - c - vp - fp) * count(*) AS f, var_pop(x - c - vp) * count(*) AS nf, var_pop(x - c - fp) * count(*) AS nv FROM kk GROUP BY 1) SELECT 1 - sum(f) / sum(nf) AS factors, 1 - sum(f) / sum(nv) AS var FROM s")
 def partial_r2(spark: SparkSession, sf: str) -> DataFrame:
-    k = factor_model(spark, sf)
     base = F.col("x") - F.col("c")
-    s = k.groupBy("permno").agg(sum_of_squares(k, base - F.col("vp") - F.col("fp")).alias("full"), sum_of_squares(k, base - F.col("vp")).alias("no_f"), sum_of_squares(k, base - F.col("fp")).alias("no_v"))
+    s = factor_parts(spark, sf).groupBy("permno").agg(sum_of_squares(base - F.col("vp") - F.col("fp")).alias("full"), sum_of_squares(base - F.col("vp")).alias("no_f"), sum_of_squares(base - F.col("fp")).alias("no_v"))
     return s.agg((1 - F.sum("full") / F.sum("no_f")).alias("factors"), (1 - F.sum("full") / F.sum("no_v")).alias("var"))
 
 
-@query("component_r2", "factors:f6 var:f6", f"WITH {REGIONS}, {FACTOR_MODEL}, s AS (SELECT permno, var_pop(x) * count(*) AS t, var_pop(x - c - vp) * count(*) AS v, var_pop(x - c - fp) * count(*) AS f FROM k GROUP BY 1) SELECT 1 - sum(f) / sum(t) AS factors, 1 - sum(v) / sum(t) AS var FROM s")
+@query("component_r2", "factors:f6 var:f6", f"WITH RECURSIVE {REGIONS}, {FACTOR_VAR}, s AS (SELECT permno, var_pop(x) * count(*) AS t, var_pop(x - c - vp) * count(*) AS v, var_pop(x - c - fp) * count(*) AS f FROM kk GROUP BY 1) SELECT 1 - sum(f) / sum(t) AS factors, 1 - sum(v) / sum(t) AS var FROM s")
 def component_r2(spark: SparkSession, sf: str) -> DataFrame:
-    k = factor_model(spark, sf)
     base = F.col("x") - F.col("c")
-    s = k.groupBy("permno").agg(sum_of_squares(k, F.col("x")).alias("t"), sum_of_squares(k, base - F.col("vp")).alias("v"), sum_of_squares(k, base - F.col("fp")).alias("f"))
+    s = factor_parts(spark, sf).groupBy("permno").agg(sum_of_squares(F.col("x")).alias("t"), sum_of_squares(base - F.col("vp")).alias("v"), sum_of_squares(base - F.col("fp")).alias("f"))
     return s.agg((1 - F.sum("f") / F.sum("t")).alias("factors"), (1 - F.sum("v") / F.sum("t")).alias("var"))
 
 
-@query("factor_residuals", "permno:i date:d resid:f6 systematic:f8", f"WITH {REGIONS}, {FACTOR_MODEL} SELECT permno, date, x - c - fp AS resid, var_samp(fp) OVER (PARTITION BY permno) AS systematic FROM k")
+@query("factor_residuals", "permno:i date:d resid:f6 systematic:f8", f"WITH RECURSIVE {REGIONS}, {FACTOR_VAR} SELECT permno, date, x - c - fp AS resid, var_samp(fp) OVER (PARTITION BY permno) AS systematic FROM kk")
 def factor_residuals(spark: SparkSession, sf: str) -> DataFrame:
-    k = factor_model(spark, sf)
+    k = factor_parts(spark, sf)
     return k.withColumn("resid", F.col("x") - F.col("c") - F.col("fp")).withColumn("systematic", F.var_samp("fp").over(Window.partitionBy("permno")))
 
 
@@ -258,17 +281,14 @@ def penalty_mask(spark: SparkSession, sf: str) -> DataFrame:
     return n.crossJoin(n.select(F.col("equation").alias("source"))).withColumn("weight", F.when(F.col("equation") == F.col("source"), 0.0).otherwise(1.0))
 
 
-CORR = "c AS (SELECT a.permno AS i, b.permno AS j, corr(a.x, b.x) AS v FROM v a JOIN v b USING (date) GROUP BY 1, 2)"
-
-
-@query("coef_density", "density:f6 sparsity:f6 n_used:i", f"WITH {REGIONS}, {CORR}, t AS (SELECT CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END AS v FROM c) SELECT count_if(v <> 0) / count(*) AS density, 1 - count_if(v <> 0) / count(*) AS sparsity, count_if(v <> 0) AS n_used FROM t")
+@query("coef_density", "sampling_date:d density:f6 sparsity:f6 n_used:i")
 def coef_density(spark: SparkSession, sf: str) -> DataFrame:
-    c = P.correlations(regions(spark, sf), "x").select(F.when(F.abs("corr") > 0.5, F.col("corr")).otherwise(0.0).alias("v"))
-    used = F.count_if(F.col("v") != 0)
-    return c.agg((used / F.count(F.lit(1))).alias("density"), (1 - used / F.count(F.lit(1))).alias("sparsity"), used.alias("n_used"))
+    lags = elastic_net(spark, sf).where("term like 'lag%'").groupBy("sampling_date")
+    used, n = F.count_if(F.col("coef") != 0), F.count(F.lit(1))
+    return lags.agg((used / n).alias("density"), (1 - used / n).alias("sparsity"), used.alias("n_used"))
 
 
-# the reference's grids (settings.py:45-51)
+# the grids of the production runs (fixed values)
 VAR_GRID = {"alpha": np.geomspace(1e-4, 1e0, 13).tolist(), "lambdau": np.geomspace(1e-2, 1e1, 13).tolist()}
 COV_GRID = np.geomspace(1e-3, 1e0, 50).tolist()
 SIGMA_GRID = np.geomspace(1e-6, 1e-2, 50).tolist()
@@ -330,11 +350,26 @@ def estimate_sigma(spark: SparkSession, sf: str) -> DataFrame:
     return E.covariance(E.dealt(rolling(spark, sf), "sampling_date"), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), SIGMA_GRID)[1])
 
 
-@query("sparsity_stats", "cov_density:f6 prec_used:i df_full:i", f"WITH {REGIONS}, {CORR}, t AS (SELECT i, j, CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END AS v FROM c), n AS (SELECT count(DISTINCT i) AS n FROM t) SELECT count_if(v <> 0) / count(*) AS cov_density, CAST((count_if(v <> 0) - max(n)) / 2 + max(n) AS BIGINT) AS prec_used, max(n) * (max(n) - 1) // 2 AS df_full FROM t, n")
+def glasso_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """sampling_date, i, j, s, cov, prec: the sample's covariance, the graphical lasso's, and its precision."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = E.wide(pdf)
+        s = np.cov(w.to_numpy(), rowvar=False, ddof=0)
+        names, (cov, prec) = w.columns.to_numpy(), K.glasso(s, 0.01)
+        return M.edge_rows(names, s).rename(columns={"v": "s"}).assign(cov=cov.ravel(), prec=prec.ravel())
+
+    return E.windows(rolling(spark, sf), "sampling_date", fit, "i long, j long, s double, cov double, prec double")
+
+
+@query("sparsity_stats", "sampling_date:d cov_density:f6 prec_density:f6 prec_used:i df_full:i")
 def sparsity_stats(spark: SparkSession, sf: str) -> DataFrame:
-    c = P.correlations(regions(spark, sf), "x").select("i", F.when(F.abs("corr") > 0.5, F.col("corr")).otherwise(0.0).alias("v"))
-    used, n = F.count_if(F.col("v") != 0), F.count_distinct("i")
-    return c.agg((used / F.count(F.lit(1))).alias("cov_density"), ((used - n) / 2 + n).alias("prec_used"), (n * (n - 1) / 2).alias("df_full"))
+    # the precision is symmetric: of its entries those on and above the diagonal are free
+    used = F.count_if((F.abs("prec") > 1e-8) & (F.col("i") <= F.col("j")))
+    return glasso_pairs(spark, sf).groupBy("sampling_date").agg(
+        F.avg((F.abs("cov") > 1e-8).cast("double")).alias("cov_density"), F.avg((F.abs("prec") > 1e-8).cast("double")).alias("prec_density"),
+        used.alias("prec_used"), F.count_if(F.col("i") <= F.col("j")).alias("df_full"),
+    )
 
 
 @query("adaptive_threshold_cov", "i:i j:i v:f8", f"""WITH {REGIONS}, o AS (SELECT permno, date, x - avg(x) OVER (PARTITION BY permno) AS x FROM v), p AS (SELECT a.permno AS i, b.permno AS j, a.x * b.x AS p FROM o a JOIN o b USING (date)),
@@ -351,10 +386,13 @@ def correlation_sign_net(spark: SparkSession, sf: str) -> DataFrame:
     return P.pairs(o, "x", "permno", "date").where("i < j").groupBy("i", "j").agg(F.avg(F.signum(F.col("x_i") * F.col("x_j"))).alias("v"))
 
 
-@query("partial_corr", "i:i j:i corr:f6 pcorr:f6", f"WITH {REGIONS}, s AS (SELECT a.permno AS i, b.permno AS j, covar_samp(a.x, b.x) AS v FROM v a JOIN v b USING (date) GROUP BY 1, 2) SELECT s.i, s.j, CASE WHEN s.i = s.j THEN 1 ELSE s.v / sqrt(a.v * b.v) END AS corr, CASE WHEN s.i = s.j THEN 1 ELSE -s.v / sqrt(a.v * b.v) END AS pcorr FROM s JOIN s a ON a.i = s.i AND a.j = s.i JOIN s b ON b.i = s.j AND b.j = s.j")
+@query("partial_corr", "i:i j:i corr:f6 pcorr:f6", f"""WITH RECURSIVE {REGIONS}, s AS (SELECT a.permno AS i, b.permno AS j, covar_samp(a.x, b.x) AS v FROM v a JOIN v b USING (date) GROUP BY 1, 2),
+  aug AS (SELECT i, list(w ORDER BY kind, j) AS r FROM (SELECT i, 0 AS kind, j, v AS w FROM s UNION ALL SELECT i, 1, j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE 0 END FROM s) GROUP BY 1), {GAUSS_JORDAN},
+  p AS (SELECT ids[f] AS i, ids[g] AS j, m[f][len(ids) + g] / sqrt(m[f][len(ids) + f] * m[g][len(ids) + g]) AS v FROM sol, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids))
+  SELECT s.i, s.j, s.v / sqrt(a.v * b.v) AS corr, CASE WHEN s.i = s.j THEN 1 ELSE -p.v END AS pcorr FROM s JOIN s a ON a.i = s.i AND a.j = s.i JOIN s b ON b.i = s.j AND b.j = s.j JOIN p ON p.i = s.i AND p.j = s.j""")
 def partial_corr(spark: SparkSession, sf: str) -> DataFrame:
     s = P.covariances(regions(spark, sf), "x").withColumnRenamed("cov", "v")
-    return M.scaled_by_diagonal(s).withColumnRenamed("v", "corr").join(M.scaled_by_diagonal(s, -1.0).withColumnRenamed("v", "pcorr"), ["i", "j"])
+    return M.scaled_by_diagonal(s).withColumnRenamed("v", "corr").join(partial_corr_precision(spark, sf).select("i", "j", "pcorr"), ["i", "j"])
 
 
 @query("partial_corr_precision", "i:i j:i pcorr:f6")
@@ -363,52 +401,54 @@ def partial_corr_precision(spark: SparkSession, sf: str) -> DataFrame:
     return E.covariance(v, "all", lambda x: K.partial_correlation(np.linalg.pinv(np.cov(x, rowvar=False)))).withColumnRenamed("v", "pcorr")
 
 
-@query("shrinkage", "shrinkage:f6", f"WITH {REGIONS}, {CORR} SELECT 1 - avg(abs(CASE WHEN abs(v) > 0.5 THEN v ELSE 0 END)) / avg(abs(v)) AS shrinkage FROM c")
+@query("shrinkage", "sampling_date:d shrinkage:f6")
 def shrinkage(spark: SparkSession, sf: str) -> DataFrame:
-    c = P.correlations(regions(spark, sf), "x").withColumnRenamed("corr", "v")
-    return M.shrinkage(c.withColumn("v", F.when(F.abs("v") > 0.5, F.col("v")).otherwise(0.0)), c)
+    off = F.col("i") != F.col("j")
+    kept = F.avg(F.when(off, F.abs("cov"))) / F.avg(F.when(off, F.abs("s")))
+    return glasso_pairs(spark, sf).groupBy("sampling_date").agg((1 - kept).alias("shrinkage"))
 
 
 # --- decompositions ----------------------------------------------------------------------------
 
 # a small coefficient matrix and covariance that SQL can follow: a tenth of the lagged correlations
-AC = f"la AS (SELECT permno, x, lead(date) {BY}) AS date FROM v), a AS (SELECT v.permno AS i, la.permno AS j, corr(v.x, la.x) * CAST(0.1 AS DOUBLE) AS v FROM v JOIN la USING (date) GROUP BY 1, 2), s AS (SELECT x.permno AS i, y.permno AS j, covar_samp(x.x, y.x) AS v FROM v x JOIN v y USING (date) GROUP BY 1, 2), e AS (SELECT DISTINCT i, i AS j, CAST(1 AS DOUBLE) AS v FROM s)"
+AC = f"{VAR}, a AS (SELECT equation AS i, source AS j, coef AS v FROM bb), s AS (SELECT x.permno AS i, y.permno AS j, covar_samp(x.resid, y.resid) AS v FROM r x JOIN r y USING (date) GROUP BY 1, 2), e AS (SELECT DISTINCT i, i AS j, CAST(1 AS DOUBLE) AS v FROM s)"
 P2 = "a2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY 1, 2)"
 SUM2 = "u AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM e UNION ALL SELECT * FROM a UNION ALL SELECT * FROM a2) GROUP BY 1, 2), irv AS (SELECT u.i, s.j, sum(u.v * s.v) AS v FROM u JOIN s ON u.j = s.i GROUP BY 1, 2)"
 
 
 def small_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v = regions(spark, sf)
-    a = P.correlations(v, "x", lag=1).select("i", "j", (F.col("corr") * F.lit(0.1)).alias("v"))
-    return a, P.covariances(v, "x").withColumnRenamed("cov", "v")
+    """(coefficients, residual covariance) of the first-order model of all series, as edges."""
+    v, coefs = fitted_var(spark, sf)
+    a = coefs.where("term = 'lag1'").select(F.col("equation").alias("i"), F.col("source").alias("j"), F.col("coef").alias("v"))
+    return a, P.covariances(E.residual_rows(v, coefs, "all").select("permno", "date", F.col("resid").alias("x")), "x").withColumnRenamed("cov", "v")
 
 
-@query("vma_h", "h:i i:i j:i v:f8", f"WITH {REGIONS}, {AC}, {P2} SELECT 0 AS h, * FROM (SELECT a.i, a.j, coalesce(e.v, 0) AS v FROM a LEFT JOIN e USING (i, j)) WHERE v <> 0 UNION ALL SELECT 1, * FROM a UNION ALL SELECT 2, * FROM a2")
+@query("vma_h", "h:i i:i j:i v:f8", f"WITH RECURSIVE {REGIONS}, {AC}, {P2} SELECT 0 AS h, * FROM (SELECT a.i, a.j, coalesce(e.v, 0) AS v FROM a LEFT JOIN e USING (i, j)) WHERE v <> 0 UNION ALL SELECT 1, * FROM a UNION ALL SELECT 2, * FROM a2")
 def vma_h(spark: SparkSession, sf: str) -> DataFrame:
     a, _ = small_model(spark, sf)
     parts = [p.withColumn("h", F.lit(h)) for h, p in enumerate(M.vma(a, 2))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("irv", "i:i j:i v:f8", f"WITH {REGIONS}, {AC}, {P2}, {SUM2} SELECT i, j, v FROM irv")
+@query("irv", "i:i j:i v:f8", f"WITH RECURSIVE {REGIONS}, {AC}, {P2}, {SUM2} SELECT i, j, v FROM irv")
 def irv(spark: SparkSession, sf: str) -> DataFrame:
     return M.irv(*small_model(spark, sf), 3)
 
 
-@query("mse_h", "i:i mse:f8", f"""WITH {REGIONS}, {AC}, {P2}, ph AS (SELECT 0 AS h, * FROM e UNION ALL SELECT 1, * FROM a UNION ALL SELECT 2, * FROM a2), t AS (SELECT h, ph.i, s.j, sum(ph.v * s.v) AS v FROM ph JOIN s ON ph.j = s.i GROUP BY 1, 2, 3)
+@query("mse_h", "i:i mse:f8", f"""WITH RECURSIVE {REGIONS}, {AC}, {P2}, ph AS (SELECT 0 AS h, * FROM e UNION ALL SELECT 1, * FROM a UNION ALL SELECT 2, * FROM a2), t AS (SELECT h, ph.i, s.j, sum(ph.v * s.v) AS v FROM ph JOIN s ON ph.j = s.i GROUP BY 1, 2, 3)
   SELECT t.i, sum(t.v * ph.v) AS mse FROM t JOIN ph ON ph.h = t.h AND ph.i = t.i AND ph.j = t.j GROUP BY 1""")
 def mse_h(spark: SparkSession, sf: str) -> DataFrame:
     return M.mse(*small_model(spark, sf), 2)
 
 
-@query("irf_diag", "i:i j:i v:f8", f"WITH {REGIONS}, {AC} SELECT a.i, s.j, sum(a.v * s.v) / sqrt(max(d.v)) AS v FROM a JOIN s ON a.j = s.i JOIN s d ON d.i = s.j AND d.j = s.j GROUP BY 1, 2")
+@query("irf_diag", "i:i j:i v:f8", f"WITH RECURSIVE {REGIONS}, {AC} SELECT a.i, s.j, sum(a.v * s.v) / sqrt(max(d.v)) AS v FROM a JOIN s ON a.j = s.i JOIN s d ON d.i = s.j AND d.j = s.j GROUP BY 1, 2")
 def irf_diag(spark: SparkSession, sf: str) -> DataFrame:
     a, s = small_model(spark, sf)
     d = s.where("i = j").select("j", F.col("v").alias("d"))
     return M.matmul(a, s).join(F.broadcast(d), "j").withColumn("v", F.col("v") / F.sqrt("d"))
 
 
-@query("index_variance_decomp", "j:i v:f8", f"WITH {REGIONS}, {AC}, {P2}, {SUM2} SELECT j, sum(v / 5) / 5 AS v FROM irv GROUP BY 1")
+@query("index_variance_decomp", "j:i v:f8", f"WITH RECURSIVE {REGIONS}, {AC}, {P2}, {SUM2} SELECT j, sum(v / 5) / 5 AS v FROM irv GROUP BY 1")
 def index_variance_decomp(spark: SparkSession, sf: str) -> DataFrame:
     weight = 1 / 5
     return M.irv(*small_model(spark, sf), 3).groupBy("j").agg((F.sum(F.col("v") * weight) * weight).alias("v"))
@@ -498,7 +538,7 @@ def describe_var_cov(spark: SparkSession, sf: str) -> DataFrame:
     return E.windows(rolling(spark, sf), "sampling_date", describe, "statistic string, value double", least=12)
 
 
-@query("collect_var_cov", "permno:i mean_in:f6 mean_out:f6 var:f8", f"WITH {REGIONS}, {AC} SELECT x.i AS permno, mean_in, mean_out, s.v AS var FROM (SELECT i, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_in FROM a GROUP BY 1) x JOIN (SELECT j, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_out FROM a GROUP BY 1) y ON x.i = y.j JOIN s ON s.i = x.i AND s.j = x.i")
+@query("collect_var_cov", "permno:i mean_in:f6 mean_out:f6 var:f8", f"WITH RECURSIVE {REGIONS}, {AC} SELECT x.i AS permno, mean_in, mean_out, s.v AS var FROM (SELECT i, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_in FROM a GROUP BY 1) x JOIN (SELECT j, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_out FROM a GROUP BY 1) y ON x.i = y.j JOIN s ON s.i = x.i AND s.j = x.i")
 def collect_var_cov(spark: SparkSession, sf: str) -> DataFrame:
     a, s = small_model(spark, sf)
     off = F.avg(F.when(F.col("i") != F.col("j"), F.abs("v")))
@@ -506,10 +546,10 @@ def collect_var_cov(spark: SparkSession, sf: str) -> DataFrame:
     return got.join(sent, "permno").join(s.where("i = j").select(F.col("i").alias("permno"), F.col("v").alias("var")), "permno")
 
 
-@query("df_stats", "n:i df_full:i df_used:i share:f6", f"WITH {REGIONS}, {CORR} SELECT count(DISTINCT i) AS n, count(*) AS df_full, count_if(abs(v) > 0.5) AS df_used, count_if(abs(v) > 0.5) / count(*) AS share FROM c")
+@query("df_stats", "sampling_date:d n:i df_full:i df_used:i share:f6")
 def df_stats(spark: SparkSession, sf: str) -> DataFrame:
-    c, used = P.correlations(regions(spark, sf), "x"), F.count_if(F.abs("corr") > 0.5)
-    return c.agg(F.count_distinct("i").alias("n"), F.count(F.lit(1)).alias("df_full"), used.alias("df_used"), (used / F.count(F.lit(1))).alias("share"))
+    lags, used = elastic_net(spark, sf).where("term like 'lag%'").groupBy("sampling_date"), F.count_if(F.col("coef") != 0)
+    return lags.agg(F.count_distinct("equation").alias("n"), F.count(F.lit(1)).alias("df_full"), used.alias("df_used"), (used / F.count(F.lit(1))).alias("share"))
 
 
 # --- networks ----------------------------------------------------------------------------------

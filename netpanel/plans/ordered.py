@@ -78,12 +78,6 @@ def rolling_365d(spark: SparkSession, sf: str) -> DataFrame:
     return rolled(spark, sf)
 
 
-@query("rolling_std_lag21", "permno:i date:d z:f6", f"WITH {MONTHLY}, {ROLLED} SELECT permno, date, (ret - lag(mean, 3) {BY})) / nullif(lag(std, 3) {BY}), 0) AS z FROM r")
-def rolling_std_lag21(spark: SparkSession, sf: str) -> DataFrame:
-    w = X.over_time()
-    return rolled(spark, sf).withColumn("z", C.ratio(F.col("ret") - F.lag("mean", 3).over(w), F.lag("std", 3).over(w)))
-
-
 @query("inv_vol_weights", "permno:i date:d weight:f8", f"WITH {MONTHLY}, {ROLLED}, i AS (SELECT permno, date, 1 / nullif(lag(std, 3) {BY}), 0) AS v FROM r) SELECT permno, date, v / sum(v) OVER (PARTITION BY date) AS weight FROM i")
 def inv_vol_weights(spark: SparkSession, sf: str) -> DataFrame:
     r = rolled(spark, sf).withColumn("v", C.ratio(F.lit(1.0), F.lag("std", 3).over(X.over_time())))
@@ -169,10 +163,9 @@ def topn_select(spark: SparkSession, sf: str) -> DataFrame:
     return T.monthly(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 10")
 
 
-@query("sort_nulls", "permno:i k:i vol:f8", f"WITH {MONTHLY} SELECT permno, row_number() OVER (ORDER BY vol DESC NULLS LAST, permno) AS k, vol FROM m WHERE date = DATE '1998-12-31'")
+@query("sort_nulls", "date:d permno:i k:i vol:f8", f"WITH {MONTHLY} SELECT date, permno, row_number() OVER (PARTITION BY date ORDER BY vol DESC NULLS LAST, permno) AS k, vol FROM m")
 def sort_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    one = T.monthly(spark, sf).where("date = date'1998-12-31'")  # a single cross-section
-    return one.withColumn("k", F.row_number().over(Window.orderBy(F.col("vol").desc_nulls_last(), "permno")))
+    return T.monthly(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("date").orderBy(F.col("vol").desc_nulls_last(), "permno")))
 
 
 @query("last_row", "permno:i vol:f8 mcap:f2", f"WITH {MONTHLY} SELECT permno, vol, mcap FROM m QUALIFY row_number() OVER (PARTITION BY permno ORDER BY date DESC) = 1")
@@ -191,10 +184,13 @@ def unpivot_long(spark: SparkSession, sf: str) -> DataFrame:
     return T.monthly(spark, sf).unpivot(["permno", "date"], ["ret", "vol"], "measure", "value").where("value is not null")
 
 
-@query("transpose", "permno:i y1996:f2 y1997:f2 y1998:f2", f"WITH {MONTHLY} SELECT permno, {', '.join(f'sum(CASE WHEN year(date) = {y} THEN mcap END) AS y{y}' for y in (1996, 1997, 1998))} FROM m GROUP BY 1")
+YEARS = range(1995, 2002)  # all years of the tables: a wide result must name its columns
+
+
+@query("transpose", f"permno:i {' '.join(f'y{y}:f2' for y in YEARS)}", f"WITH {MONTHLY} SELECT permno, {', '.join(f'sum(CASE WHEN year(date) = {y} THEN mcap END) AS y{y}' for y in YEARS)} FROM m GROUP BY 1")
 def transpose(spark: SparkSession, sf: str) -> DataFrame:
     years = T.monthly(spark, sf).withColumn("y", F.concat(F.lit("y"), F.year("date")))
-    return years.groupBy("permno").pivot("y", ["y1996", "y1997", "y1998"]).agg(F.sum("mcap"))
+    return years.groupBy("permno").pivot("y", [f"y{y}" for y in YEARS]).agg(F.sum("mcap"))
 
 
 @query("transpose_long", "permno:i year:i mcap:f2", f"WITH {MONTHLY} SELECT permno, year(date) AS year, sum(mcap) AS mcap FROM m GROUP BY 1, 2")
@@ -233,6 +229,15 @@ def densify(spark: SparkSession, sf: str) -> DataFrame:
     return dense(spark, sf)
 
 
+@query("rolling_std_lag21", "permno:i date:d z:f4", f"""WITH {DAILY}, {DENSE}, r AS (SELECT *, CASE WHEN count(mcap) OVER w >= 6 THEN avg(mcap) OVER w END AS mean, CASE WHEN count(mcap) OVER w >= 6 THEN stddev_samp(mcap) OVER w END AS std FROM g WINDOW w AS (PARTITION BY permno ORDER BY date RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW))
+  SELECT permno, date, (mcap - lag(mean, 21) {BY})) / nullif(lag(std, 21) {BY}), 0) AS z FROM r""")
+def rolling_std_lag21(spark: SparkSession, sf: str) -> DataFrame:
+    g = dense(spark, sf)  # every asset has a row on every date, so 21 rows are 21 dates
+    mean, std = X.rolling_moments(F.col("mcap"), X.rolling_days("permno", "date", 365), 6)
+    w = X.over_time()
+    return g.withColumn("mean", mean).withColumn("std", std).withColumn("z", C.ratio(F.col("mcap") - F.lag("mean", 21).over(w), F.lag("std", 21).over(w)))
+
+
 # --- scalar functions -------------------------------------------------------------------
 
 

@@ -64,40 +64,29 @@ def q_factor_dates(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(F.to_date("raw", "yyyyMMdd").alias("date"), "mkt")
 
 
-def _by_day(spark: SparkSession, sf: str, kind: str, hours: int = 3) -> DataFrame:
-    e = T.table(spark, sf, "events").where((F.col("event_type") == kind) & (F.hour("ts") < hours))
+def _by_day(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    e = T.table(spark, sf, "events").where(F.col("event_type") == kind)
     return e.groupBy(F.col("ts").cast("date").alias("date")).agg(F.sum("value").alias(kind))
 
 
-@query("macro_chain", "date:d click:f2 view:f2 error:f2 d_click:f4", """WITH c AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS click FROM events WHERE event_type = 'click' AND hour(ts) < 3 GROUP BY 1),
-  v AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS view FROM events WHERE event_type = 'view' AND hour(ts) < 3 GROUP BY 1),
-  e AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS error FROM events WHERE event_type = 'error' AND hour(ts) < 3 GROUP BY 1)
-  SELECT date, click, view, error, click - lag(click) OVER (ORDER BY date) AS d_click FROM c FULL JOIN v USING (date) FULL JOIN e USING (date)""")
+DAY_SUMS = ", ".join(f"{k} AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS {k} FROM events WHERE event_type = '{k}' GROUP BY 1)" for k in ("click", "view", "error"))
+MACRO = f"WITH {DAY_SUMS} SELECT date, click, view, error, click - lag(click) OVER (ORDER BY date) AS d_click FROM click FULL JOIN view USING (date) FULL JOIN error USING (date)"
+CHAIN = f"WITH {DAY_SUMS} SELECT date, click, view FROM click FULL JOIN view USING (date)"
+
+
+@query("macro_chain_all", "date:d click:f2 view:f2 error:f2 d_click:f4", MACRO)
+@query("macro_chain", "date:d click:f2 view:f2 error:f2 d_click:f4", MACRO)
 def macro_chain(spark: SparkSession, sf: str) -> DataFrame:
     joined = P.outer_chain([_by_day(spark, sf, k) for k in ("click", "view", "error")], "date")
     return joined.withColumn("d_click", F.col("click") - F.lag("click").over(Window.orderBy("date")))  # one row a date
 
 
-@query("outer_chain", "date:d click:f2 view:f2", """SELECT date, click, view FROM (SELECT CAST(ts AS DATE) AS date, sum(value) AS click FROM events WHERE event_type = 'click' AND hour(ts) < 3 GROUP BY 1)
-  FULL JOIN (SELECT CAST(ts AS DATE) AS date, sum(value) AS view FROM events WHERE event_type = 'view' AND hour(ts) < 3 GROUP BY 1) USING (date)""")
+@query("outer_chain_all", "date:d click:f2 view:f2", CHAIN)
+@query("outer_chain", "date:d click:f2 view:f2", CHAIN)
 def outer_chain(spark: SparkSession, sf: str) -> DataFrame:
     return P.outer_chain([_by_day(spark, sf, k) for k in ("click", "view")], "date")
 
 
-DAY_SUMS = ", ".join(f"{k} AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS {k} FROM events WHERE event_type = '{k}' GROUP BY 1)" for k in ("click", "view", "error"))
-
-
-@query("macro_chain_all", "date:d click:f2 view:f2 error:f2 d_click:f4", f"WITH {DAY_SUMS} SELECT date, click, view, error, click - lag(click) OVER (ORDER BY date) AS d_click FROM click FULL JOIN view USING (date) FULL JOIN error USING (date)")
-def macro_chain_all(spark: SparkSession, sf: str) -> DataFrame:
-    joined = P.outer_chain([_by_day(spark, sf, k, 24) for k in ("click", "view", "error")], "date")
-    return joined.withColumn("d_click", F.col("click") - F.lag("click").over(Window.orderBy("date")))  # one row a date
-
-
-@query("outer_chain_all", "date:d click:f2 view:f2", f"WITH {DAY_SUMS} SELECT date, click, view FROM click FULL JOIN view USING (date)")
-def outer_chain_all(spark: SparkSession, sf: str) -> DataFrame:
-    return P.outer_chain([_by_day(spark, sf, k, 24) for k in ("click", "view")], "date")
-
-
 @query("year_range_scan", "permno:i date:d mcap:f2 year:i", f"WITH {MONTHLY} SELECT permno, date, mcap, year(date) AS year FROM m WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-06-30'")
 def year_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     return P.date_slice(T.monthly(spark, sf), "1996-03-01", "1998-06-30").withColumn("year", F.year("date"))
@@ -127,11 +116,10 @@ def sample_window(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("sampling_date", "leg").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-@query("sample_load", "permno:i date:d ret:f8 asset_order:i", f"""WITH {MONTHLY}, {SAMPLES} SELECT permno, date, ret, dense_rank() OVER (ORDER BY permno) AS asset_order FROM s WHERE sampling_date = DATE '1997-12-31'""")
+@query("sample_load", "sampling_date:d permno:i date:d ret:f8 asset_order:i", f"WITH {MONTHLY}, {SAMPLES} SELECT sampling_date, permno, date, ret, dense_rank() OVER (PARTITION BY sampling_date ORDER BY permno) AS asset_order FROM s")
 def sample_load(spark: SparkSession, sf: str) -> DataFrame:
-    one = samples(spark, sf).where("sampling_date = date'1997-12-31'")
-    order = one.select("permno").distinct().withColumn("asset_order", F.row_number().over(Window.orderBy("permno")))  # a sample's assets
-    return one.join(F.broadcast(order), "permno")
+    order = F.dense_rank().over(Window.partitionBy("sampling_date").orderBy("permno"))
+    return samples(spark, sf).withColumn("asset_order", order)
 
 
 @query("sample_aggregates", "sampling_date:d date:d ew:f8 vw:f8", f"WITH {MONTHLY}, {SAMPLES} SELECT sampling_date, date, avg(ret) AS ew, sum(ret * mcap) / sum(mcap) AS vw FROM s GROUP BY 1, 2")
@@ -521,15 +509,12 @@ def sector_share(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("share", X.share(F.col("mcap"), Window.partitionBy("date")))
 
 
-@query("top100_share", "date:d share:f8", f"WITH {MONTHLY}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mcap DESC, permno) AS k FROM m) SELECT date, sum(CASE WHEN k <= 20 THEN mcap END) / sum(mcap) AS share FROM r GROUP BY 1")
-def top100_share(spark: SparkSession, sf: str) -> DataFrame:
-    m = T.monthly(spark, sf)
-    total = m.groupBy("date").agg(F.sum("mcap").alias("total"))
-    return P.top_sum(m, "mcap", "mcap", 20, "date").join(total, "date").withColumn("share", C.ratio(F.col("top"), F.col("total")))
+TOP100 = f"WITH {MONTHLY}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mcap DESC, permno) AS k FROM m) SELECT date, sum(CASE WHEN k <= 100 THEN mcap END) / sum(mcap) AS share FROM r GROUP BY 1"
 
 
-@query("top100_share_all", "date:d share:f8", f"WITH {MONTHLY}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mcap DESC, permno) AS k FROM m) SELECT date, sum(CASE WHEN k <= 100 THEN mcap END) / sum(mcap) AS share FROM r GROUP BY 1")
-def top100_share_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("top100_share_all", "date:d share:f8", TOP100)
+@query("top100_share", "date:d share:f8", TOP100)
+def top100_share(spark: SparkSession, sf: str) -> DataFrame:
     m = T.monthly(spark, sf)
     total = m.groupBy("date").agg(F.sum("mcap").alias("total"))
     return P.top_sum(m, "mcap", "mcap", 100, "date").join(total, "date").withColumn("share", C.ratio(F.col("top"), F.col("total")))
