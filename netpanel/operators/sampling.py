@@ -11,14 +11,21 @@ from . import panel as P
 MEASURES = ("mcap", "mcap_volatility", "value_vola")
 
 
+def company_sums(rows: DataFrame, key: tuple[str, ...] = ("date", "permco")) -> DataFrame:
+    """mcap is the company's sum of the date, permno_mcap the security's own."""
+    company = F.coalesce(F.sum("mcap").over(Window.partitionBy(*key)), F.lit(0.0))
+    return rows.withColumn("permno_mcap", F.col("mcap")).withColumn("mcap", company)
+
+
 def representative(samples: DataFrame) -> DataFrame:
     """Of each company the securities with the greatest median variance (ties all stay, companies
-    without any variance go), with permno_mcap and the company's summed mcap."""
+    without any variance go), with company_sums(): of all the samples, unless their rows had
+    them before they were copied to their sampling dates."""
+    if "permno_mcap" not in samples.columns:
+        samples = company_sums(samples, ("sampling_date", "date", "permco"))
     medians = samples.groupBy("sampling_date", "permco", "permno").agg(F.median("var").alias("_m"))
     best = medians.withColumn("_t", F.max("_m").over(Window.partitionBy("sampling_date", "permco"))).where("_m = _t")
-    company = F.coalesce(F.sum("mcap").over(Window.partitionBy("sampling_date", "date", "permco")), F.lit(0.0))
-    whole = samples.withColumn("permno_mcap", F.col("mcap")).withColumn("mcap", company)
-    return whole.join(best.select("sampling_date", "permno"), ["sampling_date", "permno"], "left_semi")
+    return samples.join(best.select("sampling_date", "permno"), ["sampling_date", "permno"], "left_semi")
 
 
 def summary(samples: DataFrame, ahead: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def select_largest(described: DataFrame, n: int, method: str = "mean", variable:
 
 def sample_panel(rows: DataFrame, months: int, n: int, method: str = "mean", variable: str = "mcap") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(historic, future, selection) of all sampling dates."""
-    past = representative(P.rolling_samples(rows, months))
+    past = representative(P.rolling_samples(company_sums(rows), months))
     ahead = P.forward_samples(rows, months)
     chosen = select_largest(summary(past, ahead), n, method, variable)
     held = chosen.select("sampling_date", "permno", "asset_order")

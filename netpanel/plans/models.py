@@ -17,6 +17,7 @@ from ..sources import tables as T
 from ..sources.tables import MARKET, MONTHLY
 from .ordered import BY, REGIONS, regions
 from .registry import query
+from .relational import HORIZON_VALUES, HORIZONS
 
 J = "j AS (SELECT m.*, mkt, disp, size, rf FROM m JOIN f USING (date))"
 
@@ -58,10 +59,10 @@ def variance_decomp(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("idiosyncratic", F.when(rest > 0, rest))
 
 
-@query("forward_betas", "permno:i horizon:i beta:f5", f"WITH {MONTHLY}, {MARKET}, {J} SELECT permno, h AS horizon, regr_slope(ret, mkt) AS beta FROM j, (VALUES (6), (12), (24)) v(h) WHERE date > DATE '1998-12-31' AND date <= last_day(CAST(DATE '1998-12-31' + to_months(CAST(h AS INTEGER)) AS DATE)) GROUP BY 1, 2")
+@query("forward_betas", "permno:i horizon:i beta:f5", f"WITH {MONTHLY}, {MARKET}, {J} SELECT permno, h AS horizon, regr_slope(ret, mkt) AS beta FROM j, {HORIZON_VALUES} v(h) WHERE date > DATE '1998-12-31' AND date <= last_day(CAST(DATE '1998-12-31' + to_months(CAST(h AS INTEGER)) AS DATE)) GROUP BY 1, 2")
 def forward_betas(spark: SparkSession, sf: str) -> DataFrame:
     j = with_market(spark, sf).withColumn("sampling_date", F.to_date(F.lit("1998-12-31")))
-    return R.one_factor(P.horizons(j, "sampling_date", "date", [6, 12, 24], F.to_date(F.lit("2099-12-31"))), "ret", "mkt", ["permno", "horizon"])
+    return R.one_factor(P.horizons(j, "sampling_date", "date", HORIZONS, F.to_date(F.lit("2099-12-31"))), "ret", "mkt", ["permno", "horizon"])
 
 
 @query("cross_section_ols", "slope:f5 const:f6", f"WITH {MONTHLY}, {MARKET}, {J}, b AS (SELECT permno, regr_slope(ret, mkt) AS beta, avg(ret) AS mean FROM j GROUP BY 1) SELECT regr_slope(mean, beta) AS slope, regr_intercept(mean, beta) AS const FROM b")

@@ -13,7 +13,7 @@ from ..operators import sampling as S
 from ..sources import tables as T
 from ..sources.tables import DAILY, MARKET, MONTHLY, NAMES, SECURITIES
 from .registry import query
-from .relational import DENSE, FUTURE, SAMPLES, futures, samples
+from .relational import DENSE, FUTURE, HORIZON_VALUES, HORIZONS, SAMPLES, futures, samples
 
 BY = "OVER (PARTITION BY permno ORDER BY date"
 
@@ -141,11 +141,11 @@ def autocorr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return P.correlations(regions(spark, sf), "x", lag=1)
 
 
-@query("expanding_windows", "permno:i horizon:i ret:f8 var:f8", f"""WITH {MONTHLY} SELECT permno, h AS horizon, product(1 + ret) - 1 AS ret, var_samp(ret) * 252 AS var FROM m, (VALUES (1), (3), (6), (12), (24)) v(h)
+@query("expanding_windows", "permno:i horizon:i ret:f8 var:f8", f"""WITH {MONTHLY} SELECT permno, h AS horizon, product(1 + ret) - 1 AS ret, var_samp(ret) * 252 AS var FROM m, {HORIZON_VALUES} v(h)
   WHERE date > DATE '1998-12-31' AND date <= last_day(CAST(DATE '1998-12-31' + to_months(CAST(h AS INTEGER)) AS DATE)) GROUP BY 1, 2""")
 def expanding_windows(spark: SparkSession, sf: str) -> DataFrame:
     m = T.monthly(spark, sf).withColumn("sampling_date", F.to_date(F.lit("1998-12-31")))
-    h = P.horizons(m, "sampling_date", "date", [1, 3, 6, 12, 24], F.to_date(F.lit("2099-12-31")))
+    h = P.horizons(m, "sampling_date", "date", HORIZONS, F.to_date(F.lit("2099-12-31")))
     return h.groupBy("permno", "horizon").agg(P.compounded("ret").alias("ret"), (F.var_samp("ret") * 252).alias("var"))
 
 
@@ -396,12 +396,12 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
     rows = panel(spark, sf)
-    return S.summary(S.representative(P.rolling_samples(rows, 12)), P.forward_samples(rows, 12))
+    return S.summary(S.representative(P.rolling_samples(S.company_sums(rows), 12)), P.forward_samples(rows, 12))
 
 
 @query("permco_agg", "sampling_date:d permno:i date:d permno_mcap:f2 mcap:f2", f"WITH {PANEL}, {PAST}, {REPRESENTATIVE} SELECT sampling_date, permno, date, permno_mcap, mcap FROM p")
 def permco_agg(spark: SparkSession, sf: str) -> DataFrame:
-    return S.representative(P.rolling_samples(panel(spark, sf), 12))
+    return S.representative(P.rolling_samples(S.company_sums(panel(spark, sf)), 12))
 
 
 @query("mean_mcap_vol", "sampling_date:d permno:i mean_mcap_volatility:f2 last_mcap_volatility:f2", f"WITH {PANEL}, {PAST}, {AHEAD}, {REPRESENTATIVE}, {SUMMARY} SELECT sampling_date, permno, mean_mcap_volatility, last_mcap_volatility FROM su")
@@ -492,12 +492,12 @@ def daily_index_build(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("date").agg(F.avg("ret").alias("ew"), P.weighted_mean("ret", "mcap").alias("vw"), F.avg("cap").alias("capped"), F.avg("z").alias("z"), P.weighted_mean("ret", "v").alias("iv"))
 
 
-@query("index_stats_horizons", "sampling_date:d horizon:i ret:f8 var:f8", f"""WITH {MONTHLY}, {MARKET}, s AS (SELECT DISTINCT date AS sampling_date FROM f) SELECT sampling_date, h AS horizon, product(1 + mkt) - 1 AS ret, var_samp(mkt) * 252 AS var FROM s, f, (VALUES (1), (3), (6), (12)) v(h)
+@query("index_stats_horizons", "sampling_date:d horizon:i ret:f8 var:f8", f"""WITH {MONTHLY}, {MARKET}, s AS (SELECT DISTINCT date AS sampling_date FROM f) SELECT sampling_date, h AS horizon, product(1 + mkt) - 1 AS ret, var_samp(mkt) * 252 AS var FROM s, f, {HORIZON_VALUES} v(h)
   WHERE date > sampling_date AND date <= last_day(CAST(sampling_date + to_months(CAST(h AS INTEGER)) AS DATE)) AND last_day(CAST(sampling_date + to_months(CAST(h AS INTEGER)) AS DATE)) <= (SELECT max(date) FROM f) GROUP BY 1, 2""")
 def index_stats_horizons(spark: SparkSession, sf: str) -> DataFrame:
     f = T.market(spark, sf)
-    ahead = P.forward_samples(f, 12).join(F.broadcast(f.agg(F.max("date").alias("_max"))))
-    return P.horizons(ahead, "sampling_date", "date", [1, 3, 6, 12], F.col("_max")).groupBy("sampling_date", "horizon").agg(P.compounded("mkt").alias("ret"), (F.var_samp("mkt") * 252).alias("var"))
+    ahead = P.forward_samples(f, max(HORIZONS)).join(F.broadcast(f.agg(F.max("date").alias("_max"))))
+    return P.horizons(ahead, "sampling_date", "date", HORIZONS, F.col("_max")).groupBy("sampling_date", "horizon").agg(P.compounded("mkt").alias("ret"), (F.var_samp("mkt") * 252).alias("var"))
 
 
 @query("long_weights", "permno:i date:d weight:f10", f"WITH {MONTHLY} SELECT permno, date, mcap / nullif(sum(mcap) OVER (PARTITION BY date), 0) AS weight FROM m")

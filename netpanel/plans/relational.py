@@ -92,6 +92,8 @@ def year_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     return P.date_slice(T.monthly(spark, sf), "1996-03-01", "1998-06-30").withColumn("year", F.year("date"))
 
 
+HORIZONS = [1, 2, 3, 6, 9, 12, 18, 24, 36, 48, 60]  # months of the forecast windows (fixed values)
+HORIZON_VALUES = f"(VALUES {', '.join(f'({h})' for h in HORIZONS)})"
 SAMPLES = "s AS (SELECT m.*, CAST(last_day(CAST(date_trunc('month', date) + to_months(CAST(k AS INTEGER)) AS DATE)) AS DATE) AS sampling_date FROM m, range(0, 12) r(k) WHERE last_day(CAST(date_trunc('month', date) + to_months(CAST(k AS INTEGER)) AS DATE)) <= (SELECT max(date) FROM m))"
 FUTURE = "a AS (SELECT m.*, CAST(last_day(CAST(date_trunc('month', date) - to_months(CAST(k AS INTEGER)) AS DATE)) AS DATE) AS sampling_date FROM m, range(1, 13) r(k) WHERE last_day(CAST(date_trunc('month', date) - to_months(CAST(k AS INTEGER)) AS DATE)) >= (SELECT min(date) FROM m))"
 
