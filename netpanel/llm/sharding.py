@@ -150,14 +150,19 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     found = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "btn"), F.count(F.lit(1))).first()
     total, n_groups = np.maximum(np.array(found[:3], float), 1), found[3]
     weight = F.greatest(*(F.col(c) / F.lit(float(x)) for c, x in zip("btn", total, strict=True))) * BIG_PARTS
-    big = groups.where(weight > 1).withColumn("parts", F.when(weight * 2 * shards > BIG_PARTS, F.ceil(weight)).otherwise(1).cast("int")).toPandas()
+    big = groups.where(weight > 1).withColumn("parts", F.ceil(weight).cast("int")).withColumn("whole", weight * 2 * shards <= BIG_PARTS).toPandas()
     big["at"] = big["parts"].cumsum() - big["parts"]  # at most 3 * BIG_PARTS groups, and twice as many parts
     named = spark.createDataFrame([(bytes(d), int(p), int(a)) for d, p, a in zip(big["digest"], big["parts"], big["at"], strict=True)], "digest binary, parts int, at int")
     held = rows.join(F.broadcast(named), "digest").withColumn("at", (F.col("at") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int"))
     parts = held.groupBy("at").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("at")
-    where = place(parts[["b", "t", "n"]].to_numpy(float), np.tile(total / shards, (shards, 1)))
+    sums = parts[["b", "t", "n"]].to_numpy(float)
+    owner = np.searchsorted(big["at"].to_numpy(), parts["at"].to_numpy(), "right") - 1
+    # what is placed: a group, of whose parts each is a cell, or a part of a group that is too large
+    item = np.unique(np.where(big["whole"].to_numpy(bool)[owner], big["at"].to_numpy()[owner], parts["at"].to_numpy()), return_inverse=True)[1]
+    items = np.stack([np.bincount(item, sums[:, k], item.max(initial=-1) + 1) for k in range(3)], axis=1)
+    where = place(items, np.tile(total / shards, (shards, 1)))[item]
     placed = np.zeros((shards, 3))
-    np.add.at(placed, where, parts[["b", "t", "n"]].to_numpy(float))
+    np.add.at(placed, where, sums)
     rest = np.maximum(total / shards - placed, 1e-9 * total)
     rest /= rest.sum(axis=0)  # each shard's part of what all tasks together place
 
