@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, map_texts, materialize, mix64, run_dir
+from .common import discard, fresh, map_texts, materialize, mix64, run_dir, split_batch
 
 #: Digests that a bucket, and so one filter and one task's group, holds on average.
 BUCKET_DIGESTS = 200_000
@@ -177,8 +177,16 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 def _bytes_differ(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The digests (of reps: digest, doc_id) that stand for normalised texts of different bytes.
     A text is found by its doc_id and its own digest, so a doc_id may repeat with other texts."""
-    own = F.encode(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), "UTF-8")
-    texts = docs.select(*_key("doc_id"), _digest(F.col("text")).alias("digest"), own.alias("_raw"))
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in split_batch(batch, 1):
+                raw = [normalised(t) for t in part.column(1).to_pylist()]
+                digest = pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), digest, pa.array(raw, pa.binary())], names=["doc_id", "digest", "_raw"])
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(normal, "doc_id long, digest binary, _raw binary")
+    texts = read.select(*_key("doc_id"), "digest", "_raw")
     # a merge join at every size: neither side has a bound that would let it be broadcast
     found = reps.select(*_key("doc_id"), "digest").join(texts.hint("merge"), ["_id", "_null", "digest"])
     return found.groupBy("digest").agg(F.min("_raw").alias("a"), F.max("_raw").alias("b")).where("a <> b").select("digest")
