@@ -101,6 +101,8 @@ def elastic_net(gram: np.ndarray, xy: np.ndarray, n: int, lam: float, alpha: flo
     (rescale them to sum to k for the usual convention)."""
     g, c = gram / n, xy / n
     if alpha == 0 and lam > 0:  # ridge has a closed form
+        if (weights == weights[:, :1]).all():
+            return np.linalg.lstsq(g + np.diag(lam * weights[:, 0]), c, rcond=None)[0]
         return np.column_stack([np.linalg.lstsq(g + np.diag(lam * weights[:, m]), c[:, m], rcond=None)[0] for m in range(c.shape[1])])
     b = np.zeros_like(c) if start is None else start.copy()
     l1, l2 = lam * alpha * weights, lam * (1 - alpha) * weights
@@ -119,11 +121,11 @@ def elastic_net(gram: np.ndarray, xy: np.ndarray, n: int, lam: float, alpha: flo
     return b
 
 
-def elastic_nets(grams: np.ndarray, xys: np.ndarray, lam: float, alpha: float, weights: np.ndarray, tol: float = 1e-8, sweeps: int = 10_000) -> np.ndarray:
+def elastic_nets(grams: np.ndarray, xys: np.ndarray, lam: float, alpha: float, weights: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-8, sweeps: int = 10_000) -> np.ndarray:
     """elastic_net() of several samples (means of x'x: f x k x k, of x'y: f x k x m) with the same penalty, at once."""
     if alpha == 0 and lam > 0:
         return np.stack([elastic_net(g, c, 1, lam, alpha, weights) for g, c in zip(grams, xys, strict=True)])
-    b = np.zeros_like(xys)
+    b = np.zeros_like(xys) if start is None else start.copy()
     l1, l2 = lam * alpha * weights, lam * (1 - alpha) * weights
     scale = np.maximum(np.abs(xys).max(axis=(1, 2)), 1e-300)
     diagonal = np.einsum("fjj->fj", grams)

@@ -20,10 +20,10 @@ def wide(pdf: pd.DataFrame, value: str = "x") -> pd.DataFrame:
     return pdf.pivot(index="date", columns="permno", values=value).sort_index().dropna()
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df in a fixed number of partitions by window: adaptive execution would put the few rows of
-    all windows into one task, however long a window's search takes."""
-    return df.repartition(200, key)
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in a fixed number of partitions by window (and part of its work): adaptive execution would put
+    the few rows of all windows into one task, however long a window's search takes."""
+    return df.repartition(200, *keys)
 
 
 def windows(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, least: int = 8) -> DataFrame:
@@ -97,24 +97,29 @@ def net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, weights: np.ndar
     return K.elastic_net(x.T @ x, x.T @ y, len(y), lam * y.shape[1], alpha, weights)
 
 
-def fold_scores(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, weights: np.ndarray, folds: int) -> list[float]:
-    """Out-of-fold mean squared errors of net()."""
+def fold_scores(x: np.ndarray, y: np.ndarray, path: Iterable[float], alpha: float, weights: np.ndarray, folds: int) -> list[tuple[float, list[float]]]:
+    """(penalty, out-of-fold mean squared errors of net()) along a path of penalties. The folds' moments
+    are made once, each as the whole less the fold; penalties fall, and each fit starts from the last."""
     labels = K.time_folds(len(y), folds)
-    parts = [(x[labels != k], y[labels != k]) for k in range(folds)]
-    grams = np.stack([a.T @ a / len(a) for a, _ in parts])
-    xys = np.stack([a.T @ c / len(a) for a, c in parts])
-    b = K.elastic_nets(grams, xys, lam * y.shape[1], alpha, weights, tol=1e-6)
-    return [float(((y[labels == k] - x[labels == k] @ b[k]) ** 2).mean()) for k in range(folds)]
+    held = [(x[labels == k], y[labels == k]) for k in range(folds)]
+    rest = np.array([len(y) - len(a) for a, _ in held])[:, None, None]
+    grams = np.stack([x.T @ x - a.T @ a for a, _ in held]) / rest
+    xys = np.stack([x.T @ y - a.T @ c for a, c in held]) / rest
+    out, b = [], None
+    for lam in sorted(path, reverse=True):
+        b = K.elastic_nets(grams, xys, lam * y.shape[1], alpha, weights, b, tol=1e-6)
+        out.append((float(lam), [float(((c - a @ s) ** 2).mean()) for (a, c), s in zip(held, b, strict=True)]))
+    return out
 
 
 def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
     """key, alpha, lambdau, fold, mse: out-of-fold errors of each grid point on standardised data.
 
-    Windows and grid points are dealt out as tasks of their own; as the equations share
-    their regressors, a task works on one Gram matrix. With ``first`` (first_points()) the net is
+    Windows and values of alpha are dealt out as groups of their own, each with its whole path of
+    penalties; as the equations share their regressors, all of them work on one Gram matrix. With ``first`` (first_points()) the net is
     adaptive: its weights come from that first fit on the whole window. Factors are not penalised."""
     adaptive = first is not None
-    tasks = (df.join(F.broadcast(first), key) if adaptive else df).crossJoin(F.broadcast(grid))
+    tasks = (df.join(F.broadcast(first), key) if adaptive else df).crossJoin(F.broadcast(grid.groupBy("alpha").agg(F.collect_set("lambdau").alias("path"))))
     kind = dict(df.dtypes)[key]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,11 +127,11 @@ def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, fi
             return pd.DataFrame({c: [] for c in (key, "alpha", "lambdau", "fold", "mse")}, dtype=object)
         _, x, y = net_inputs(pdf, factors)
         weights = first_stage(x, y, gamma, free_diagonal, float(pdf["ini"].iloc[0])) if adaptive else mask(x, y, free_diagonal)
-        alpha, lam = float(pdf["alpha"].iloc[0]), float(pdf["lambdau"].iloc[0])
-        scores = fold_scores(x, y, lam, alpha, weights, folds)
-        return pd.DataFrame([(pdf[key].iloc[0], alpha, lam, k, e) for k, e in enumerate(scores)], columns=[key, "alpha", "lambdau", "fold", "mse"])
+        alpha = float(pdf["alpha"].iloc[0])
+        scores = fold_scores(x, y, pdf["path"].iloc[0], alpha, weights, folds)
+        return pd.DataFrame([(pdf[key].iloc[0], alpha, lam, k, e) for lam, errors in scores for k, e in enumerate(errors)], columns=[key, "alpha", "lambdau", "fold", "mse"])
 
-    return tasks.groupBy(key, "alpha", "lambdau").applyInPandas(score, f"{key} {kind}, alpha double, lambdau double, fold int, mse double")
+    return dealt(tasks, key, "alpha").groupBy(key, "alpha").applyInPandas(score, f"{key} {kind}, alpha double, lambdau double, fold int, mse double")
 
 
 def mask(x: np.ndarray, y: np.ndarray, free_diagonal: bool) -> np.ndarray:
@@ -139,8 +144,8 @@ def mask(x: np.ndarray, y: np.ndarray, free_diagonal: bool) -> np.ndarray:
     return K.rescale_weights(w)
 
 
-#: Points of each scale of the first stage's grid.
-FIRST_POINTS = 25
+#: Points of each scale of the first stage's grid, and the groups that they are dealt out in.
+FIRST_POINTS, FIRST_PARTS = 25, 5
 
 
 def guessed_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -152,22 +157,20 @@ def guessed_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def first_points(df: DataFrame, key: str, folds: int = 12, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
     """key, ini: each window's first-stage (ridge) penalty, the point of its guessed grid of least
-    out-of-fold error. Windows and points are dealt out as tasks."""
+    out-of-fold error. Windows and parts of the grid are dealt out as groups."""
     kind = dict(df.dtypes)[key]
-    at = df.sparkSession.range(2 * FIRST_POINTS).select(F.col("id").cast("int").alias("at"))
+    at = df.sparkSession.range(FIRST_PARTS).select(F.col("id").cast("int").alias("at"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({c: [] for c in (key, "ini", "mse")}, dtype=object)
         if len(wide(pdf)) < 2 * folds:
             return empty
         _, x, y = net_inputs(pdf, factors)
-        points, at = guessed_grid(x, y), int(pdf["at"].iloc[0])
-        if at >= len(points):  # the scales share their ends
-            return empty
-        mse = float(np.mean(fold_scores(x, y, points[at], 0.0, mask(x, y, free_diagonal), folds)))
-        return pd.DataFrame([(pdf[key].iloc[0], points[at], mse)], columns=[key, "ini", "mse"])
+        points = guessed_grid(x, y)[int(pdf["at"].iloc[0]) :: FIRST_PARTS]
+        scores = fold_scores(x, y, points, 0.0, mask(x, y, free_diagonal), folds)
+        return pd.DataFrame([(pdf[key].iloc[0], lam, float(np.mean(errors))) for lam, errors in scores], columns=[key, "ini", "mse"])
 
-    scores = df.crossJoin(F.broadcast(at)).groupBy(key, "at").applyInPandas(score, f"{key} {kind}, ini double, mse double")
+    scores = dealt(df.crossJoin(F.broadcast(at)), key, "at").groupBy(key, "at").applyInPandas(score, f"{key} {kind}, ini double, mse double")
     return scores.groupBy(key).agg(F.min(F.struct("mse", "ini")).alias("b")).select(key, F.col("b.ini").alias("ini"))
 
 
@@ -283,8 +286,8 @@ def decompositions(coefs: DataFrame, covs: DataFrame, key: str, table: str, hori
 
 def estimate_fevd(df: DataFrame, grid: DataFrame, key: str, alphas: Iterable[float], factors: tuple[str, ...] = (), horizon: int = 21, folds: int = 12) -> DataFrame:
     """key, i, j, v: adaptive net by cross-validation with unpenalised factors, residuals, graphical
-    lasso by cross-validation, decomposition table. The net's search is dealt out by grid point,
-    the rest by window."""
+    lasso by cross-validation, decomposition table. The net's search is dealt out by window
+    and alpha, the rest by window."""
     alphas = [float(a) for a in alphas]
     first = first_points(df, key, folds, factors=factors)
     best = best_point(penalised_path(df, grid, key, folds, first, factors=factors), key)

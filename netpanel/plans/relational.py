@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import windows as X
 from ..operators import panel as P
+from ..sources import catalog as D
 from ..sources import tables as T
 from ..sources.tables import DAILY, MARKET, MONTHLY, NAMES, SECURITIES, TRADES
 from .registry import query
@@ -39,6 +40,57 @@ def year_scan(spark: SparkSession, sf: str) -> DataFrame:
     return joined.withColumn("mcap", F.col("shrout") * F.col("prc")).withColumn("retadj", C.delisting_adjusted(F.col("ret"), F.col("dlret"))).withColumn("announced", F.coalesce("a", "b", F.lit(0)))
 
 
+@query("year_clean", "permno:i date:d trade:i line:i mcap:f2 retadj:f", f"""WITH {TRADES}, {NAMES}
+  SELECT tr.permno, tr.date, tr.trade, tr.line, tr.shrout * tr.prc AS mcap, (1 + coalesce(tr.ret, 0)) * (1 + coalesce(tr.dlret, 0)) - 1 AS retadj
+  FROM tr JOIN nm ON nm.permno = tr.permno AND tr.date BETWEEN nm.namedt AND nm.nameendt WHERE tr.date {YEAR} AND nm.exchcd BETWEEN 1 AND 3
+  QUALIFY row_number() OVER (PARTITION BY tr.permno, tr.date ORDER BY tr.trade, tr.line, tr.prc, tr.shrout, tr.ret, tr.dlret) = 1""")
+def year_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """A year's rows, one (the least trade) a security and day, with adjusted returns."""
+    first = F.row_number().over(Window.partitionBy("permno", "date").orderBy("trade", "line", "prc", "shrout", "ret", "dlret"))
+    one = crsp_year(spark, sf, 1996).withColumn("first", first).where("first = 1")
+    return one.withColumn("mcap", F.col("shrout") * F.col("prc")).withColumn("retadj", C.delisting_adjusted(F.col("ret"), F.col("dlret")))
+
+
+@query("stocknames_scan", "permno:i namedt:d nameendt:d comnam:s exchcd:i", f"WITH {NAMES} SELECT permno, namedt, nameendt, comnam, exchcd FROM nm")
+def stocknames_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return T.names(spark, sf)
+
+
+@query("securities_scan", "permno:i permco:i bal:f2 ticker:s", f"WITH {SECURITIES} SELECT * FROM sec")
+def securities_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return T.securities(spark, sf)
+
+
+PASSED = "SELECT n_regionkey AS region, count(*) AS n, min(n_name) AS first FROM {nation} GROUP BY n_regionkey"
+
+
+@query("sql_query", "region:i n:i first:s", PASSED.replace("{nation}", "nation"))
+def sql_query(spark: SparkSession, sf: str) -> DataFrame:
+    return D.query(spark, PASSED, nation=T.table(spark, sf, "nation"))
+
+
+@query("describe_table", "name:s type:s", "SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type FROM (DESCRIBE supplier)")
+def describe_table(spark: SparkSession, sf: str) -> DataFrame:
+    T.table(spark, sf, "supplier").createOrReplaceTempView("described")
+    return spark.createDataFrame(D.columns(spark, "described"), "name string, type string")
+
+
+@query("write_read", "permno:i date:d mcap:f2 year:i", f"WITH {MONTHLY} SELECT permno, date, mcap, year(date) AS year FROM m WHERE year(date) = 1997")
+def write_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The monthly panel written by year; one year's folder is read."""
+    path = D.scratch(spark, "panel")
+    D.write(T.monthly(spark, sf).withColumn("year", F.year("date")), path, ["year"])
+    return D.read(spark, path).where("year = 1997")
+
+
+@query("combined_dump", "permno:i date:d mcap:f2 ret:f8", f"""WITH {MONTHLY} SELECT permno, date, mcap, NULL AS ret FROM m WHERE date < DATE '1998-01-01'
+  UNION SELECT permno, date, mcap, ret FROM m WHERE date >= DATE '1997-01-01' UNION SELECT permno, date, mcap, ret FROM m WHERE date >= DATE '1998-01-01'""")
+def combined_dump(spark: SparkSession, sf: str) -> DataFrame:
+    m = T.monthly(spark, sf).select("permno", "date", "mcap", "ret")
+    parts = [P.date_slice(m, end="1997-12-31").drop("ret"), P.date_slice(m, start="1997-01-01"), P.date_slice(m, start="1998-01-01")]
+    return D.combined(parts, ["date", "permno"])
+
+
 @query("spy_scan", "trade:i line:i permno:i date:d prc:f2", f"""WITH {TRADES}, {NAMES}
   SELECT tr.trade, tr.line, tr.permno, tr.date, tr.prc FROM tr JOIN nm ON nm.permno = tr.permno AND nm.order_key = tr.trade WHERE nm.exchcd = 4 AND nm.comnam = '1-URGENT'""")
 def spy_scan(spark: SparkSession, sf: str) -> DataFrame:

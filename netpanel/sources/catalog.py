@@ -4,6 +4,7 @@ Nothing here lists or opens files by local paths; all goes through Spark's file
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -68,6 +69,15 @@ def write(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir or else the warehouse;
+    its file system deletes it when the program ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return p.toString()
+
+
 def latest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
     """Number and frame of the newest complete version of a stored table."""
     done = [int(n.split("=")[1]) for n in listing(spark, path) if n.startswith("version=") and "_SUCCESS" in listing(spark, f"{path}/{n}")]
