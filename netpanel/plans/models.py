@@ -17,7 +17,7 @@ from ..sources import tables as T
 from ..sources.tables import MARKET, MONTHLY
 from .ordered import BY, REGIONS, regions
 from .registry import query
-from .relational import HORIZON_VALUES, HORIZONS
+from .relational import HORIZON_VALUES, HORIZONS, SAMPLES
 
 J = "j AS (SELECT m.*, mkt, disp, size, rf FROM m JOIN f USING (date))"
 
@@ -84,7 +84,14 @@ def significance_stars(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("stars", R.stars(F.col("t")))
 
 
-@query("hac_ols", "permno:i term:s coef:f6 se:f8 tstat:f4")
+# a coefficient's error is a sum over dates, v; its variance adds the lagged products of v
+@query("hac_ols", "permno:i term:s coef:f6 se:f8 tstat:f4", f"""WITH {MONTHLY}, {MARKET}, {J}, r AS (SELECT permno, ret, mkt, row_number() {BY}) AS k FROM j WHERE ret IS NOT NULL AND mkt IS NOT NULL),
+  s AS (SELECT permno, count(*) AS n, avg(mkt) AS mean, regr_sxx(ret, mkt) AS sxx, regr_slope(ret, mkt) AS b, regr_intercept(ret, mkt) AS a, CAST(round(pow(count(*), 0.25)) AS INTEGER) AS lags FROM r GROUP BY 1 HAVING count(*) > 2),
+  e AS (SELECT permno, k, n, lags, mean, a, b, ret - a - b * mkt AS e, (mkt - mean) * (ret - a - b * mkt) / sxx AS v FROM r JOIN s USING (permno)),
+  t AS (SELECT permno, k, lags, 'const' AS term, a AS coef, e / n - mean * v AS v FROM e UNION ALL SELECT permno, k, lags, 'mkt', b, v FROM e),
+  q AS (SELECT x.permno, x.term, any_value(x.coef) AS coef, sqrt(sum(x.v * y.v * CASE WHEN x.k = y.k THEN 1.0 ELSE 2 * (1 - (x.k - y.k) / CAST(x.lags + 1 AS DOUBLE)) END)) AS se
+    FROM t x JOIN t y ON x.permno = y.permno AND x.term = y.term AND x.k - y.k BETWEEN 0 AND x.lags GROUP BY 1, 2)
+  SELECT permno, term, coef, se, coef / se AS tstat FROM q""")
 def hac_ols(spark: SparkSession, sf: str) -> DataFrame:
     return R.hac_ols(with_market(spark, sf), "ret", ["mkt"], "date", "permno")
 
@@ -161,11 +168,6 @@ def rolling(spark: SparkSession, sf: str, months: int = 36) -> DataFrame:
     return P.rolling_samples(v.join(m, "date"), months)
 
 
-@query("var_ols", "sampling_date:d equation:i term:s source:i coef:f5")
-def var_ols(spark: SparkSession, sf: str) -> DataFrame:
-    return E.var_ols(rolling(spark, sf), "sampling_date")
-
-
 # the first-order model of all series in SQL: centred regressors (the lags and, with a factor, the
 # mean over series as id -1), their cross products, and Gauss-Jordan elimination on them
 GAUSS_JORDAN = """m0 AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS ids FROM aug),
@@ -188,6 +190,25 @@ def fit_sql(factor: bool) -> str:
     FROM cu JOIN bb ON equation = permno JOIN cz ON cz.id = source AND cz.date = cu.date GROUP BY 1, 2)"""
 
 
+def window_fit_sql() -> str:
+    """The same of every window of 36 months: wb (window, source, equation, coef) and wm (window, series, its mean, its lag's)."""
+    windows = SAMPLES.replace("m.*", "v.*").replace("FROM m", "FROM v").replace("range(0, 12)", "range(0, 36)")
+    gauss_jordan = GAUSS_JORDAN.replace("m0 AS (SELECT list", "m0 AS (SELECT sampling_date, list").replace("FROM aug)", "FROM aug GROUP BY 1)").replace("gj AS (SELECT 0 AS k", "gj AS (SELECT sampling_date, 0 AS k").replace("UNION ALL SELECT k + 1", "UNION ALL SELECT sampling_date, k + 1").replace("sol AS (SELECT m", "sol AS (SELECT sampling_date, m")
+    return f"""{windows}, n AS (SELECT sampling_date, count(DISTINCT permno) AS n FROM s GROUP BY 1), full_dates AS (SELECT sampling_date, date FROM s JOIN n USING (sampling_date) GROUP BY 1, 2, n HAVING count(x) = n),
+  enough AS (SELECT sampling_date FROM full_dates JOIN n USING (sampling_date) GROUP BY 1, n HAVING count(*) >= 8 AND count(*) - 1 > n + 1),
+  lg AS (SELECT sampling_date, permno, date, x, lag(x) OVER (PARTITION BY sampling_date, permno ORDER BY date) AS p FROM s SEMI JOIN full_dates USING (sampling_date, date) SEMI JOIN enough USING (sampling_date)),
+  wm AS (SELECT sampling_date, permno, avg(x) AS c, avg(p) AS pm FROM lg WHERE p IS NOT NULL GROUP BY 1, 2), cu AS (SELECT sampling_date, permno, date, x - c AS y, p - pm AS z FROM lg JOIN wm USING (sampling_date, permno) WHERE p IS NOT NULL),
+  aug AS (SELECT sampling_date, i, list(w ORDER BY kind, j) AS r FROM (SELECT a.sampling_date, a.permno AS i, 0 AS kind, b.permno AS j, sum(a.z * b.z) AS w FROM cu a JOIN cu b USING (sampling_date, date) GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT a.sampling_date, a.permno, 1, b.permno, sum(a.z * b.y) FROM cu a JOIN cu b USING (sampling_date, date) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+  {gauss_jordan}, wb AS (SELECT sampling_date, ids[f] AS source, ids[g] AS equation, m[f][len(ids) + g] AS coef FROM sol, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids))"""
+
+
+@query("var_ols", "sampling_date:d equation:i term:s source:i coef:f5", f"""WITH RECURSIVE {REGIONS}, {window_fit_sql()} SELECT sampling_date, equation, 'lag1' AS term, source, coef FROM wb
+  UNION ALL SELECT sampling_date, equation, 'const', -1, any_value(e.c) - sum(coef * o.pm) FROM wb JOIN wm e USING (sampling_date) JOIN wm o USING (sampling_date) WHERE e.permno = equation AND o.permno = source GROUP BY 1, 2""")
+def var_ols(spark: SparkSession, sf: str) -> DataFrame:
+    return E.var_ols(rolling(spark, sf), "sampling_date")
+
+
 VAR = f"{fit_sql(False)}, r AS (SELECT permno, date, x, c + vp AS fitted, x - c - vp AS resid FROM kk)"
 FACTOR_VAR = fit_sql(True)
 
@@ -711,7 +732,13 @@ _spill("rolling_spill", "sampling_date:d c:f4 log_likelihood:f2", "mle", "c doub
 # --- instruments -----------------------------------------------------------------------------------
 
 
-@query("iv_2sls", "permno:i term:s coef:f4 se:f4")
+# two instruments in closed form: x is the centred fit of mkt on them
+@query("iv_2sls", "permno:i term:s coef:f4 se:f4", f"""WITH {MONTHLY}, {MARKET}, {J}, l AS (SELECT permno, ret, mkt, disp, lag(mkt) {BY}) AS lm FROM j), c AS (SELECT * FROM l WHERE ret IS NOT NULL AND mkt IS NOT NULL AND lm IS NOT NULL AND disp IS NOT NULL),
+  g AS (SELECT permno, count(*) AS n, avg(mkt) AS m, avg(lm) AS ml, avg(disp) AS md, covar_pop(lm, lm) AS ll, covar_pop(disp, disp) AS dd, covar_pop(lm, disp) AS ld, covar_pop(mkt, lm) AS cl, covar_pop(mkt, disp) AS cd FROM c GROUP BY 1 HAVING count(*) > 4),
+  h AS (SELECT permno, n, m, ret, mkt, ((cl * dd - cd * ld) * (lm - ml) + (cd * ll - cl * ld) * (disp - md)) / (ll * dd - ld * ld) AS x FROM c JOIN g USING (permno)),
+  b AS (SELECT permno, n, m, avg(ret) AS y, sum(x * x) AS xx, sum(x * ret) / sum(x * x) AS beta FROM h GROUP BY 1, 2, 3),
+  e AS (SELECT permno, b.n, b.m, y, beta, xx, sum(pow(ret - y - beta * (mkt - b.m), 2)) / any_value(b.n - 2) AS s2 FROM h JOIN b USING (permno) GROUP BY 1, 2, 3, 4, 5, 6)
+  SELECT permno, 'const' AS term, y - beta * m AS coef, sqrt(s2 * (1.0 / n + m * m / xx)) AS se FROM e UNION ALL SELECT permno, 'mkt', beta, sqrt(s2 / xx) FROM e""")
 def iv_2sls(spark: SparkSession, sf: str) -> DataFrame:
     j = with_market(spark, sf).withColumn("lm", F.lag("mkt").over(Window.partitionBy("permno").orderBy("date")))
     return R.k_class(j, "ret", ["mkt"], ["lm", "disp"], "permno", "2sls")
