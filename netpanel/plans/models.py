@@ -635,12 +635,23 @@ def one_window(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("v", F.col("v") / total).withColumn("w", F.lit(1))
 
 
-@query("eigenvector_centrality", "node:i n_in:f5 n_out:f5")
+def power_sql(incoming: str, outgoing: str) -> str:
+    """Dominant vectors of two matrices, given by their cells (i, j) over the dense table, by sixty steps of the power method."""
+    return f"""ids AS (SELECT i AS id FROM n UNION SELECT j FROM n), dense AS (SELECT a.id AS i, b.id AS j, coalesce(v, 0) AS v FROM ids a CROSS JOIN ids b LEFT JOIN n ON n.i = a.id AND n.j = b.id),
+  rowed AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM dense), scaled AS (SELECT i, j, v, v / sum(v) OVER (PARTITION BY j) AS vc, 1.0 / sqrt(count(*) OVER ()) AS one FROM rowed),
+  cells AS (SELECT 'in' AS side, i AS a, j AS b, {incoming} AS g FROM scaled UNION ALL SELECT 'out', j, i, {outgoing} FROM scaled),
+  p0 AS (SELECT side, list(r ORDER BY a) AS m, list(a ORDER BY a) AS nodes FROM (SELECT side, a, list(CAST(g AS DOUBLE) ORDER BY b) AS r FROM cells GROUP BY 1, 2) GROUP BY 1),
+  it AS (SELECT side, 0 AS k, m, nodes, list_transform(nodes, lambda o: CAST(1 AS DOUBLE)) AS x FROM p0 UNION ALL
+    SELECT side, k + 1, m, nodes, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) FROM (SELECT side, k, m, nodes, list_transform(m, lambda r: list_dot_product(r, x)) AS y FROM it WHERE k < 60))
+  SELECT node, max(CASE WHEN side = 'in' THEN v END) AS n_in, max(CASE WHEN side = 'out' THEN v END) AS n_out FROM (SELECT side, unnest(nodes) AS node, unnest(x) AS v FROM it WHERE k = 60) GROUP BY 1"""
+
+
+@query("eigenvector_centrality", "node:i n_in:f5 n_out:f5", f"WITH RECURSIVE {NET}, {power_sql('v', 'v')}")
 def eigenvector_centrality(spark: SparkSession, sf: str) -> DataFrame:
     return M.eigenvector_centrality(one_window(spark, sf), "w")
 
 
-@query("pagerank", "node:i n_in:f5 n_out:f5")
+@query("pagerank", "node:i n_in:f5 n_out:f5", f"WITH RECURSIVE {NET}, {power_sql('0.85 * vc + 0.15 * one', '0.85 * v + 0.15 * one')}")
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return M.page_rank(one_window(spark, sf), "w")
 
