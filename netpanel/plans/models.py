@@ -489,8 +489,35 @@ def estimates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return coefs, E.windows(w, "sampling_date", resid_cov, "i long, j long, v double", least=12)
 
 
+def product_sql(a: str, b: str) -> str:
+    return f"list_transform({a}, lambda r: list_transform(range(1, len({b}) + 1), lambda c: list_dot_product(r, list_transform({b}, lambda q: q[c]))))"
+
+
+def decomposition_sql(horizon: int) -> str:
+    """fev (window, i, j, v) of every window: the residuals' covariance, its root by the coupled Newton iteration,
+    and the responses' squares over the horizon; a row's sum is its mean squared error, as the root is symmetric."""
+    unit = "list_transform(range(1, len(ids) + 1), lambda o: list_transform(range(1, len(ids) + 1), lambda c: CASE WHEN o = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))"
+    half = "list_transform({0}, lambda r: list_transform(r, lambda q: q / 2))"
+    return f"""{window_fit_sql()}, res AS (SELECT u.sampling_date, u.date, u.permno AS i, any_value(u.y) - sum(coef * o.z) AS e FROM cu u JOIN wb ON wb.sampling_date = u.sampling_date AND equation = u.permno
+    JOIN cu o ON o.sampling_date = u.sampling_date AND o.date = u.date AND o.permno = source GROUP BY 1, 2, 3),
+  cv AS (SELECT a.sampling_date, a.i, b.i AS j, covar_samp(a.e, b.e) AS v FROM res a JOIN res b USING (sampling_date, date) GROUP BY 1, 2, 3 HAVING count(*) >= 11),
+  sm AS (SELECT sampling_date, list(r ORDER BY i) AS sg, list(i ORDER BY i) AS ids, sqrt(sum(ss)) AS size FROM (SELECT sampling_date, i, list(v ORDER BY j) AS r, sum(v * v) AS ss FROM cv GROUP BY 1, 2) GROUP BY 1),
+  am AS (SELECT sampling_date, list(r ORDER BY equation) AS am FROM (SELECT sampling_date, equation, list(coef ORDER BY source) AS r FROM wb GROUP BY 1, 2) GROUP BY 1),
+  nw AS (SELECT sampling_date, 0 AS k, ids, list_transform(sg, lambda r: list_transform(r, lambda q: q / size)) AS yy, {unit} AS zz FROM sm
+    UNION ALL SELECT sampling_date, k + 1, ids, {half.format(product_sql('yy', 'tt'))}, {half.format(product_sql('tt', 'zz'))} FROM (SELECT sampling_date, k, ids, yy, zz,
+      list_transform(zy, lambda r, o: list_transform(r, lambda q, c: CASE WHEN o = c THEN 3 - q ELSE -q END)) AS tt FROM (SELECT *, {product_sql('zz', 'yy')} AS zy FROM nw WHERE k < 40))),
+  rt AS (SELECT sampling_date, nw.ids, am, list_transform(yy, lambda r: list_transform(r, lambda q: q * sqrt(size))) AS rt FROM nw JOIN sm USING (sampling_date) JOIN am USING (sampling_date) WHERE k = 40),
+  rs AS (SELECT sampling_date, 0 AS h, ids, am, rt AS im FROM rt UNION ALL SELECT sampling_date, h + 1, ids, am, {product_sql('am', 'im')} FROM rs WHERE h < {horizon}),
+  fev AS (SELECT sampling_date, ids[f] AS i, ids[g] AS j, sum(pow(im[f][g], 2)) AS v FROM rs, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids) GROUP BY 1, 2, 3)"""
+
+
+FEV = decomposition_sql(21)
+SHARES = {"fev": "v", "fu": "sqrt(v)", "fevd": "v / sum(v) OVER (PARTITION BY sampling_date, i)", "fud": "sqrt(v) / sum(sqrt(v)) OVER (PARTITION BY sampling_date, i)"}
+FEVD = f"{FEV}, tb AS (SELECT sampling_date, i, j, {SHARES['fevd']} AS v FROM fev)"
+
+
 def table_query(name: str, table: str, horizon: int) -> None:
-    @query(name, "sampling_date:d i:i j:i v:f4")
+    @query(name, "sampling_date:d i:i j:i v:f4", f"WITH RECURSIVE {REGIONS}, {decomposition_sql(horizon)} SELECT sampling_date, i, j, {SHARES[table]} AS v FROM fev")
     def run(spark: SparkSession, sf: str) -> DataFrame:
         coefs, covs = estimates(spark, sf)
         key = covs.select("sampling_date").distinct()
@@ -509,12 +536,13 @@ def fevd_table(spark: SparkSession, sf: str) -> DataFrame:
     return E.decompositions(coefs.join(key, "sampling_date", "left_semi"), covs, "sampling_date", "fevd", 21)
 
 
-@query("fevd_edges", "sampling_date:d src:i dst:i weight:f4")
+@query("fevd_edges", "sampling_date:d src:i dst:i weight:f4", f"WITH RECURSIVE {REGIONS}, {FEVD} SELECT sampling_date, j AS src, i AS dst, v AS weight FROM tb WHERE i <> j")
 def fevd_edges(spark: SparkSession, sf: str) -> DataFrame:
     return fevd_table(spark, sf).where("i <> j").select("sampling_date", F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("weight"))
 
 
-@query("fevd_stats", "sampling_date:d node:i n_in:f4 n_out:f4 n_net:f4")
+@query("fevd_stats", "sampling_date:d node:i n_in:f4 n_out:f4 n_net:f4", f"""WITH RECURSIVE {REGIONS}, {FEVD} SELECT sampling_date, node, n_in, n_out, n_out - n_in AS n_net FROM (SELECT sampling_date, i AS node, sum(v) AS n_in FROM tb WHERE i <> j GROUP BY 1, 2)
+  JOIN (SELECT sampling_date, j AS node, sum(v) AS n_out FROM tb WHERE i <> j GROUP BY 1, 2) USING (sampling_date, node)""")
 def fevd_stats(spark: SparkSession, sf: str) -> DataFrame:
     return M.connectedness(fevd_table(spark, sf), ["sampling_date"])
 
