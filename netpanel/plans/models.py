@@ -190,17 +190,20 @@ def fit_sql(factor: bool) -> str:
     FROM cu JOIN bb ON equation = permno JOIN cz ON cz.id = source AND cz.date = cu.date GROUP BY 1, 2)"""
 
 
+# the elimination of every window at once
+WINDOW_JORDAN = GAUSS_JORDAN.replace("m0 AS (SELECT list", "m0 AS (SELECT sampling_date, list").replace("FROM aug)", "FROM aug GROUP BY 1)").replace("gj AS (SELECT 0 AS k", "gj AS (SELECT sampling_date, 0 AS k").replace("UNION ALL SELECT k + 1", "UNION ALL SELECT sampling_date, k + 1").replace("sol AS (SELECT m", "sol AS (SELECT sampling_date, m")
+
+
 def window_fit_sql() -> str:
     """The same of every window of 36 months: wb (window, source, equation, coef) and wm (window, series, its mean, its lag's)."""
     windows = SAMPLES.replace("m.*", "v.*").replace("FROM m", "FROM v").replace("range(0, 12)", "range(0, 36)")
-    gauss_jordan = GAUSS_JORDAN.replace("m0 AS (SELECT list", "m0 AS (SELECT sampling_date, list").replace("FROM aug)", "FROM aug GROUP BY 1)").replace("gj AS (SELECT 0 AS k", "gj AS (SELECT sampling_date, 0 AS k").replace("UNION ALL SELECT k + 1", "UNION ALL SELECT sampling_date, k + 1").replace("sol AS (SELECT m", "sol AS (SELECT sampling_date, m")
     return f"""{windows}, n AS (SELECT sampling_date, count(DISTINCT permno) AS n FROM s GROUP BY 1), full_dates AS (SELECT sampling_date, date FROM s JOIN n USING (sampling_date) GROUP BY 1, 2, n HAVING count(x) = n),
   enough AS (SELECT sampling_date FROM full_dates JOIN n USING (sampling_date) GROUP BY 1, n HAVING count(*) >= 8 AND count(*) - 1 > n + 1),
   lg AS (SELECT sampling_date, permno, date, x, lag(x) OVER (PARTITION BY sampling_date, permno ORDER BY date) AS p FROM s SEMI JOIN full_dates USING (sampling_date, date) SEMI JOIN enough USING (sampling_date)),
   wm AS (SELECT sampling_date, permno, avg(x) AS c, avg(p) AS pm FROM lg WHERE p IS NOT NULL GROUP BY 1, 2), cu AS (SELECT sampling_date, permno, date, x - c AS y, p - pm AS z FROM lg JOIN wm USING (sampling_date, permno) WHERE p IS NOT NULL),
   aug AS (SELECT sampling_date, i, list(w ORDER BY kind, j) AS r FROM (SELECT a.sampling_date, a.permno AS i, 0 AS kind, b.permno AS j, sum(a.z * b.z) AS w FROM cu a JOIN cu b USING (sampling_date, date) GROUP BY 1, 2, 3, 4
     UNION ALL SELECT a.sampling_date, a.permno, 1, b.permno, sum(a.z * b.y) FROM cu a JOIN cu b USING (sampling_date, date) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
-  {gauss_jordan}, wb AS (SELECT sampling_date, ids[f] AS source, ids[g] AS equation, m[f][len(ids) + g] AS coef FROM sol, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids))"""
+  {WINDOW_JORDAN}, wb AS (SELECT sampling_date, ids[f] AS source, ids[g] AS equation, m[f][len(ids) + g] AS coef FROM sol, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids))"""
 
 
 @query("var_ols", "sampling_date:d equation:i term:s source:i coef:f5", f"""WITH RECURSIVE {REGIONS}, {window_fit_sql()} SELECT sampling_date, equation, 'lag1' AS term, source, coef FROM wb
@@ -511,6 +514,16 @@ def decomposition_sql(horizon: int) -> str:
   fev AS (SELECT sampling_date, ids[f] AS i, ids[g] AS j, sum(pow(im[f][g], 2)) AS v FROM rs, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids) GROUP BY 1, 2, 3)"""
 
 
+def inverse_sql(table: str) -> str:
+    """inv (window, i, j, v): the inverses of a table of cells, by elimination."""
+    jordan = WINDOW_JORDAN
+    for name in ("aug", "m0", "gj", "sol"):
+        jordan = jordan.replace(f"{name} AS", f"{name}_inv AS").replace(f"FROM {name} ", f"FROM {name}_inv ")
+    return f"""aug_inv AS (SELECT sampling_date, i, list(w ORDER BY kind, j) AS r FROM (SELECT sampling_date, i, 0 AS kind, j, v AS w FROM {table}
+    UNION ALL SELECT sampling_date, i, 1, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM {table}) GROUP BY 1, 2),
+  {jordan}, inv AS (SELECT sampling_date, ids[f] AS i, ids[g] AS j, m[f][len(ids) + g] AS v FROM sol_inv, range(1, 200) q(f), range(1, 200) w(g) WHERE f <= len(ids) AND g <= len(ids))"""
+
+
 FEV = decomposition_sql(21)
 SHARES = {"fev": "v", "fu": "sqrt(v)", "fevd": "v / sum(v) OVER (PARTITION BY sampling_date, i)", "fud": "sqrt(v) / sum(sqrt(v)) OVER (PARTITION BY sampling_date, i)"}
 FEVD = f"{FEV}, tb AS (SELECT sampling_date, i, j, {SHARES['fevd']} AS v FROM fev)"
@@ -547,7 +560,8 @@ def fevd_stats(spark: SparkSession, sf: str) -> DataFrame:
     return M.connectedness(fevd_table(spark, sf), ["sampling_date"])
 
 
-@query("generalized_cov", "sampling_date:d i:i j:i v:f4")
+@query("generalized_cov", "sampling_date:d i:i j:i v:f4", f"""WITH RECURSIVE {REGIONS}, {FEV}, {inverse_sql('cv')} SELECT inv.sampling_date, inv.i, inv.j, sqrt(a.v) * inv.v * sqrt(b.v) AS v
+  FROM inv JOIN cv a ON a.sampling_date = inv.sampling_date AND a.i = inv.i AND a.j = inv.i JOIN cv b ON b.sampling_date = inv.sampling_date AND b.i = inv.j AND b.j = inv.j""")
 def generalized_cov(spark: SparkSession, sf: str) -> DataFrame:
     _, covs = estimates(spark, sf)
     return M.by_window(covs, "sampling_date", lambda n, m: M.edge_rows(n, K.Decomposition([], m).generalised_cov()), "i long, j long, v double")
@@ -684,7 +698,8 @@ def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return M.page_rank(one_window(spark, sf), "w")
 
 
-@query("leontief_network", "sampling_date:d node:i n_in:f4 n_out:f4")
+@query("leontief_network", "sampling_date:d node:i n_in:f4 n_out:f4", f"""WITH RECURSIVE {REGIONS}, {FEVD}, less AS (SELECT sampling_date, i, j, CASE WHEN i = j THEN 1 ELSE -v END AS v FROM tb), {inverse_sql('less')}
+  SELECT sampling_date, node, n_in, n_out FROM (SELECT sampling_date, i AS node, sum(v) AS n_in FROM inv WHERE i <> j GROUP BY 1, 2) JOIN (SELECT sampling_date, j AS node, sum(v) AS n_out FROM inv WHERE i <> j GROUP BY 1, 2) USING (sampling_date, node)""")
 def leontief_network(spark: SparkSession, sf: str) -> DataFrame:
     return M.connectedness(M.leontief(fevd_table(spark, sf), "sampling_date"), ["sampling_date"])
 
