@@ -29,6 +29,19 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+
+
+def gaps_around(*kept: tuple[int, int]) -> np.ndarray:
+    """For each byte whether it lies between words; kept: ranges (both ends in) that words are made of."""
+    out = np.ones(256, bool)
+    for low, high in kept:
+        out[low : high + 1] = False
+    return out
+
+
+#: Between words of ASCII letters and all beyond ASCII; the same with digits in words.
+NOT_LETTERS = gaps_around((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+NOT_ALPHANUMERIC = gaps_around((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _runs: set[str] = set()
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -181,25 +194,25 @@ def _hash_span(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a list of texts (None: no words).
+    """The words ``[^\\x20\\x09-\\x0D]+`` (or what lies between other gaps) of a list of texts (None: no words).
 
     buf: bytes of all texts, a line feed after each; starts, ends: of each word in
     buf; first: index of each text's first word, with the number of words at the end."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False) -> None:
-        self._cut([b"" if t is None else t.encode() for t in texts], lower)
+    def __init__(self, texts: list[str | None], lower: bool = False, gaps: np.ndarray = _SPACE) -> None:
+        self._cut([b"" if t is None else t.encode() for t in texts], lower, gaps)
 
     @classmethod
     def of_bytes(cls, raw: list[bytes]) -> Words:
         out = cls.__new__(cls)
-        out._cut(raw, False)
+        out._cut(raw, False, _SPACE)
         return out
 
-    def _cut(self, raw: list[bytes], lower: bool) -> None:
+    def _cut(self, raw: list[bytes], lower: bool, gaps: np.ndarray) -> None:
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
-        space = _SPACE[self.buf]
+        space = gaps[self.buf]
         before = np.empty_like(space)
         before[0] = True
         before[1:] = space[:-1]
@@ -227,6 +240,19 @@ class Words:
         return out
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def distinct_at(sorted_values: np.ndarray) -> np.ndarray:
+    """True at the first of each run of equal values."""
+    out = np.ones(len(sorted_values), bool)
+    out[1:] = sorted_values[1:] != sorted_values[:-1]
+    return out
+
+
 def rolling(h: np.ndarray, k: int, factor: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
     """Hash of each run of k consecutive values of h (by Horner's rule, then mixed)."""
     n = len(h) - k + 1

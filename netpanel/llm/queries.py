@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, near_dedup, packing, quality, secrets, sharding, substring_dedup
+from . import ann, bpe, divergence, exact_dedup, langid, lexical, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,8 +57,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_secrets, op5_near_dedup, op6_langid, op7_exact_dedup, op8_bpe, op9_sharding, op10_ann)
+    f.__name__: f
+    for f in (
+        op1_quality, op2_substring_dedup, op3_packing, op4_secrets, op5_near_dedup, op6_langid, op7_exact_dedup, op8_bpe, op9_sharding, op10_ann,
+        op11_toxicity, op12_lexical_search, op13_source_divergence,
+    )
 }
 
 ORACLE_SQL = {
@@ -92,4 +108,28 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
           doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (SELECT count(*) AS nn, sum(len(w)) AS ll FROM d WHERE len(w) > 0),
+        p AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+        c AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf FROM p GROUP BY 1, 2),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * CAST(nn AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, g GROUP BY t, nn),
+        q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY 1, 2),
+        s AS (SELECT item_id, doc_id, CAST(sum(r * w * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * nn // ll)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN c USING (t), g GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        p AS (SELECT i, lang, source, unnest(w) AS t FROM d),
+        k AS (SELECT lang, t, count(*) AS c FROM p GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, t, count(*) AS c FROM p SEMI JOIN k USING (lang, t) GROUP BY 1, 2, 3),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+        x AS (SELECT g.lang, g.source, k.t, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (k.c + 2) // (v.n + 2 * v.v) AS q FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+        s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+        z AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM x WHERE c > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM z)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
