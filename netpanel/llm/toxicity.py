@@ -24,6 +24,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,13 +159,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarra
     return np.concatenate([weights, calibrate(margins, y)])
 
 
-def packed(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    return [np.concatenate([x, c]).astype("<u4").tobytes() for x, c in rows]
+def packed(cells: np.ndarray, values: np.ndarray) -> bytes:
+    """Gaps between cells, then values, compressed: bytes are what the sample costs on its way."""
+    return zlib.compress(np.concatenate([np.diff(cells, prepend=0), values]).astype("<u4").tobytes(), 1)
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(raw, "<u4")
-    return both[: len(both) // 2], both[len(both) // 2 :].astype(float)
+    both = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :].astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, grams_bound: int = SAMPLE_GRAMS) -> np.ndarray:
@@ -177,13 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def scan(parts: Iterator) -> Iterator[dict]:
         for ids, ys, texts in parts:
-            yield {"doc_id": ids, "y": ys, "x": packed(Grams(texts).rows(len(texts)))}
+            rows = Grams(texts).rows(len(texts))
+            yield {"doc_id": ids, "y": ys, "n": [len(x) for x, _ in rows], "x": [packed(*r) for r in rows]}
 
-    written = materialize(map_texts(known, scan, "doc_id long, y int, x binary", ("doc_id", "y", "text")).withColumn("row", F.monotonically_increasing_id()), "sample")
+    written = materialize(map_texts(known, scan, "doc_id long, y int, n long, x binary", ("doc_id", "y", "text")).withColumn("row", F.monotonically_increasing_id()), "sample")
     # a doc_id that repeats in docs multiplies its rows, so the bound is applied again, to keys alone
-    keys = written.select("doc_id", "y", "row", F.length("x").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("x")).limit(sample)
+    keys = written.select("doc_id", "y", "row", "n", F.xxhash64("x").alias("key")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "key").limit(sample)
     upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "row"))  # over ``sample`` keys at most
-    kept = keys.withColumn("upto", upto).where(F.col("upto") <= 8 * grams_bound).select("row")
+    kept = keys.withColumn("upto", upto).where(F.col("upto") <= grams_bound).select("row")
     rows = written.join(F.broadcast(kept), "row")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
