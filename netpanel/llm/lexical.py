@@ -13,7 +13,8 @@ ranges. Three phases answer all queries at once:
    for each query; their exact scores' least is a lower bound of the query's K-th best score.
 2. One threshold for all lists of a query is the largest for which a document that is below it
    everywhere stays below that bound. Each list sends its entries from the threshold on, once for
-   a block of queries. Sums, and upper bounds with the threshold where nothing arrived, leave candidates.
+   a block of queries. The K-th best sum over all ranges raises the bound, and upper bounds, with the
+   threshold where nothing arrived, leave candidates.
 3. The candidates' exact scores are looked up in their documents' rows.
 
 Sums happen where a block's queries meet one range of documents, so no entry is copied for
@@ -322,15 +323,18 @@ def answer(docs: DataFrame, ids: list[int], bags: list[list[str]], k: int, range
         m, out = Meeting(table), []
         for i in q.block(table.column("block")[0].as_py()):
             got, bound = m.sums(q, i, weights, int(limits[i]), tops)
-            least = max(int(bounds[i]), int(np.partition(got, -k)[-k]) if len(got) >= k else 0)
-            found = m.docs[(got > 0) & (bound >= least)]
+            found = m.docs[(got > 0) & (bound >= bounds[i])]
             out.append(np.stack([np.full(len(found), q.ids[i]), found]))
         both = np.concatenate(out, axis=1)
         return pa.table({"q": both[0], "row": both[1]})
 
-    chosen = materialize(sent(limits, None).groupBy("block", "part").applyInArrow(candidates, "q long, row long"), "candidates")
+    arrived = materialize(sent(limits, None), "arrived")
+    sums = arrived.groupBy("block", "part").applyInArrow(heads, "q long, row long, sum long").withColumn("at", F.row_number().over(leading)).where(F.col("at") == k)
+    for one, low in sums.select("q", "sum").collect():  # a row for each query of the chunk
+        bounds[q.at[one]] = max(bounds[q.at[one]], low)
+    chosen = materialize(arrived.groupBy("block", "part").applyInArrow(candidates, "q long, row long"), "candidates")
     out = materialize(best(exact(chosen, scanned, q, weights, documents, length), k).select("q", "rank", "doc_id", "score"), "ranked")
-    discard(scanned, lists, chosen)
+    discard(scanned, lists, arrived, chosen)
     return out
 
 
