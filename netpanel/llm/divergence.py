@@ -38,7 +38,7 @@ from .common import NOT_LETTERS, Words, discard, distinct_at, materialize, range
 #: Documents that must hold a term; ranks of terms.
 LEAST, TOP = 10, 10
 #: Terms of a slice, groups of a block, tournament rounds of one job.
-SLICE, BLOCK, ROUNDS = 1 << 16, 4, 8
+SLICE, BLOCK, ROUNDS = 1 << 13, 4, 8
 SCALE = 1_000_000_000
 
 
