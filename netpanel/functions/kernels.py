@@ -142,6 +142,49 @@ def elastic_nets(grams: np.ndarray, xys: np.ndarray, lam: float, alpha: float, w
     return b
 
 
+def net_path(grams: np.ndarray, xys: np.ndarray, lams: list[float], alpha: float, weights: np.ndarray, tol: float = 1e-6, sweeps: int = 10_000) -> list[np.ndarray]:
+    """elastic_nets() at each of falling penalties, every fit from the last. Regressors are looked at
+    only if the sequential strong rule keeps them for some response (their slope at the last penalty
+    could reach the new threshold) or they are in use; what the rule drops is checked when the others
+    have settled, so the result is that of all regressors."""
+    if alpha == 0:
+        return [elastic_nets(grams, xys, lam, alpha, weights) for lam in lams]
+    b, out, last = np.zeros_like(xys), [], None
+    goal = tol * np.maximum(np.abs(xys).max(axis=(1, 2), keepdims=True), 1e-300)
+    for lam in lams:
+        l1, l2 = lam * alpha * weights, lam * (1 - alpha) * weights
+        slope = np.abs(xys - grams @ b)
+        used = (b != 0) | (slope >= 2 * l1 - (l1 if last is None else last * alpha * weights)) | (l1 == 0)
+        rows = used.any(axis=(0, 2))
+        while True:
+            at = np.flatnonzero(rows)
+            b[:, at] = settled(grams[:, at[:, None], at], xys[:, at], l1[at], l2[at], b[:, at], goal, sweeps)
+            slope = np.abs(xys - grams @ b)
+            missed = ((slope > l1 + goal) & ~rows[:, None]).any(axis=(0, 2))
+            if not missed.any():
+                break
+            rows = rows | missed
+        last = lam
+        out.append(b.copy())
+    return out
+
+
+def settled(grams: np.ndarray, xys: np.ndarray, l1: np.ndarray, l2: np.ndarray, start: np.ndarray, goal: np.ndarray, sweeps: int) -> np.ndarray:
+    """Coordinate descent from a start until no step moves a slope by more than the goal."""
+    b, d = start.copy(), np.einsum("fjj->fj", grams)
+    for _ in range(sweeps):
+        moved = np.zeros((len(grams), b.shape[2]))
+        for j in range(b.shape[1]):
+            dj = d[:, j, None]
+            rho = xys[:, j] - (grams[:, j, None, :] @ b)[:, 0] + dj * b[:, j]
+            new = np.where(dj > 0, np.sign(rho) * np.maximum(np.abs(rho) - l1[j], 0) / np.maximum(dj + l2[j], 1e-300), 0.0)
+            moved = np.maximum(moved, np.abs(new - b[:, j]) * dj)
+            b[:, j] = new
+        if (moved <= goal[:, 0]).all():
+            break
+    return b
+
+
 def adaptive_weights(coef: np.ndarray, n: int, gamma: float, mask: np.ndarray | None = None) -> np.ndarray:
     """Penalty weights |b + 1/n| ** -gamma, 0 where the mask is."""
     w = np.abs(coef + 1 / n) ** -gamma
@@ -177,29 +220,98 @@ def lagged(data: np.ndarray, lags: int, factors: np.ndarray | None = None) -> tu
 # --- covariance --------------------------------------------------------------------------
 
 
-def glasso(s: np.ndarray, alpha: float, sweeps: int = 400, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Graphical lasso by block coordinate descent: (covariance, precision)."""
+def components(linked: np.ndarray) -> list[np.ndarray]:
+    """The connected components of a symmetric boolean matrix."""
+    label = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if label[start] < 0:
+            front = np.zeros(len(linked), bool)
+            front[start] = True
+            inside = front
+            while front.any():
+                front = linked[front].any(axis=0) & ~inside
+                inside = inside | front
+            label[inside] = start
+    return [np.flatnonzero(label == k) for k in np.unique(label)]
+
+
+def glasso(s: np.ndarray, alpha: float, sweeps: int = 400, tol: float = 1e-6, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Graphical lasso: (covariance, precision)."""
+    w, precision, _ = glasso_from(s, alpha, start, sweeps, tol)
+    return w, precision
+
+
+def glasso_from(s: np.ndarray, alpha: float, start: tuple[np.ndarray, np.ndarray] | None = None, sweeps: int = 400, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Graphical lasso by block coordinate descent: covariance, precision, and the state that another
+    penalty can start from. Series that no chain of covariances above the penalty links are
+    uncorrelated in the solution, so each connected component is solved alone."""
     p = len(s)
-    w = s.copy()
     if alpha == 0 or p == 1:
-        return w, np.linalg.pinv(w)
-    coef = np.zeros((p, p))
-    rest = [np.delete(np.arange(p), j) for j in range(p)]
-    for _ in range(sweeps):
-        before = w.copy()
-        for j in range(p):
+        return s.copy(), np.linalg.pinv(s), (s.copy(), np.zeros((p, p)))
+    w, coef, precision = np.diag(np.diag(s)).astype(float), np.zeros((p, p)), np.zeros((p, p))
+    goal = tol * max(np.abs(s - np.diag(np.diag(s))).mean(), 1e-12)
+    for own in components(np.abs(s) > alpha):
+        if len(own) == 1:
+            precision[own, own] = 1 / s[own, own]
+            continue
+        block = np.ix_(own, own)
+        part = s[block]
+        if start is None:
+            w[block] = part
+        else:
+            w[block], coef[block] = start[0][block], start[1][block]
+            w[own, own] = np.diag(part)
+        inner, beta_of = w[block].copy(), coef[block].copy()
+        n = len(own)
+        rest = [np.delete(np.arange(n), j) for j in range(n)]
+        for _ in range(sweeps):
+            before = inner.copy()
+            for j in range(n):
+                r = rest[j]
+                sub = inner[np.ix_(r, r)]
+                beta = lasso_row(sub, part[r, j], alpha, beta_of[r, j])
+                beta_of[r, j] = beta
+                inner[r, j] = inner[j, r] = sub @ beta
+            if np.abs(inner - before).mean() < goal:
+                break
+        out = np.zeros((n, n))
+        for j in range(n):
             r = rest[j]
-            beta = elastic_net(w[np.ix_(r, r)], s[r, j][:, None], 1, alpha, 1.0, np.ones((p - 1, 1)), coef[r, j][:, None], tol=1e-9, sweeps=1000)[:, 0]
-            coef[r, j] = beta
-            w[r, j] = w[j, r] = w[np.ix_(r, r)] @ beta
-        if np.abs(w - before).mean() < tol * max(np.abs(s - np.diag(np.diag(s))).mean(), 1e-12):
+            out[j, j] = 1 / (inner[j, j] - inner[r, j] @ beta_of[r, j])
+            out[r, j] = -out[j, j] * beta_of[r, j]
+        w[block], coef[block], precision[block] = inner, beta_of, (out + out.T) / 2
+    return w, precision, (w, coef)
+
+
+def lasso_row(q: np.ndarray, c: np.ndarray, alpha: float, start: np.ndarray, tol: float = 1e-9, sweeps: int = 1000) -> np.ndarray:
+    """argmin 1/2 b'qb - c'b + alpha |b|_1 from a start, by coordinate descent on kept-up slopes."""
+    b, d = start.copy(), np.diag(q)
+    s = c - q @ b
+    scale = max(float(np.abs(c).max()), 1e-300)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(b)):
+            if d[j] <= 0:
+                continue
+            rho = float(s[j] + d[j] * b[j])
+            new = math.copysign(max(abs(rho) - alpha, 0.0), rho) / d[j]
+            step = new - b[j]
+            if step:
+                b[j] = new
+                s -= q[:, j] * step
+                moved = max(moved, abs(step) * d[j])
+        if moved <= tol * scale:
             break
-    precision = np.zeros((p, p))
-    for j in range(p):
-        r = rest[j]
-        precision[j, j] = 1 / (w[j, j] - w[r, j] @ coef[r, j])
-        precision[r, j] = -precision[j, j] * coef[r, j]
-    return w, (precision + precision.T) / 2
+    return b
+
+
+def glasso_path(s: np.ndarray, alphas: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(covariance, precision) at each of falling penalties, every fit from the last."""
+    state, out = None, []
+    for a in alphas:
+        cov, precision, state = glasso_from(s, a, state)
+        out.append((cov, precision))
+    return out
 
 
 def period_loss(cov: np.ndarray, data: np.ndarray) -> float:

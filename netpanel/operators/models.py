@@ -4,14 +4,15 @@ its model gives no rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from . import moments as MO
 from .matrices import edge_rows
 
 
@@ -23,7 +24,7 @@ def wide(pdf: pd.DataFrame, value: str = "x") -> pd.DataFrame:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df in a fixed number of partitions by window (and part of its work): adaptive execution would put
     the few rows of all windows into one task, however long a window's search takes."""
-    return df.repartition(200, *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32), *keys)
 
 
 def windows(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, least: int = 8) -> DataFrame:
@@ -52,17 +53,38 @@ def factor_of(pdf: pd.DataFrame, dates: pd.Index, names: Iterable[str]) -> np.nd
 # --- vector autoregressions ----------------------------------------------------------------
 
 
+#: Dates that a window needs to be estimated at all.
+LEAST = 8
+
+
 def var_ols(df: DataFrame, key: str, lags: int = 1, factors: tuple[str, ...] = ()) -> DataFrame:
     """key, equation, term (const, factor name or lag), source, coef."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        w = wide(pdf)
-        x, y = K.lagged(w.to_numpy(), lags, factor_of(pdf, w.index, factors) if factors else None)
-        if len(y) <= x.shape[1]:
+        m = MO.System(pdf, lags, True)
+        if m.n.sum() + lags < LEAST or m.n.sum() <= len(m.xx[0]):
+            return None
+        return coef_rows(m.own_units(m.least_squares(), False), m.names, factors, lags)
+
+    return MO.solved(MO.moments(MO.complete(df, key, factors), key, lags), key, fit, "equation long, term string, source long, coef double")
+
+
+def var_covariance(df: DataFrame, key: str, lags: int = 1, factors: tuple[str, ...] = (), least: int = LEAST) -> DataFrame:
+    """key, i, j, v: sample covariance of the least-squares residuals, from the same moments."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = MO.System(pdf, lags, True)
+        if m.n.sum() + lags < least or m.n.sum() <= len(m.xx[0]):
             return None
-        return coef_rows(K.ols(x, y), w.columns, factors, lags)
+        return edge_rows(m.names, residual_squares(m, m.least_squares()) / (m.n.sum() - 1))
+
+    return MO.solved(MO.moments(MO.complete(df, key, factors), key, lags), key, fit, "i long, j long, v double")
 
-    return windows(df, key, fit, "equation long, term string, source long, coef double")
+
+def residual_squares(m: MO.System, b: np.ndarray) -> np.ndarray:
+    """Sums of products of the residuals under coefficients b."""
+    xx, xy, yy, _ = m.total()
+    return yy - b.T @ xy - xy.T @ b + b.T @ xx @ b
 
 
 def coef_rows(b: np.ndarray, names: pd.Index, factors: tuple[str, ...], lags: int) -> pd.DataFrame:
@@ -97,41 +119,72 @@ def net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, weights: np.ndar
     return K.elastic_net(x.T @ x, x.T @ y, len(y), lam * y.shape[1], alpha, weights)
 
 
-def fold_scores(x: np.ndarray, y: np.ndarray, path: Iterable[float], alpha: float, weights: np.ndarray, folds: int) -> list[tuple[float, list[float]]]:
-    """(penalty, out-of-fold mean squared errors of net()) along a path of penalties. The folds' moments
-    are made once, each as the whole less the fold; penalties fall, and each fit starts from the last."""
-    labels = K.time_folds(len(y), folds)
-    held = [(x[labels == k], y[labels == k]) for k in range(folds)]
-    rest = np.array([len(y) - len(a) for a, _ in held])[:, None, None]
-    grams = np.stack([x.T @ x - a.T @ a for a, _ in held]) / rest
-    xys = np.stack([x.T @ y - a.T @ c for a, c in held]) / rest
-    out, b = [], None
-    for lam in sorted(path, reverse=True):
-        b = K.elastic_nets(grams, xys, lam * y.shape[1], alpha, weights, b, tol=1e-6)
-        out.append((float(lam), [float(((c - a @ s) ** 2).mean()) for (a, c), s in zip(held, b, strict=True)]))
-    return out
-
-
-def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
-    """key, alpha, lambdau, fold, mse: out-of-fold errors of each grid point on standardised data.
-
-    Windows and values of alpha are dealt out as groups of their own, each with its whole path of
-    penalties; as the equations share their regressors, all of them work on one Gram matrix. With ``first`` (first_points()) the net is
-    adaptive: its weights come from that first fit on the whole window. Factors are not penalised."""
-    adaptive = first is not None
-    tasks = (df.join(F.broadcast(first), key) if adaptive else df).crossJoin(F.broadcast(grid.groupBy("alpha").agg(F.collect_set("lambdau").alias("path"))))
-    kind = dict(df.dtypes)[key]
+def net_moments(df: DataFrame, key: str, folds: int = 12, factors: tuple[str, ...] = (), lags: int = 1) -> DataFrame:
+    """Moments of standardised data by window and fold, which searches and fits share: they are kept (a few
+    matrices a window), and Spark makes lost ones again. A table that holds them already stays as it is."""
+    return df if "kind" in df.columns else MO.moments(MO.complete(df, key, factors, scale=True), key, lags, folds).persist()
+
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(wide(pdf)) < 2 * folds:
-            return pd.DataFrame({c: [] for c in (key, "alpha", "lambdau", "fold", "mse")}, dtype=object)
-        _, x, y = net_inputs(pdf, factors)
-        weights = first_stage(x, y, gamma, free_diagonal, float(pdf["ini"].iloc[0])) if adaptive else mask(x, y, free_diagonal)
-        alpha = float(pdf["alpha"].iloc[0])
-        scores = fold_scores(x, y, pdf["path"].iloc[0], alpha, weights, folds)
-        return pd.DataFrame([(pdf[key].iloc[0], alpha, lam, k, e) for lam, errors in scores for k, e in enumerate(errors)], columns=[key, "alpha", "lambdau", "fold", "mse"])
+def net_system(pdf: pd.DataFrame, folds: int) -> MO.System | None:
+    """A window's moments without a constant (the number of lags is the largest that its rows have);
+    None if it is too short for its folds."""
+    lags = int(pdf.loc[pdf["kind"] == "c", "lag"].max())
+    m = MO.System(pdf, lags, False)
+    return m if len(m.folds) == folds and m.n.sum() + lags >= 2 * folds else None
 
-    return dealt(tasks, key, "alpha").groupBy(key, "alpha").applyInPandas(score, f"{key} {kind}, alpha double, lambdau double, fold int, mse double")
+
+def fold_scores(m: MO.System, path: Iterable[float], alpha: float, weights: np.ndarray) -> list[tuple[float, list[float]]]:
+    """(penalty, out-of-fold mean squared errors) along a path of penalties, which fall from fit to
+    fit. The loss is the mean over rows and equations, so that a penalty counts once for
+    each equation against the mean over rows alone."""
+    lams = sorted(path, reverse=True)
+    grams, xys = m.rest()
+    fits = K.net_path(grams, xys, [lam * xys.shape[2] for lam in lams], alpha, weights)
+    return [(float(lam), m.losses(b)) for lam, b in zip(lams, fits, strict=True)]
+
+
+def penalised_path(df: DataFrame, grid: DataFrame, key: str, folds: int = 12, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = (), lags: int = 1) -> DataFrame:
+    """key, alpha, lambdau, fold, mse: out-of-fold errors of each grid point on standardised data (a panel,
+    or its net_moments()).
+
+    Windows and values of alpha are dealt out as groups of their own, each with the moments of all
+    folds and a whole path of penalties. With ``first`` (first_points()) the net is adaptive: its weights
+    come from that first fit on the whole window. Factors are not penalised."""
+    found = net_moments(df, key, folds, factors, lags)
+    if first is not None:
+        found = found.join(F.broadcast(first), key)
+    tasks = found.crossJoin(F.broadcast(grid.groupBy("alpha").agg(F.collect_set("lambdau").alias("path"))))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = net_system(pdf, folds)
+        if m is None:
+            return None
+        weights = weights_of(m, pdf, gamma, free_diagonal)
+        scores = fold_scores(m, pdf["path"].iloc[0], float(pdf["alpha"].iloc[0]), weights)
+        return pd.DataFrame([(lam, k, e) for lam, errors in scores for k, e in zip(m.folds, errors, strict=True)], columns=["lambdau", "fold", "mse"])
+
+    return MO.solved(dealt(tasks, key, "alpha"), key, score, "lambdau double, fold int, mse double", by=("alpha",))
+
+
+def weights_of(m: MO.System, pdf: pd.DataFrame, gamma: float, free_diagonal: bool) -> np.ndarray:
+    """Penalty weights of a window: adaptive ones if its rows name a first-stage penalty ``ini``."""
+    plain = penalty_weights(m, free_diagonal)
+    if "ini" not in pdf:
+        return plain
+    xx, xy, _, n = m.total()
+    ridge = K.elastic_net(xx, xy, n, float(pdf["ini"].iloc[0]) * xy.shape[1], 0.0, plain)
+    return K.rescale_weights(K.adaptive_weights(ridge, n * xy.shape[1], gamma, plain))
+
+
+def penalty_weights(m: MO.System, free_diagonal: bool) -> np.ndarray:
+    """Weights 1, but 0 for factors and, if free, own lags of every order."""
+    k, n = len(m.factors), len(m.names)
+    w = np.ones((k + m.lags * n, n))
+    w[:k] = 0
+    if free_diagonal:
+        for a in range(m.lags):
+            np.fill_diagonal(w[k + a * n : k + (a + 1) * n], 0)
+    return K.rescale_weights(w)
 
 
 def mask(x: np.ndarray, y: np.ndarray, free_diagonal: bool) -> np.ndarray:
@@ -148,35 +201,28 @@ def mask(x: np.ndarray, y: np.ndarray, free_diagonal: bool) -> np.ndarray:
 FIRST_POINTS, FIRST_PARTS = 25, 5
 
 
-def guessed_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def guessed_grid(m: MO.System) -> np.ndarray:
     """First-stage penalties: a geometric and a linear scale from std(y) / k to std(y) * k, k the
     coefficients of all equations."""
-    k, std = x.shape[1] * y.shape[1], y.std()
+    k, std = m.xy[0].size, m.response_std()
     return np.unique(np.concatenate([np.geomspace(std / k, std * k, FIRST_POINTS), np.linspace(std / k, std * k, FIRST_POINTS)]))
 
 
-def first_points(df: DataFrame, key: str, folds: int = 12, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
+def first_points(df: DataFrame, key: str, folds: int = 12, free_diagonal: bool = False, factors: tuple[str, ...] = (), lags: int = 1) -> DataFrame:
     """key, ini: each window's first-stage (ridge) penalty, the point of its guessed grid of least
     out-of-fold error. Windows and parts of the grid are dealt out as groups."""
-    kind = dict(df.dtypes)[key]
     at = df.sparkSession.range(FIRST_PARTS).select(F.col("id").cast("int").alias("at"))
+    found = net_moments(df, key, folds, factors, lags).crossJoin(F.broadcast(at))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in (key, "ini", "mse")}, dtype=object)
-        if len(wide(pdf)) < 2 * folds:
-            return empty
-        _, x, y = net_inputs(pdf, factors)
-        points = guessed_grid(x, y)[int(pdf["at"].iloc[0]) :: FIRST_PARTS]
-        scores = fold_scores(x, y, points, 0.0, mask(x, y, free_diagonal), folds)
-        return pd.DataFrame([(pdf[key].iloc[0], lam, float(np.mean(errors))) for lam, errors in scores], columns=[key, "ini", "mse"])
-
-    scores = dealt(df.crossJoin(F.broadcast(at)), key, "at").groupBy(key, "at").applyInPandas(score, f"{key} {kind}, ini double, mse double")
-    return scores.groupBy(key).agg(F.min(F.struct("mse", "ini")).alias("b")).select(key, F.col("b.ini").alias("ini"))
-
+    def score(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = net_system(pdf, folds)
+        if m is None:
+            return None
+        scores = fold_scores(m, guessed_grid(m)[int(pdf["at"].iloc[0]) :: FIRST_PARTS], 0.0, penalty_weights(m, free_diagonal))
+        return pd.DataFrame([(lam, float(np.mean(errors))) for lam, errors in scores], columns=["ini", "mse"])
 
-def first_stage(x: np.ndarray, y: np.ndarray, gamma: float, free_diagonal: bool, lam: float) -> np.ndarray:
-    ridge = net(x, y, lam, 0.0, mask(x, y, free_diagonal))
-    return K.rescale_weights(K.adaptive_weights(ridge, y.size, gamma, mask(x, y, free_diagonal)))
+    scores = MO.solved(dealt(found, key, "at"), key, score, "ini double, mse double", by=("at",))
+    return scores.groupBy(key).agg(F.min(F.struct("mse", "ini")).alias("b")).select(key, F.col("b.ini").alias("ini")).persist()
 
 
 def best_point(scores: DataFrame, key: str) -> DataFrame:
@@ -186,32 +232,35 @@ def best_point(scores: DataFrame, key: str) -> DataFrame:
     return mean.groupBy(key).agg(best).select(key, "b.alpha", "b.lambdau", "b.mse")
 
 
-def penalised_fit(pdf: pd.DataFrame, gamma: float, free_diagonal: bool, factors: tuple[str, ...]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray] | None:
-    """(wide panel, x, coefficients) in the data's units, a constant and the factors first, at the
-    window's point (columns alpha, lambdau and, if the net is adaptive, ini)."""
-    w, x, y = net_inputs(pdf, factors)
-    if len(y) < 4:
-        return None
-    weights = first_stage(x, y, gamma, free_diagonal, float(pdf["ini"].iloc[0])) if "ini" in pdf else mask(x, y, free_diagonal)
-    b = net(x, y, float(pdf["lambdau"].iloc[0]), float(pdf["alpha"].iloc[0]), weights)
-    k = len(factors)
-    _, mean, std = standardised(w.to_numpy())
-    const, own = unscale(b[k:], mean, std)
-    f = factor_of(pdf, w.index, factors)
-    _, f_mean, f_std = standardised(f)
-    load = b[:k] * std[None, :] / np.where(f_std > 0, f_std, 1)[:, None]
-    own_x = np.hstack([np.ones((len(y), 1)), f[1:], w.to_numpy()[:-1]])
-    return w, own_x, np.vstack([const - f_mean @ load, load, own])
-
-
-def penalised_var(df: DataFrame, points: DataFrame, key: str, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = ()) -> DataFrame:
+def fitted_net(m: MO.System, pdf: pd.DataFrame, gamma: float, free_diagonal: bool) -> np.ndarray:
+    """Coefficients of standardised data at the window's point (columns alpha, lambdau and, if adaptive, ini)."""
+    xx, xy, _, n = m.total()
+    lam = float(pdf["lambdau"].iloc[0]) * xy.shape[1]
+    return K.net_path(xx[None] / n, xy[None] / n, [lam], float(pdf["alpha"].iloc[0]), weights_of(m, pdf, gamma, free_diagonal), tol=1e-8)[0][0]
+
+
+def penalised_var(df: DataFrame, points: DataFrame, key: str, first: DataFrame | None = None, gamma: float = 1.0, free_diagonal: bool = False, factors: tuple[str, ...] = (), lags: int = 1) -> DataFrame:
     """Coefficients, in the data's units, at each window's point (key, alpha, lambdau)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        got = penalised_fit(pdf, gamma, free_diagonal, factors)
-        return None if got is None else coef_rows(got[2], got[0].columns, factors, 1)
+        m = MO.System(pdf, int(pdf.loc[pdf["kind"] == "c", "lag"].max()), False)
+        if m.n.sum() + m.lags < LEAST:
+            return None
+        return coef_rows(m.own_units(fitted_net(m, pdf, gamma, free_diagonal), True), m.names, factors, m.lags)
+
+    found = net_moments(df, key, 1, factors, lags)
+    return MO.solved(at_points(found, points, key, first), key, fit, "equation long, term string, source long, coef double")
 
-    return windows(at_points(df, points, key, first), key, fit, "equation long, term string, source long, coef double")
+
+def adaptive_weights(df: DataFrame, first: DataFrame, key: str, gamma: float = 1.0) -> DataFrame:
+    """key, equation, source, weight of the adaptive net's first lag."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = MO.System(pdf, 1, False)
+        w = weights_of(m, pdf, gamma, False)
+        return edge_rows(m.names, w).rename(columns={"i": "source", "j": "equation", "v": "weight"})[["equation", "source", "weight"]]
+
+    return MO.solved(net_moments(df, key, 1).join(F.broadcast(first), key), key, fit, "equation long, source long, weight double")
 
 
 def at_points(df: DataFrame, points: DataFrame, key: str, first: DataFrame | None) -> DataFrame:
@@ -222,8 +271,6 @@ def at_points(df: DataFrame, points: DataFrame, key: str, first: DataFrame | Non
 def residual_rows(df: DataFrame, coefs: DataFrame, key: str) -> DataFrame:
     """key, date, permno, fitted, resid of a first-order model: coefficients joined to the lagged
     panel as an edge list, and summed."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key, "permno").orderBy("date")
     now = df.select(key, F.col("permno").alias("equation"), "date", F.col("x").alias("actual"))
     lag = df.select(key, F.col("permno").alias("source"), F.lead("date").over(w).alias("date"), "x").where("date is not null")
@@ -246,20 +293,97 @@ def covariance(df: DataFrame, key: str, method: Callable[[np.ndarray], np.ndarra
     return windows(df, key, fit, "i long, j long, v double")
 
 
-def glasso_cv(data: np.ndarray, alphas: Iterable[float], folds: int = 12) -> tuple[float, np.ndarray, np.ndarray]:
-    """(alpha, covariance, precision) of the penalty with the least out-of-fold period loss."""
-    folds = min(folds, len(data))
-    labels = K.shuffle_free_folds(len(data), folds)
-    losses = []
-    for a in alphas:
-        loss = 0.0
-        for k in range(folds):
-            cov, _ = K.glasso(np.cov(data[labels != k], rowvar=False, ddof=0), a)
-            loss += K.period_loss(cov, data[labels == k] - data[labels != k].mean(axis=0))
-        losses.append((loss, a))
-    alpha = min(losses)[1]
-    cov, prec = K.glasso(np.cov(data, rowvar=False, ddof=0), alpha)
-    return alpha, cov, prec
+#: Added to the id of a series for that of its squares.
+SQUARES = 1 << 40
+
+
+def lasso_tasks(rows: DataFrame, key: str, folds: int = 12) -> DataFrame:
+    """key, fold, n, names, s, p, q of rows (key, pos, dates, permno, x): for each fold the covariance s of the
+    other dates, and about their means the fold's sums p of products and q of squared products; fold -1
+    has the covariance of all dates. Squares of the series stand beside them, so that all of it
+    comes from one table of moments."""
+    each = Window.partitionBy(key, "permno")
+    level = rows.select(key, "pos", "dates", "permno", (F.col("x") - F.avg("x").over(each)).alias("x")).persist()
+    both = level.unionByName(level.select(key, "pos", "dates", (F.col("permno") + SQUARES).alias("permno"), (F.col("x") * F.col("x")).alias("x")))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = MO.System(pdf, 0, True)
+        k = int((m.names < SQUARES).sum())
+        if len(m.folds) < 2 or k < 2:
+            return None
+        mean = m.mean[k:]  # of the squares; the series themselves have mean 0
+        ones = np.stack([np.concatenate([x[0], xy[0]]) for x, xy in zip(m.xx, m.xy, strict=True)])[:, 1:]
+        sums, second, third, fourth = ones[:, :k], m.yy[:, :k, :k], m.yy[:, k:, :k], m.yy[:, k:, k:]
+        n = m.n[:, None, None]
+        squares = ones[:, k:] + m.n[:, None] * mean  # sums of x_i ** 2
+        third = third + mean[None, :, None] * sums[:, None, :]  # of x_i ** 2 x_j
+        fourth = fourth + mean[None, :, None] * ones[:, None, k:] + mean[None, None, :] * ones[:, k:, None] + n * np.multiply.outer(mean, mean)
+        out = []
+        for f, fold in enumerate(m.folds):
+            rest = m.n.sum() - m.n[f]
+            mu = (sums.sum(axis=0) - sums[f]) / rest
+            s = (second.sum(axis=0) - second[f]) / rest - np.outer(mu, mu)
+            p = second[f] - np.outer(sums[f], mu) - np.outer(mu, sums[f]) + m.n[f] * np.outer(mu, mu)
+            # (x_i^2 - 2 mu_i x_i + mu_i^2) (x_j^2 - 2 mu_j x_j + mu_j^2), summed
+            left = third[f] * (-2 * mu)[None, :] + squares[f][:, None] * (mu**2)[None, :]
+            inner = 4 * np.outer(mu, mu) * second[f] - 2 * np.outer(mu * sums[f], mu**2) - 2 * np.outer(mu**2, mu * sums[f])
+            q = fourth[f] + left + left.T + inner + m.n[f] * np.outer(mu**2, mu**2)
+            out.append((int(fold), float(m.n[f]), m.names[:k], s.ravel(), p.ravel(), q.ravel()))
+        total = sums.sum(axis=0) / m.n.sum()
+        whole = second.sum(axis=0) / m.n.sum() - np.outer(total, total)
+        out.append((-1, float(m.n.sum()), m.names[:k], whole.ravel(), None, None))
+        return pd.DataFrame(out, columns=["fold", "n", "names", "s", "p", "q"])
+
+    found = MO.moments(MO.centred(both, key), key, 0, folds, MO.shuffle_free_fold)
+    return MO.solved(found, key, split, "fold int, n double, names array<bigint>, s array<double>, p array<double>, q array<double>").persist()
+
+
+def lasso_losses(tasks: DataFrame, key: str, alphas: Iterable[float]) -> DataFrame:
+    """key, fold, alpha, loss: mean squared errors of each fold's covariance against its dates' outer products over
+    the upper triangle. Each (window, fold) is a task that walks the penalties downwards from fit to fit."""
+    falling = sorted(map(float, alphas), reverse=True)
+    kind = dict(tasks.dtypes)[key]
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for k, fold, n, s, p, q in zip(pdf[key], pdf["fold"], pdf["n"], pdf["s"], pdf["p"], pdf["q"], strict=True):
+                m = round(len(s) ** 0.5)
+                upper = np.triu_indices(m)
+                s, p, q = (np.array(v).reshape(m, m)[upper] if v is not s else np.array(v).reshape(m, m) for v in (s, p, q))
+                for alpha, (cov, _) in zip(falling, K.glasso_path(s, falling), strict=True):
+                    c = cov[upper]
+                    rows.append((k, fold, alpha, float((n * c * c - 2 * c * p + q).sum()) / (n * m * (m - 1) / 2)))
+            yield pd.DataFrame(rows, columns=[key, "fold", "alpha", "loss"])
+
+    return dealt(tasks.where("fold >= 0"), key, "fold").mapInPandas(walk, f"{key} {kind}, fold int, alpha double, loss double")
+
+
+def lasso_best(losses: DataFrame, key: str) -> DataFrame:
+    """key, alpha, loss: the penalty of least summed loss (ties: the least)."""
+    total = losses.groupBy(key, "alpha").agg(F.sum("loss").alias("loss"))
+    return total.groupBy(key).agg(F.min(F.struct("loss", "alpha")).alias("b")).select(key, "b.alpha", "b.loss")
+
+
+def lasso_fits(tasks: DataFrame, best: DataFrame, key: str) -> DataFrame:
+    """key, i, j, cov, prec at each window's penalty (key, alpha)."""
+    kind = dict(tasks.dtypes)[key]
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for k, names, s, alpha in zip(pdf[key], pdf["names"], pdf["s"], pdf["alpha"], strict=True):
+                cov, prec = K.glasso(np.array(s).reshape(len(names), len(names)), float(alpha))
+                yield edge_rows(np.array(names), cov, **{key: k}).rename(columns={"v": "cov"}).assign(prec=prec.ravel())
+
+    whole = tasks.where("fold = -1").select(key, "names", "s").join(F.broadcast(best.select(key, "alpha")), key)
+    return dealt(whole, key).mapInPandas(fit, f"{key} {kind}, i long, j long, cov double, prec double")
+
+
+def lasso_search(rows: DataFrame, key: str, alphas: Iterable[float], folds: int = 12) -> DataFrame:
+    """key, i, j, cov, prec: graphical lasso of rows (key, pos, dates, permno, x) at the penalty of least
+    out-of-fold loss."""
+    tasks = lasso_tasks(rows, key, folds)
+    return lasso_fits(tasks, lasso_best(lasso_losses(tasks, key, alphas), key), key)
 
 
 def decompositions(coefs: DataFrame, covs: DataFrame, key: str, table: str, horizon: int) -> DataFrame:
@@ -284,23 +408,45 @@ def decompositions(coefs: DataFrame, covs: DataFrame, key: str, table: str, hori
     return both.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, i long, j long, v double")
 
 
-def estimate_fevd(df: DataFrame, grid: DataFrame, key: str, alphas: Iterable[float], factors: tuple[str, ...] = (), horizon: int = 21, folds: int = 12) -> DataFrame:
+def estimate_fevd(df: DataFrame, grid: DataFrame, key: str, alphas: Iterable[float], factors: tuple[str, ...] = (), horizon: int = 21, folds: int = 12, lags: int = 1) -> DataFrame:
     """key, i, j, v: adaptive net by cross-validation with unpenalised factors, residuals, graphical
-    lasso by cross-validation, decomposition table. The net's search is dealt out by window
-    and alpha, the rest by window."""
-    alphas = [float(a) for a in alphas]
-    first = first_points(df, key, folds, factors=factors)
-    best = best_point(penalised_path(df, grid, key, folds, first, factors=factors), key)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        got = penalised_fit(pdf, 1.0, False, factors)
-        if got is None:
+    lasso by cross-validation, decomposition table. Searches are dealt out by window and
+    alpha, and by window and fold."""
+    found = net_moments(df, key, folds, factors, lags)
+    first = first_points(found, key, folds, factors=factors)
+    best = best_point(penalised_path(found, grid, key, folds, first, factors=factors), key).persist()
+    coefs = penalised_var(found, best, key, first, factors=factors)
+    blocks = MO.moments(MO.complete(df, key, factors, scale=True), key, lags, folds, MO.shuffle_free_fold)
+    tasks = residual_tasks(at_points(blocks, best, key, first), key).persist()
+    covs = lasso_fits(tasks, lasso_best(lasso_losses(tasks, key, alphas), key), key).select(key, "i", "j", F.col("cov").alias("v"))
+    return decompositions(coefs, covs, key, "fevd", horizon)
+
+
+def residual_tasks(found: DataFrame, key: str) -> DataFrame:
+    """lasso_tasks() of the residuals of each window's penalised fit, from the moments of its folds (with
+    columns alpha, lambdau, ini): no residual is made. q, which no penalty changes, is 0."""
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = MO.System(pdf, int(pdf.loc[pdf["kind"] == "c", "lag"].max()), False)
+        if len(m.folds) < 2:
             return None
-        w, x, b = got
-        _, cov, _ = glasso_cv(w.to_numpy()[1:] - x @ b, alphas, folds)
-        return edge_rows(w.columns.to_numpy(), K.Decomposition([b[1 + len(factors) :].T], cov).fevd(horizon))
-
-    return windows(dealt(at_points(df, best, key, first), key), key, fit, "i long, j long, v double", least=2 * folds)
+        b = fitted_net(m, pdf, 1.0, False)
+        unit = np.outer(m.std, m.std)
+        second = (m.yy - b.T @ m.xy - np.swapaxes(m.xy, 1, 2) @ b + b.T @ m.xx @ b) * unit
+        sums = np.stack([y - x @ b for x, y in zip(*m.sums(), strict=True)]) * m.std
+        out = []
+        for f, fold in enumerate(m.folds):
+            rest = m.n.sum() - m.n[f]
+            mu = (sums.sum(axis=0) - sums[f]) / rest
+            s = (second.sum(axis=0) - second[f]) / rest - np.outer(mu, mu)
+            p = second[f] - np.outer(sums[f], mu) - np.outer(mu, sums[f]) + m.n[f] * np.outer(mu, mu)
+            out.append((int(fold), float(m.n[f]), m.names, s.ravel(), p.ravel(), np.zeros(p.size)))
+        total = sums.sum(axis=0) / m.n.sum()
+        whole = second.sum(axis=0) / m.n.sum() - np.outer(total, total)
+        out.append((-1, float(m.n.sum()), m.names, whole.ravel(), None, None))
+        return pd.DataFrame(out, columns=["fold", "n", "names", "s", "p", "q"])
+
+    return MO.solved(found, key, split, "fold int, n double, names array<bigint>, s array<double>, p array<double>, q array<double>")
 
 
 # --- spillovers -----------------------------------------------------------------------------

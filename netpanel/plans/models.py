@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import matrices as M
 from ..operators import models as E
+from ..operators import moments as MO
 from ..operators import panel as P
 from ..operators import regression as R
 from ..sources import tables as T
@@ -326,6 +327,13 @@ def elastic_net(spark: SparkSession, sf: str) -> DataFrame:
     return E.penalised_var(w, points, "sampling_date")
 
 
+@query("elastic_net_two_lags", "sampling_date:d equation:i term:s source:i coef:f5")
+def elastic_net_two_lags(spark: SparkSession, sf: str) -> DataFrame:
+    w = rolling(spark, sf)
+    points = w.select("sampling_date").distinct().withColumn("alpha", F.lit(0.5)).withColumn("lambdau", F.lit(0.05))
+    return E.penalised_var(w, points, "sampling_date", free_diagonal=True, factors=("mkt",), lags=2)
+
+
 @query("elastic_net_cv", "sampling_date:d alpha:f6 lambdau:f6 mse:f5")
 def elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_point(E.penalised_path(rolling(spark, sf), R.grid(spark, VAR_GRID), "sampling_date"), "sampling_date")
@@ -340,13 +348,8 @@ def cv_surface(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adaptive_weights", "sampling_date:d equation:i source:i weight:f4")
 def adaptive_weights(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, x, y = E.net_inputs(pdf, ())
-        rows = M.edge_rows(w.columns.to_numpy(), E.first_stage(x, y, 1.0, False, float(pdf["ini"].iloc[0])))
-        return rows.rename(columns={"i": "source", "j": "equation", "v": "weight"})[["equation", "source", "weight"]]
-
     w = rolling(spark, sf)
-    return E.windows(w.join(F.broadcast(E.first_points(w, "sampling_date")), "sampling_date"), "sampling_date", fit, "equation long, source long, weight double")
+    return E.adaptive_weights(w, E.first_points(w, "sampling_date"), "sampling_date")
 
 
 @query("adaptive_elastic_net_cv", "sampling_date:d equation:i term:s source:i coef:f4")
@@ -362,29 +365,32 @@ def adaptive_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("glasso", "sampling_date:d i:i j:i v:f5")
 def glasso(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(rolling(spark, sf), "sampling_date", lambda x: K.glasso(np.cov(x, rowvar=False, ddof=0), 0.01)[0])
+    return glasso_pairs(spark, sf).select("sampling_date", "i", "j", F.col("cov").alias("v"))
 
 
 @query("glasso_cv", "sampling_date:d i:i j:i v:f5")
 def glasso_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(E.dealt(rolling(spark, sf), "sampling_date"), "sampling_date", lambda x: E.glasso_cv(x, COV_GRID)[1])
+    rows = MO.on_complete_days(rolling(spark, sf), "sampling_date")
+    return E.lasso_search(rows.where("dates >= 8"), "sampling_date", COV_GRID).withColumnRenamed("cov", "v")
 
 
 @query("estimate_sigma", "sampling_date:d i:i j:i v:f5")
 def estimate_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    return E.covariance(E.dealt(rolling(spark, sf), "sampling_date"), "sampling_date", lambda x: E.glasso_cv(np.diff(x, axis=0), SIGMA_GRID)[1])
+    rows = MO.on_complete_days(rolling(spark, sf), "sampling_date").where("dates >= 8")
+    step = F.col("x") - F.lag("x").over(Window.partitionBy("sampling_date", "permno").orderBy("pos"))
+    steps = rows.withColumn("x", step).where("pos > 0").select("sampling_date", (F.col("pos") - 1).alias("pos"), (F.col("dates") - 1).alias("dates"), "permno", "x")
+    return E.lasso_search(steps, "sampling_date", SIGMA_GRID).withColumnRenamed("cov", "v")
 
 
 def glasso_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """sampling_date, i, j, s, cov, prec: the sample's covariance, the graphical lasso's, and its precision."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = E.wide(pdf)
-        s = np.cov(w.to_numpy(), rowvar=False, ddof=0)
-        names, (cov, prec) = w.columns.to_numpy(), K.glasso(s, 0.01)
-        return M.edge_rows(names, s).rename(columns={"v": "s"}).assign(cov=cov.ravel(), prec=prec.ravel())
-
-    return E.windows(rolling(spark, sf), "sampling_date", fit, "i long, j long, s double, cov double, prec double")
+    tasks = E.lasso_tasks(MO.on_complete_days(rolling(spark, sf), "sampling_date").where("dates >= 8"), "sampling_date", 2).where("fold = -1")
+    points = tasks.select("sampling_date", F.lit(0.01).alias("alpha"))
+    place = lambda k: F.element_at("names", k.cast("int"))
+    flat = tasks.select("sampling_date", "names", F.size("names").alias("n"), F.posexplode("s").alias("at", "s"))
+    sample = flat.select("sampling_date", place(F.floor(F.col("at") / F.col("n")) + 1).alias("i"), place(F.col("at") % F.col("n") + 1).alias("j"), "s")
+    return E.lasso_fits(tasks, points, "sampling_date").join(sample, ["sampling_date", "i", "j"])
 
 
 @query("sparsity_stats", "sampling_date:d cov_density:f6 prec_density:f6 prec_used:i df_full:i")
@@ -484,12 +490,7 @@ def estimates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     w = rolling(spark, sf)
     coefs = E.var_ols(w, "sampling_date")
 
-    def resid_cov(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = E.wide(pdf)
-        d, y = K.lagged(x.to_numpy(), 1)
-        return M.edge_rows(x.columns.to_numpy(), np.cov(y - d @ K.ols(d, y), rowvar=False))
-
-    return coefs, E.windows(w, "sampling_date", resid_cov, "i long, j long, v double", least=12)
+    return coefs, E.var_covariance(w, "sampling_date", least=12)
 
 
 def product_sql(a: str, b: str) -> str:
