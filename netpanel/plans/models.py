@@ -106,6 +106,20 @@ def panel_fe_ols(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# scores of each kind of effects by date, and three lags of them with Bartlett weights
+@query("panel_kernel_errors", "effects:s beta:f8 se:f8 tstat:f4 n:i", f"""WITH {MONTHLY}, l AS (SELECT permno, date, ret, lag(vol) {BY}) AS vol FROM m), c AS (SELECT * FROM l WHERE vol IS NOT NULL AND ret IS NOT NULL),
+  o AS (SELECT 'none' AS effects, date, vol - avg(vol) OVER () AS x, ret - avg(ret) OVER () AS y FROM c UNION ALL SELECT 'entity', date, vol - avg(vol) OVER (PARTITION BY permno), ret - avg(ret) OVER (PARTITION BY permno) FROM c
+    UNION ALL SELECT 'time', date, vol - avg(vol) OVER (PARTITION BY date), ret - avg(ret) OVER (PARTITION BY date) FROM c),
+  b AS (SELECT effects, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, count(*) AS n FROM o GROUP BY 1),
+  h AS (SELECT effects, date, sum(x * (y - beta * x)) AS h FROM o JOIN b USING (effects) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY effects ORDER BY date) AS k FROM h),
+  s AS (SELECT u.effects, sum(u.h * v.h * CASE WHEN u.k = v.k THEN 1.0 ELSE 2 * (1 - (u.k - v.k) / CAST(4 AS DOUBLE)) END) AS s FROM k u JOIN k v ON u.effects = v.effects AND u.k - v.k BETWEEN 0 AND 3 GROUP BY 1)
+  SELECT effects, beta, sqrt(s) / xx AS se, beta / (sqrt(s) / xx) AS tstat, n FROM b JOIN s USING (effects)""")
+def panel_kernel_errors(spark: SparkSession, sf: str) -> DataFrame:
+    m = T.monthly(spark, sf)
+    parts = [R.panel_errors(m, "ret", "vol", k, lag=1).withColumn("effects", F.lit(k)) for k in ("none", "entity", "time")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("grs_test", "stat:f4 p:f6")
 def grs_test(spark: SparkSession, sf: str) -> DataFrame:
     r = regions(spark, sf).groupBy("date").agg(F.avg("x").alias("mkt"))

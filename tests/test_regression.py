@@ -94,3 +94,19 @@ def test_first_stage_and_nets_search_the_whole_grid(spark):
     assert np.allclose(both, each, atol=1e-5)
     out = E.estimate_fevd(df, R.grid(spark, {"alpha": [0.1, 1.0], "lambdau": [0.01, 0.1]}), "w", [0.01, 0.1], ("mkt",)).toPandas()
     assert len(out) == 9 and out.groupby("i")["v"].sum().to_numpy() == pytest.approx(np.ones(3))
+
+
+@pytest.mark.parametrize("effects", ["none", "entity", "time"])
+def test_kernel_errors_equal_those_of_the_rows(panel, effects):
+    rows, df = panel
+    a = np.array([r for r in rows if (r[0] * 7 + r[1]) % 5])  # a panel with holes
+    x, y = a[:, 2].copy(), a[:, 3].copy()
+    group = {"none": np.zeros(len(a)), "entity": a[:, 0], "time": a[:, 1]}[effects]
+    for g in np.unique(group):
+        x[group == g] -= x[group == g].mean()
+        y[group == g] -= y[group == g].mean()
+    beta = x @ y / (x @ x)
+    h = np.array([(x * (y - beta * x))[a[:, 1] == t].sum() for t in range(20)])
+    s = h @ h + sum(2 * (1 - k / 4) * (h[k:] @ h[:-k]) for k in (1, 2, 3))
+    got = R.panel_errors(df.where("(permno * 7 + date) % 5 <> 0"), "y", "x", effects).first()
+    assert got.beta == pytest.approx(beta) and got.se == pytest.approx(np.sqrt(s) / (x @ x)) and got.n == len(a)
