@@ -447,30 +447,3 @@ def residual_tasks(found: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(out, columns=["fold", "n", "names", "s", "p", "q"])
 
     return MO.solved(found, key, split, "fold int, n double, names array<bigint>, s array<double>, p array<double>, q array<double>")
-
-
-# --- spillovers -----------------------------------------------------------------------------
-
-
-#: Series that a spillover network may have; its matrix goes to every task.
-MAX_ASSETS = 1000
-
-
-def spillover(df: DataFrame, network: DataFrame, key: str, method: str, out: Callable[[K.Spillover, np.ndarray], pd.DataFrame], schema: str, factors: tuple[str, ...] = ("mkt",)) -> DataFrame:
-    """out(model, labels) of the return model of each window; the network (i, j, v) is a small
-    matrix that all windows share: of MAX_ASSETS series at most, more are an error."""
-    edges = network.limit(MAX_ASSETS**2 + 1).toPandas()
-    if len(edges) > MAX_ASSETS**2:
-        raise ValueError(f"a network of more than {MAX_ASSETS} series")
-    labels = np.unique(edges["i"])
-    m = np.zeros((len(labels), len(labels)))
-    m[np.searchsorted(labels, edges["i"]), np.searchsorted(labels, edges["j"])] = edges["v"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        w = wide(pdf).reindex(columns=labels).dropna()
-        if len(w) < len(factors) + 3:
-            return None
-        model = K.Spillover(m, w.to_numpy(), factor_of(pdf, w.index, factors))
-        return out({"ols": model.fit_ols, "wls": model.fit_wls, "mle": model.fit_mle}[method](), labels)
-
-    return windows(df, key, fit, schema)

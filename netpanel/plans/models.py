@@ -14,6 +14,7 @@ from ..operators import models as E
 from ..operators import moments as MO
 from ..operators import panel as P
 from ..operators import regression as R
+from ..operators import spillover as SP
 from ..sources import tables as T
 from ..sources.tables import MARKET, MONTHLY
 from .ordered import BY, REGIONS, regions
@@ -771,31 +772,62 @@ def spill_lag(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("i").alias("permno"), "date").agg(F.sum(F.col("v") * F.col("x")).alias("wr"))
 
 
+def spill_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    df = growth(spark, sf)
+    # the market of the windows is the first region's own shock, so that it is no exact sum of the others
+    df = df.withColumn("mkt", F.max(F.when(F.col("permno") == 0, F.col("x"))).over(Window.partitionBy("date"))).where("permno > 0")
+    return df, region_flows(spark, sf).where("i > 0 and j > 0")
+
+
 def _spill(name: str, columns: str, method: str, schema: str, out, rolling_windows: bool = False) -> None:  # noqa: ANN001
     @query(name, columns)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = growth(spark, sf)
-        # the market of the windows is the first region's own shock, so that it is no exact sum of the others
-        df = df.withColumn("mkt", F.max(F.when(F.col("permno") == 0, F.col("x"))).over(Window.partitionBy("date"))).where("permno > 0")
-        net = region_flows(spark, sf).where("i > 0 and j > 0")
+        df, net = spill_panel(spark, sf)
         if rolling_windows:
             df = P.rolling_samples(df, 36)
-        return E.spillover(df, net, "sampling_date" if rolling_windows else "all", method, out, schema)
+        return SP.fitted(df, net, "sampling_date" if rolling_windows else "all", lambda model: out(getattr(model(), f"fit_{method}")()), schema)
 
 
-def _parameters(m: K.Spillover, labels: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"permno": labels, "c": m.c, "alpha": m.alpha, "beta": m.beta[:, 0]})
+def _parameters(m: SP.Model) -> pd.DataFrame:
+    return pd.DataFrame({"permno": m.net.labels, "c": m.c, "alpha": m.alpha, "beta": m.beta[:, 0]})
 
 
 for _method in ("ols", "wls", "mle"):
     _spill(f"spill_{_method}", "permno:i c:f5 alpha:f5 beta:f5", _method, "permno long, c double, alpha double, beta double", _parameters)
-_spill("structural_matrix", "i:i j:i v:f5", "mle", "i long, j long, v double", lambda m, n: M.edge_rows(n, m.inverse))
-_spill("wald_lr_aic", "wald:f3 wald_p:f6 lr:f3 lr_p:f6 aic:f3", "mle", "wald double, wald_p double, lr double, lr_p double, aic double", lambda m, n: pd.DataFrame([[*m.wald(), *m.likelihood_ratio(), m.aic()]], columns=["wald", "wald_p", "lr", "lr_p", "aic"]))
-_spill("spill_r2", "part:s r2:f5", "mle", "part string, r2 double", lambda m, n: pd.DataFrame(list(m.partial_r2().items()), columns=["part", "r2"]))
+_spill("structural_matrix", "i:i j:i v:f5", "mle", "i long, j long, v double", lambda m: M.edge_rows(m.net.labels, m.inverse))
+_spill("wald_lr_aic", "wald:f3 wald_p:f6 lr:f3 lr_p:f6 aic:f3", "mle", "wald double, wald_p double, lr double, lr_p double, aic double", lambda m: pd.DataFrame([[*m.wald(), *m.likelihood_ratio(), m.aic()]], columns=["wald", "wald_p", "lr", "lr_p", "aic"]))
+_spill("spill_r2", "part:s r2:f5", "mle", "part string, r2 double", lambda m: pd.DataFrame(list(m.partial_r2().items()), columns=["part", "r2"]))
 _spill("granular_premia", "permno:i granular_premium:f6 expected_granular:f6 expected_self:f6 expected_others:f6", "mle", "permno long, granular_premium double, expected_granular double, expected_self double, expected_others double",
-       lambda m, n: pd.DataFrame({"permno": n} | {k: v for k, v in m.premia(np.full(len(n), 1 / len(n))).items() if k in ("granular_premium", "expected_granular", "expected_self", "expected_others")}))
-_spill("variance_decomp_network", "permno:i common:f6 spillover:f6 idiosyncratic:f6", "mle", "permno long, common double, spillover double, idiosyncratic double", lambda m, n: pd.DataFrame({"permno": n} | {k: np.diag(v) for k, v in m.variance_parts().items()}))
-_spill("rolling_spill", "sampling_date:d c:f4 log_likelihood:f2", "mle", "c double, log_likelihood double", lambda m, n: pd.DataFrame({"c": [m.c], "log_likelihood": [m.log_likelihood(m.c)]}), rolling_windows=True)
+       lambda m: pd.DataFrame({"permno": m.net.labels} | {k: v for k, v in m.premia(np.full(m.n, 1 / m.n)).items() if k in ("granular_premium", "expected_granular", "expected_self", "expected_others")}))
+_spill("variance_decomp_network", "permno:i common:f6 spillover:f6 idiosyncratic:f6", "mle", "permno long, common double, spillover double, idiosyncratic double", lambda m: pd.DataFrame({"permno": m.net.labels} | {k: np.diag(v) for k, v in m.variance_parts().items()}))
+_spill("rolling_spill", "sampling_date:d c:f4 log_likelihood:f2", "mle", "c double, log_likelihood double", lambda m: pd.DataFrame({"c": [m.c], "log_likelihood": [m.log_likelihood(m.c)]}), rolling_windows=True)
+
+
+def _errors(m: SP.Model, errors: tuple[float, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    return _parameters(m).assign(se_c=errors[0], se_alpha=errors[1], se_beta=errors[2][:, 0])
+
+
+for _name, _fit in (("spill_ols_errors", lambda m: _errors(m.fit_ols(), m.pooled_errors())), ("spill_mle_errors", lambda m: _errors(m.fit_mle(), m.standard_errors()))):
+    def _with_errors(spark: SparkSession, sf: str, fit=_fit) -> DataFrame:  # noqa: ANN001
+        return SP.fitted(*spill_panel(spark, sf), "all", lambda model: fit(model()), "permno long, c double, alpha double, beta double, se_c double, se_alpha double, se_beta double")
+
+    query(_name, "permno:i c:f5 alpha:f5 beta:f5 se_c:f5 se_alpha:f5 se_beta:f5")(_with_errors)
+
+#: What a restricted fit leaves out of the model, and how it is searched.
+RESTRICTED = {
+    "none": ({}, {}), "no_intercepts": ({"intercepts": False}, {}), "no_factors": ({"loadings": False}, {}),
+    "no_spillovers": ({}, {"spillovers": False}), "unconstrained": ({}, {"unconstrained": True}),
+}
+
+
+@query("spill_restricted", "sampling_date:d restriction:s c:f4 log_likelihood:f2 aic:f2")
+def spill_restricted(spark: SparkSession, sf: str) -> DataFrame:
+    def fit(model) -> pd.DataFrame:  # noqa: ANN001
+        fits = [(name, model(**free).fit_mle(**how)) for name, (free, how) in RESTRICTED.items()]
+        return pd.DataFrame([(name, m.c, m.log_likelihood(m.c, any_sign=True), 2 * (m.n_params - m.log_likelihood(m.c, any_sign=True))) for name, m in fits], columns=["restriction", "c", "log_likelihood", "aic"])
+
+    df, net = spill_panel(spark, sf)
+    return SP.fitted(P.rolling_samples(df, 36), net, "sampling_date", fit, "restriction string, c double, log_likelihood double, aic double")
 
 
 # --- instruments -----------------------------------------------------------------------------------
