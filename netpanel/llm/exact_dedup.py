@@ -128,8 +128,9 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(low, "UTF-8"), 256))
 
 
-def _bucket(buckets: int) -> Column:
-    return (F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % F.lit(buckets)).cast("int")
+def _bucket(buckets: int, at: int = 1) -> Column:
+    """A digest's bucket, from its four bytes at a place that the filters' keys don't use."""
+    return (F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % F.lit(buckets)).cast("int")
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -149,9 +150,17 @@ def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
     return snapshot.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInArrow(build, "bucket int, buckets int, filter binary")
 
 
+def snapshot_marks(groups: DataFrame) -> dict[int, tuple[int, str]]:
+    """For each batch of groups (batch, digest) its number of rows and a mark of what it holds: that number with the
+    sum and the exclusive or of two 64-bit hashes of its digests, so other digests have another mark."""
+    a, b = F.xxhash64("digest"), F.xxhash64("digest", F.lit(1))
+    found = groups.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(a.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(b).cast("string").alias("mixed"))
+    return {r.batch: (r.n, hashlib.sha256(f"{r.n} {r.total} {r.mixed}".encode()).hexdigest()[:32]) for r in found.collect()}
+
+
 def stored_filters(snapshot: DataFrame, n: int, path: str) -> DataFrame:
     """The filters of a snapshot of n digests as the Parquet table at ``path``: built and written
-    the first time, read from then on, since a snapshot never changes."""
+    the first time, read from then on. A path must hold the snapshot's mark, so that another snapshot has another path."""
     spark = snapshot.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
@@ -159,9 +168,13 @@ def stored_filters(snapshot: DataFrame, n: int, path: str) -> DataFrame:
     return spark.read.schema("bucket int, buckets int, filter binary").parquet(path)
 
 
-def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """incoming (digest, n_bytes, batch) with ``maybe``: false only if the snapshot lacks the digest."""
+def screen(incoming: DataFrame, filters: DataFrame, n: int) -> DataFrame:
+    """n incoming rows (digest, n_bytes, batch) with ``maybe``: false only if the snapshot lacks the digest.
+
+    Where they outnumber the snapshot, a bucket's rows are dealt over several tasks by other bits of
+    the digest and its filter is copied to each, so that a small snapshot's few buckets bound no task."""
     buckets = filters.agg(F.coalesce(F.max("buckets"), F.lit(1))).first()[0]
+    parts = max(1, math.ceil(n / (buckets * BUCKET_DIGESTS)))
 
     def probe(rows: pa.Table, own: pa.Table) -> pa.Table:
         if own.num_rows and rows.num_rows:
@@ -170,8 +183,9 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
             hit = np.zeros(rows.num_rows, bool)
         return rows.select(["digest", "n_bytes", "batch"]).append_column("maybe", pa.array(hit, pa.bool_()))
 
-    dealt = incoming.select("digest", "n_bytes", "batch", _bucket(buckets).alias("bucket")).groupBy("bucket")
-    return dealt.cogroup(filters.groupBy("bucket")).applyInArrow(probe, "digest binary, n_bytes long, batch int, maybe boolean")
+    dealt = incoming.select("digest", "n_bytes", "batch", _bucket(buckets).alias("bucket"), _bucket(parts, 17).alias("part")).groupBy("bucket", "part")
+    copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.cogroup(copies.groupBy("bucket", "part")).applyInArrow(probe, "digest binary, n_bytes long, batch int, maybe boolean")
 
 
 def _bytes_differ(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,18 +222,23 @@ def dedup(docs: DataFrame, batch: Column | None = None, batches: int = BATCHES,
 
     ``batch`` (default: by_crc()) numbers each row's batch from 0. The last batch is the incoming
     one, those before it are immutable snapshots; which row is where changes nothing in the groups.
-    With ``store``, a snapshot's filters are kept as Parquet under its number in that folder and
-    used again. Texts whose bytes differ under one SHA-256 would stop the job (`raise_error`)
+    With ``store``, a snapshot's filters are kept as Parquet in that folder, under a mark of its digests
+    and its number, and used again for a snapshot of the same digests alone; filters of others stay unread. Texts whose bytes differ under one SHA-256 would stop the job (`raise_error`)
     rather than be merged."""
     rows = digests(docs).withColumn("batch", by_crc(batches) if batch is None else batch).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "digests")
     groups = rows.groupBy("batch", "digest", "n_bytes").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups, "grouped")
-    sizes = dict(groups.groupBy("batch").count().collect())
-    maybe = []
+    marks = snapshot_marks(groups)
+    folder = store or f"{run_dir(docs.sparkSession)}/filters-{uuid.uuid4().hex}"
+    maybe = [groups.where("false").select("digest", "n_bytes", "batch")]
     for k in range(batches - 1):
-        filters = stored_filters(groups.where(F.col("batch") == k), sizes.get(k, 0), f"{store or run_dir(docs.sparkSession) + '/filters-' + uuid.uuid4().hex}/snapshot={k}")
-        maybe.append(screen(groups.where(F.col("batch") > k), filters).where("maybe").select("digest", "n_bytes", "batch"))
+        later = sum(n for b, (n, _) in marks.items() if b > k)
+        if k not in marks or not later:  # nothing to hold, or nothing to look up
+            continue
+        n, mark = marks[k]
+        filters = stored_filters(groups.where(F.col("batch") == k), n, f"{folder}/{mark}/snapshot={k}")
+        maybe.append(screen(groups.where(F.col("batch") > k), filters, later).where("maybe").select("digest", "n_bytes", "batch"))
     positive = materialize(reduce(DataFrame.unionByName, maybe), "positive")
     held = groups.where(F.col("batch") < batches - 1).select("digest", "n_bytes", F.col("batch").alias("held"))
     hits = materialize(positive.join(held, ["digest", "n_bytes"]).where("held < batch").select("digest").distinct(), "hits")

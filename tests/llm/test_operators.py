@@ -74,6 +74,32 @@ def test_stored_filters_are_used_again(spark, tmp_path):
     assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} == files
 
 
+def test_stored_filters_of_another_snapshot_are_not_used(spark, tmp_path):
+    def keeps(names):
+        d = spark.createDataFrame([(i, f"{n} text {i % 20}") for n in names for i in range(40)], "doc_id long, text string")
+        return sum(r.kept for r in exact_dedup.dedup(d, (functions.col("doc_id") >= 20).cast("int"), 2, store=str(tmp_path)).collect())
+
+    assert keeps(["first"]) == 20
+    assert keeps(["second"]) == 20  # as many digests, all others
+    assert keeps(["first", "second"]) == 40
+    assert keeps(["first"]) == 20
+
+
+@pytest.mark.parametrize("held", [0, 3])
+def test_a_small_snapshot_bounds_no_task(spark, held, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 50)
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(held)] + [(100 + i, f"text {i}") for i in range(1000)], "doc_id long, text string")
+    incoming = functions.col("doc_id") >= 100
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(d, incoming.cast("int"), 2).collect()}
+    assert got == {i: (100 + i, False) for i in range(held)} | {100 + i: (100 + i, True) for i in range(1000)}
+    later = exact_dedup.digests(d.where(incoming)).withColumn("batch", functions.lit(1))
+    screened = exact_dedup.screen(later, exact_dedup.build_filters(exact_dedup.digests(d.where(~incoming)), 1), 1000)
+    assert screened.where("maybe").count() >= held and screened.count() == 1000
+    groups = later.select(exact_dedup._bucket(20, 17).alias("part")).groupBy("part").count().collect()
+    assert len(groups) == 20 and max(r["count"] for r in groups) < 100
+
+
+
 def test_binary_fuse_has_no_false_negative():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 10, 1000, 60_000):
