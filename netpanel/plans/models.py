@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
+from ..operators import effects as FX
 from ..operators import matrices as M
 from ..operators import models as E
 from ..operators import moments as MO
@@ -121,6 +122,19 @@ def panel_kernel_errors(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# the panel has holes: forty rounds of entity and time means, which the effects' own equations replace in Spark
+@query("panel_two_way", "term:s beta:f8 se:f8 tstat:f4 n:i", f"""WITH RECURSIVE {MONTHLY}, l AS (SELECT permno, date, ret, lag(vol) {BY}) AS vol FROM m),
+  it AS (SELECT 0 AS k, permno, date, vol AS x, ret AS y FROM l WHERE vol IS NOT NULL AND ret IS NOT NULL
+    UNION ALL SELECT k + 1, permno, date, x - avg(x) OVER (PARTITION BY date), y - avg(y) OVER (PARTITION BY date) FROM (SELECT k, permno, date, x - avg(x) OVER (PARTITION BY permno) AS x, y - avg(y) OVER (PARTITION BY permno) AS y FROM it WHERE k < 40)),
+  o AS (SELECT * FROM it WHERE k = 40), b AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, count(*) AS n FROM o),
+  h AS (SELECT date, sum(x * (y - beta * x)) AS h, row_number() OVER (ORDER BY date) AS i FROM o, b GROUP BY 1),
+  s AS (SELECT sum(u.h * v.h * CASE WHEN u.i = v.i THEN 1.0 ELSE 2 * (1 - (u.i - v.i) / CAST(4 AS DOUBLE)) END) AS s FROM h u JOIN h v ON u.i - v.i BETWEEN 0 AND 3)
+  SELECT 'vol' AS term, beta, sqrt(s) / xx AS se, beta / (sqrt(s) / xx) AS tstat, n FROM b, s""")
+def panel_two_way(spark: SparkSession, sf: str) -> DataFrame:
+    m = T.monthly(spark, sf).withColumn("vol", F.lag("vol").over(Window.partitionBy("permno").orderBy("date")))
+    return FX.two_way_fit(m, "ret", ["vol"])
+
+
 @query("grs_test", "stat:f4 p:f6")
 def grs_test(spark: SparkSession, sf: str) -> DataFrame:
     r = regions(spark, sf).groupBy("date").agg(F.avg("x").alias("mkt"))
