@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
+from ..operators import correlation_net as CN
 from ..operators import effects as FX
 from ..operators import matrices as M
 from ..operators import models as E
@@ -432,6 +433,35 @@ def sparsity_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Points of the sign nets' search: shares of the absolute penalty, and penalties of the stacked problem.
+SIGN_POINTS = [(a, u) for a in (0.25, 0.5, 0.75, 1.0) for u in (0.0001, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.016)]
+
+
+def sign_net_sql(tail: str) -> str:
+    """c (window, i, j, fold, n, s, q), l (losses by window and point) and b (the best point), then ``tail``."""
+    soft = lambda m: f"sign({m}) * greatest(abs({m}) - u * k * k * alpha, 0) / (1 + u * k * k * (1 - alpha))"
+    points = ", ".join(f"({a}, {u})" for a, u in SIGN_POINTS)
+    windows = SAMPLES.replace("m.*", "v.*").replace("FROM m", "FROM v").replace("range(0, 12)", "range(0, 36)")
+    return f"""WITH {REGIONS}, {windows}, sn AS (SELECT sampling_date, count(DISTINCT permno) AS k FROM s GROUP BY 1), fd AS (SELECT sampling_date, date, k, row_number() OVER (PARTITION BY sampling_date ORDER BY date) - 1 AS r, count(*) OVER (PARTITION BY sampling_date) AS t FROM (SELECT sampling_date, date, k FROM s JOIN sn USING (sampling_date) GROUP BY 1, 2, 3 HAVING count(x) = k)),
+  fo AS (SELECT *, CASE WHEN r < (t % 12) * (t // 12 + 1) THEN r // (t // 12 + 1) ELSE t % 12 + (r - (t % 12) * (t // 12 + 1)) // (t // 12) END AS fold FROM fd WHERE t >= 24),
+  o AS (SELECT sampling_date, date, permno, k, fold, sign(round(x - avg(x) OVER (PARTITION BY sampling_date, permno), 10)) AS a FROM s JOIN fo USING (sampling_date, date)),
+  c AS (SELECT p.sampling_date, p.k, p.permno AS i, q.permno AS j, p.fold, count(*) AS n, sum(p.a * q.a) AS s, sum(abs(p.a * q.a)) AS q FROM o p JOIN o q USING (sampling_date, date) WHERE p.permno <= q.permno GROUP BY 1, 2, 3, 4, 5),
+  rs AS (SELECT *, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS m, CASE WHEN i < j THEN 2 ELSE 1 END AS w2 FROM c WINDOW w AS (PARTITION BY sampling_date, i, j)),
+  f AS (SELECT sampling_date, alpha, u, fold, sum(w2 * (q - 2 * b * s + n * b * b)) / sum(w2 * n) AS loss FROM (SELECT *, {soft("m")} AS b FROM rs, (SELECT CAST(column0 AS DOUBLE) AS alpha, CAST(column1 AS DOUBLE) AS u FROM (VALUES {points}) g(column0, column1))) GROUP BY 1, 2, 3, 4),
+  l AS (SELECT sampling_date, alpha, u, avg(loss) AS loss FROM f GROUP BY 1, 2, 3), b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY sampling_date ORDER BY round(loss, 9), u DESC, alpha DESC) = 1)
+  {tail.replace("SOFT", soft("m"))}"""
+
+
+@query("sign_net_cv", "sampling_date:d i:i j:i v:f6 alpha:f2 lambdau:f6", sign_net_sql("SELECT sampling_date, i, j, SOFT AS v, alpha, u AS lambdau FROM (SELECT sampling_date, k, i, j, sum(s) / sum(n) AS m FROM c GROUP BY 1, 2, 3, 4) JOIN b USING (sampling_date)"))
+def sign_net_cv(spark: SparkSession, sf: str) -> DataFrame:
+    return CN.search(rolling(spark, sf), "sampling_date", SIGN_POINTS)
+
+
+@query("sign_net_losses", "sampling_date:d alpha:f2 lambdau:f6 loss:f6", sign_net_sql("SELECT sampling_date, alpha, u AS lambdau, loss FROM l"))
+def sign_net_losses(spark: SparkSession, sf: str) -> DataFrame:
+    return CN.losses(CN.sign_sums(rolling(spark, sf), "sampling_date", 12, 24), "sampling_date", SIGN_POINTS)
+
+
 @query("adaptive_threshold_cov", "i:i j:i v:f8", f"""WITH {REGIONS}, o AS (SELECT permno, date, x - avg(x) OVER (PARTITION BY permno) AS x FROM v), p AS (SELECT a.permno AS i, b.permno AS j, a.x * b.x AS p FROM o a JOIN o b USING (date)),
   s AS (SELECT i, j, sum(p) / (count(*) - 1) AS cov, count(*) AS t FROM p GROUP BY 1, 2), th AS (SELECT i, j, avg(pow(p - cov, 2)) AS theta, max(cov) AS cov, max(t) AS t FROM p JOIN s USING (i, j) GROUP BY 1, 2), n AS (SELECT count(DISTINCT permno) AS n FROM v)
   SELECT i, j, CASE WHEN abs(cov) > z THEN sign(cov) * (abs(cov) - z) ELSE 0 END AS v FROM (SELECT i, j, cov, CAST('{K.normal_quantile(0.9)!r}' AS DOUBLE) * sqrt(theta * ln(n) / t) AS z FROM th, n)""")

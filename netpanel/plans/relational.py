@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import windows as X
+from ..operators import density as DN
 from ..operators import panel as P
 from ..sources import catalog as D
 from ..sources import tables as T
@@ -657,3 +658,14 @@ def trimmed_histogram(spark: SparkSession, sf: str) -> DataFrame:
     q = m.agg(F.percentile("ret", F.lit(0.05)).alias("lo"), F.percentile("ret", F.lit(0.95)).alias("hi"))
     inner = m.join(F.broadcast(q)).where("round(ret, 10) > round(lo, 10) and round(ret, 10) < round(hi, 10)")
     return inner.groupBy(F.floor((F.col("ret") + 0.1) / 0.01).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"))
+
+
+@query("density_curve", "year:i point:i x:f8 density:f5 scaled:f5 gaussian:f5", f"""WITH {MONTHLY}, y AS (SELECT year(date) AS year, ret FROM m WHERE ret IS NOT NULL), q AS (SELECT year, quantile_cont(ret, 0.01) AS lo, quantile_cont(ret, 0.99) AS hi FROM y GROUP BY 1),
+  d AS (SELECT year, ret FROM y JOIN q USING (year) WHERE round(ret, 10) > round(lo, 10) AND round(ret, 10) < round(hi, 10)),
+  st AS (SELECT year, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, min(ret) AS lo, max(ret) AS hi, stddev_samp(ret) * pow(count(*), CAST(-0.2 AS DOUBLE)) AS h FROM d GROUP BY 1 HAVING max(ret) > min(ret)),
+  b AS (SELECT year, floor(p) AS k, p - floor(p) AS f FROM (SELECT year, (ret - lo) / (hi - lo) * 1000 AS p FROM d JOIN st USING (year))), c AS (SELECT year, k, sum(w) AS w FROM (SELECT year, k, 1 - f AS w FROM b UNION ALL SELECT year, k + 1, f FROM b) GROUP BY 1, 2),
+  g AS (SELECT st.*, i AS point, lo + (hi - lo) * (i * (CAST(1.1 AS DOUBLE) / 99) - CAST(0.05 AS DOUBLE)) AS x FROM st, range(0, 100) r(i)),
+  e AS (SELECT year, point, x, n, mean, std, lo, hi, sum(w * exp(-pow((x - lo - (hi - lo) * k / 1000) / h, 2) / 2)) / n / h / sqrt(2 * pi()) AS density FROM g JOIN c USING (year) GROUP BY year, point, x, n, mean, std, lo, hi, h)
+  SELECT year, point, x, density, density * (hi - lo) / 100 * n * CAST(0.98 AS DOUBLE) AS scaled, exp(-pow((x - mean) / std, 2) / 2) / std / sqrt(2 * pi()) AS gaussian FROM e""")
+def density_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return DN.density(T.monthly(spark, sf).withColumn("year", F.year("date")), "ret", ["year"], tails=0.02)
