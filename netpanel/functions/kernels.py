@@ -330,11 +330,15 @@ def shuffle_free_folds(t: int, folds: int) -> np.ndarray:
 
 def threshold_covariance(data: np.ndarray, delta: float, eta: float = 4.0, rule: str = "lasso") -> np.ndarray:
     """Adaptive thresholding of the sample covariance."""
-    t, n = data.shape
+    t = len(data)
     cov = np.cov(data, rowvar=False)
     own = data - data.mean(axis=0)
-    theta = ((own[:, :, None] * own[:, None, :] - cov) ** 2).mean(axis=0)
-    thr = normal_quantile(delta) * np.sqrt(theta * np.log(n) / t)
+    return thresholded(cov, ((own[:, :, None] * own[:, None, :] - cov) ** 2).mean(axis=0), t, delta, eta, rule)
+
+
+def thresholded(cov: np.ndarray, theta: np.ndarray, t: float, delta: float, eta: float = 4.0, rule: str = "lasso") -> np.ndarray:
+    """The covariance of t dates under thresholds from theta, the mean squared deviations of the products from it."""
+    thr = normal_quantile(delta) * np.sqrt(theta * np.log(len(cov)) / t)
     if rule == "soft":
         return np.sign(cov) * np.maximum(np.abs(cov) - thr, 0)
     keep = 1 - np.abs(thr / np.where(cov == 0, np.inf, cov)) ** eta
@@ -512,15 +516,16 @@ def k_class(y: np.ndarray, x: np.ndarray, z: np.ndarray, method: str = "2sls", f
 
 def grs(returns: np.ndarray, factors: np.ndarray) -> tuple[float, float]:
     """F statistic and p-value of all intercepts being zero."""
-    t, n = returns.shape
-    k = factors.shape[1]
-    x = np.hstack([np.ones((t, 1)), factors])
+    x = np.hstack([np.ones((len(returns), 1)), factors])
     b = ols(x, returns)
     e = returns - x @ b
-    s = e.T @ e / (t - k - 1)
-    mu = factors.mean(axis=0)
-    omega = np.atleast_2d(np.cov(factors, rowvar=False, ddof=0))
-    stat = (t / n) * ((t - n - k) / (t - k - 1)) * (b[0] @ np.linalg.solve(s, b[0])) / (1 + mu @ np.linalg.solve(omega, mu))
+    return grs_of(len(returns), b[0], e.T @ e, factors.mean(axis=0), np.atleast_2d(np.cov(factors, rowvar=False, ddof=0)))
+
+
+def grs_of(t: float, alpha: np.ndarray, ee: np.ndarray, mu: np.ndarray, omega: np.ndarray) -> tuple[float, float]:
+    """The same from the intercepts, the residuals' sums of products, and the factors' means and covariance."""
+    n, k = len(alpha), len(mu)
+    stat = (t / n) * ((t - n - k) / (t - k - 1)) * (alpha @ np.linalg.solve(ee / (t - k - 1), alpha)) / (1 + mu @ np.linalg.solve(omega, mu))
     return float(stat), f_sf(float(stat), n, t - n - k)
 
 

@@ -283,18 +283,56 @@ def residual_rows(df: DataFrame, coefs: DataFrame, key: str) -> DataFrame:
 # --- covariance and decomposition -----------------------------------------------------------
 
 
-def covariance(df: DataFrame, key: str, method: Callable[[np.ndarray], np.ndarray], value: str = "x") -> DataFrame:
-    """key, i, j, v: the estimate of each window."""
+#: Added to the id of a series for that of its squares.
+SQUARES = 1 << 40
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = wide(pdf, value)
-        return edge_rows(w.columns.to_numpy(), method(w.to_numpy()))
 
-    return windows(df, key, fit, "i long, j long, v double")
+def second_moments(rows: DataFrame, key: str, fn: Callable[[MO.System], pd.DataFrame | None], schema: str) -> DataFrame:
+    """fn of each window's moments without lags, of rows (key, pos, dates, permno, x); under LEAST dates give no row."""
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m = MO.System(pdf, 0, True)
+        return fn(m) if m.n.sum() >= LEAST else None
 
-#: Added to the id of a series for that of its squares.
-SQUARES = 1 << 40
+    return MO.solved(MO.moments(MO.centred(rows, key), key, 0), key, fit, schema)
+
+
+def covariance(df: DataFrame, key: str, method: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, i, j, v: method of each window's sample covariance, from moments."""
+    out = lambda m: edge_rows(m.names, method(m.total()[2] / (m.n.sum() - 1)))
+    return second_moments(MO.on_complete_days(df, key), key, out, "i long, j long, v double")
+
+
+def threshold_covariance(df: DataFrame, key: str, delta: float, eta: float = 4.0, rule: str = "lasso") -> DataFrame:
+    """key, i, j, v: each window's covariance under adaptive thresholds. The spread of a pair's products comes
+    from the moments of the squares, which stand beside the series under ids of their own."""
+    rows = MO.on_complete_days(df, key)
+    own = rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(key, "permno")))
+    squares = own.withColumn("permno", F.col("permno") + SQUARES).withColumn("x", F.col("x") * F.col("x"))
+
+    def fit(m: MO.System) -> pd.DataFrame:
+        t, n = float(m.n.sum()), len(m.names) // 2
+        products, both = m.total()[2][:n, :n], m.total()[2][n:, n:] / t + np.outer(m.mean[n:], m.mean[n:])
+        cov = products / (t - 1)
+        theta = np.maximum(both - 2 * cov * products / t + cov**2, 0)
+        return edge_rows(m.names[:n], K.thresholded(cov, theta, t, delta, eta, rule))
+
+    return second_moments(own.unionByName(squares), key, fit, "i long, j long, v double")
+
+
+def grs(df: DataFrame, key: str, factors: tuple[str, ...]) -> DataFrame:
+    """key, stat, p: the test that all intercepts of the series on the factors are zero, from moments; a
+    window without more dates than series and factors gives no row."""
+
+    def fit(m: MO.System) -> pd.DataFrame | None:
+        t, k = float(m.n.sum()), len(m.factors)
+        if t <= len(m.names) + k + 1:
+            return None
+        b = m.least_squares()
+        ee = residual_squares(m, b)
+        return pd.DataFrame([K.grs_of(t, m.own_units(b, False)[0], ee, m.factor_mean, m.total()[0][1:, 1:] / t)], columns=["stat", "p"])
+
+    return second_moments(MO.on_complete_days(df.dropna(subset=list(factors)), key, factors), key, fit, "stat double, p double")
 
 
 def lasso_tasks(rows: DataFrame, key: str, folds: int = 12) -> DataFrame:

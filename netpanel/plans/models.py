@@ -139,14 +139,10 @@ def panel_two_way(spark: SparkSession, sf: str) -> DataFrame:
 @query("grs_test", "stat:f4 p:f6")
 def grs_test(spark: SparkSession, sf: str) -> DataFrame:
     r = regions(spark, sf).groupBy("date").agg(F.avg("x").alias("mkt"))
-    df = regions(spark, sf).join(r, "date").withColumn("all", F.lit(1))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = E.wide(pdf).iloc[:, :-1]  # the factor is the mean of all series, so one of them depends on the others
-        stat, p = K.grs(w.to_numpy(), E.factor_of(pdf, w.index, ["mkt"]))
-        return pd.DataFrame({"stat": [stat], "p": [p]})
-
-    return E.windows(df, "all", fit, "stat double, p double")
+    v = regions(spark, sf)
+    last = v.agg(F.max("permno").alias("_last"))  # the factor is the mean of all series, so one of them depends on the others
+    df = v.join(F.broadcast(last)).where("permno < _last").drop("_last").join(r, "date").withColumn("all", F.lit(1))
+    return E.grs(df, "all", ("mkt",))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,7 +463,7 @@ def sign_net_losses(spark: SparkSession, sf: str) -> DataFrame:
   SELECT i, j, CASE WHEN abs(cov) > z THEN sign(cov) * (abs(cov) - z) ELSE 0 END AS v FROM (SELECT i, j, cov, CAST('{K.normal_quantile(0.9)!r}' AS DOUBLE) * sqrt(theta * ln(n) / t) AS z FROM th, n)""")
 def adaptive_threshold_cov(spark: SparkSession, sf: str) -> DataFrame:
     v = regions(spark, sf).withColumn("all", F.lit(1))
-    return E.covariance(v, "all", lambda x: K.threshold_covariance(x, 0.9, rule="soft"))
+    return E.threshold_covariance(v, "all", 0.9, rule="soft")
 
 
 @query("correlation_sign_net", "i:i j:i v:f6", f"WITH {REGIONS}, o AS (SELECT permno, date, x - avg(x) OVER (PARTITION BY permno) AS x FROM v) SELECT a.permno AS i, b.permno AS j, avg(sign(a.x * b.x)) AS v FROM o a JOIN o b ON a.date = b.date AND a.permno < b.permno GROUP BY 1, 2")
@@ -488,7 +484,7 @@ def partial_corr(spark: SparkSession, sf: str) -> DataFrame:
 @query("partial_corr_precision", "i:i j:i pcorr:f6")
 def partial_corr_precision(spark: SparkSession, sf: str) -> DataFrame:
     v = regions(spark, sf).withColumn("all", F.lit(1))
-    return E.covariance(v, "all", lambda x: K.partial_correlation(np.linalg.pinv(np.cov(x, rowvar=False)))).withColumnRenamed("v", "pcorr")
+    return E.covariance(v, "all", lambda s: K.partial_correlation(np.linalg.pinv(s))).withColumnRenamed("v", "pcorr")
 
 
 @query("shrinkage", "sampling_date:d shrinkage:f6")

@@ -87,3 +87,20 @@ def test_lasso_path_and_losses(panel, spark):
         rest, own = d[labels != fold], d[labels == fold]
         assert loss == pytest.approx(K.period_loss(K.glasso(np.cov(rest, rowvar=False, ddof=0), alpha)[0], own - rest.mean(axis=0)), rel=1e-4)
     assert len(losses) == 10
+
+
+def test_covariances_and_the_test_of_intercepts_from_moments(panel):
+    x, f, df = panel
+    few = df.where("permno < 20")
+    d = x[:, :20]
+    matrix = lambda rows: np.array([[r.v for r in sorted(rows, key=lambda r: (r.i, r.j))]]).reshape(20, 20)
+    for rule in ("soft", "lasso"):
+        got = E.threshold_covariance(few.where("w = 1"), "w", 0.95, rule=rule).collect()
+        assert {r.w for r in got} == {1} and np.allclose(matrix(got), K.threshold_covariance(d, 0.95, rule=rule))
+    got = E.covariance(few, "w", lambda s: K.partial_correlation(np.linalg.pinv(s))).collect()
+    assert {r.w for r in got} == {1}  # two dates are too few
+    assert np.allclose(matrix(got), K.partial_correlation(np.linalg.pinv(np.cov(d, rowvar=False))))
+    got = E.grs(few.where("date < 64"), "w", ("mkt",)).collect()
+    stat, p = K.grs(d, f[:, None])
+    assert [r.w for r in got] == [1] and got[0].stat == pytest.approx(stat) and got[0].p == pytest.approx(p)
+    assert E.grs(df.where("date < 20"), "w", ("mkt",)).collect() == []  # more series than dates
