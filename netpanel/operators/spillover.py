@@ -2,12 +2,13 @@
 
 Spark adds up the second moments of returns and factors of each window (moments.py, no lags); W r is
 linear in r, so these moments give every estimator, likelihood and share of variance, and no task
-holds a row of the panel. The log-determinant of I - c W comes from W's eigenvalues, found once for all windows."""
+holds a row of the panel. The log-determinant of I - c W comes from W's eigenvalues, found once a task."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,20 @@ GRID = 81
 
 
 class Network:
-    """W without its diagonal, its labels, its eigenvalues and the bound of c within which I - c W is regular."""
+    """W without its diagonal, its labels, its eigenvalues and the bound of c within which I - c W is regular.
+    The eigenvalues are found where they are first asked for: in a task, once for all of its windows."""
 
     def __init__(self, labels: np.ndarray, w: np.ndarray) -> None:
         self.labels, self.w = labels, w - np.diag(np.diag(w))
-        self.eigenvalues = np.linalg.eigvals(self.w)
+
+    @cached_property
+    def eigenvalues(self) -> np.ndarray:
+        return np.linalg.eigvals(self.w)
+
+    @cached_property
+    def limit(self) -> float:
         radius = float(np.abs(self.eigenvalues).max(initial=0.0))
-        self.limit = 0.9999 / radius if radius > 0 else np.inf
+        return 0.9999 / radius if radius > 0 else np.inf
 
     @classmethod
     def of(cls, edges: DataFrame) -> Network:
