@@ -163,20 +163,3 @@ def panel_errors(df: DataFrame, y: str, x: str, effects: str = "entity", lag: in
     summed = scores.withColumn("s", sum(parts[1:], parts[0])).agg(F.sum("s").alias("s"), F.first("suv").alias("suv"), F.first("suu").alias("suu"), F.first("sn").alias("n"))
     beta, se = ratio(F.col("suv"), F.col("suu")), F.sqrt(F.when(F.col("s") > 0, F.col("s"))) / F.col("suu")
     return summed.select(beta.alias("beta"), se.alias("se"), ratio(beta, se).alias("tstat"), "n")
-
-
-def k_class(df: DataFrame, y: str, x: Sequence[str], z: Sequence[str], by: str, method: str) -> DataFrame:
-    """by, term, coef, se, k: instrumental estimates of each group; constants are added to both sides."""
-    kinds = dict(df.dtypes)
-    schema = f"{by} {kinds[by]}, term string, coef double, se double, k double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[by].iloc[0]
-        pdf = pdf.dropna()
-        if len(pdf) <= max(len(x), len(z)) + 2:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)
-        one = np.ones((len(pdf), 1))
-        b, se, k = K.k_class(pdf[y].to_numpy(float), np.hstack([one, pdf[list(x)].to_numpy(float)]), np.hstack([one, pdf[list(z)].to_numpy(float)]), method)
-        return pd.DataFrame({by: key, "term": ["const", *x], "coef": b, "se": se, "k": k})
-
-    return df.select(by, y, *x, *z).groupBy(by).applyInPandas(fit, schema)

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import correlation_net as CN
 from ..operators import effects as FX
+from ..operators import instruments as IV
 from ..operators import matrices as M
 from ..operators import models as E
 from ..operators import moments as MO
@@ -882,10 +883,33 @@ def spill_restricted(spark: SparkSession, sf: str) -> DataFrame:
   SELECT permno, 'const' AS term, y - beta * m AS coef, sqrt(s2 * (1.0 / n + m * m / xx)) AS se FROM e UNION ALL SELECT permno, 'mkt', beta, sqrt(s2 / xx) FROM e""")
 def iv_2sls(spark: SparkSession, sf: str) -> DataFrame:
     j = with_market(spark, sf).withColumn("lm", F.lag("mkt").over(Window.partitionBy("permno").orderBy("date")))
-    return R.k_class(j, "ret", ["mkt"], ["lm", "disp"], "permno", "2sls")
+    return IV.regress(j, "ret", ["mkt"], ["lm", "disp"], "permno", "2sls", ["date"])
 
 
 @query("kclass_iv", "permno:i term:s coef:f4 se:f4 k:f6")
 def kclass_iv(spark: SparkSession, sf: str) -> DataFrame:
     j = with_market(spark, sf).withColumn("lm", F.lag("mkt").over(Window.partitionBy("permno").orderBy("date")))
-    return R.k_class(j, "ret", ["mkt"], ["lm", "disp", "size"], "permno", "fuller")
+    return IV.regress(j, "ret", ["mkt"], ["lm", "disp", "size"], "permno", "fuller", ["date"])
+
+
+def many_instruments(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Monthly returns of the companies' securities with 36 instruments: the market's last mean, dispersion
+    and size, and the month of the year alone and times the first two."""
+    w = Window.orderBy("date")  # one row a date
+    f = T.market(spark, sf).select("date", "mkt", *[F.lag(c).over(w).alias(f"l_{c}") for c in ("mkt", "disp", "size")])
+    months = [(f"m{k}", (F.month("date") == k).cast("double")) for k in range(2, 13)]
+    f = f.withColumns(dict(months)).withColumns({f"{m}_{c}": F.col(m) * F.col(f"l_{c}") for m, _ in months for c in ("mkt", "disp")})
+    rows = T.monthly(spark, sf).join(T.securities(spark, sf).select("permno", "permco"), "permno").select("permco", "permno", "date", "ret")
+    return rows.join(F.broadcast(f), "date"), [c for c in f.columns if c not in ("date", "mkt")]
+
+
+@query("hful_iv", "permco:i term:s coef:f4 se:f4 k:f6")
+def hful_iv(spark: SparkSession, sf: str) -> DataFrame:
+    rows, z = many_instruments(spark, sf)
+    return IV.regress(rows, "ret", ["mkt"], z, "permco", "hful", ["permno", "date"])
+
+
+@query("many_instrument_iv", "permco:i term:s coef:f4 se:f4 k:f6")
+def many_instrument_iv(spark: SparkSession, sf: str) -> DataFrame:
+    rows, z = many_instruments(spark, sf)
+    return IV.regress(rows, "ret", ["mkt"], z, "permco", "fuller", ["permno", "date"], errors="many")
