@@ -18,6 +18,8 @@ from ..operators import moments as MO
 from ..operators import panel as P
 from ..operators import regression as R
 from ..operators import spillover as SP
+from ..sources import catalog as D
+from ..sources import estimates as S
 from ..sources import tables as T
 from ..sources.tables import MARKET, MONTHLY
 from .ordered import BY, REGIONS, regions
@@ -913,3 +915,17 @@ def hful_iv(spark: SparkSession, sf: str) -> DataFrame:
 def many_instrument_iv(spark: SparkSession, sf: str) -> DataFrame:
     rows, z = many_instruments(spark, sf)
     return IV.regress(rows, "ret", ["mkt"], z, "permco", "fuller", ["permno", "date"], errors="many")
+
+
+@query("stored_betas", "sampling_date:d permno:i beta:f5 fitted:b", f"""WITH {MONTHLY}, {MARKET}, {J}, {SAMPLES.replace("FROM m,", "FROM j m,")}, t AS (SELECT DISTINCT sampling_date FROM s WHERE date = DATE '1998-06-30')
+  SELECT sampling_date, permno, regr_slope(ret, mkt) AS beta, sampling_date IN (SELECT sampling_date FROM t) AS fitted FROM s GROUP BY 1, 2""")
+def stored_betas(spark: SparkSession, sf: str) -> DataFrame:
+    """Betas of all samples, stored from a panel with preliminary returns of one month, then refreshed with
+    the final ones: only samples that hold the month are fitted again."""
+    final = with_market(spark, sf).select("permno", "date", "ret", "mkt")
+    early = final.withColumn("ret", F.when(F.col("date") == F.to_date(F.lit("1998-06-30")), F.round("ret", 2) + 0.005).otherwise(F.col("ret")))
+    path = D.scratch(spark, "betas")
+    fit = lambda rows: R.one_factor(rows, "ret", "mkt", ["sampling_date", "permno"]).select("sampling_date", "permno", "beta")
+    S.refresh(P.rolling_samples(early, 12), "sampling_date", path, fit, "one factor, 12 months")
+    held, fitted = S.refresh(P.rolling_samples(final, 12), "sampling_date", path, fit, "one factor, 12 months")
+    return held.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "sampling_date", "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))

@@ -309,13 +309,13 @@ def clip_values(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("ret", F.when(F.col("ret").isNotNull(), F.greatest("ret", F.lit(0.0)))).withColumn("vol", F.when(F.col("vol").isNotNull(), F.least("vol", F.lit(0.03))))
 
 
-@query("horizon_gate", "sampling_date:d horizon:i n:i last:d", f"""WITH {MONTHLY}, {FUTURE} SELECT sampling_date, h AS horizon, count(*) AS n, max(date) AS last FROM a, (VALUES (1), (3), (6), (12)) v(h)
+@query("horizon_gate", "sampling_date:d horizon:i n:i last:d", f"""WITH {MONTHLY}, {FUTURE.replace("range(1, 13)", f"range(1, {max(HORIZONS) + 1})")} SELECT sampling_date, h AS horizon, count(*) AS n, max(date) AS last FROM a, {HORIZON_VALUES} v(h)
   WHERE date > sampling_date AND date <= last_day(CAST(sampling_date + to_months(CAST(h AS INTEGER)) AS DATE)) AND last_day(CAST(sampling_date + to_months(CAST(h AS INTEGER)) AS DATE)) <= (SELECT max(date) FROM m) GROUP BY 1, 2""")
 def horizon_gate(spark: SparkSession, sf: str) -> DataFrame:
     m = T.monthly(spark, sf)
     last = m.agg(F.max("date").alias("_max"))
-    ahead = P.forward_samples(m, 12).join(F.broadcast(last))
-    return P.horizons(ahead, "sampling_date", "date", [1, 3, 6, 12], F.col("_max")).groupBy("sampling_date", "horizon").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
+    ahead = P.forward_samples(m, max(HORIZONS)).join(F.broadcast(last))
+    return P.horizons(ahead, "sampling_date", "date", HORIZONS, F.col("_max")).groupBy("sampling_date", "horizon").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
 
 
 @query("eligibility", "sampling_date:d permno:i has_all_days:b has_next_obs:b", f"""WITH {MONTHLY}, {SAMPLES}, {FUTURE},
