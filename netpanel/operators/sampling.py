@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank, suffix_duplicates
-from . import panel as P
 
 MEASURES = ("mcap", "mcap_volatility", "value_vola")
 
@@ -50,9 +49,13 @@ def summary(samples: DataFrame, ahead: DataFrame) -> DataFrame:
         (F.avg("mcap") * F.avg("_vol")).alias("value_vola"),
     )
     seen = ahead.select(*key).distinct().withColumn("_seen", F.lit(True))
-    flagged = stats.join(seen, key, "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    return ranked(stats.join(seen, key, "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))))
+
+
+def ranked(stats: DataFrame) -> DataFrame:
+    """stats, with a column _seen, as summary() returns them: with has_next_obs and the ranks of eligible assets."""
     anyone = F.max("_seen").over(Window.partitionBy("sampling_date"))
-    out = flagged.withColumn("has_next_obs", F.col("_seen") | ~anyone).drop("_seen")
+    out = stats.withColumn("has_next_obs", F.col("_seen") | ~anyone).drop("_seen")
     ok = F.col("has_all_days") & F.col("has_next_obs")
     for c in ("last_mcap", "mean_mcap", "last_mcap_volatility", "mean_mcap_volatility", "value_vola"):
         out = out.withColumn("_x", F.when(ok, F.col(c))).withColumn(f"{c}_rank", average_rank(F.col("_x"), "sampling_date")).drop("_x")
@@ -69,16 +72,6 @@ def select_largest(described: DataFrame, n: int, method: str = "mean", variable:
     return chosen.withColumn("ticker", suffix_duplicates(F.col("ticker"), ["sampling_date"], "asset_order"))
 
 
-def sample_panel(rows: DataFrame, months: int, n: int, method: str = "mean", variable: str = "mcap") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(historic, future, selection) of all sampling dates."""
-    past = representative(P.rolling_samples(company_sums(rows), months))
-    ahead = P.forward_samples(rows, months)
-    chosen = select_largest(summary(past, ahead), n, method, variable)
-    held = chosen.select("sampling_date", "permno", "asset_order")
-    key = ["sampling_date", "permno"]
-    return past.join(held, key), ahead.join(held, key), chosen
-
-
 def attributes(rows: DataFrame, codes: list[str]) -> DataFrame:
     """The last known value of each code, by asset."""
     return rows.groupBy("permno").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in codes])

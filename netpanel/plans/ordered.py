@@ -10,6 +10,7 @@ from ..functions import windows as X
 from ..operators import indices as I
 from ..operators import panel as P
 from ..operators import sampling as S
+from ..operators import sliding as SL
 from ..sources import tables as T
 from ..sources.tables import DAILY, MARKET, MONTHLY, NAMES, SECURITIES
 from .registry import query
@@ -395,8 +396,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
-    rows = panel(spark, sf)
-    return S.summary(S.representative(P.rolling_samples(S.company_sums(rows), 12)), P.forward_samples(rows, 12))
+    return SL.summary(panel(spark, sf), 12)
 
 
 @query("permco_agg", "sampling_date:d permno:i date:d permno_mcap:f2 mcap:f2", f"WITH {PANEL}, {PAST}, {REPRESENTATIVE} SELECT sampling_date, permno, date, permno_mcap, mcap FROM p")
@@ -426,7 +426,7 @@ def select_largest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sample_panel", "sampling_date:d permno:i date:d leg:s asset_order:i ret:f8", f"WITH {PANEL}, {PAST}, {AHEAD}, {REPRESENTATIVE}, {SUMMARY}, c AS (SELECT sampling_date, permno, asset_order FROM ch WHERE asset_order <= 10) SELECT sampling_date, permno, date, 'historic' AS leg, asset_order, ret FROM p JOIN c USING (sampling_date, permno) UNION ALL SELECT sampling_date, permno, date, 'future', asset_order, ret FROM a JOIN c USING (sampling_date, permno)")
 def sample_panel(spark: SparkSession, sf: str) -> DataFrame:
-    past, ahead, _ = S.sample_panel(panel(spark, sf), 12, 10)
+    past, ahead, _ = SL.sample_panel(panel(spark, sf), 12, 10)
     cols = ["sampling_date", "permno", "date", "asset_order", "ret"]
     return past.select(*cols, F.lit("historic").alias("leg")).unionByName(ahead.select(*cols, F.lit("future").alias("leg")))
 
