@@ -84,6 +84,28 @@ def write_read(spark: SparkSession, sf: str) -> DataFrame:
     return D.read(spark, path).where("year = 1997")
 
 
+@query("file_discovery", "year:i found:b", f"WITH {MONTHLY} SELECT DISTINCT year(date) AS year, true AS found FROM m")
+def file_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """The years of a written panel, from the metadata of the files below its folder."""
+    path = D.scratch(spark, "panel")
+    D.write(T.monthly(spark, sf).withColumn("year", F.year("date")), path, ["year"])
+    year = F.regexp_extract("path", "/year=([0-9]+)/", 1).cast("int")
+    return D.files(spark, path, "*.parquet").groupBy(year.alias("year")).agg((F.sum("bytes") > 0).alias("found"))
+
+
+@query("catalog_search", "query:s within:s path:s rank:i", """WITH f AS (SELECT DISTINCT url AS path, regexp_extract(rtrim(url, '/'), '[^/]*$') AS name FROM pages), n AS (SELECT *, CASE WHEN regexp_matches(name, '^(.+)\\.[^.]+$') THEN regexp_extract(name, '^(.+)\\.[^.]+$', 1) ELSE name END AS stem FROM f),
+  w AS (SELECT DISTINCT regexp_replace(name, '[?#].*$', '') AS query, nullif(regexp_extract(path, '//[^/]*/([^/]*)/', 1), '') AS within FROM n), q AS (SELECT query, within, query AS qn, CASE WHEN regexp_matches(query, '^(.+)\\.[^.]+$') THEN regexp_extract(query, '^(.+)\\.[^.]+$', 1) ELSE query END AS qs FROM w WHERE query <> ''),
+  r AS (SELECT query, within, path, CASE WHEN name = qn THEN 1 WHEN stem = qs THEN 2 ELSE 3 END AS rank FROM q JOIN n ON name = qn OR stem = qs OR contains(path, query)),
+  b AS (SELECT * FROM r QUALIFY rank = min(rank) OVER (PARTITION BY query, within))
+  SELECT query, within, path, rank FROM b WHERE within IS NULL OR list_contains(string_split(rtrim(path, '/'), '/')[:-2], within)""")
+def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The last part of every page's address, without parameters, looked up among all addresses below the same first folder."""
+    pages = T.table(spark, sf, "pages").select(F.col("url").alias("path"))
+    name = F.substring_index(F.rtrim(F.col("path"), F.lit("/")), "/", -1)
+    first = F.regexp_extract("path", "//[^/]*/([^/]*)/", 1)
+    return D.search_all(pages, pages.select(F.regexp_replace(name, r"[?#].*$", "").alias("query"), F.when(first != "", first).alias("within")))
+
+
 @query("combined_dump", "permno:i date:d mcap:f2 ret:f8", f"""WITH {MONTHLY} SELECT permno, date, mcap, NULL AS ret FROM m WHERE date < DATE '1998-01-01'
   UNION SELECT permno, date, mcap, ret FROM m WHERE date >= DATE '1997-01-01' UNION SELECT permno, date, mcap, ret FROM m WHERE date >= DATE '1998-01-01'""")
 def combined_dump(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,12 +8,15 @@ import uuid
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import upsert
 from .tables import nan_to_null
 
+#: Longest strings by which paths are looked up.
+GRAM = 3
+
 
 def query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Runs SQL over the session's views and the given frames; nothing is fetched."""
@@ -46,6 +49,60 @@ def search(names: Sequence[str], wanted: str) -> list[str]:
     return []
 
 
+def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """path, bytes, modified of all files below a folder, from the file source's metadata: no content is
+    read. ``pattern``: a glob that names must match. The file source passes over empty files, so they are not listed."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def _named(df: DataFrame, column: str, name: str, stem: str) -> DataFrame:
+    """df with the last part of a path, and that less its extension."""
+    own = F.substring_index(F.rtrim(F.col(column), F.lit("/")), "/", -1)
+    cut = F.regexp_extract(own, r"^(.+)\.[^.]+$", 1)
+    return df.withColumn(name, own).withColumn(stem, F.when(cut != "", cut).otherwise(own))
+
+
+def _grams(text: Column) -> Column:
+    """The distinct strings of up to GRAM characters within a text."""
+
+    def of(n: int) -> Column:
+        long = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, F.lit(n)))
+        return F.when(F.length(text) >= n, long).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, range(1, GRAM + 1))))
+
+
+def search_all(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, within, path, rank: for each row of wanted (query, within) the paths of the catalog whose name
+    is the query's (rank 1); if there are none, those with its stem (2); if none, those that contain
+    it (3). Of these only paths below a folder of the name ``within``, if that is not null.
+
+    Containment joins on a query's string of up to GRAM characters that is in the fewest paths, then
+    looks at the whole. Defined cases: a null or empty query finds nothing; repeated rows count once."""
+    asked = _named(wanted.select("query", "within").where("query <> ''").distinct(), "query", "_name", "_stem")
+    held = _named(catalog.select("path").where("path is not null").distinct(), "path", "name", "stem")
+    by_name = asked.join(held, F.col("_name") == F.col("name"), "left_semi").select("query")
+    first = asked.join(held.select("path", "name"), F.col("_name") == F.col("name")).withColumn("rank", F.lit(1))
+    rest = asked.join(by_name.distinct(), "query", "left_anti")
+    by_stem = rest.join(held, F.col("_stem") == F.col("stem"), "left_semi").select("query")
+    second = rest.join(held.select("path", "stem"), F.col("_stem") == F.col("stem")).withColumn("rank", F.lit(2))
+    rest = rest.join(by_stem.distinct(), "query", "left_anti").select("query", "within")
+    pieces = held.select("path", F.explode(_grams(F.col("path"))).alias("gram"))
+    length = F.least(F.length("query"), F.lit(GRAM))
+    keys = rest.select("query", F.explode(F.filter(_grams(F.col("query")), lambda g: F.length(g) == length)).alias("gram")).distinct()
+    often = pieces.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a query with a gram that no path has is contained in none
+    rare = keys.join(often, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    third = rare.select("query", F.col("g.gram").alias("gram")).join(pieces, "gram").where(F.contains("path", "query")).select("query", "path")
+    third = rest.join(third, "query").withColumn("rank", F.lit(3))
+    columns = ["query", "within", "path", "rank"]
+    found = first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
+    folders = F.slice(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), 1, F.greatest(F.size(F.split(F.rtrim(F.col("path"), F.lit("/")), "/")) - 1, F.lit(0)))
+    return found.where(F.col("within").isNull() | F.array_contains(folders, F.col("within")))
+
+
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet, CSV (with header) or JSON by extension; NaN becomes NULL. CSV and JSON need a schema,
     so that a file is read once. A missing path names its neighbours."""
