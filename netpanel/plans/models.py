@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import correlation_net as CN
+from ..operators import description as DE
 from ..operators import effects as FX
 from ..operators import instruments as IV
 from ..operators import matrices as M
@@ -661,6 +662,11 @@ def describe_var_cov(spark: SparkSession, sf: str) -> DataFrame:
     return E.windows(rolling(spark, sf), "sampling_date", describe, "statistic string, value double", least=12)
 
 
+@query("describe_search", "sampling_date:d statistic:s value:f3")
+def describe_search(spark: SparkSession, sf: str) -> DataFrame:
+    return DE.describe_search(rolling(spark, sf), R.grid(spark, VAR_GRID), "sampling_date", COV_GRID, ("mkt",))
+
+
 @query("collect_var_cov", "permno:i mean_in:f6 mean_out:f6 var:f8", f"WITH RECURSIVE {REGIONS}, {AC} SELECT x.i AS permno, mean_in, mean_out, s.v AS var FROM (SELECT i, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_in FROM a GROUP BY 1) x JOIN (SELECT j, avg(CASE WHEN i <> j THEN abs(v) END) AS mean_out FROM a GROUP BY 1) y ON x.i = y.j JOIN s ON s.i = x.i AND s.j = x.i")
 def collect_var_cov(spark: SparkSession, sf: str) -> DataFrame:
     a, s = small_model(spark, sf)
