@@ -79,6 +79,11 @@ def ln(x: Column) -> Column:
     return F.ln(F.nullif(x, F.lit(0)))
 
 
+def ieee_ln(x: Column) -> Column:
+    """ln as floating-point arithmetic has it: minus infinity at zero, NaN below, where F.ln gives NULL."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def sic_division(code: Column) -> Column:
     out = F.lit("N/A")
     for first, last, name in reversed(SIC_DIVISIONS):

@@ -3,7 +3,7 @@
 A query names its result columns with a kind each (``date:d n:i ret:f``); Spark's result
 and the SQL are both shaped to it, so that types, rounding and order of columns agree:
 d: date as text, s: text, i: 64-bit integer, b: boolean, fN: double rounded to N decimals
-(f: 6), with no negative zero and NaN as null. Before rounding a small fixed amount is added,
+(f: 6), with no negative zero; NaN and infinities are null. Before rounding a small fixed amount is added,
 so that a value halfway between two decimals (the mean of two prices, say) rounds alike
 although the engines sum in different orders."""
 
@@ -43,7 +43,7 @@ def _shape(name: str, kind: str) -> Column:
         return c.cast("boolean").alias(name)
     c = c.cast("double")
     n = int(kind[1:] or 6)
-    return (F.round(F.when(~F.isnan(c), c) + F.lit(_nudge(n)), n) + 0.0).alias(name)
+    return (F.round(F.when(F.abs(c) < float("inf"), c) + F.lit(_nudge(n)), n) + 0.0).alias(name)
 
 
 def _shape_sql(name: str, kind: str) -> str:
