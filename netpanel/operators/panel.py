@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_end, ratio
 
-#: Assets of a block of pairs.
-BLOCK = 256
+#: Series of a block of pairs at least, blocks of a panel at most while a block's cells (series x dates) allow it.
+BLOCK, BLOCKS, CELLS = 256, 32, 1 << 21
+#: Series of a tile of pairs, which is computed and given out at once.
+TILE = 512
 
 
 def interval_join(facts: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, how: str = "left") -> DataFrame:
@@ -131,59 +134,110 @@ def pairs(df: DataFrame, x: str, key: str, time: str, lag: int = 0) -> DataFrame
     return a.join(b, time)
 
 
-def pair_moments(df: DataFrame, x: str, key: str, time: str, lag: int = 0, upper: bool = False, block: int = BLOCK) -> DataFrame:
+def _block_pairs(df: DataFrame, x: str, key: str, time: str, lag: int, block: int | None) -> DataFrame:
+    """Every series (k, t, v: its dates and values as arrays) once for each pair of blocks (bi, bj) it takes
+    part in, right: as the second of them. Without a lag bi <= bj, and bi = bj holds a series once."""
+    size = df.agg(F.approx_count_distinct(key).alias("n"), F.approx_count_distinct(time).alias("t")).first()
+    if block is None:
+        block = max(1, min(max(BLOCK, -(-size.n // BLOCKS)), CELLS // max(1, size.t)))
+    blocks = max(1, -(-size.n // block))
+    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
+
+    def series(rows: DataFrame) -> DataFrame:
+        packed = rows.groupBy("k").agg(F.collect_list(F.struct("t", "v")).alias("s"))
+        return packed.select("k", F.col("s.t").alias("t"), F.col("s.v").alias("v"), F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+
+    if not lag:
+        return series(rows).select("k", "t", "v", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).alias("right"))
+    later = rows.withColumn("t", F.lead("t", lag).over(Window.partitionBy("k").orderBy("t"))).where("t is not null")
+    left = series(rows).select("k", "t", "v", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(False).alias("right"))
+    return left.unionByName(series(later).select("k", "t", "v", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(True).alias("right")))
+
+
+def _centred(t: pa.Table, at: np.ndarray, dates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their series less their means (0 where missing) and 1 where they have values; complete series
+    come first, so that whole tiles of them need one product."""
+    values = t.column("v").combine_chunks()
+    m = np.full((t.num_rows, dates), np.nan)
+    m[np.repeat(np.arange(t.num_rows), values.value_lengths().to_numpy()), at] = values.flatten().to_numpy()
+    here = ~np.isnan(m)
+    order = np.argsort(~here.all(axis=1), kind="stable")
+    m, here = m[order], here[order]
+    mean = np.where(here, m, 0).sum(axis=1) / np.maximum(here.sum(axis=1), 1)
+    return t.column("k").to_numpy()[order], np.where(here, m - mean[:, None], 0), here.astype(float)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], lag: int) -> Iterator[tuple]:
+    """(i, j, count, cov, corr, mirrored) of the pairs of two blocks, tile by tile: mirrored tiles hold each
+    unordered pair once, the others both ways."""
+    table = pa.Table.from_batches(list(batches)).select(["k", "t", "v", "right"])
+    sides = [table.filter(pc.invert(table.column("right"))), table.filter(table.column("right"))]
+    flat = [s.column("t").combine_chunks().flatten() for s in sides]
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    at, dates = coded.indices.to_numpy(), len(coded.dictionary)
+    a = _centred(sides[0], at[: len(flat[0])], dates)
+    b = _centred(sides[1], at[len(flat[0]) :], dates)
+    same = not lag and not len(b[0])
+    if same:
+        b = a
+    whole = [m.min(axis=1, initial=1) > 0 for m in (a[2], b[2])]
+    squares = [x**2 for x in (a[1], b[1])]
+    totals = [s.sum(axis=1) for s in squares]
+    for p in range(0, len(a[0]), TILE):
+        for q in range(p if same else 0, len(b[0]), TILE):
+            l, r = slice(p, p + TILE), slice(q, q + TILE)
+            xa, ma, xb, mb = a[1][l], a[2][l], b[1][r], b[2][r]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cross = xa @ xb.T
+                if whole[0][l].all() and whole[1][r].all():
+                    count = np.full(cross.shape, float(dates))
+                    va, vb = totals[0][l][:, None], totals[1][r][None, :]
+                else:
+                    count, sa, sb = ma @ mb.T, xa @ mb.T, ma @ xb.T
+                    cross -= sa * sb / count
+                    va, vb = squares[0][l] @ mb.T - sa**2 / count, ma @ squares[1][r].T - sb**2 / count
+                cov = np.where(count > 1, cross / (count - 1), np.nan)
+                tiny = 1e-24 * count
+                corr = np.where((count > 1) & (va > tiny) & (vb > tiny), np.clip(cross / np.sqrt(va * vb), -1, 1), np.nan)
+            yield a[0][l], b[0][r], count, cov, corr, not lag and not (same and p == q)
+
+
+def pair_moments(df: DataFrame, x: str, key: str, time: str, lag: int = 0, upper: bool = False, block: int | None = None) -> DataFrame:
     """(i, j, corr, cov) of all pairs, pairwise complete; with a lag, of x_i today and x_j so many
     rows before; upper: only i < j.
 
-    Assets are dealt into blocks, and each pair of blocks is one task's matrix products: a series
-    travels once for each block of the others, instead of each pair's dates being joined."""
-    n = df.select(key).distinct().count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"), own.alias("own"))
-    later = rows
-    if lag:
-        w = Window.partitionBy("k").orderBy("t")
-        later = rows.withColumn("t", F.lead("t", lag).over(w)).where("t is not null")
-    left = rows.select("k", "t", "v", F.col("own").alias("bi"), every.alias("bj"))
-    right = later.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("v").alias("v2"), every.alias("bi"), F.col("own").alias("bj"))
-    if upper:
-        left, right = left.where("bi <= bj"), right.where("bi <= bj")
-
-    def matrix(t: pa.Table, dates: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, row = np.unique(t.column(0).to_numpy(), return_inverse=True)
-        m = np.full((len(keys), len(dates)), np.nan)
-        m[row, [dates[d] for d in t.column(1).to_pylist()]] = t.column(2).to_numpy()
-        here = ~np.isnan(m)
-        mean = np.where(here, m, 0).sum(axis=1) / here.sum(axis=1)
-        return keys, np.where(here, m - mean[:, None], 0), here.astype(float)
-
-    def products(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = {"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "corr": pa.array([], pa.float64()), "cov": pa.array([], pa.float64())}
-        if not a.num_rows or not b.num_rows:
-            return pa.table(empty)
-        dates = {d: k for k, d in enumerate(dict.fromkeys([*a.column(1).to_pylist(), *b.column(1).to_pylist()]))}
-        (ki, xa, ma), (kj, xb, mb) = matrix(a, dates), matrix(b, dates)
-        count, sa, sb, sab = ma @ mb.T, xa @ mb.T, ma @ xb.T, xa @ xb.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cross = sab - sa * sb / count
-            va, vb = (xa**2) @ mb.T - sa**2 / count, ma @ (xb**2).T - sb**2 / count
-            cov = np.where(count > 1, cross / (count - 1), np.nan)
-            tiny = 1e-24 * count
-            corr = np.where((count > 1) & (va > tiny) & (vb > tiny), np.clip(cross / np.sqrt(va * vb), -1, 1), np.nan)
-        i, j = np.repeat(ki, len(kj)), np.tile(kj, len(ki))
-        keep = (count.ravel() > 0) & ((i < j) if upper else np.ones(len(i), bool))
-        some = lambda m: pa.array(m.ravel()[keep], from_pandas=True)
-        out = {"i": pa.array(i[keep]), "j": pa.array(j[keep]), "corr": some(corr), "cov": some(cov)}
-        if upper and len(ki) and len(kj):  # pairs that this block holds the other way round
-            back = (count.ravel() > 0) & (i > j)
-            more = lambda m: pa.array(m.ravel()[back], from_pandas=True)
-            if a.column("bi")[0].as_py() != a.column("bj")[0].as_py():
-                return pa.concat_tables([pa.table(out), pa.table({"i": pa.array(j[back]), "j": pa.array(i[back]), "corr": more(corr), "cov": more(cov)})])
-        return pa.table(out)
-
-    return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(products, "i long, j long, corr double, cov double")
+    Series are dealt into blocks, and each pair of blocks is one task's matrix products, which it gives
+    out tile by tile. The blocks grow with the panel up to CELLS values, so a series travels about BLOCKS
+    times at most until there are BLOCKS * CELLS values, and no pair's dates are joined."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ki, kj, count, cov, corr, mirrored in _tiles(batches, lag):
+            i, j = np.repeat(ki, len(kj)), np.tile(kj, len(ki))
+            keep = count.ravel() > 0
+            if upper and mirrored:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+            elif upper:
+                keep &= i < j
+            i, j, corr, cov = i[keep], j[keep], *(pa.array(m.ravel()[keep], from_pandas=True) for m in (corr, cov))
+            for one, two in [(i, j), (j, i)] if mirrored and not upper else [(i, j)]:
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), corr, cov], ["i", "j", "corr", "cov"])
+
+    return _block_pairs(df, x, key, time, lag, block).groupBy("bi", "bj").applyInArrow(products, "i long, j long, corr double, cov double")
+
+
+def mean_correlation(df: DataFrame, x: str, key: str = "permno", time: str = "date", block: int | None = None, name: str = "mean") -> DataFrame:
+    """Mean over all pairs i < j of their pairwise complete correlations, where they have one: pairs of blocks
+    give out their sums, no pair leaves its task."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for ki, kj, _, _, corr, mirrored in _tiles(batches, 0):
+            some = ~np.isnan(corr) if mirrored else ~np.isnan(corr) & (ki[:, None] < kj[None, :])
+            total, n = total + float(corr[some].sum()), n + int(some.sum())
+        yield pa.RecordBatch.from_pydict({"s": [total], "n": [n]})
+
+    parts = _block_pairs(df, x, key, time, 0, block).groupBy("bi", "bj").applyInArrow(sums, "s double, n long")
+    return parts.agg(ratio(F.sum("s"), F.sum("n")).alias(name))
 
 
 def correlations(df: DataFrame, x: str, key: str = "permno", time: str = "date", lag: int = 0, upper: bool = False) -> DataFrame:
