@@ -42,9 +42,9 @@ class Layout:
         self.terms = ["const", *x]
 
 
-def blocks(df: DataFrame, y: str, layout: Layout, by: str, keys: Sequence[str]) -> DataFrame:
+def blocks(df: DataFrame, y: str, layout: Layout, by: str, keys: Sequence[str], fn: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """by, n, means, block: complete rows less their group's means, a block's as packed doubles. ``keys``
-    and the values deal the rows of a group to its blocks."""
+    and the values deal the rows of a group to its blocks. With ``fn`` what it makes of each block, v, instead."""
     values = [y, *layout.columns]
     # one array a row: with a column each, the optimiser's constraints grow out of memory beyond thirty instruments
     rows = df.where(F.col(by).isNotNull()).select(by, *keys, F.array(*[F.col(c).cast("double") for c in values]).alias("_w"))
@@ -55,10 +55,12 @@ def blocks(df: DataFrame, y: str, layout: Layout, by: str, keys: Sequence[str])
 
     def pack(table: pa.Table) -> pa.Table:
         own = np.array(table.column("_w").combine_chunks().flatten().to_numpy()).reshape(table.num_rows, -1) - np.array(table.column("means")[0].as_py())
-        block = np.insert(own, 1, 1.0, axis=1).tobytes()
-        return table.slice(0, 1).select([by, "n", "means"]).append_column("block", pa.array([block], pa.binary()))
+        block = np.insert(own, 1, 1.0, axis=1)
+        made = ("v", pa.array([fn(block, np.empty(0))], pa.list_(pa.float64()))) if fn else ("block", pa.array([block.tobytes()], pa.binary()))
+        return table.slice(0, 1).select([by, "n", "means"]).append_column(*made)
 
-    return dealt.groupBy(by, "part").applyInArrow(pack, f"{by} {dict(df.dtypes)[by]}, n long, means array<double>, block binary")
+    kind = "v array<double>" if fn else "block binary"
+    return dealt.groupBy(by, "part").applyInArrow(pack, f"{by} {dict(df.dtypes)[by]}, n long, means array<double>, {kind}")
 
 
 def added(held: DataFrame, by: str, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
@@ -69,11 +71,16 @@ def added(held: DataFrame, by: str, fn: Callable[[np.ndarray, np.ndarray], np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b.column("given").to_pylist() if given else [b""] * b.num_rows
-            sums = [fn(np.frombuffer(raw).reshape(-1, width), np.frombuffer(g)).tolist() for raw, g in zip(b.column("block").to_pylist(), known, strict=True)]
+            known = b.column("given") if given else [pa.scalar(b"")] * b.num_rows
+            # a block is looked at where it lies in the batch
+            sums = [fn(np.frombuffer(raw.as_buffer()).reshape(-1, width), np.frombuffer(g.as_buffer())) for raw, g in zip(b.column("block"), known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(by), b.column("n"), b.column("means"), pa.array(sums, pa.list_(pa.float64()))], names=[by, "n", "means", "v"])
 
-    parts = held.mapInArrow(run, f"{by} {kind}, n long, means array<double>, v array<double>")
+    return summed(held.mapInArrow(run, f"{by} {kind}, n long, means array<double>, v array<double>"), by)
+
+
+def summed(parts: DataFrame, by: str) -> DataFrame:
+    """by, n, means, v: the arrays v of each group, added up by place."""
     sums = parts.select(by, "n", "means", F.posexplode("v").alias("pos", "s")).groupBy(by, "pos").agg(F.sum("s").alias("s"), F.first("n").alias("n"), F.first("means").alias("means"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda c: c["s"])  # as many as fn returns
     return sums.groupBy(by).agg(F.first("n").alias("n"), F.first("means").alias("means"), ordered.alias("v"))
@@ -177,7 +184,7 @@ def regress(df: DataFrame, y: str, x: Sequence[str], z: Sequence[str], by: str,
     la = Layout(list(dict.fromkeys(x)), list(dict.fromkeys(z)))
     k, width, kz = len(la.x), la.width, len(la.z)
     once = method != "hful" and errors == "plain"
-    held = blocks(df, y, la, by, keys).where(F.col("n") > max(len(x), len(z)) + 2)
+    held = blocks(df, y, la, by, keys, products if once else None).where(F.col("n") > max(len(x), len(z)) + 2)
     if not once:  # read by each pass
         path = scratch(df.sparkSession, "blocks")
         held.write.parquet(path)
@@ -187,13 +194,13 @@ def regress(df: DataFrame, y: str, x: Sequence[str], z: Sequence[str], by: str,
     def finish(sums: DataFrame, fn: Callable[[pd.Series], tuple[np.ndarray, np.ndarray, float] | None]) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                out = [pd.DataFrame({by: [], "term": [], "coef": [], "se": [], "k": []})]
-                for _, r in pdf.iterrows():
+                out: dict[str, list] = {c: [] for c in (by, "term", "coef", "se", "k")}
+                for r in pdf.to_dict("records"):
                     found = fn(r)
-                    means = np.array(r["means"], float)
-                    b, se = _uncentred(found[0], found[1], means, k) if found else ([None] * k, [None] * k)
-                    out.append(pd.DataFrame({by: [r[by]] * k, "term": la.terms, "coef": b, "se": se, "k": found[2] if found else None}))
-                yield pd.concat(out[1:]) if len(out) > 1 else out[0]
+                    b, se = _uncentred(found[0], found[1], np.array(r["means"], float), k) if found else ([None] * k, [None] * k)
+                    for c, values in zip(out, ([r[by]] * k, la.terms, b, se, [found[2] if found else None] * k), strict=True):
+                        out[c].extend(values)
+                yield pd.DataFrame(out)
 
         return sums.mapInPandas(run, schema)
 
@@ -210,7 +217,7 @@ def regress(df: DataFrame, y: str, x: Sequence[str], z: Sequence[str], by: str,
     def also(sums: DataFrame, more: DataFrame) -> DataFrame:
         return sums.join(more.select(by, F.col("v").alias("_more")), by).withColumn("v", F.concat("v", "_more")).drop("_more")
 
-    first = added(held, by, products, width)
+    first = summed(held, by) if once else added(held, by, products, width)
 
     def plain(r: pd.Series) -> tuple[np.ndarray, np.ndarray, float] | None:
         p, n = Projection(r["v"], la), int(r["n"])

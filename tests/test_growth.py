@@ -1,8 +1,10 @@
 """What queries hold or read again as tables grow: on small tables, by their plans and their parts."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from netpanel.operators import instruments as IV
 from netpanel.plans import catalogue
 from test_queries import key
 
@@ -23,3 +25,15 @@ def test_a_trade_meets_one_row_of_the_intervals(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(con.execute(q.sql).fetchall(), key=key)
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any(">=" in line or "<=" in line for line in joins)  # a range would give a trade several rows
+
+
+def test_products_are_summed_where_the_rows_are(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, *map(float, rng.normal(size=3))) for k in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "g long, i long, y double, x double, z double")
+    la = IV.Layout(["x"], ["z"])
+    direct = {r.g: np.array(r.v) for r in IV.summed(IV.blocks(df, "y", la, "g", ["i"], IV.products), "g").collect()}
+    packed = {r.g: np.array(r.v) for r in IV.added(IV.blocks(df, "y", la, "g", ["i"]), "g", IV.products, la.width).collect()}
+    assert direct.keys() == packed.keys() and all(np.allclose(direct[g], packed[g]) for g in direct)
+    plan = IV.regress(df, "y", ["x"], ["z"], "g", "fuller", ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # no second Python worker that holds batches of blocks
