@@ -194,7 +194,7 @@ def cv_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 def rolling(spark: SparkSession, sf: str, months: int = 36) -> DataFrame:
     """Windows of the regional panel: sampling_date, date, permno, x, and the mean over regions."""
-    v = regions(spark, sf)
+    v = regions(spark, sf).persist()  # a row a region and month; windows are read in several ways, the tables once
     m = v.groupBy("date").agg(F.avg("x").alias("mkt"))
     return P.rolling_samples(v.join(m, "date"), months)
 
@@ -928,7 +928,9 @@ def many_instrument_iv(spark: SparkSession, sf: str) -> DataFrame:
 def stored_betas(spark: SparkSession, sf: str) -> DataFrame:
     """Betas of all samples, stored from a panel with preliminary returns of one month, then refreshed with
     the final ones: only samples that hold the month are fitted again."""
-    final = with_market(spark, sf).select("permno", "date", "ret", "mkt")
+    panel = D.scratch(spark, "panel")  # read by both refreshes, for their digests and their fits
+    with_market(spark, sf).select("permno", "date", "ret", "mkt").write.parquet(panel)
+    final = spark.read.parquet(panel)
     early = final.withColumn("ret", F.when(F.col("date") == F.to_date(F.lit("1998-06-30")), F.round("ret", 2) + 0.005).otherwise(F.col("ret")))
     path = D.scratch(spark, "betas")
     fit = lambda rows: R.one_factor(rows, "ret", "mkt", ["sampling_date", "permno"]).select("sampling_date", "permno", "beta")

@@ -24,9 +24,11 @@ def digests(inputs: DataFrame, key: str, settings: str = "") -> DataFrame:
     columns = sorted(c for c in inputs.columns if c != key)
     # a null leaves a hash as it is, so where nulls stand is hashed too
     parts = [*columns, *[F.col(c).isNull() for c in columns]]
-    total = F.sum(F.xxhash64(F.lit(0), *parts).cast("decimal(38,0)")).cast("string")
-    found = inputs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), total.alias("s"), F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("x"))
-    return found.select(key, F.sha2(F.concat_ws("|", F.lit(settings), F.lit(",".join(columns)), "n", "s", "x"), 256).alias(DIGEST))
+    hashed = inputs.where(F.col(key).isNotNull()).select(key, F.xxhash64(F.lit(0), *parts).alias("_a"), F.xxhash64(F.lit(1), *parts).alias("_b"))
+    # upper and lower half are summed apart: whole, without wide decimals
+    halves = [F.sum(F.shiftright("_a", 32)).alias("s"), F.sum(F.col("_a").bitwiseAND(F.lit(0xFFFFFFFF))).alias("t")]
+    found = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *halves, F.bit_xor("_b").alias("x"))
+    return found.select(key, F.sha2(F.concat_ws("|", F.lit(settings), F.lit(",".join(columns)), "n", "s", "t", "x"), 256).alias(DIGEST))
 
 
 def _stored(spark: SparkSession, path: str, key: StructField) -> DataFrame | None:

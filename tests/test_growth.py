@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from netpanel.operators import instruments as IV
 from netpanel.plans import catalogue
+from netpanel.plans import models as M
+from netpanel.sources import estimates as S
 from test_queries import key
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,12 @@ def test_products_are_summed_where_the_rows_are(spark):
     assert direct.keys() == packed.keys() and all(np.allclose(direct[g], packed[g]) for g in direct)
     plan = IV.regress(df, "y", ["x"], ["z"], "g", "fuller", ["i"])._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # no second Python worker that holds batches of blocks
+
+
+def test_the_tables_are_read_once_for_stored_betas_and_windows(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(S, "refresh", lambda inputs, *a, real=S.refresh: rows.append(inputs) or real(inputs, *a))
+    assert catalogue()["stored_betas"].run(spark, SF).count() > 0
+    assert len(rows) == 2 and not any("l_suppkey" in df._jdf.queryExecution().optimizedPlan().toString() for df in rows)
+    windows = M.rolling(spark, SF)._jdf.queryExecution()
+    assert "l_suppkey" not in windows.withCachedData().toString().split("InMemoryRelation")[0] and windows.withCachedData().toString().count("InMemoryRelation") >= 2
