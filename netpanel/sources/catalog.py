@@ -80,23 +80,24 @@ def search_all(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     it (3). Of these only paths below a folder of the name ``within``, if that is not null.
 
     Containment joins on a query's string of up to GRAM characters that is in the fewest paths, then
-    looks at the whole. Defined cases: a null or empty query finds nothing; repeated rows count once."""
+    looks at the whole. All sides grow with the catalog, and the optimiser takes strings cut from a path for
+    no more than the path, so the joins are told to sort both sides: none is sent through the driver. Defined cases: a null or empty query finds nothing; repeated rows count once."""
     asked = _named(wanted.select("query", "within").where("query <> ''").distinct(), "query", "_name", "_stem")
     held = _named(catalog.select("path").where("path is not null").distinct(), "path", "name", "stem")
-    by_name = asked.join(held, F.col("_name") == F.col("name"), "left_semi").select("query")
-    first = asked.join(held.select("path", "name"), F.col("_name") == F.col("name")).withColumn("rank", F.lit(1))
-    rest = asked.join(by_name.distinct(), "query", "left_anti")
-    by_stem = rest.join(held, F.col("_stem") == F.col("stem"), "left_semi").select("query")
-    second = rest.join(held.select("path", "stem"), F.col("_stem") == F.col("stem")).withColumn("rank", F.lit(2))
-    rest = rest.join(by_stem.distinct(), "query", "left_anti").select("query", "within")
+    by_name = asked.join(held.hint("merge"), F.col("_name") == F.col("name"), "left_semi").select("query")
+    first = asked.join(held.select("path", "name").hint("merge"), F.col("_name") == F.col("name")).withColumn("rank", F.lit(1))
+    rest = asked.join(by_name.distinct().hint("merge"), "query", "left_anti")
+    by_stem = rest.join(held.hint("merge"), F.col("_stem") == F.col("stem"), "left_semi").select("query")
+    second = rest.join(held.select("path", "stem").hint("merge"), F.col("_stem") == F.col("stem")).withColumn("rank", F.lit(2))
+    rest = rest.join(by_stem.distinct().hint("merge"), "query", "left_anti").select("query", "within")
     pieces = held.select("path", F.explode(_grams(F.col("path"))).alias("gram"))
     length = F.least(F.length("query"), F.lit(GRAM))
     keys = rest.select("query", F.explode(F.filter(_grams(F.col("query")), lambda g: F.length(g) == length)).alias("gram")).distinct()
-    often = pieces.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    often = pieces.join(keys.select("gram").distinct().hint("merge"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a query with a gram that no path has is contained in none
-    rare = keys.join(often, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
-    third = rare.select("query", F.col("g.gram").alias("gram")).join(pieces, "gram").where(F.contains("path", "query")).select("query", "path")
-    third = rest.join(third, "query").withColumn("rank", F.lit(3))
+    rare = keys.join(often.hint("merge"), "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    third = rare.select("query", F.col("g.gram").alias("gram")).join(pieces.hint("merge"), "gram").where(F.contains("path", "query")).select("query", "path")
+    third = rest.join(third.hint("merge"), "query").withColumn("rank", F.lit(3))
     columns = ["query", "within", "path", "rank"]
     found = first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
     folders = F.slice(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), 1, F.greatest(F.size(F.split(F.rtrim(F.col("path"), F.lit("/")), "/")) - 1, F.lit(0)))

@@ -45,3 +45,8 @@ def test_files_are_found_below_a_folder(spark, tmp_path):
     assert found == {"a.csv": 5, "b/c.csv": 7, "b/d/e.txt": 9}  # empty files are not listed
     csv = K.files(spark, f"file://{tmp_path}", "*.csv")
     assert csv.count() == 2 and csv.schema.names == ["path", "bytes", "modified"]
+
+
+def test_no_side_of_the_search_is_broadcast(spark):
+    catalog, wanted = spark.createDataFrame([(p,) for p in PATHS], "path string"), spark.createDataFrame([(q, None) for q in QUERIES], "query string, within string")
+    assert "Broadcast" not in K.search_all(catalog, wanted)._jdf.queryExecution().executedPlan().toString()
