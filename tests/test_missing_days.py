@@ -9,7 +9,7 @@ from test_queries import same
 from test_zero_values import both
 
 SHARED = "fill_variants ffill bfill ffill_limit1 densify rolling_std_lag21 event_window last_mcap_ffill1 any_missing".split()
-DENSE_QUERIES = "log_fill log_replace_ffill log_replace_interpolate log_replace_mean log_replace_min log_replace_zero".split()
+DENSE_QUERIES = "log_fill log_replace_ffill log_replace_interpolate log_replace_mean log_replace_min log_replace_zero log_vola_load".split()
 
 
 @pytest.fixture(scope="module")
