@@ -84,6 +84,13 @@ def ieee_ln(x: Column) -> Column:
     return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
 
 
+def round_scaled(x: Column, decimals: int) -> Column:
+    """Rounds by scaling, as floating-point arithmetic has it; F.round goes by the shortest decimal digits, which above
+    about 1e5 may end just below or above a half that the scaled value is at. x times the scale must be finite, or x is not."""
+    scale = 10.0**decimals
+    return F.round(x * scale) / scale
+
+
 def sic_division(code: Column) -> Column:
     out = F.lit("N/A")
     for first, last, name in reversed(SIC_DIVISIONS):
