@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import month_end, ratio
 
 #: Series of a block of pairs at least, blocks of a panel at most while a block's cells (series x dates) allow it.
-BLOCK, BLOCKS, CELLS = 256, 32, 1 << 21
+BLOCK, BLOCKS, CELLS = 256, 16, 1 << 21
 #: Series of a tile of pairs, which is computed and given out at once.
 TILE = 512
+#: Pairs of a series that are given out before the same ones the other way round.
+RUN = 32
 
 
 def interval_join(facts: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, how: str = "left") -> DataFrame:
@@ -137,21 +139,26 @@ def pairs(df: DataFrame, x: str, key: str, time: str, lag: int = 0) -> DataFrame
 def _block_pairs(df: DataFrame, x: str, key: str, time: str, lag: int, block: int | None) -> DataFrame:
     """Every series (k, t, v: its dates and values as arrays) once for each pair of blocks (bi, bj) it takes
     part in, right: as the second of them. Without a lag bi <= bj, and bi = bj holds a series once."""
-    size = df.agg(F.approx_count_distinct(key).alias("n"), F.approx_count_distinct(time).alias("t")).first()
+    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        # in order of time, so that the dates of series are alike and copies of them compress
+        return rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("s")).select("k", F.col("s.t").alias("t"), F.col("s.v").alias("v"))
+
+    panel = packed(rows).persist()  # read for its size and for its copies, made once
+    size = panel.select("k", F.explode("t").alias("t")).agg(F.approx_count_distinct("k").alias("n"), F.approx_count_distinct("t").alias("t")).first()
     if block is None:
         block = max(1, min(max(BLOCK, -(-size.n // BLOCKS)), CELLS // max(1, size.t)))
     blocks = max(1, -(-size.n // block))
-    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
 
-    def series(rows: DataFrame) -> DataFrame:
-        packed = rows.groupBy("k").agg(F.collect_list(F.struct("t", "v")).alias("s"))
-        return packed.select("k", F.col("s.t").alias("t"), F.col("s.v").alias("v"), F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    def series(packed: DataFrame) -> DataFrame:
+        return packed.select("k", "t", "v", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
 
     if not lag:
-        return series(rows).select("k", "t", "v", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).alias("right"))
+        return series(panel).select("k", "t", "v", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).alias("right"))
     later = rows.withColumn("t", F.lead("t", lag).over(Window.partitionBy("k").orderBy("t"))).where("t is not null")
-    left = series(rows).select("k", "t", "v", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(False).alias("right"))
-    return left.unionByName(series(later).select("k", "t", "v", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(True).alias("right")))
+    left = series(panel).select("k", "t", "v", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(False).alias("right"))
+    return left.unionByName(series(packed(later)).select("k", "t", "v", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(True).alias("right")))
 
 
 def _centred(t: pa.Table, at: np.ndarray, dates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,15 +219,18 @@ def pair_moments(df: DataFrame, x: str, key: str, time: str, lag: int = 0, upper
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ki, kj, count, cov, corr, mirrored in _tiles(batches, lag):
-            i, j = np.repeat(ki, len(kj)), np.tile(kj, len(ki))
-            keep = count.ravel() > 0
+            i, j = np.broadcast_arrays(ki[:, None], kj)
+            keep = count > 0
             if upper and mirrored:
                 i, j = np.minimum(i, j), np.maximum(i, j)
             elif upper:
                 keep &= i < j
-            i, j, corr, cov = i[keep], j[keep], *(pa.array(m.ravel()[keep], from_pandas=True) for m in (corr, cov))
-            for one, two in [(i, j), (j, i)] if mirrored and not upper else [(i, j)]:
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), corr, cov], ["i", "j", "corr", "cov"])
+            elif mirrored:
+                # some pairs of a series, then the same the other way round: a file's compression finds their values again
+                at = np.argsort(np.tile(np.arange(len(kj)) // RUN, 2), kind="stable")
+                i, j = np.hstack([i, j])[:, at], np.hstack([j, i])[:, at]
+                keep, corr, cov = (np.hstack([m, m])[:, at] for m in (keep, corr, cov))
+            yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(j[keep]), *(pa.array(m[keep], from_pandas=True) for m in (corr, cov))], ["i", "j", "corr", "cov"])
 
     return _block_pairs(df, x, key, time, lag, block).groupBy("bi", "bj").applyInArrow(products, "i long, j long, corr double, cov double")
 

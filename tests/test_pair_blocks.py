@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netpanel.operators import panel as P
+from netpanel.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,28 @@ def test_a_series_travels_a_bounded_number_of_times(spark):
     n = 20_000  # 79 blocks of 256: each row went to all of them, on both sides
     df = spark.range(n).select(F.col("id").alias("permno"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("date"), F.rand(1).alias("x"))
     assert P._block_pairs(df, "x", "permno", "date", 0, None).count() <= n * (P.BLOCKS + 2)
+
+
+@pytest.mark.parametrize("moment", [P.correlations])
+def test_both_rows_of_a_pair_share_their_bytes_on_disk(spark, tmp_path, moment):
+    n = 1024
+    df = spark.range(n).select(F.col("id").alias("permno"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("date")).withColumn("x", F.rand(2))
+    moment(df, "x").write.parquet(out := f"{tmp_path}/out")
+    got = spark.read.parquet(out)
+    assert got.count() == n * n == got.select("i", "j").distinct().count()
+    # a value takes 8 bytes; tiles on the diagonal, a quarter of the pairs here, have it twice
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6 * n * n
+
+
+@pytest.mark.parametrize("name", ["corr_matrix", "avg_corr"])
+def test_the_panel_is_made_once(spark, name):
+    plan = catalogue()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan  # it was summed up from the rows once for its size and again for its copies
+
+
+def test_a_large_panel_puts_little_more_on_disk_than_itself(spark):
+    n, dates = 20_000, 4
+    df = spark.range(n).select(F.col("id").alias("permno"), F.explode(F.sequence(F.lit(1), F.lit(dates))).alias("date"), F.rand(1).alias("x"))
+    rows = P._block_pairs(df, "x", "permno", "date", 0, None)
+    assert n < rows.count() <= 18 * n
+    assert rows.where("t <> array_sort(t)").count() == 0
