@@ -56,7 +56,7 @@ def test_a_series_travels_a_bounded_number_of_times(spark):
     assert P._block_pairs(df, "x", "permno", "date", 0, None).count() <= n * (P.BLOCKS + 2)
 
 
-@pytest.mark.parametrize("moment", [P.correlations])
+@pytest.mark.parametrize("moment", [P.correlations, P.covariances])
 def test_both_rows_of_a_pair_share_their_bytes_on_disk(spark, tmp_path, moment):
     n = 1024
     df = spark.range(n).select(F.col("id").alias("permno"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("date")).withColumn("x", F.rand(2))
@@ -67,7 +67,7 @@ def test_both_rows_of_a_pair_share_their_bytes_on_disk(spark, tmp_path, moment):
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6 * n * n
 
 
-@pytest.mark.parametrize("name", ["corr_matrix", "avg_corr"])
+@pytest.mark.parametrize("name", ["corr_matrix", "cov_matrix", "avg_corr"])
 def test_the_panel_is_made_once(spark, name):
     plan = catalogue()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in plan  # it was summed up from the rows once for its size and again for its copies
